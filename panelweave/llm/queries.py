@@ -22,9 +22,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_documents(spark, sf_dir)).drop("n_chars")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelweave.llm.ngram_join import ngram_components
+
+    return ngram_components(_documents(spark, sf_dir), n=4, num=85, den=100)[0]
+
+
 QUERIES = {
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {
