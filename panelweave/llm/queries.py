@@ -22,6 +22,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_documents(spark, sf_dir)).drop("n_chars")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelweave.llm.language_id import crc32_of_id, identify
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(crc32_of_id(), F.lit(3)) == 1
+    found = identify(docs.withColumn("held_out", held_out), ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelweave.llm.license_scan import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelweave.llm.ngram_join import ngram_components
 
@@ -31,6 +46,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
 }
 
