@@ -73,3 +73,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     root = materialize(root, "cc-roots")
     least = root.groupBy("p").agg(F.min("node").alias("component"))
     return root.join(least, "p").select("node", "component")
+
+
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, col: str):
+    """A test `long -> bool` that holds for every id of `ids` and for few others.
+
+    One bit of `FILTER_BITS` per id (2 MB, whatever the number of ids), for thinning rows
+    inside a scan before an exact join.  With many more ids than bits it lets all pass,
+    and the join alone decides.
+    """
+    import numpy as np
+
+    bit = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(bit / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({col}), 64) as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).groupBy(F.floor(F.col("w") / 4096).alias("s"))
+    packed = words.agg(F.collect_list(F.struct("w", "b")).alias("x")).collect()  # at most FILTER_BITS / 64 words
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in packed:
+        for w, b in r["x"]:
+            table[w] = np.uint64(b & (1 << 64) - 1)
+
+    def test(value: int) -> bool:
+        h = _xxhash64_long(value)
+        return bool(int(table[(h % FILTER_BITS) >> 6]) >> (h & 63) & 1)
+
+    return test
+
+
+def _xxhash64_long(v: int) -> int:
+    """Spark's xxhash64 of one bigint: XXH64 of its eight bytes with seed 42."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), 42)

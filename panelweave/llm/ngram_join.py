@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import materialize
-from panelweave.llm.trie_join import linked_components
+from panelweave.llm.common import id_filter, materialize
+from panelweave.llm.trie_join import linked_components, parity_sketch
 
 BUCKETS = 1 << 20
 SLICE = 1 << 14
@@ -120,33 +120,37 @@ def ngram_components(
 
     def sign(batches):
         for b in batches:
-            size, digest, prefix = [], [], []
+            size, digest, prefix, sketch = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = _ordered(shingles(t, n), common)
                 size.append(len(s))
                 digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sketch.append(parity_sketch(s) if len(s) else None)
                 prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "size", "digest", "prefix"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "size", "digest", "prefix", "sketch"],
             )
 
-    def whole(batches):
-        for b in batches:
-            items = [_ordered(shingles(t, n), common).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["node", "items"])
-
-    signed = materialize(source.mapInArrow(sign, "doc_id long, size long, digest binary, prefix array<long>"), "signed")
+    signed = materialize(source.mapInArrow(sign, "doc_id long, size long, digest binary, prefix array<long>, sketch binary"), "signed")
     real = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(real.groupBy("digest", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialize(real.groupBy("digest", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
     keys = classes.select(F.explode("prefix").alias("key"), "node", "size")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        found = source.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-        found = found.mapInArrow(whole, "node long, items binary")
-        return found.groupBy("node").agg(F.min("items").alias("items"))
+        likely = id_filter(nodes, "node")
+
+        def whole(batches):
+            for b in batches:
+                some = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and likely(i)]
+                items = [_ordered(shingles(t, n), common).astype("<u8").tobytes() for _, t in some]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+
+        found = source.mapInArrow(whole, "node long, items binary")
+        return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))
 
-    links, comp = linked_components(keys, sets_of, num, den)
+    about = classes.groupBy("node").agg(F.max_by("size", "digest").alias("size"), F.max_by("sketch", "digest").alias("sketch"))
+    links, comp = linked_components(about, keys, sets_of, num, den)
     of_class = classes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
     out = signed.select("doc_id", "size", "digest").join(of_class, "digest", "left")
     out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))

@@ -72,6 +72,31 @@ class PrefixTree:
                 stack += [(c, overlap, met) for c in children]
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parities of how many items fall on each of b bits, b the power of two at or above the size.
+
+    Two sketches differ in at most as many bits as their sets have unshared items, so a
+    pair whose sketches differ in more bits than its similarity allows is no link.
+    """
+    b = max(64, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1, bitorder="little").tobytes()
+
+
+def _words(sketch: bytes, n: int) -> np.ndarray:
+    """The sketch as 64-bit words, folded to `n` of them."""
+    w = np.frombuffer(sketch, np.uint64)
+    while len(w) > n:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
+
+
+def may_link(a: bytes, b: bytes, sizes: int, num: int, den: int) -> bool:
+    """False only if the sketches prove that the sets do not link; `sizes`: both sizes together."""
+    n = min(len(a), len(b)) // 8
+    apart = int(np.bitwise_count(_words(a, n) ^ _words(b, n)).sum())
+    return (den + num) * apart <= (den - num) * sizes
+
+
 class _Forest:
     def __init__(self):
         self.up: dict = {}
@@ -141,28 +166,90 @@ def _run_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(_join_groups(num, den), "a long, b long")
 
 
-def linked_components(keys: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _thin_groups(num: int, den: int):
+    """Per (group, block pair): the sets that the sketches leave a partner in another component."""
+
+    def run(batches):
+        out: list = []
+        for (g, lo, hi), rows in _groups(batches, 3):
+            # block, node, comp, size, sketch; by size, so that partners are a range
+            rows.sort(key=lambda r: r[3])
+            size = np.array([r[3] for r in rows], np.int64)
+            comp = np.array([r[2] for r in rows], np.int64)
+            width = np.array([len(r[4]) // 8 for r in rows])
+            at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+            own = {w: np.stack([_words(rows[i][4], w) for i in ix]) for w, ix in at.items()}
+            folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in own.items() if w > 1}
+            live = np.zeros(len(rows), bool)
+            for i, r in enumerate(rows):
+                for w, table in ((width[i], own), (width[i] * 2, folded)):
+                    if w not in table:
+                        continue
+                    ix = at[w]
+                    a, b = np.searchsorted(ix, i + 1), np.searchsorted(size[ix], size[i] * den // num, "right")
+                    if a < b:
+                        apart = np.bitwise_count(table[w][a:b] ^ own[width[i]][np.searchsorted(at[width[i]], i)]).sum(1)
+                        js = ix[a:b][((den + num) * apart <= (den - num) * (size[ix[a:b]] + size[i])) & (comp[ix[a:b]] != comp[i])]
+                        if len(js):
+                            live[i] = True
+                            live[js] = True
+            out += [(g, r[1]) for r, k in zip(rows, live.tolist(), strict=True) if k]
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
+
+
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """(key, n): groups with sets of more than one component, equal groups once; n: their blocks."""
+    who = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    groups = rows.groupBy("key").agg(who.alias("who"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    return groups.groupBy("who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("who.m") / BLOCK).alias("n"))
+
+
+def _block_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each set of an open group in every pair of blocks that its own block is part of: g, lo, hi, block."""
+    rows = rows.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rows.select(F.col("key").alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
+
+
+def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all nodes whose sets have Jaccard >= num/den and share a key.
 
-    keys: rows (key, node, size); a pair is a candidate if it shares a key.  `sets_of` is
-    a function: DataFrame of nodes -> DataFrame (node, items: sorted little-endian u64).
+    nodes: rows (node, size, sketch: `parity_sketch`); keys: rows (key, node, size); a pair
+    is a candidate if it shares a key.  `sets_of` is a function: DataFrame of nodes ->
+    DataFrame (node, items: sorted little-endian u64).
 
-    1. In each key's group the least node is the hub.  Pairs (hub, other) of compatible
-       size, each once whatever the number of shared keys, are verified: the others of a
-       hub, in blocks of `BLOCK`, form a prefix tree which the hub's set probes.
+    1. In each key's group the least node is the hub.  Pairs (hub, other) that sizes and
+       sketches allow, each once whatever the number of shared keys, are verified: the
+       others of a hub, in blocks of `BLOCK`, form a prefix tree which the hub's set probes.
     2. What the hubs did not settle: groups whose other members still lie in more than
-       one component.  Groups with equal members are taken once, cut into blocks, and
-       each pair of blocks is joined by a prefix tree, skipping connected pairs.
+       one component, equal groups once, cut into blocks.  Members that the sketches
+       leave no partner in another component go; each pair of blocks of what is left is
+       joined by a prefix tree, skipping connected pairs.
     So no link between different components is lost, no group is gathered beyond a pair
-    of blocks, and the links emitted are at most one per member and group.
+    of blocks, and rows are emitted per member, not per pair.
     """
     hub = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "size")).alias("hub")).where("m > 1")
     grouped = keys.join(hub.select("key", "hub"), "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
     grouped = materialize(grouped.where("node <> hub"), "grouped")
     fit = F.lit(den) * F.least("size", "hub_size") >= F.lit(num) * F.greatest("size", "hub_size")
-    tried = materialize(grouped.where(fit).select("hub", "node").distinct(), "tried")
-    nodes = tried.select("node").union(tried.select(F.col("hub").alias("node"))).distinct()
-    sets = materialize(sets_of(nodes), "sets")
+    tried = grouped.where(fit).select("hub", "node").distinct()
+    tried = tried.join(nodes, "node").join(nodes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), "hub")
+
+    def allowed(batches):
+        for b in batches:
+            a, h, n = (b.column(k).to_pylist() for k in ("sketch", "hub_sketch", "sizes"))
+            keep = [may_link(x, y, m, num, den) for x, y, m in zip(a, h, n, strict=True)]
+            yield b.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
+
+    tried = tried.select("hub", "node", "sketch", "hub_sketch", (F.col("size") + F.col("hub_size")).alias("sizes")).mapInArrow(allowed, "hub long, node long")
+    tried = materialize(tried, "tried")
+    wanted = tried.select("node").union(tried.select(F.col("hub").alias("node"))).distinct()
+    sets = materialize(sets_of(wanted), "sets")
 
     blocks = tried.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     part = (F.pmod(F.xxhash64("node"), F.col("n")) + 1).alias("hi")
@@ -173,22 +260,20 @@ def linked_components(keys: DataFrame, sets_of, num: int, den: int) -> tuple[Dat
     first = materialize(_run_groups(hubs.unionByName(members), num, den), "links")
     comp = materialize(components(first), "components")
 
-    open_ = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    alike = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    groups = open_.groupBy("key").agg(alike.alias("who"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    groups = materialize(groups.groupBy("who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("who.m") / BLOCK).alias("n")), "open")
-    if groups.isEmpty():
+    rest = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    pairs = _block_pairs(rest, materialize(_open_groups(rest), "open"))
+    dealt = pairs.join(nodes, "node").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    dealt = dealt.select("g", "lo", "hi", "block", "node", "comp", "size", "sketch")
+    live = dealt.mapInArrow(_thin_groups(num, den), "a long, b long").toDF("key", "node").distinct()
+    live = live.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    live = materialize(live, "live")
+    if live.isEmpty():
         return first, comp
-    rest = open_.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")))
-    rest = materialize(rest, "rest")
-    more = rest.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    more = live.select("node").distinct().join(sets.select("node"), "node", "left_anti")
     all_sets = sets.unionByName(materialize(sets_of(more), "sets"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rest = rest.join(all_sets, "node").select(
-        F.col("key").alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "items"
-    )
-    second = materialize(_run_groups(rest, num, den), "links")
-    links = first.unionByName(second)
+    pairs = _block_pairs(live, materialize(_open_groups(live), "open"))
+    second = materialize(_run_groups(pairs.join(all_sets, "node"), num, den), "links")
     if second.isEmpty():
         return first, comp
+    links = first.unionByName(second)
     return links, materialize(components(links), "components")
