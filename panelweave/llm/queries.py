@@ -10,6 +10,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its removed paragraphs and the text that is left."""
+    from panelweave.llm.substring_dedup import dedup_paragraphs
+
+    found = dedup_paragraphs(_documents(spark, sf_dir).select("doc_id", "text"), detail=True)
+    removed = F.coalesce("__removed", F.array().cast(found.schema["__removed"].dataType))
+    return found.select(
+        "doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"),
+        F.array_sort(F.array_distinct(F.transform(removed, lambda r: r["keep_doc_id"]))).alias("keep_doc_ids"), "text",
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelweave.llm.packing import pack
 
@@ -44,6 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
