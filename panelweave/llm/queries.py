@@ -10,6 +10,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelweave.llm.fingerprints import edited_pairs
+
+    return edited_pairs(_documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its removed paragraphs and the text that is left."""
     from panelweave.llm.substring_dedup import dedup_paragraphs
@@ -56,6 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
