@@ -16,6 +16,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of lines, of removed lines, and the text that is left."""
+    from panelweave.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), detail=True)
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its removed paragraphs and the text that is left."""
     from panelweave.llm.substring_dedup import dedup_paragraphs
@@ -28,6 +36,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces with a tenth of the merges dropped."""
+    from panelweave.llm.piece_codec import encode_pieces
+
+    return encode_pieces(_documents(spark, sf_dir), dropout=0.1, seed=7)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelweave.llm.packing import pack
 
@@ -63,7 +78,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_piece_codec": op5_piece_codec,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
@@ -72,6 +89,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        w AS (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM d),
+        k AS (SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win FROM w
+              WHERE trim(ls[pos + 1]) <> '' OR trim(ls[pos + 2]) <> '' OR trim(ls[pos + 3]) <> ''),
+        r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn FROM k),
+        c AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM r WHERE rn > 1),
+        l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM d),
+        s AS (SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+        FROM s GROUP BY doc_id
+    """,
     "op7_exact_dedup": """
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
