@@ -16,6 +16,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(_documents(spark, sf_dir))
 
 
+def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelweave.llm.gru_lm import score
+    from panelweave.llm.language_id import crc32_of_id
+
+    return score(_documents(spark, sf_dir), F.pmod(crc32_of_id(), F.lit(5)) == 1)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of lines, of removed lines, and the text that is left."""
     from panelweave.llm.line_dedup import dedup_lines
@@ -78,6 +85,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_gru_lm": op2_gru_lm,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
