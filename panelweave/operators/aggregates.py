@@ -68,7 +68,7 @@ def census(df: DataFrame, by: str, label: str) -> DataFrame:
 def transition_matrix(df: DataFrame, key: str, order: list, state: str, states: list[str]) -> DataFrame:
     """Row-normalised transitions, one column per next state."""
     nxt = df.withColumn("__next", F.lead(state).over(Window.partitionBy(key).orderBy(*order))).where("__next is not null")
-    m = nxt.groupBy(state).pivot("__next", states).agg(F.count("*")).na.fill(0)
+    m = nxt.groupBy(state).pivot("__next", states).agg(F.count(F.lit(1))).na.fill(0)
     total = sum(F.col(s) for s in states)
     return m.select(state, *[(F.col(s) / total).alias(f"to_{s}") for s in states])
 
