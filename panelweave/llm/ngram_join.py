@@ -25,7 +25,7 @@ class _WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 

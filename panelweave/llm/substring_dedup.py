@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import id_filter, materialize
-from panelweave.llm.ngram_join import MULT, shingles
+from panelweave.llm.ngram_join import _HASH, MULT
 from panelweave.llm.trie_join import linked_components, parity_sketch
 
 BANDS, ROWS = 10, 3  # a pair of similarity 0.8 shares a band with probability 0.9992
@@ -21,20 +21,42 @@ _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 def paragraphs(text: str | None, min_words: int) -> list[tuple[int, str]]:
     """(position, paragraph) of the newline-separated paragraphs of at least `min_words` words."""
-    return [(i, p) for i, p in enumerate((text or "").split("\n")) if len(p.split()) >= min_words]
+    return [(i, p) for i, p in enumerate((text or "").split("\n")) if n_words(p) >= min_words]
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """One key per band of the MinHash signature of a set of hashes."""
-    least = np.empty(BANDS * ROWS, np.uint64)
-    for a in range(0, len(_A), 6):
-        x = s[None, :] * _A[a : a + 6, None] + _B[a : a + 6, None]
-        least[a : a + 6] = (x ^ (x >> np.uint64(31))).min(1)
-    key = np.arange(BANDS, dtype=np.uint64)
+def n_words(paragraph: str) -> int:
+    return len(paragraph.encode("utf-8", "surrogatepass").split())
+
+
+def paragraph_sets(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct n-gram hashes per paragraph (each of at least `n` words), as `shingles`
+    gives them, and the band keys of their MinHash signatures, one row per paragraph.
+
+    All paragraphs are hashed as one array; n-grams over a border are left out.
+    """
+    words = [t.lower().split() for t in texts]
+    sizes = np.array([len(w) for w in words])
+    flat = [x for w in words for x in w]
+    h = np.fromiter(map(_HASH.__getitem__, flat), np.uint64, len(flat))
+    grams = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        grams = (grams ^ h[i : len(h) - n + 1 + i]) * MULT
+        grams ^= grams >> np.uint64(29)
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h), bool)
+    for k in range(1, n):
+        inside[ends - k] = False
+    grams = grams[inside[: len(grams)]]
+    first = np.concatenate([[0], np.cumsum(sizes - n + 1)])
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(texts), axis=1)
     for r in range(ROWS):
-        key = (key ^ least[r::ROWS]) * MULT
-        key ^= key >> np.uint64(29)
-    return key
+        for k in range(BANDS):
+            x = grams * _A[k * ROWS + r] + _B[k * ROWS + r]
+            x ^= x >> np.uint64(31)
+            keys[k] = (keys[k] ^ np.minimum.reduceat(x, first[:-1])) * MULT
+    keys ^= keys >> np.uint64(29)
+    cuts = first.tolist()
+    return [np.unique(grams[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], keys.T
 
 
 def _node(digest: bytes) -> int:
@@ -56,18 +78,21 @@ def repeated_paragraphs(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def sign(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        names = ["doc_id", "text_hash", "paragraph", "size", "digest", "node", "bands", "sketch"]
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            some, places, todo = [], [], 0
+            for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
                 for i, p in paragraphs(t, min_words):
-                    s = shingles(p, n)
-                    digest = blake2b(s.tobytes(), digest_size=16).digest()
-                    row = (doc, th, i, len(s), digest, _node(digest), band_keys(s).view(np.int64), parity_sketch(s))
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            names = ["doc_id", "text_hash", "paragraph", "size", "digest", "node", "bands", "sketch"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                    some.append(p.encode("utf-8", "surrogatepass"))
+                    places.append((doc, th, i))
+                    todo += len(p) // 6
+                if some and (todo > 30_000 or row == b.num_rows):
+                    sets, bands = paragraph_sets(some, n)
+                    digests = [blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                    cols = [*zip(*places, strict=True), [len(x) for x in sets], digests, [_node(x) for x in digests], list(bands.view(np.int64)), [parity_sketch(x) for x in sets]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    some, places, todo = [], [], 0
 
     units = source.mapInArrow(sign, "doc_id long, text_hash long, paragraph int, size long, digest binary, node long, bands array<long>, sketch binary")
     # Equal rows of the same document (repeated rows) fold here; so does all but one signature of a class.
@@ -77,21 +102,21 @@ def repeated_paragraphs(
     keys = classes.select(F.explode("bands").alias("key"), "node", "size")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        likely = id_filter(nodes, "node")
+        place = classes.join(nodes, "node", "left_semi").select(F.col("first.text_hash").bitwiseXOR(F.col("first.paragraph")).alias("place"))
+        likely = id_filter(place, "place")
 
         def whole(batches):
             for b in batches:
                 found, items = [], []
-                for t in b.column(0).to_pylist():
-                    for _, p in paragraphs(t, min_words):
-                        s = shingles(p, n)
-                        k = _node(blake2b(s.tobytes(), digest_size=16).digest())
-                        if likely(k):
-                            found.append(k)
+                for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for i, p in enumerate((t or "").split("\n")):
+                        if likely(th ^ i) and n_words(p) >= min_words:
+                            s = paragraph_sets([p.encode("utf-8", "surrogatepass")], n)[0][0]
+                            found.append(_node(blake2b(s.tobytes(), digest_size=16).digest()))
                             items.append(s.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
-        sets = source.select("text").mapInArrow(whole, "node long, items binary")
+        sets = source.select("text_hash", "text").mapInArrow(whole, "node long, items binary")
         return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))
 
     _, comp = linked_components(classes.select("node", "size", "sketch"), keys, sets_of, num, den)

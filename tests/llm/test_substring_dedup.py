@@ -50,7 +50,7 @@ def corpus(seed):
             pool.append(" ".join(ws))
             ps.append(pool[-1])
         rows.append((i, "\n".join(ps), "x", None))
-    return rows + [(500, None, "x", None), (501, "", None, "x"), (502, "\n\n", "x", "x")]
+    return rows + [(500, None, "x", None), (501, "", None, "x"), (502, "\n\n", "x", "x"), (503, "a\u00a0b" * 40 + " " + "c\x1cd " * 9, "x", "x")]
 
 
 def test_equals_brute_force(spark):
