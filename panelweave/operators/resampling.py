@@ -29,7 +29,7 @@ def run_permutation(df: DataFrame, key: str, ts: str, label: str, value: str, re
     """Number of runs of `value` in `label`, observed (rep 0) and with labels shuffled within keys."""
     rows = df.select(key, ts, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     order = F.when(F.col("rep") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "rep", key, ts))
-    place = rows.withColumn("k", F.row_number().over(Window.partitionBy(key, "rep").orderBy(order, ts)))
-    w = Window.partitionBy(key, "rep").orderBy("k")
+    place = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key, "rep").orderBy(order, ts)))
+    w = Window.partitionBy(key, "rep").orderBy("__k")
     start = (F.col(label) == value) & ~F.lag(label).over(w).eqNullSafe(F.lit(value))
-    return place.withColumn("s", start.cast("int")).groupBy("rep").agg(F.sum("s").alias("runs"))
+    return place.withColumn("__s", start.cast("int")).groupBy("rep").agg(F.sum("__s").alias("runs"))
