@@ -34,6 +34,26 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and the gradient with respect to the scores.
+
+    States lie within -1 and 1, which bounds the scores; only where the bound is too large
+    for plain exponentials is the greatest score taken off first.
+    """
+    s = h @ w
+    s += b
+    if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
+        s -= s.max(1, keepdims=True)
+    rows = np.arange(len(h))
+    logp = s[rows, target]
+    np.exp(s, out=s)
+    total = s @ np.ones(s.shape[1], s.dtype)
+    logp -= np.log(total)
+    s *= (-1 / total)[:, None]
+    s[rows, target] += 1
+    return logp, s
+
+
 class GatedNet:
     """GRU over word embeddings with a class-factored softmax.
 
@@ -65,11 +85,16 @@ class GatedNet:
         """Hidden states (steps, lanes, hidden) from inputs and resets (steps, lanes)."""
         u, n = self.p["U"], HIDDEN
         out = np.empty((*x.shape, n), np.float32)
+        h = h.copy()
         for t in range(len(x)):
-            h = h * ~reset[t][:, None]
+            h[reset[t]] = 0
             g = h @ u
             a = table[x[t]]
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
+            zr = a[:, : 2 * n] + g[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :n], zr[:, n:]
             m = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
             if keep is not None:
@@ -84,38 +109,24 @@ class GatedNet:
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of P(class), times P(word | class) for frequent words, of targets y; with gradients if asked."""
         p = self.p
-        rare = y >= FREQUENT
-        k = np.where(rare, CLASSES + (y - FREQUENT) % RARE, y // WIDE)
-        s = h @ p["C"] + p["c"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(y))
-        logp = s[rows, k] - np.log(total[:, 0])
+        k = np.where(y < FREQUENT, y // WIDE, CLASSES + (y & (RARE - 1)))
+        logp, e = _softmax(h, p["C"], p["c"], k)
         dh = None
         if grad is not None:
-            e /= -total
-            e[rows, k] += 1
             grad["C"], grad["c"] = h.T @ e, e.sum(0)
             dh = e @ p["C"].T
             grad["V"], grad["v"] = np.zeros_like(p["V"]), np.zeros_like(p["v"])
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            i = order[ends[c] : ends[c + 1]]
-            if not len(i):
+        order = np.argsort(k.astype(np.int8), kind="stable")
+        ends = np.searchsorted(k[order], np.arange(CLASSES + 1)).tolist()
+        sorted_h, w = h[order[: ends[-1]]], y[order[: ends[-1]]] & (WIDE - 1)
+        for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if a == b:
                 continue
-            hi = h[i]
-            s = hi @ p["V"][c] + p["v"][c]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1, keepdims=True)
-            w, own = y[i] % WIDE, np.arange(len(i))
-            logp[i] += s[own, w] - np.log(total[:, 0])
+            i = order[a:b]
+            more, e = _softmax(sorted_h[a:b], p["V"][c], p["v"][c], w[a:b])
+            logp[i] += more
             if grad is not None:
-                e /= -total
-                e[own, w] += 1
-                grad["V"][c], grad["v"][c] = hi.T @ e, e.sum(0)
+                grad["V"][c], grad["v"][c] = sorted_h[a:b].T @ e, e.sum(0)
                 dh[i] += e @ p["V"][c].T
         return logp, dh
 
@@ -179,7 +190,7 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
     return x, y, reset, which
 
 
-def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = 64, rate: float = 0.006) -> int:
+def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = 256, rate: float = 0.006) -> int:
     """One pass of Adam by truncated backpropagation; the state is carried from window to window."""
     x, y, reset, _ = lanes_of(docs, lanes)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -187,13 +198,15 @@ def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = 64, rate: float
     v = {k: np.zeros_like(a) for k, a in net.p.items()}
     for t, a in enumerate(range(0, len(x), STEPS), 1):
         g, h, _ = net.gradients(x[a : a + STEPS], y[a : a + STEPS], reset[a : a + STEPS], h)
-        lr = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        norm = np.sqrt(sum(float((d * d).sum()) for d in g.values()))
+        lr = rate * float(np.sqrt(1 - 0.99**t)) / (1 - 0.9**t)
+        norm = float(np.sqrt(sum(float(np.vdot(d, d)) for d in g.values())))
+        clip = min(1.0, 1.0 / (norm + 1e-9))
         for k, d in g.items():
-            d = d * min(1.0, 1.0 / (norm + 1e-9))
-            m[k] = 0.9 * m[k] + 0.1 * d
-            v[k] = 0.99 * v[k] + 0.01 * d * d
-            net.p[k] += (lr * m[k] / (np.sqrt(v[k]) + 1e-6)).astype(np.float32)
+            d *= clip
+            m[k] += 0.1 * (d - m[k])
+            np.square(d, out=d)
+            v[k] += 0.01 * (d - v[k])
+            net.p[k] += lr * m[k] / (np.sqrt(v[k]) + 1e-6)
     return int((y >= 0).sum())
 
 
@@ -269,6 +282,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """(word, c) by falling count: all words from the least count on that leaves at most LISTED.
+
+    The bound comes from a histogram of at most a few hundred steps of 2 ** (1/8), so only
+    the listed words reach the driver, whatever the number of partitions.
+    """
+    level = F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int")
+    steps = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for step, n in steps:
+        total += n
+        if total > LISTED:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def _average(net: GatedNet, parts: DataFrame, tasks: int) -> None:
     """Set the parameters to the mean of the tasks' parameters, weighted by their tokens."""
 
@@ -342,7 +374,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     ends = training.count()
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = size[0] + ends, size[1] + (ends > 0)
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(LISTED).collect()]
+    top = most_frequent(counts)
     listed = spark.sparkContext.broadcast((uuid.uuid4().hex, [w for w, _ in top], np.array([c for _, c in top], np.float64)))
 
     frequent = np.zeros(FREQUENT)
