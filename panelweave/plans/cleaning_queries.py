@@ -83,11 +83,11 @@ def b3(v: Views):
     return v.table("orders").select("o_orderkey", cl.entity_id(raw).alias("eid"))
 
 
-@query("B4_repair_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL 100 YEAR ELSE CAST(o_orderdate AS DATE) END AS day FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+@query("B4_repair_year", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL 100 YEAR ELSE CAST(o_orderdate AS DATE) END AS DATE) AS day FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
 def b4(v: Views):
     o = v.table("orders").where("year(o_orderdate) between 1995 and 1998 and not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
     short = F.when(F.col("o_orderkey") % 3 == 0, F.make_date(F.year("o_orderdate") - 1900, F.month("o_orderdate"), F.dayofmonth("o_orderdate"))).otherwise(F.to_date("o_orderdate"))
-    return o.select("o_orderkey", cl.repair_year(short).cast("timestamp_ntz").alias("day"))
+    return o.select("o_orderkey", cl.repair_year(short).alias("day"))
 
 
 @query("B5_backfill", f"WITH {PRICE}, x AS (SELECT inst, d, CASE WHEN day(d) > 15 THEN round(close, 2) END AS c FROM price), g AS (SELECT *, count(c) OVER (PARTITION BY inst ORDER BY d DESC) AS k FROM x) SELECT inst, d, max(c) OVER (PARTITION BY inst, k) AS c FROM g QUALIFY max(c) OVER (PARTITION BY inst, k) IS NOT NULL", "c", 2)

@@ -85,7 +85,7 @@ price AS (SELECT *, ret - mkt AS adj FROM price2)"""
 CALENDAR = """calendar AS (SELECT d, row_number() OVER (ORDER BY d) AS pos FROM (SELECT d FROM trades GROUP BY d HAVING count(DISTINCT inst) >= 10))"""
 STATES = PANEL + """, states AS (SELECT inst, d, net, gross, n, net / gross AS imb, CASE WHEN net / gross > 0.15 THEN 'buy' WHEN net / gross < -0.15 THEN 'sell' ELSE 'neutral' END AS state FROM panel)"""
 RUNS = STATES + """, r0 AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY inst ORDER BY d) OR row_number() OVER (PARTITION BY inst ORDER BY d) = 1 THEN 1 ELSE 0 END AS new FROM states),
-runs AS (SELECT *, sum(new) OVER (PARTITION BY inst ORDER BY d) AS run FROM r0)"""
+runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY inst ORDER BY d) AS BIGINT) AS run FROM r0)"""
 EVENTS = "ev AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts, event_type, value, props FROM events)"
 SCORES = "scores AS (SELECT l_returnflag AS g, CAST(l_shipdate AS DATE) AS day, l_returnflag = 'R' AS y0, l_linenumber > 4 AS y, l_discount * 5 + 0.2 AS p, l_tax * 5 + 0.3 AS p2 FROM lineitem)"
 

@@ -102,7 +102,7 @@ def e17(v: Views):
     return agg.null_and_correlation(v.panel, ["net", "gross", "n"], 0.3)
 
 
-@query("E18_enrichment", f"WITH {TRADES}, g AS (SELECT kind, count(*) AS n, sum(CASE WHEN quantity >= 45 THEN 1 ELSE 0 END) AS k FROM trades GROUP BY kind), o AS (SELECT *, sum(n) OVER () - n AS oth, sum(k) OVER () - k AS ok FROM g) SELECT kind, n, k, k / n AS rate, (k / n) / (ok / oth) AS ratio, (k / n - ok / oth) / sqrt(((k + ok) / (n + oth)) * (1 - (k + ok) / (n + oth)) * (1.0 / n + 1.0 / oth)) AS z FROM o", "rate ratio z")
+@query("E18_enrichment", f"WITH {TRADES}, g AS (SELECT kind, count(*) AS n, CAST(sum(CASE WHEN quantity >= 45 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM trades GROUP BY kind), o AS (SELECT *, sum(n) OVER () - n AS oth, sum(k) OVER () - k AS ok FROM g) SELECT kind, n, k, k / n AS rate, (k / n) / (ok / oth) AS ratio, (k / n - ok / oth) / sqrt(((k + ok) / (n + oth)) * (1 - (k + ok) / (n + oth)) * (1.0 / n + 1.0 / oth)) AS z FROM o", "rate ratio z")
 def e18(v: Views):
     return agg.enrichment(v.trades.withColumn("hit", F.col("quantity") >= 45), "kind", "hit")
 
