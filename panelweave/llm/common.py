@@ -38,6 +38,13 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def slices(batches, rows: int = 512):
+    """The same Arrow rows in smaller batches, so that a task holds few texts as Python objects."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component).
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import materialize
+from panelweave.llm.common import materialize, slices
 
 CLASSES, WIDE = 32, 64  # classes of frequent words, and words in each: the end mark and the 2047 most frequent
 FREQUENT = CLASSES * WIDE
@@ -271,7 +271,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             words = list(some)
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([some[w] for w in words], pa.int64())], ["word", "c"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 some.update(words_of(t))
             if len(some) > 400_000:
@@ -331,7 +331,7 @@ def train(docs: DataFrame, listed, net: GatedNet, rounds: int = 4, chunk: int =
         def fit(batches, params=params):
             coder, own, docs_, n, weight = _coder(listed), GatedNet(), [], 0, 0
             own.p = {k: a.copy() for k, a in params.items()}
-            for b in batches:
+            for b in slices(batches):
                 for t in b.column(0).to_pylist():
                     docs_.append(coder.ids(coder.ranks(words_of(t))))
                     n += len(docs_[-1]) + 1
@@ -416,7 +416,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             arrays = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(got)], ["doc_id", "held_out", "n_tokens", "known", "base", "extra", "far", "net"])
 
-        for b in batches:
+        for b in slices(batches):
             for i, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(i)
                 held.append(h)

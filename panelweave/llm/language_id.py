@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import slices
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -138,7 +140,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, order_col: str, sam
     rows = rows.orderBy("h", "o", "l").limit(sample)
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             lang, out = [], []
             for t, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = windows_of(t.encode("utf-8", "surrogatepass"))
@@ -173,7 +175,7 @@ def identify(
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
 
     def label(batches):
-        for b in batches:
+        for b in slices(batches):
             lang, score = net.predict(b.column(text_col).to_pylist())
             yield b.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score, pa.float64()))
 
@@ -199,7 +201,7 @@ def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
 
     def sift(batches):
-        for b in batches:
+        for b in slices(batches):
             lang, score = net.predict(b.column(text_col).to_pylist())
             yield b.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
 

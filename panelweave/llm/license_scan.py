@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import slices
+
 # Phrases and labels of the base scan.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -207,7 +209,7 @@ def scan_licenses(
 
     def run(batches):
         scanner = Scanner(phrases, templates)
-        for b in batches:
+        for b in slices(batches):
             rows = [scanner.scan(t) for t in b.column(1).to_pylist()]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]

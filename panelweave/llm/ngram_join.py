@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import id_filter, materialize
+from panelweave.llm.common import id_filter, materialize, slices
 from panelweave.llm.trie_join import linked_components, parity_sketch
 
 BUCKETS = 1 << 20
@@ -70,7 +70,7 @@ def common_buckets(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 s = shingles(t, n) >> np.uint64(1)
                 np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
@@ -119,7 +119,7 @@ def ngram_components(
     common = common_buckets(source.select("text"), n)
 
     def sign(batches):
-        for b in batches:
+        for b in slices(batches):
             size, digest, prefix, sketch = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = _ordered(shingles(t, n), common)
@@ -141,7 +141,7 @@ def ngram_components(
         likely = id_filter(nodes, "node")
 
         def whole(batches):
-            for b in batches:
+            for b in slices(batches):
                 some = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and likely(i)]
                 items = [_ordered(shingles(t, n), common).astype("<u8").tobytes() for _, t in some]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(items, pa.binary())], ["node", "items"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import materialize
+from panelweave.llm.common import materialize, slices
 
 _LOOSE = re.compile(r" (?:\s|$)")
 
@@ -163,7 +163,7 @@ def token_pieces(
 
     def cut(batches):
         encode, end = _encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for doc, raw in zip(ids, encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
@@ -233,7 +233,7 @@ def sequences(docs: DataFrame, placed: DataFrame, end_id: int = 1, id_col: str =
 
     def ids_of(batches):
         encode = _encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             starts, lengths = b.column("start").to_pylist(), b.column("length").to_pylist()
             raw = encode([t or "" for t in b.column("__text").to_pylist()])
             ids = [np.append(np.frombuffer(r, "<u4"), end_id)[s : s + n].astype("int32") for r, s, n in zip(raw, starts, lengths, strict=True)]

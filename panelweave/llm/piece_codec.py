@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import slices
+
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -161,7 +163,7 @@ def encode_pieces(
 
     def run(batches):
         codec = _codec(model, dropout, seed, variants)
-        for b in batches:
+        for b in slices(batches):
             a = 0
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             while a < len(texts):
@@ -187,7 +189,7 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", model: str | None =
 
     def run(batches):
         codec = _codec(model, 0.0, 0, 1)
-        for b in batches:
+        for b in slices(batches):
             yield b.append_column("text", pa.array([None if x is None else codec.decode(x) for x in b.column(ids_col).to_pylist()], pa.string()))
 
     encoded = encoded.drop("text")

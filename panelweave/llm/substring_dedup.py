@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import id_filter, materialize
+from panelweave.llm.common import id_filter, materialize, slices
 from panelweave.llm.ngram_join import _HASH, MULT
 from panelweave.llm.trie_join import linked_components, parity_sketch
 
@@ -80,7 +80,7 @@ def repeated_paragraphs(
     def sign(batches):
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         names = ["doc_id", "text_hash", "paragraph", "size", "digest", "node", "bands", "sketch"]
-        for b in batches:
+        for b in slices(batches):
             some, places, todo = [], [], 0
             for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
                 for i, p in paragraphs(t, min_words):
@@ -106,7 +106,7 @@ def repeated_paragraphs(
         likely = id_filter(place, "place")
 
         def whole(batches):
-            for b in batches:
+            for b in slices(batches):
                 found, items = [], []
                 for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     for i, p in enumerate((t or "").split("\n")):
@@ -150,7 +150,7 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = docs.columns
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             k = b.schema.get_field_index(text_col)
             texts = b.column(k).to_pylist()
             removed = b.column("__removed").to_pylist()
