@@ -1,7 +1,8 @@
-"""Substring dedup: paragraphs that repeat within or across documents, by MinHash banding."""
+"""Substring dedup: paragraphs that repeat within or across documents, by MinHash banding, then runs of words, exactly."""
 
 from __future__ import annotations
 
+import re
 from hashlib import blake2b
 
 import numpy as np
@@ -162,3 +163,193 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield b if detail else b.select(names)
 
     return joined.mapInArrow(cut, joined.schema if detail else docs.schema)
+
+
+RUN, GRAM = 50, 16  # words of a run that counts as a repeat, and of a fingerprint within it
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+
+def _windows(sums: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every `n` words that follow each other, from prefix sums of a polynomial modulo 2^64."""
+    x = (sums[n:] - sums[:-n]) * back[: len(sums) - n]
+    x = (x ^ (x >> np.uint64(32))) * MULT
+    return x ^ (x >> np.uint64(29))
+
+
+def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
+    """`f` (minimum or maximum) over every `n` neighbours, by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = f(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def run_marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of at least RUN words: the sizes in words, the places and values of their
+    fingerprints, and the hash of every RUN words (places count words over all texts).
+
+    A fingerprint is a hash of GRAM words that is the least of RUN - GRAM + 1 neighbours,
+    so every RUN words hold one, and equal RUN words hold equal ones at equal places.
+    """
+    words = [t.lower().split() for t in texts]
+    sizes = np.array([len(w) for w in words])
+    h = np.fromiter((_HASH[x] for w in words for x in w), np.uint64, int(sizes.sum()))
+    up, back = _powers(_BASE, len(h)), _powers(pow(_BASE, -1, 1 << 64), len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+    grams, runs = _windows(sums, back, GRAM), _windows(sums, back, RUN)
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, GRAM):
+        inside[ends - k] = False
+    inside = inside[: len(grams)]
+    w = RUN - GRAM + 1
+    least = _slide(np.where(inside, grams, np.uint64((1 << 64) - 1)), w, np.minimum)
+    edge = np.zeros(w - 1, np.uint64)
+    chosen = inside & (_slide(np.concatenate([edge, least, edge]), w, np.maximum) == grams)
+    at = np.flatnonzero(chosen)
+    return sizes, at, grams[at], runs
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every RUN words that repeat earlier ones: doc_id, text_hash, word, keep_doc_id (word: place of the first).
+
+    Words are parted by white space, line ends too, and compared without ASCII case.  The
+    first occurrence, by id (null first) and place, stays; what overlaps it in its own
+    document is no repeat of it.  Only fingerprints that occur twice have the RUN words
+    around them compared, and by `run_marks` no repeat is without one.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    source = source.where(F.length("text") >= 2 * RUN - 1)
+
+    def bulks(batches):
+        for b in slices(batches):
+            some, places, todo = [], [], 0
+            for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
+                t = t.encode("utf-8", "surrogatepass")
+                if len(t.split(None, RUN - 1)) >= RUN:
+                    some.append(t)
+                    places.append((doc, th))
+                    todo += len(t) // 6
+                if some and (todo > 100_000 or row == b.num_rows):
+                    yield places, run_marks(some)
+                    some, places, todo = [], [], 0
+
+    def prints(batches):
+        for places, (sizes, at, values, _) in bulks(batches):
+            of = np.searchsorted(np.cumsum(sizes), at, "right")
+            docs_ = np.array([(th ^ (0 if d is None else 2 * d + 1) * _BASE) & (1 << 64) - 1 for d, th in places], np.uint64)
+            keys = docs_[of] ^ (at - (np.cumsum(sizes) - sizes)[of]).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(keys.view(np.int64))], ["key", "place"])
+
+    marks = source.mapInArrow(prints, "key long, place long")
+    twice = materialize(marks.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key"), "fingerprints")
+    likely = id_filter(twice, "key")
+
+    def around(batches):
+        w = RUN - GRAM + 1
+        for places, (sizes, at, values, runs) in bulks(batches):
+            at = at[np.fromiter(map(likely, values.view(np.int64).tolist()), bool, len(at))]
+            n = int(sizes.sum())
+            step = np.bincount(np.maximum(at - w + 1, 0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+            ends = np.cumsum(sizes)
+            start = np.flatnonzero(np.cumsum(step)[: len(runs)] > 0)
+            of = np.searchsorted(ends, start, "right")
+            fits = start + RUN <= ends[of]
+            start, of = start[fits], of[fits]
+            ids = pa.array([d for d, _ in places], pa.int64()).take(pa.array(of))
+            cols = [pa.array(runs[start].view(np.int64)), ids, pa.array(np.array([th for _, th in places], np.int64)[of]), pa.array((start - (ends - sizes)[of]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "text_hash", "word"])
+
+    runs = materialize(source.mapInArrow(around, "key long, doc_id long, text_hash long, word int"), "runs")
+    place = F.struct("doc_id", "text_hash", "word")
+    first = runs.groupBy("key").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("key", "keep")
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
+    found = runs.join(first, "key").where(~(same & (F.col("word") < F.col("keep.word") + RUN)))
+    return found.select("doc_id", "text_hash", "word", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """`text` without the words of `spans` (first word, number of words; apart and in order).
+
+    White space before a span goes with it; from a span that begins a line and ends within
+    one, the white space after it goes.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in _WORD.finditer(raw)]
+    out, done = [], 0
+    for a, n in spans:
+        z = a + n
+        begins = a == 0 or b"\n" in raw[at[a - 1][1] : at[a][0]]
+        ends = z == len(at) or b"\n" in raw[at[z - 1][1] : at[z][0]]
+        if a == 0 or (begins and not ends):
+            cut = (at[a][0], at[z][0] if z < len(at) else len(raw))
+        else:
+            cut = (at[a - 1][1], at[z - 1][1])
+        out.append(raw[done : max(done, cut[0])])
+        done = max(done, cut[1])
+    return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """`docs`, all columns and rows, with repeated runs of RUN and more words taken out of the text.
+
+    With `detail` the column __passages (array of word, words, keep_doc_id, in order; places
+    in the text as given) is added.  What counts as a repeat: see `repeated_runs`.
+    """
+    gone = repeated_runs(docs, id_col, text_col)
+    gone = gone.groupBy(F.col("doc_id").alias("__gid"), F.col("text_hash").alias("__gth")).agg(F.array_sort(F.collect_list(F.struct("word", "keep_doc_id"))).alias("__at"))
+
+    def joined_up(batches):
+        for b in batches:
+            spans = []
+            for at in b.column("__at").to_pylist():
+                here = []
+                for x in at:
+                    if here and x["word"] <= here[-1]["word"] + here[-1]["words"]:
+                        here[-1]["words"] = x["word"] + RUN - here[-1]["word"]
+                    else:
+                        here.append({"word": x["word"], "words": RUN, "keep_doc_id": x["keep_doc_id"]})
+                spans.append(here)
+            kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("keep_doc_id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["__gid", "__gth", "__passages"])
+
+    passages = "array<struct<word:int,words:int,keep_doc_id:long>>"
+    gone = materialize(gone.mapInArrow(joined_up, f"__gid long, __gth long, __passages {passages}"), "passages")
+    likely = id_filter(gone, "__gth")
+    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text_col))
+
+    def part(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array([likely(th) == wanted for th in b.column("__th").to_pylist()], pa.bool_()))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    # Only texts that may have repeats are dealt out for the join.
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    hit = part(True).join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left").select(*cols, "__passages")
+
+    def cut(batches):
+        for b in slices(batches):
+            k = b.schema.get_field_index(text_col)
+            texts = b.column(k).to_pylist()
+            for i, r in enumerate(b.column("__passages").to_pylist()):
+                if r:
+                    texts[i] = without_words(texts[i], [(x["word"], x["words"]) for x in r])
+            yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
+
+    out = hit.mapInArrow(cut, hit.schema).unionByName(part(False).select(*cols, F.lit(None).cast(passages).alias("__passages")))
+    return out if detail else out.drop("__passages")
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False, **how) -> DataFrame:
+    """Repeated paragraphs (`dedup_paragraphs`), then repeated runs of what is left (`dedup_runs`), taken out of the text."""
+    left = materialize(dedup_paragraphs(docs, id_col, text_col, detail, **how), "paragraphs-left")
+    return dedup_runs(left, id_col, text_col, detail)

@@ -1,7 +1,7 @@
 import random
 
 from panelweave.llm.common import _xxhash64_long, components, id_filter
-from panelweave.llm.substring_dedup import dedup_paragraphs, paragraphs
+from panelweave.llm.substring_dedup import RUN, dedup_paragraphs, dedup_runs, dedup_substrings, paragraphs, without_words
 
 SCHEMA = "doc_id long, text string, paragraph string, digest string"
 
@@ -100,3 +100,71 @@ def test_components_and_filter(spark):
     assert [r[0] for r in ids.select(F.xxhash64("node")).collect()] == [h - (1 << 64) if (h := _xxhash64_long(i * i - 50)) >> 63 else h for i in range(500)]
     test = id_filter(ids, "node")
     assert all(test(i * i - 50) for i in range(500)) and sum(test(10**9 + i) for i in range(10_000)) < 30
+
+
+def brute_runs(rows):
+    """Texts left after every RUN words that stand earlier are cut."""
+    docs = sorted({(i, t) for i, t, *_ in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
+    first, left = {}, {}
+    for d, (i, t) in enumerate(docs):
+        words = t.encode().lower().split()
+        gone = set()
+        for a in range(len(words) - RUN + 1):
+            e, b = first.setdefault(tuple(words[a : a + RUN]), (d, a))
+            if e < d or a >= b + RUN:
+                gone.update(range(a, a + RUN))
+        left[i, t] = [w for k, w in enumerate(words) if k not in gone]
+    return left
+
+
+def shared_runs(texts):
+    seen = {}
+    for k, t in enumerate(texts):
+        w = t.encode().lower().split()
+        for a in range(len(w) - RUN + 1):
+            seen.setdefault(tuple(w[a : a + RUN]), set()).add(k)
+    return sum(len(x) > 1 for x in seen.values())
+
+
+def planted(seed):
+    rng = random.Random(seed)
+    vocab = [f"W{i}" for i in range(500)]
+    passages = [rng.choices(vocab, k=k) for k in (50, 51, 60, 75, 120)]
+    rows = []
+    for i in range(150):
+        w = rng.choices(vocab, k=rng.choice((3, 49, 200, 400)))
+        if i % 3 == 0:
+            a = rng.randrange(len(w) + 1)
+            w[a:a] = rng.choice(passages)
+        width = rng.choice((7, 12, 19, 100, 10_000))  # hard-wrapped lines hold no paragraph of 20 words
+        rows.append((i, "\n".join(" ".join(w[a : a + width]) for a in range(0, len(w), width)), "x", "x"))
+    return rows + [(None, rows[3][1], "x", "x"), (500, rows[6][1], "x", "x"), (501, "tail " * 300, "x", "x"), (502, None, "x", "x"), rows[9]]
+
+
+def test_runs_inside_and_across_lines(spark):
+    for seed in (1, 2):
+        rows = planted(seed)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        want = brute_runs(rows)
+        got = dedup_runs(docs)
+        assert got.columns == docs.columns
+        got = got.collect()
+        before = {(str(i), t) for i, t, *_ in rows}
+        assert len(got) == len(rows)
+        left = sorted((str(r.doc_id), " ".join(r.text.lower().split())) for r in got if r.text is not None)
+        assert left == sorted((str(i), " ".join(w.decode() for w in want[i, t])) for i, t, *_ in rows if t is not None)
+        assert sum((str(r.doc_id), r.text) in before for r in got) > 90  # texts without a repeat are as they were
+        both = {(r.doc_id, r.text) for r in dedup_substrings(docs).collect() if r.text is not None}
+        assert shared_runs([t for _, t in both]) == 0
+        assert shared_runs([t for t in {r.text for r in dedup_paragraphs(docs).collect()} if t]) > 0
+
+
+def test_passage_detail_and_white_space(spark):
+    p = " ".join(f"x{i}" for i in range(60))
+    rows = [(5, "a " + p + " b\nc", "", ""), (9, "d e " + p.replace(" x30 ", "\nx30 ") + "\nf", "", ""), (11, p + " g", "", "")]
+    got = {r.doc_id: r for r in dedup_runs(spark.createDataFrame(rows, SCHEMA), detail=True).collect()}
+    assert got[5].text == rows[0][1] and got[5]["__passages"] is None
+    assert got[9].text == "d e\nf" and [tuple(x) for x in got[9]["__passages"]] == [(2, 60, 5)]
+    assert got[11].text == "g" and [tuple(x) for x in got[11]["__passages"]] == [(0, 60, 5)]
+    assert without_words("a\nb c\nd", [(1, 2)]) == "a\nd" and without_words("a\nb c\nd", [(1, 1)]) == "a\nc\nd"
+    assert without_words(" a b\n", [(0, 2)]) == " " and without_words("a b c d", [(1, 1), (3, 1)]) == "a c"
