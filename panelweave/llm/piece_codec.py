@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +49,19 @@ class PieceCodec:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans words")
         self.limit = int(dropout * 2**32)
+        # `variants` no longer limits anything: every occurrence of a word is drawn on its own.
         self.seed, self.variants, self.keep = seed, variants, keep
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.log_kept = math.log1p(-self.limit / 2**32) if self.limit < 2**32 else -math.inf
+        self.known: dict[str, list] = {}
         self.size = 0
 
-    def merge(self, chunk: str, key: int) -> list[int]:
-        """Pieces of one chunk by an agenda of merges, best score first, then leftmost.
+    def merge(self, chunk: str, skips: tuple[int, ...] = ()) -> tuple[int, list[int]]:
+        """The number of candidates and the pieces of one chunk, by an agenda of merges, best score first, then leftmost.
 
-        A candidate taken from the agenda is skipped if the hash of `key` and its place is
-        below the dropout; it may come up again only after a neighbour has changed.
+        Candidates count in the order in which they are taken from the agenda; those whose
+        number is in `skips` are skipped and may come up again only after a neighbour has changed.
         """
-        ids, score, limit = self.ids, self.score, self.limit
+        ids, score, taken = self.ids, self.score, 0
         sym: list[str | None] = list(chunk)
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), n]
@@ -77,7 +79,8 @@ class PieceCodec:
             _, a, b, joined = heapq.heappop(agenda)
             if sym[a] is None or sym[b] is None or right[a] != b or sym[a] + sym[b] != joined:
                 continue
-            if limit and ((key ^ (a * 0x9E3779B1) ^ ((b + len(joined)) * 0x85EBCA6B)) * 0xC2B2AE35 >> 7 & 0xFFFFFFFF) < limit:
+            taken += 1
+            if taken - 1 in skips:
                 continue
             sym[a], sym[b] = joined, None
             r = right[b]
@@ -92,22 +95,28 @@ class PieceCodec:
             if s is not None:
                 i = ids.get(s)
                 out += [i] if i is not None else [self.byte_id[x] for x in s.encode()]
-        return out
-
-    def _learn(self, v: int, chunk: str) -> bytes:
-        key = zlib.crc32(chunk.encode(), (self.seed * 0x01000193 + v) & 0xFFFFFFFF)
-        # A space mark that stands in the text was replaced by a private stand-in.
-        got = np.array(self.merge(chunk, key), "<i4").tobytes()
-        if self.size < self.keep:
-            self.size += 1
-            self.known[v][chunk] = got
-        return got
+        return taken, out
+
+    def _node(self, chunk: str, skips: tuple[int, ...]) -> list:
+        """[number of candidates, ids, nodes by the next skipped candidate] of a chunk with `skips`; it holds for every draw."""
+        n, got = self.merge(chunk, frozenset(skips))
+        return [n, np.array(got, "<i4").tobytes(), None]
+
+    def _gaps(self, at: np.ndarray, k: int) -> np.ndarray:
+        """How many candidates are kept between the skips `k` - 1 and `k` of the occurrences with the hashes `at`."""
+        x = at ^ np.uint64((k + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+        return np.minimum(np.log(u) / self.log_kept, 1e9).astype(np.int64)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of a text; equal seeds and keys give equal segmentations.
 
-        Each chunk takes one of `variants` segmentations, chosen by a hash of the seed, the
-        key and its place in the text, so the same word varies within and between texts.
+        Each candidate merge of each chunk is skipped on its own with the probability `dropout`,
+        by a hash of the seed, the key, the place of the chunk and the candidate's number (the
+        skips of a place are drawn as geometric gaps, which is the same law).
         """
         if not text:
             return np.zeros(0, "<i4")
@@ -116,11 +125,40 @@ class PieceCodec:
         chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
         return np.frombuffer(self._join(chunks, key), "<i4")
 
-    def _join(self, chunks: list[str], key: int) -> bytes:
-        at = (np.arange(len(chunks), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        which = ((at ^ (at >> np.uint64(32))) % np.uint64(self.variants)).tolist()
-        known, learn = self.known, self._learn
-        return b"".join([known[v].get(c) or learn(v, c) for v, c in zip(which, chunks, strict=True)])
+    def _join(self, chunks: list[str], key: int, part: int = 0) -> bytes:
+        known, node = self.known, self._node
+        base = []
+        for c in chunks:
+            x = known.get(c)
+            if x is None:
+                x = node(c, ())
+                if self.size < self.keep:
+                    self.size += 1
+                    known[c] = x
+            base.append(x)
+        if not self.limit or not chunks:
+            return b"".join([x[1] for x in base])
+        place = np.arange(len(chunks), dtype=np.uint64) + np.uint64(part << 32)
+        at = (place + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB) ^ np.uint64((key * 0x9E3779B97F4A7C15 ^ (self.seed + 1) * 0x8EBC6AF09C88C6E3) & (1 << 64) - 1)
+        out = [x[1] for x in base]
+        first = self._gaps(at, 0)
+        some = np.flatnonzero(first < np.array([x[0] for x in base]))
+        second = self._gaps(at[some], 1).tolist()
+        for i, skip, gap in zip(some.tolist(), first[some].tolist(), second, strict=True):
+            x, skips = base[i], ()
+            while skip < x[0]:
+                skips += (skip,)
+                y = x[2].get(skip) if x[2] else None
+                if y is None:
+                    y = node(chunks[i], skips)
+                    if self.size < self.keep:
+                        self.size += 1
+                        x[2] = x[2] or {}
+                        x[2][skip] = y
+                x = y
+                skip += 1 + (gap if len(skips) == 1 else int(self._gaps(at[i : i + 1], len(skips))[0]))
+            out[i] = x[1]
+        return b"".join(out)
 
     def _spelt(self, text: str, key: int) -> np.ndarray:
         """A text with space marks of its own: they are spelt in bytes between its parts."""
@@ -129,7 +167,7 @@ class PieceCodec:
         out = []
         for k, p in enumerate(parts):
             body = (SPACE if k == 0 else "") + p.replace(" ", SPACE)
-            out.append(self._join(_CHUNK.findall(body), key + k))
+            out.append(self._join(_CHUNK.findall(body), key, k))
         return np.frombuffer(mark.join(out), "<i4")
 
     def decode(self, ids) -> str:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -58,3 +59,27 @@ def test_table(spark):
     assert sorted((str(r.doc_id), r.text) for r in back if r.text is not None) == sorted((str(i), t) for i, t, _ in rows if t is not None)
     assert all((r.n_pieces, r.ids) == (0, None) for r in back if r.doc_id == 10)
     assert encode_pieces(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_occurrence_is_drawn_on_its_own(plain):
+    word = "▁international"
+    merges, whole = plain.merge(word)
+    codec = PieceCodec(MODEL, dropout=0.1, seed=3)
+    n = 4000
+    got = codec.encode("international " * n, 1)
+    texts = {}
+    for k in range(n):
+        key = codec._join([word], k)
+        texts[key] = texts.get(key, 0) + 1
+    assert len(texts) > 8  # not a small table of segmentations per word
+    # The law is that of one free draw per candidate (a skipped merge may come back by another way).
+    rng = random.Random(4)
+    free = {}
+    for _ in range(n):
+        ids = np.array(plain.merge(word, {t for t in range(80) if rng.random() < 0.1})[1], "<i4").tobytes()
+        free[ids] = free.get(ids, 0) + 1
+    assert all(abs(texts.get(x, 0) - free.get(x, 0)) < 0.04 * n for x in {*texts, *free})
+    assert 0.9**merges < texts[np.array(whole, "<i4").tobytes()] / n < 1 and len(got) > n * len(whole)
+    short = next(w for w in ("▁a", "▁t", "▁s") if plain.merge(w)[0] == 1)  # a single merge
+    rates = [sum(len(codec._join([short], k + 10_000 * s)) > 4 for k in range(n)) / n for s in range(3)]
+    assert all(abs(r - 0.1) < 0.02 for r in rates)
