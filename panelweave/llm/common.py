@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,21 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset (tests on
-    one machine) a folder beside the warehouse is used and set for ``checkpoint()``.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset on a single
+    machine (tests) a folder beside the warehouse is used and set for ``checkpoint()``.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
@@ -30,9 +37,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelweave/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables that `materialize` has written within; none of them may be read later."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _WRITTEN.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` column names that `df` does not have."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_{k}" not in taken:
+            out.append(f"_{k}")
+        k += 1
+    return out
+
+
 def let(value, body):
     """``body(value)`` with `value` computed once per row (a one-element transform)."""
     return F.transform(F.array(value), body)[0]
@@ -82,36 +114,50 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return root.join(least, "p").select("node", "component")
 
 
-FILTER_BITS = 1 << 24
+MOST_BITS = 1 << 26
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed values of XXH64
 
 
-def id_filter(ids: DataFrame, col: str):
-    """A test `long -> bool` that holds for every id of `ids` and for few others.
+def xxhash64_longs(v: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of bigints: XXH64 of their eight bytes with seed 42."""
+    def turn(x, k):
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
-    One bit of `FILTER_BITS` per id (2 MB, whatever the number of ids), for thinning rows
-    inside a scan before an exact join.  With many more ids than bits it lets all pass,
-    and the join alone decides.
-    """
-    import numpy as np
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + _P[4] + np.uint64(8)) ^ (turn(np.asarray(v, np.int64).view(np.uint64) * _P[1], 31) * _P[0])
+        h = turn(h, 27) * _P[0] + _P[3]
+        h = (h ^ (h >> np.uint64(33))) * _P[1]
+        h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return h ^ (h >> np.uint64(32))
 
-    bit = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(bit / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({col}), 64) as int))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).groupBy(F.floor(F.col("w") / 4096).alias("s"))
-    packed = words.agg(F.collect_list(F.struct("w", "b")).alias("x")).collect()  # at most FILTER_BITS / 64 words
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in packed:
-        for w, b in r["x"]:
-            table[w] = np.uint64(b & (1 << 64) - 1)
 
-    def test(value: int) -> bool:
-        h = _xxhash64_long(value)
-        return bool(int(table[(h % FILTER_BITS) >> 6]) >> (h & 63) & 1)
+class IdFilter:
+    """Holds for every id it was made of and for few others: one bit per id, sent to the tasks as a broadcast."""
 
-    return test
+    def __init__(self, table):
+        self.table = table
 
+    def many(self, ids: np.ndarray) -> np.ndarray:
+        table = self.table.value
+        h = xxhash64_longs(ids)
+        word = (h & np.uint64(64 * len(table) - 1)) >> np.uint64(6)
+        return (table[word.astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
-def _xxhash64_long(v: int) -> int:
-    """Spark's xxhash64 of one bigint: XXH64 of its eight bytes with seed 42."""
-    import xxhash
 
-    return xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), 42)
+def id_filter(ids: DataFrame, col: str) -> IdFilter:
+    """A test of longs that holds for every id of `ids` and for few others.
+
+    It thins rows inside a scan before an exact join.  It takes some sixteen bits an id, at
+    most `MOST_BITS` (8 MB); with many more ids than bits it lets all pass, and the join
+    alone decides.  The ids are counted and reduced to bits in Spark.
+    """
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(MOST_BITS, 16 * n):
+        bits *= 2
+    word = F.shiftrightunsigned(F.xxhash64(F.col(col)).bitwiseAND(F.lit(bits - 1)), 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{col}`), 58) as int))")
+    found = ids.where(F.col(col).isNotNull()).groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, np.uint64)
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return IdFilter(ids.sparkSession.sparkContext.broadcast(table))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import uuid
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,13 +15,19 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import materialize, slices
 
-CLASSES, WIDE = 32, 64  # classes of frequent words, and words in each: the end mark and the 2047 most frequent
-FREQUENT = CLASSES * WIDE
-RARE = 32  # classes of all other words, by their last two bytes
+# Classes of frequent words, by falling count: narrow ones for the words that fill most of the text.
+WIDTHS = (16,) * 4 + (32,) * 6 + (128,) * 14
+CLASSES, FREQUENT = len(WIDTHS), sum(WIDTHS)  # the end mark and the 2047 most frequent words
+RARE = 8  # classes of all other words, by their last two bytes
 BUCKETS = 512  # what the network sees of a rare word
-HIDDEN, EMBED = 24, 16
+HIDDEN, EMBED = 12, 12
 LISTED = 200_000  # words whose count every task knows; the counts of all others come by a join
 STEPS = 24  # length of a truncated backpropagation window
+LANES, PART = 512, 1024  # texts side by side; a longer text is learnt in parts (but scored as a whole)
+BLOCK = 2_000_000  # tokens that are kept together
+
+FIRST = np.cumsum((0, *WIDTHS))  # where the words of each class begin
+CLASS_OF = np.concatenate([np.repeat(np.arange(CLASSES), WIDTHS), CLASSES + (FREQUENT + np.arange(BUCKETS)) % RARE]).astype(np.int8)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,166 +39,232 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and the gradient with respect to the scores.
+def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and the gradient with respect to the scores (classes, tokens).
 
-    States lie within -1 and 1, which bounds the scores; only where the bound is too large
-    for plain exponentials is the greatest score taken off first.
+    States lie within -1 and 1, which bounds the scores; only where they are not `safe` for
+    plain exponentials is the greatest score taken off first.
     """
-    s = h @ w
-    s += b
-    if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
-        s -= s.max(1, keepdims=True)
-    rows = np.arange(len(h))
-    logp = s[rows, target]
+    s = w @ h
+    s += b[:, None]
+    if not safe:
+        s -= s.max(0)
+    at = np.arange(h.shape[1])
+    logp = s[target, at]
     np.exp(s, out=s)
-    total = s @ np.ones(s.shape[1], s.dtype)
+    total = np.ones(len(s), s.dtype) @ s
     logp -= np.log(total)
-    s *= (-1 / total)[:, None]
-    s[rows, target] += 1
+    np.divide(-1, total, out=total)
+    s *= total
+    s[target, at] += 1
     return logp, s
 
 
+def _safe(w: np.ndarray, b: np.ndarray) -> bool:
+    return bool((np.abs(w).sum(-1) + np.abs(b)).max() < 60)
+
+
 class GatedNet:
     """GRU over word embeddings with a class-factored softmax.
 
-    Output classes 0..31 hold 64 frequent words each, by falling count, with a softmax
-    of their own; classes 32..63 hold the rare words, within which a word's probability
-    is its smoothed share of counts.
+    The first output classes hold 16 to 128 frequent words each, by falling count, with a
+    softmax of their own; the last hold the rare words, within which a word's probability
+    is its smoothed share of counts.  States are columns: arrays are (features, tokens),
+    the tokens of one step side by side.
     """
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         h = HIDDEN
         self.p = {
-            "E": rng.normal(0, 0.3, (FREQUENT + BUCKETS, EMBED)), "W": rng.normal(0, EMBED**-0.5, (EMBED, 3 * h)),
-            "b": np.zeros(3 * h), "U": rng.normal(0, h**-0.5, (h, 3 * h)),
-            "C": rng.normal(0, 0.05, (h, CLASSES + RARE)), "c": np.zeros(CLASSES + RARE),
-            "V": rng.normal(0, 0.05, (CLASSES, h, WIDE)), "v": np.zeros((CLASSES, WIDE)),
+            "E": rng.normal(0, 0.3, (FREQUENT + BUCKETS, EMBED)), "W": rng.normal(0, EMBED**-0.5, (3 * h, EMBED)),
+            "b": np.zeros(3 * h), "U": rng.normal(0, h**-0.5, (3 * h, h)),
+            "C": rng.normal(0, 0.05, (CLASSES + RARE, h)), "c": np.zeros(CLASSES + RARE),
+            "V": rng.normal(0, 0.05, (FREQUENT, h)), "v": np.zeros(FREQUENT),
         }
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to be written over, the same one for every window."""
+        a = self.rooms.get(name)
+        if a is None or a.shape != shape:
+            a = self.rooms[name] = np.empty(shape, self.p["U"].dtype)
+        return a
 
     def start_from_counts(self, counts: np.ndarray, rare_mass: np.ndarray):
         """Output biases that make the untrained network a unigram model."""
-        n = counts.reshape(CLASSES, WIDE) + 0.5
-        mass = np.concatenate([n.sum(1), rare_mass])
+        mass = np.add.reduceat(counts + 0.5, FIRST[:-1])
+        self.p["v"] = np.log((counts + 0.5) / np.repeat(mass, WIDTHS)).astype(np.float32)
+        mass = np.concatenate([mass, rare_mass])
         self.p["c"] = np.log(mass / mass.sum()).astype(np.float32)
-        self.p["v"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
         return self
 
-    def forward(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, table: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, lanes, hidden) from inputs and resets (steps, lanes)."""
-        u, n = self.p["U"], HIDDEN
-        out = np.empty((*x.shape, n), np.float32)
-        h = h.copy()
-        for t in range(len(x)):
-            h[reset[t]] = 0
-            g = h @ u
-            a = table[x[t]]
-            zr = a[:, : 2 * n] + g[:, : 2 * n]
+    def forward(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States (hidden, steps x lanes) from inputs and resets (steps, lanes) and the state before (hidden, lanes).
+
+        The result and the rooms `seen`, `gates` and `given` hold until the next call.
+        """
+        p, n, (steps, lanes), room = self.p, HIDDEN, x.shape, self._room
+        seen = p["E"].take(x.reshape(-1), 0, out=room("seen", x.size, EMBED), mode="clip")
+        gates = np.matmul(p["W"], seen.T, out=room("gates", 3 * n, x.size))
+        gates += p["b"][:, None]
+        given, out, inner = room("given", 3 * n, x.size), room("states", n, x.size), room("inner", n, lanes)
+        for t in range(steps):
+            at = slice(t * lanes, (t + 1) * lanes)
+            if reset[t].any():
+                h = h * ~reset[t]
+            g = np.matmul(p["U"], h, out=given[:, at])
+            zr, m = gates[: 2 * n, at], gates[2 * n :, at]
+            zr += g[: 2 * n]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :n], zr[:, n:]
-            m = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, z, r, m, g[:, 2 * n :]))
-            h = m + z * (h - m)
-            out[t] = h
+            m += np.multiply(g[2 * n :], zr[n:], out=inner)
+            np.tanh(m, out=m)
+            h = np.subtract(h, m, out=out[:, at])
+            h *= zr[:n]
+            h += m
         return out
 
-    def table(self) -> np.ndarray:
-        return self.p["E"] @ self.p["W"] + self.p["b"]
-
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of P(class), times P(word | class) for frequent words, of targets y; with gradients if asked."""
         p = self.p
-        k = np.where(y < FREQUENT, y // WIDE, CLASSES + (y & (RARE - 1)))
-        logp, e = _softmax(h, p["C"], p["c"], k)
-        dh = None
+        k = CLASS_OF[y]
+        order = np.argsort(k, kind="stable")
+        k, hs = k[order], h.take(order, 1)
+        logp, dh = np.empty(len(y), h.dtype), None
         if grad is not None:
-            grad["C"], grad["c"] = h.T @ e, e.sum(0)
-            dh = e @ p["C"].T
-            grad["V"], grad["v"] = np.zeros_like(p["V"]), np.zeros_like(p["v"])
-        order = np.argsort(k.astype(np.int8), kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1)).tolist()
-        sorted_h, w = h[order[: ends[-1]]], y[order[: ends[-1]]] & (WIDE - 1)
+            dh = np.empty_like(h)
+            grad |= {name: np.zeros_like(p[name]) for name in ("C", "c", "V", "v")}
+        safe = _safe(p["C"], p["c"])
+        for a in range(0, len(y), 2048):  # in parts that stay in the cache
+            at = slice(a, a + 2048)
+            logp[at], e = _softmax(p["C"], p["c"], hs[:, at], k[at], safe)
+            if grad is not None:
+                grad["C"] += e @ hs[:, at].T
+                grad["c"] += e.sum(1)
+                np.matmul(p["C"].T, e, out=dh[:, at])
+        safe = _safe(p["V"], p["v"])
+        ends = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
         for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
             if a == b:
                 continue
-            i = order[a:b]
-            more, e = _softmax(sorted_h[a:b], p["V"][c], p["v"][c], w[a:b])
-            logp[i] += more
+            words = slice(FIRST[c], FIRST[c + 1])
+            more, e = _softmax(p["V"][words], p["v"][words], hs[:, a:b], y[order[a:b]] - FIRST[c], safe)
+            logp[a:b] += more
             if grad is not None:
-                grad["V"][c], grad["v"][c] = sorted_h[a:b].T @ e, e.sum(0)
-                dh[i] += e @ p["V"][c].T
-        return logp, dh
+                grad["V"][words], grad["v"][words] = e @ hs[:, a:b].T, e.sum(1)
+                dh[:, a:b] += p["V"][words].T @ e
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return logp[back], None if dh is None else dh.take(back, 1)
 
     def gradients(self, x, y, reset, h0) -> tuple[dict, np.ndarray, float]:
         """Gradient of the mean log-probability over one window, its last state, and that mean."""
-        p, n, keep, g = self.p, HIDDEN, [], {}
-        hs = self.forward(x, reset, h0, self.table(), keep)
-        real = y >= 0
-        count = max(1, int(real.sum()))
-        logp, d = self.log_probabilities(hs[real], y[real], g)
-        dhs = np.zeros_like(hs)
-        dhs[real] = d
-        da = np.empty((*x.shape, 3 * n), np.float32)
-        dg = np.empty_like(da)
+        p, n, g, lanes, room = self.p, HIDDEN, {}, x.shape[1], self._room
+        hs = self.forward(x, reset, h0)
+        targets = y.reshape(-1)
+        real = np.flatnonzero(targets >= 0)
+        count = max(1, len(real))
+        if len(real) == len(targets):
+            logp, dhs = self.log_probabilities(hs, targets, g)
+        else:
+            logp, d = self.log_probabilities(hs.take(real, 1), targets[real], g)
+            dhs = np.zeros_like(hs)
+            dhs[:, real] = d
+        gates, given = self.rooms["gates"], self.rooms["given"]
+        z, r, m = gates[:n], gates[n : 2 * n], gates[2 * n :]
+        before = room("before", *hs.shape)
+        before[:, :lanes], before[:, lanes:] = h0, hs[:, :-lanes]
+        before *= ~reset.reshape(-1)
+        some = room("some", *hs.shape)
+        to_m = np.subtract(1, z, out=room("to_m", *hs.shape))
+        to_z = np.subtract(before, m, out=room("to_z", *hs.shape))
+        to_z *= z
+        to_z *= to_m
+        np.multiply(m, m, out=some)
+        to_m *= np.subtract(1, some, out=some)
+        to_r = np.multiply(given[2 * n :], r, out=room("to_r", *hs.shape))
+        to_r *= np.subtract(1, r, out=some)
+        dg = room("dg", 3 * n, x.size)  # with respect to what the state gives
+        dm = some  # with respect to the candidate's input
         dh = np.zeros_like(h0)
+        back = np.ascontiguousarray(p["U"].T)
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, m, gm = keep[t]
-            d = dhs[t] + dh
-            dm = d * (1 - z) * (1 - m * m)
-            da[t, :, :n] = d * (h - m) * z * (1 - z)
-            da[t, :, n : 2 * n] = dm * gm * r * (1 - r)
-            da[t, :, 2 * n :] = dm
-            dg[t] = da[t]
-            dg[t, :, 2 * n :] *= r
-            dh = (d * z + dg[t] @ p["U"].T) * ~reset[t][:, None]
-        flat, ids = da.reshape(-1, 3 * n), x.reshape(-1)
-        g["U"] = np.stack([k[0] for k in keep]).reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        g["b"] = flat.sum(0)
-        g["W"] = p["E"][ids].T @ flat
-        de = flat @ p["W"].T
+            at = slice(t * lanes, (t + 1) * lanes)
+            d = dhs[:, at]
+            d += dh
+            np.multiply(d, to_z[:, at], out=dg[:n, at])
+            e = np.multiply(d, to_m[:, at], out=dm[:, at])
+            np.multiply(e, to_r[:, at], out=dg[n : 2 * n, at])
+            np.multiply(e, r[:, at], out=dg[2 * n :, at])
+            dh = np.matmul(back, dg[:, at], out=dh)
+            d *= z[:, at]
+            dh += d
+            if reset[t].any():
+                dh *= ~reset[t]
+        g["U"] = dg @ before.T
+        dg[2 * n :] = dm
+        g["b"] = dg.sum(1)
+        seen = self.rooms["seen"]
+        g["W"] = dg @ seen
+        de = np.matmul(dg.T, p["W"], out=seen)
+        ids = x.reshape(-1)
         order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
         g["E"] = np.zeros_like(p["E"])
-        g["E"][ids[order][first]] = np.add.reduceat(de[order], first, axis=0)
-        return {k: a / count for k, a in g.items()}, hs[-1], float(logp.sum()) / count
+        g["E"][ids[first]] = np.add.reduceat(de.take(order, 0), first, axis=0)
+        for a in g.values():
+            a /= count
+        return g, hs[:, -lanes:].copy(), float(logp.sum()) / count
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lanes_of(docs: list[np.ndarray], lanes: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents side by side: inputs, targets (-1: none), resets and document numbers, (steps, lanes).
 
-    Each document is led and ended by the end mark 0; lanes are filled longest first.
+    Each document is led and ended by the end mark 0; lanes are filled longest first.  With
+    `most`, a longer document is cut into parts of that length, each of which begins anew.
     """
-    sizes = [len(d) + 1 for d in docs]
-    lanes = max(1, min(lanes, len(docs), sum(sizes) // max(sizes) + 1))
+    parts = []
+    for k, d in enumerate(docs):
+        n = len(d) + 1
+        parts += [(k, a, min(n, a + most)) for a in range(0, n, most)] if most and n > most else [(k, 0, n)]
+    sizes = np.array([b - a for _, a, b in parts])
+    lanes = int(max(1, min(lanes, len(parts), sizes.sum() // sizes.max() + 1)))
     fill = [(0, i) for i in range(lanes)]
     place = []
-    for k in sorted(range(len(docs)), key=lambda k: -sizes[k]):
-        at, lane = heapq.heappop(fill)
-        place.append((k, at, lane))
-        heapq.heappush(fill, (at + sizes[k], lane))
+    for j in np.argsort(-sizes, kind="stable").tolist():
+        at, lane = fill[0]
+        place.append((*parts[j], at, lane))
+        heapq.heapreplace(fill, (at + int(sizes[j]), lane))
     steps = max(at for at, _ in fill)
-    x, y = np.zeros((steps, lanes), np.int32), np.full((steps, lanes), -1, np.int32)
-    reset, which = np.zeros((steps, lanes), bool), np.zeros((steps, lanes), np.int32)
-    for k, at, lane in place:
-        d, n = docs[k], sizes[k]
-        x[at + 1 : at + n, lane] = d
-        y[at : at + n - 1, lane] = d
-        y[at + n - 1, lane] = 0
-        reset[at, lane] = True
-        which[at : at + n, lane] = k
-    return x, y, reset, which
-
-
-def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = 256, rate: float = 0.006) -> int:
-    """One pass of Adam by truncated backpropagation; the state is carried from window to window."""
-    x, y, reset, _ = lanes_of(docs, lanes)
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
+    x, y = np.zeros((lanes, steps), np.int16), np.full((lanes, steps), -1, np.int16)
+    reset, which = np.zeros((lanes, steps), bool), np.zeros((lanes, steps), np.int32)
+    for k, a, b, at, lane in place:
+        d, end = docs[k], at + b - a
+        if a:
+            x[lane, at:end] = d[a - 1 : b - 1]
+        else:
+            x[lane, at + 1 : end] = d[: b - 1]
+        if b > len(d):
+            y[lane, at : end - 1], y[lane, end - 1] = d[a:], 0
+        else:
+            y[lane, at:end] = d[a:b]
+        reset[lane, at] = True
+        which[lane, at:end] = k
+    return tuple(np.ascontiguousarray(z.T) for z in (x, y, reset, which))
+
+
+def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = LANES, rate: float = 0.01) -> int:
+    """One pass of Adam by truncated backpropagation; the state is carried from window to window.
+
+    Documents of more than `PART` words are learnt in parts side by side.
+    """
+    x, y, reset, _ = lanes_of(docs, lanes, PART)
+    h = np.zeros((HIDDEN, x.shape[1]), np.float32)
     m = {k: np.zeros_like(a) for k, a in net.p.items()}
     v = {k: np.zeros_like(a) for k, a in net.p.items()}
     for t, a in enumerate(range(0, len(x), STEPS), 1):
@@ -210,107 +281,140 @@ def train_on(net: GatedNet, docs: list[np.ndarray], lanes: int = 256, rate: floa
     return int((y >= 0).sum())
 
 
-def score_docs(net: GatedNet, docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
+def score_docs(net: GatedNet, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log-likelihood per document, without the rare words' shares of their classes."""
     x, y, reset, which = lanes_of(docs, lanes)
-    h, table, out = np.zeros((x.shape[1], HIDDEN), np.float32), net.table(), np.zeros(len(docs))
+    lanes = x.shape[1]
+    h, out = np.zeros((HIDDEN, lanes), np.float32), np.zeros(len(docs))
     for a in range(0, len(x), STEPS):
-        hs = net.forward(x[a : a + STEPS], reset[a : a + STEPS], h, table)
-        h = hs[-1]
-        real = y[a : a + STEPS] >= 0
-        logp, _ = net.log_probabilities(hs[real], y[a : a + STEPS][real])
-        out += np.bincount(which[a : a + STEPS][real], logp, len(docs))
+        hs = net.forward(x[a : a + STEPS], reset[a : a + STEPS], h)
+        h = hs[:, -lanes:].copy()
+        targets, of = y[a : a + STEPS].reshape(-1), which[a : a + STEPS].reshape(-1)
+        real = np.flatnonzero(targets >= 0)
+        if len(real) < len(targets):
+            hs, targets, of = hs.take(real, 1), targets[real], of[real]
+        logp, _ = net.log_probabilities(hs, targets)
+        out += np.bincount(of, logp, len(docs))
     return out
 
 
-class _Lookup(dict):
-    """Rank of a listed word, and -1 - bucket of any other."""
+class _Numbers(dict):
+    """Words numbered in the order of their first use."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - bucket_of(word)
+        n = self[word] = len(self)
+        return n
 
 
-class Coder:
-    """Words to network ids: 0 the end, then the frequent words, then buckets of rare ones."""
+BLOCKS = "id array<long>, held_out array<boolean>, fold array<int>, size array<int>, codes binary, words array<binary>, counts array<long>"
 
-    def __init__(self, listed: list[bytes]):
-        self.rank = _Lookup((w, i) for i, w in enumerate(listed))
-        self.bucket = np.array([bucket_of(w) for w in listed], np.int32)
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.__getitem__, words), np.int32, len(words))
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """Tokenised documents, about `BLOCK` tokens to a row: `BLOCKS`.
 
-    def ids(self, ranks: np.ndarray) -> np.ndarray:
-        out = ranks + 1
-        rare = ranks >= FREQUENT - 1
-        out[rare] = FREQUENT + self.bucket[ranks[rare]]
-        far = ranks < 0
-        out[far] = FREQUENT - 1 - ranks[far]
-        return out
+    docs: id, held_out, fold, text.  `codes` are int32 numbers into the block's own list of
+    `words`, document after document; `counts` count each word's tokens that are not held out.
+    """
 
+    def run(batches):
+        schema = pa.schema([
+            ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("fold", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())),
+            ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
+        ])
+        numbers, rows, codes, n = _Numbers(), [], [], 0
+
+        def block():
+            counts = np.zeros(len(numbers), np.int64)
+            learnt = [c for (_, held, *_), c in zip(rows, codes, strict=True) if not held]
+            if learnt:
+                counts += np.bincount(np.concatenate(learnt), minlength=len(numbers))
+            cols = [*map(list, zip(*rows, strict=True)), [len(c) for c in codes], np.concatenate(codes).tobytes(), list(numbers), counts]
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-_CODERS: dict = {}
+        for b in slices(batches):
+            for *about, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = words_of(text)
+                rows.append(about)
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                n += len(words) + 1
+                if n > BLOCK:
+                    yield block()
+                    numbers, rows, codes, n = _Numbers(), [], [], 0
+        if rows:
+            yield block()
 
+    return docs.select("id", "held_out", "fold", "text").mapInArrow(run, BLOCKS)
 
-def _coder(listed) -> Coder:
-    """One coder a worker and word list; `listed` is a broadcast of at most LISTED words."""
-    key = listed.value[0]
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(listed.value[1])
-    return _CODERS[key]
 
+class Listed:
+    """The listed words, by falling count: their rank, count and network id."""
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of a one-column table of texts, words as bytes."""
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        self.rank = {w: i for i, w in enumerate(words)}
+        self.log_count = np.log10(counts + 0.5)
 
-    def count(batches):
-        some: Counter = Counter()
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For a block's words: the rank (-1: not listed) and the network id.
 
-        def flush():
-            words = list(some)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([some[w] for w in words], pa.int64())], ["word", "c"])
+        Ids: 0 the end, then the frequent words, then buckets of rare ones.
+        """
+        ranks = np.fromiter((self.rank.get(w, -1) for w in words), np.int32, len(words))
+        ids = (ranks + 1).astype(np.int16)
+        for i in np.flatnonzero((ranks < 0) | (ranks >= FREQUENT - 1)).tolist():
+            ids[i] = FREQUENT + bucket_of(words[i])
+        return ranks, ids
 
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                some.update(words_of(t))
-            if len(some) > 400_000:
-                yield flush()
-                some.clear()
-        yield flush()
 
-    return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+_LISTS: dict = {}
 
 
-def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """(word, c) by falling count: all words from the least count on that leaves at most LISTED.
+def _listed(sent) -> Listed:
+    """One list a worker; `sent` is a broadcast of at most LISTED words."""
+    key = sent.value[0]
+    if key not in _LISTS:
+        _LISTS.clear()
+        _LISTS[key] = Listed(*sent.value[1:])
+    return _LISTS[key]
 
-    The bound comes from a histogram of at most a few hundred steps of 2 ** (1/8), so only
-    the listed words reach the driver, whatever the number of partitions.
-    """
-    level = F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int")
-    steps = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for step, n in steps:
-        total += n
-        if total > LISTED:
-            break
-        least = step
-    if least is None:
-        return []
-    return sorted(((bytes(r["word"]), r["c"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+def _opened(batches, names: list[str]):
+    """The rows of blocks as tuples: numpy for codes, lists for words, arrays for all else."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = []
+            for name in names:
+                v = b.column(name)[i]
+                if name == "codes":
+                    row.append(np.frombuffer(v.as_buffer(), "<i4"))
+                else:
+                    row.append(v.as_py() if name == "words" else v.values)
+            yield row
+
+
+def count_words(blocks: DataFrame) -> DataFrame:
+    """(word, c) over all tokens that are not held out."""
+    rows = blocks.select(F.inline(F.arrays_zip("words", "counts"))).where("counts > 0")
+    return rows.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"))
 
 
-def _average(net: GatedNet, parts: DataFrame, tasks: int) -> None:
-    """Set the parameters to the mean of the tasks' parameters, weighted by their tokens."""
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The (at most) LISTED most frequent words with their counts, by falling count, then word."""
+    found = counts.orderBy(F.desc("c"), "word").limit(LISTED).collect()
+    return [(bytes(r["word"]), r["c"]) for r in found]
+
+
+def _average(net: GatedNet, parts: DataFrame, tasks: int, fan: int = 16) -> None:
+    """Set the parameters to the mean of the tasks' parameters, weighted by their tokens; `fan` are added up at a time."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(p, np.float64) for p in pdf["params"])
         return pd.DataFrame({"task": pdf["task"][:1], "weight": [pdf["weight"].sum()], "params": [total.tobytes()]})
 
-    for fan in (4096, 64, 1):  # in levels, so that no task adds up more than a bounded number of parts
-        if fan == 1 or tasks > 16 * fan:
-            parts = parts.withColumn("task", F.pmod("task", F.lit(fan))).groupBy("task").applyInPandas(add, parts.schema)
+    while True:
+        tasks = -(-tasks // fan)
+        parts = parts.withColumn("task", F.floor(F.col("task") / fan).cast("int")).groupBy("task").applyInPandas(add, parts.schema)
+        if tasks <= 1:
+            break
     for r in parts.collect():
         flat, a = np.frombuffer(r["params"], np.float64) / r["weight"], 0
         for k, old in net.p.items():
@@ -318,28 +422,32 @@ def _average(net: GatedNet, parts: DataFrame, tasks: int) -> None:
             a += old.size
 
 
-def train(docs: DataFrame, listed, net: GatedNet, rounds: int = 4, chunk: int = 1_500_000) -> GatedNet:
-    """One pass over all `docs` (columns id, text): data-parallel rounds with averaging.
+def train(blocks: DataFrame, sent, net: GatedNet, rounds: int = 4, chunk: int = 2_000_000) -> GatedNet:
+    """One pass over all documents that are not held out: data-parallel rounds with averaging.
 
     A round takes the documents of one hash fold; every task trains a copy of the network
     on its part by truncated backpropagation, and the copies are averaged.  What
     reaches the driver is one set of parameters a round, whatever the size of the table.
+    The result depends on how the table is partitioned.
     """
+    rows = blocks.select("held_out", "fold", "size", "codes", "words")
     for r in range(rounds):
         params = net.p
 
-        def fit(batches, params=params):
-            coder, own, docs_, n, weight = _coder(listed), GatedNet(), [], 0, 0
+        def fit(batches, params=params, r=r):
+            listed, own, docs, n, weight = _listed(sent), GatedNet(), [], 0, 0
             own.p = {k: a.copy() for k, a in params.items()}
-            for b in slices(batches):
-                for t in b.column(0).to_pylist():
-                    docs_.append(coder.ids(coder.ranks(words_of(t))))
-                    n += len(docs_[-1]) + 1
+            for held, fold, size, codes, words in _opened(batches, ["held_out", "fold", "size", "codes", "words"]):
+                use = ~held.to_numpy(zero_copy_only=False) & (fold.to_numpy() == r)
+                ids, end = listed.of(words)[1], np.cumsum(size.to_numpy())
+                for i in np.flatnonzero(use).tolist():
+                    docs.append(ids[codes[end[i - 1] if i else 0 : end[i]]])
+                    n += len(docs[-1]) + 1
                     if n > chunk:
-                        weight += train_on(own, docs_)
-                        docs_, n = [], 0
-            if docs_:
-                weight += train_on(own, docs_)
+                        weight += train_on(own, docs)
+                        docs, n = [], 0
+            if docs:
+                weight += train_on(own, docs)
             if weight:
                 flat = np.concatenate([a.ravel() for a in own.p.values()]).astype(np.float64) * weight
                 yield pa.RecordBatch.from_arrays(
@@ -347,35 +455,36 @@ def train(docs: DataFrame, listed, net: GatedNet, rounds: int = 4, chunk: int =
                     ["task", "weight", "params"],
                 )
 
-        fold = docs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).select("text")
-        _average(net, fold.mapInArrow(fit, "task int, weight long, params binary"), fold.rdd.getNumPartitions())
+        _average(net, rows.mapInArrow(fit, "task int, weight long, params binary"), rows.rdd.getNumPartitions())
     return net
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, chunk: int = 4_000_000) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from all rows where `held_out` is false.  Tokens are the words, then
-    one end.  base_score is the add-half unigram log10 likelihood; score is the network's:
-    log10 P(class | history) P(word | class, history), with words outside the 2047 most
-    frequent taking (c + 0.5) / (mass of their class + 0.5) of their class, so that the
-    probabilities of all known words and one unknown word per rare class sum to 1.  The
-    state is carried through the whole text.
-
-    Counts cover all training rows; the 200,000 most frequent words are sent to every
-    task, the counts of all others meet their documents in a join.  A null text is empty
-    (one token).  Without training rows N and V are 0.  Repeated rows are each scored;
-    extra columns are not read; an empty table gives an empty result.
+    The model learns from all rows where `held_out` is false (or null).  Tokens are the
+    words, then one end.  base_score is the add-half unigram log10 likelihood; score is the
+    network's: log10 P(class | history) P(word | class, history), with words outside the
+    2047 most frequent taking (c + 0.5) / (mass of their class + 0.5) of their class, so
+    that the probabilities of all known words and one unknown word per rare class sum to 1.
+    The state is carried through the whole text.
+
+    Texts are tokenised once, into blocks.  Counts cover all training rows; the 200,000 most
+    frequent words are sent to every task, the counts of all others meet their documents in
+    a join.  A null text is empty (one token).  Without training rows N and V are 0.
+    Repeated rows are each scored, rows with a null id too; extra columns are not read; an
+    empty table gives an empty result.  Texts of any length are scored whole.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    training = source.where("not held_out")
-    counts = materialize(count_words(training.select("text")), "word-counts")
-    ends = training.count()
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    source = source.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int"))
+    blocks = materialize(text_blocks(source), "word-blocks")
+    counts = materialize(count_words(blocks), "word-counts")
+    ends = blocks.select(F.explode("held_out").alias("h")).where("not h").count()
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = size[0] + ends, size[1] + (ends > 0)
     top = most_frequent(counts)
-    listed = spark.sparkContext.broadcast((uuid.uuid4().hex, [w for w, _ in top], np.array([c for _, c in top], np.float64)))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [w for w, _ in top], np.array([c for _, c in top], np.float64)))
 
     frequent = np.zeros(FREQUENT)
     frequent[0] = ends
@@ -386,50 +495,52 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         rare_mass[r["k"]] += r["m"]
     for w, c in top[: FREQUENT - 1]:
         rare_mass[bucket_of(w) % RARE] -= c + 0.5
-    net = train(training, listed, GatedNet().start_from_counts(frequent, rare_mass))
+    net = train(blocks, sent, GatedNet().start_from_counts(frequent, rare_mass), rounds)
     log_mass, base_of_end = np.log10(rare_mass), float(np.log10(ends + 0.5))
+    params = net.p
 
     def apply(batches):
-        coder, logs = _coder(listed), np.log10(listed.value[2] + 0.5)
-        ids, held, texts, todo = [], [], [], 0
+        listed, own = _listed(sent), GatedNet()
+        own.p = params
+        docs_, about, todo = [], [], 0
 
         def flush():
-            rows: list[list] = [[] for _ in range(7)]
-            coded = []
-            for i, h, t in zip(ids, held, texts, strict=True):
-                words = words_of(t)
-                ranks = coder.ranks(words)
-                known = ranks >= 0
-                code = coder.ids(ranks)
-                coded.append(code)
-                far = Counter(words[j] for j in np.flatnonzero(~known).tolist())
-                base = logs[ranks[known]].sum()
-                rare = code >= FREQUENT
-                # Each rare word adds its log10(c + 0.5), less that of its class's mass.
-                extra = logs[ranks[known & rare]].sum() - log_mass[(code[rare] - FREQUENT) % RARE].sum()
-                row = (i, h, len(words) + 1, int(known.sum()), float(base), float(extra), [{"word": w, "n": k} for w, k in far.items()])
-                for c, x in zip(rows, row, strict=True):
-                    c.append(x)
-            got = score_docs(net, coded) / np.log(10)
-            far_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), far_type]
-            arrays = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(got)], ["doc_id", "held_out", "n_tokens", "known", "base", "extra", "far", "net"])
-
-        for b in slices(batches):
-            for i, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids.append(i)
-                held.append(h)
-                texts.append(t)
-                todo += len(t or "") // 6 + 1
-                if todo > chunk:
-                    yield flush()
-                    ids, held, texts, todo = [], [], [], 0
-        if ids:
-            yield flush()
+            got = pa.array(score_docs(own, docs_) / np.log(10))
+            done, a = [], 0
+            for rows, k in about:
+                done.append(pa.RecordBatch.from_arrays([*rows.columns, got.slice(a, k)], [*rows.schema.names, "net"]))
+                a += k
+            return done
+
+        for ids, held, size, codes, words in _opened(batches, ["id", "held_out", "size", "codes", "words"]):
+            ranks, net_ids = listed.of(words)
+            size = size.to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            known = ranks >= 0
+            logs = np.zeros(len(words))
+            logs[known] = listed.log_count[ranks[known]]
+            # A rare word adds its log10(c + 0.5), less that of its class's mass.
+            share = np.where(net_ids >= FREQUENT, logs - log_mass[(net_ids - FREQUENT) % RARE], 0.0)
+            sums = [np.bincount(doc, x[codes], len(size)) if len(doc) else np.zeros(len(size)) for x in (known, logs, share)]
+            # Words that are not listed, with their numbers, per document.
+            far = np.flatnonzero(~known[codes])
+            pair, times = np.unique(doc[far] * len(words) + codes[far], return_counts=True)
+            at = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words)))
+            far_words = pa.array(words, pa.binary()).take(pa.array(pair % max(1, len(words))))
+            items = pa.StructArray.from_arrays([far_words, pa.array(times)], ["word", "n"])
+            columns = [ids, held, pa.array(size + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), items)]
+            about.append((pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "extra", "far"]), len(size)))
+            code, end = net_ids[codes], np.cumsum(size)
+            docs_ += [code[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
+            todo += len(code)
+            if todo > chunk:
+                yield from flush()
+                docs_, about, todo = [], [], 0
+        if about:
+            yield from flush()
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, extra double, far array<struct<word:binary,n:long>>, net double"
-    scored = source.select(F.col("id").cast("long"), "text", "held_out").mapInArrow(apply, schema)
+    scored = blocks.select("id", "held_out", "size", "codes", "words").mapInArrow(apply, schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     far = scored.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))

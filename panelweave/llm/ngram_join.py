@@ -142,7 +142,8 @@ def ngram_components(
 
         def whole(batches):
             for b in slices(batches):
-                some = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and likely(i)]
+                b = b.filter(pa.array(likely.many(b.column(0).fill_null(0).to_numpy())))
+                some = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None]
                 items = [_ordered(shingles(t, n), common).astype("<u8").tobytes() for _, t in some]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +12,44 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import slices
 
 SPACE = "▁"
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+NONE = np.int32(1 << 30)  # a pair that is no candidate
+WIDEST = 48  # longer chunks take the agenda one by one
+BULK = 1 << 20  # characters that are worked on at once
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_M4, _M5 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+class PairTable:
+    """(left symbol, right symbol) -> joined piece, for arrays: each pair lies at one of two places."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        bits = max(8, (4 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.full(1 << bits, -1, np.int64)
+        for (a, b), joined in pairs.items():
+            entry, first = (a << 40) | (b << 20) | joined, True
+            for _ in range(500):
+                at = self._places(np.array([entry >> 20], np.int64))[0 if first else 1][0]
+                entry, self.table[at] = int(self.table[at]), entry
+                if entry < 0:
+                    break
+                first = bool(self._places(np.array([entry >> 20], np.int64))[0][0] != at)
+            else:
+                raise ValueError("the pair table is too full")
+
+    def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = key.view(np.uint64)
+        return (k * _M1) >> self.shift, (k * _M2) >> self.shift
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The joined piece, or -1; symbols below 0 join with nothing."""
+        key = (a.astype(np.int64) << 20) | b
+        one, two = self._places(key)
+        x, y = self.table[one], self.table[two]
+        hit = (x >> 20) == key
+        x = np.where(hit, x, y)
+        hit |= (y >> 20) == key
+        return np.where(hit & (a >= 0) & (b >= 0), x & 0xFFFFF, -1).astype(np.int32)
 
 
 class PieceCodec:
@@ -22,19 +57,22 @@ class PieceCodec:
 
     A text is the space mark, then the text with spaces as space marks; a space mark in
     the text itself is spelt in bytes, as is any character without a piece, so that
-    decoding gives back the text exactly.  No piece has a space mark after another
-    character, so the text falls into independent chunks, one per word.
+    decoding gives back the text exactly.  Two neighbours that stand next to each other in
+    no piece are never joined, so a text falls into independent chunks there.  Chunks of
+    many texts are worked on side by side, each by its own agenda: at every step a chunk
+    takes its best candidate (best score, then leftmost).
     """
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 8, keep: int = 400_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        self.n_pieces = n
         self.bytes_of: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.score: list[float] = []
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int32)
         for i in range(n):
             piece = sp.id_to_piece(i)
             self.score.append(sp.get_score(i))
@@ -46,134 +84,220 @@ class PieceCodec:
             else:
                 self.ids[piece] = i
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece spans words")
-        self.limit = int(dropout * 2**32)
-        # `variants` no longer limits anything: every occurrence of a word is drawn on its own.
-        self.seed, self.variants, self.keep = seed, variants, keep
-        self.log_kept = math.log1p(-self.limit / 2**32) if self.limit < 2**32 else -math.inf
-        self.known: dict[str, list] = {}
-        self.size = 0
-
-    def merge(self, chunk: str, skips: tuple[int, ...] = ()) -> tuple[int, list[int]]:
-        """The number of candidates and the pieces of one chunk, by an agenda of merges, best score first, then leftmost.
-
-        Candidates count in the order in which they are taken from the agenda; those whose
-        number is in `skips` are skipped and may come up again only after a neighbour has changed.
-        """
-        ids, score, taken = self.ids, self.score, 0
-        sym: list[str | None] = list(chunk)
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), [*range(1, n), n]
-        agenda: list[tuple[float, int, int, str]] = []
+        if SPACE not in self.ids or any(SPACE in p.lstrip(SPACE) or " " in p for p in self.ids):
+            raise ValueError("a piece spans words, or the space mark is no piece")
+        # Symbols: pieces by their ids, then the characters that occur in pieces only.
+        symbol = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                symbol.setdefault(c, len(symbol) + n)
+        order = sorted({-self.score[i] for i in self.ids.values()})
+        rank = {s: k for k, s in enumerate(order)}
+        self.rank = np.full(n + 1, NONE >> 6, np.int32)  # the last stands for no piece
+        pairs, near = {}, set()
+        for p, i in self.ids.items():
+            self.rank[i] = rank[-self.score[i]]
+            near.update(zip(p, p[1:], strict=False))
+            for k in range(1, len(p)):
+                a, b = symbol.get(p[:k]), symbol.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a, b] = i
+        self.pairs = PairTable(pairs)
+        self.near = np.zeros(1 << 20, bool)  # by a hash: a false hit only makes a chunk longer
+        for a, b in near:
+            self.near[self._near_at(np.array([symbol[a]], np.int32), np.array([symbol[b]], np.int32))] = True
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+        self.symbol_of[ord(" ")], self.symbol_of[ord(SPACE)] = self.ids[SPACE], -1
+        self.limit = np.uint64(int(dropout * 2**32))
+        self.seed = np.uint64((seed * 0x8EBC6AF09C88C6E3 + 0xE7037ED1A0B428DB) & (1 << 64) - 1)
+
+    @staticmethod
+    def _near_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype(np.uint64) * _M1 + b.astype(np.uint64) * _M2) >> np.uint64(44)).astype(np.int64)
+
+    def base(self, keys: np.ndarray) -> np.ndarray:
+        """What the draws of a text begin with, from the keys of the texts (int64)."""
+        x = (keys.view(np.uint64) ^ self.seed) * _M4
+        return x ^ (x >> np.uint64(32))
+
+    def dropped(self, base: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Is the candidate that joins the characters start..middle and middle..end skipped?"""
+        x = base ^ (start.astype(np.uint64) * _M1 + middle.astype(np.uint64) * _M2 + end.astype(np.uint64) * _M3)
+        x = (x ^ (x >> np.uint64(32))) * _M4
+        x = (x ^ (x >> np.uint64(29))) * _M5
+        return (x >> np.uint64(32)) < self.limit
+
+    def _agenda(self, symbols: list[int], place: int, base: np.ndarray) -> list[int]:
+        """One chunk by an agenda of merges; its symbols, -2 where one is part of another."""
+        n, agenda = len(symbols), []
+        sym, left, right = [*symbols], list(range(-1, n - 1)), [*range(1, n), n]
 
         def offer(a: int, b: int):
-            joined = sym[a] + sym[b]
-            i = ids.get(joined)
-            if i is not None:
-                heapq.heappush(agenda, (-score[i], a, b, joined))
+            joined = int(self.pairs.find(np.array([sym[a]], np.int32), np.array([sym[b]], np.int32))[0])
+            if joined >= 0:
+                heapq.heappush(agenda, (int(self.rank[joined]), a, b, right[b], joined))
 
         for a in range(n - 1):
             offer(a, a + 1)
         while agenda:
-            _, a, b, joined = heapq.heappop(agenda)
-            if sym[a] is None or sym[b] is None or right[a] != b or sym[a] + sym[b] != joined:
+            _, a, b, z, joined = heapq.heappop(agenda)
+            if sym[a] == -2 or sym[b] == -2 or right[a] != b or right[b] != z:
                 continue
-            taken += 1
-            if taken - 1 in skips:
+            if self.limit and self.dropped(base, *(np.array([place + x]) for x in (a, b, z)))[0]:
                 continue
-            sym[a], sym[b] = joined, None
-            r = right[b]
-            right[a] = r
-            if r < n:
-                left[r] = a
-                offer(a, r)
+            sym[a], sym[b], right[a] = joined, -2, z
+            if z < n:
+                left[z] = a
+                offer(a, z)
             if left[a] >= 0:
                 offer(left[a], a)
-        out = []
-        for s in sym:
-            if s is not None:
-                i = ids.get(s)
-                out += [i] if i is not None else [self.byte_id[x] for x in s.encode()]
-        return taken, out
-
-    def _node(self, chunk: str, skips: tuple[int, ...]) -> list:
-        """[number of candidates, ids, nodes by the next skipped candidate] of a chunk with `skips`; it holds for every draw."""
-        n, got = self.merge(chunk, frozenset(skips))
-        return [n, np.array(got, "<i4").tobytes(), None]
-
-    def _gaps(self, at: np.ndarray, k: int) -> np.ndarray:
-        """How many candidates are kept between the skips `k` - 1 and `k` of the occurrences with the hashes `at`."""
-        x = at ^ np.uint64((k + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)
-        for _ in range(2):
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
-        return np.minimum(np.log(u) / self.log_kept, 1e9).astype(np.int64)
+        return sym
+
+    def _merge(self, out: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, base: np.ndarray) -> None:
+        """Chunks side by side, a column each, from `at` on; `out` takes their symbols."""
+        most, n = int(size.max()), len(at)
+        row = np.arange(most + 2, dtype=np.int32)[:, None]
+        sym = np.full((most + 2, n), -1, np.int32)  # rows 0 and most + 1 are borders
+        sym[1:-1] = out[np.minimum(at + row[:-2], len(out) - 1)]
+        sym[1:-1][row[:-2] >= size] = -1
+        joined = self.pairs.find(sym[:-1], sym[1:])
+        best_of = self.rank[joined] * 64 + row[:-1]
+        left, right = np.repeat(row - 1, n, 1), np.repeat(row + 1, n, 1)
+
+        def put(columns):
+            inside = row[:-2] < size[columns]
+            out[(at[columns] + row[:-2])[inside]] = sym[1:-1, columns][inside]
+
+        while True:
+            best = best_of.min(0)
+            on = np.flatnonzero(best < NONE)
+            if 2 * len(on) < n:
+                put(np.flatnonzero(best >= NONE))
+                if not len(on):
+                    return
+                sym, joined, best_of, left, right = (np.ascontiguousarray(x[:, on]) for x in (sym, joined, best_of, left, right))
+                at, size, place, base, best = at[on], size[on], place[on], base[on], best[on]
+                n, on = len(on), np.arange(len(on))
+            s, g, c, l, r = (x.reshape(-1) for x in (sym, joined, best_of, left, right))
+            a = best[on] & 63
+            b = r[a * n + on]
+            z = r[b * n + on]
+            if self.limit:
+                p = place[on] - 1
+                drop = self.dropped(base[on], p + a, p + b, p + z)
+                c[(a * n + on)[drop]] = NONE
+                keep = ~drop
+                a, b, z, on = a[keep], b[keep], z[keep], on[keep]
+            ia, ib, iz = a * n + on, b * n + on, z * n + on
+            new = g[ia]
+            s[ia], s[ib], c[ib], r[ia], l[iz] = new, -2, NONE, z, a
+            g[ia] = after = self.pairs.find(new, s[iz])
+            c[ia] = self.rank[after] * 64 + a
+            w = l[ia]
+            iw = w * n + on
+            g[iw] = before = self.pairs.find(s[iw], new)
+            c[iw] = self.rank[before] * 64 + w
+
+    def _bulk(self, texts: list[str], bases: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts (not empty, led by their space) one after the other, and how many each has."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(t) for t in texts])
+        begin = np.cumsum(sizes) - sizes
+        out = self.symbol_of[code]
+        together = self.near[self._near_at(out[:-1], out[1:])] & (out[:-1] >= 0) & (out[1:] >= 0)
+        together[begin[1:] - 1] = False
+        first = np.concatenate([[0], np.flatnonzero(~together) + 1])
+        length = np.diff(first, append=len(out))
+        first, length = first[length > 1], length[length > 1]
+        of = np.searchsorted(begin, first, "right") - 1
+        place = first - begin[of] + places[of]
+        order = np.argsort(np.minimum(length, WIDEST + 1).astype(np.int8), kind="stable")
+        a = 0
+        while a < len(order):
+            k = order[a]
+            if length[k] > WIDEST:
+                break
+            z = a + max(64, (1 << 18) // int(length[k]))
+            some = order[a:z]
+            some = some[length[some] <= min(WIDEST, length[k] + 1 + length[k] // 4)]
+            self._merge(out, first[some], length[some], place[some], bases[of[some]])
+            a += len(some)
+        for k in order[a:].tolist():
+            f, n = int(first[k]), int(length[k])
+            out[f : f + n] = self._agenda(out[f : f + n].tolist(), int(place[k]), bases[of[k] : of[k] + 1])
+        spelt = (out == -1) | (out >= self.n_pieces)
+        n_bytes = np.where(spelt, 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000), (out >= 0).astype(np.int8))
+        count = np.add.reduceat(n_bytes, begin, dtype=np.int64)
+        if not spelt.any():
+            return out[out >= 0], count
+        ends = np.cumsum(n_bytes, dtype=np.int64)
+        ids = np.empty(int(ends[-1]), np.int32)
+        whole = (out >= 0) & ~spelt
+        ids[ends[whole] - 1] = out[whole]
+        cp, n, end = code[spelt].astype(np.int64), n_bytes[spelt], ends[spelt]
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n]
+        for k in range(4):  # the k-th byte from the end
+            has = n > k
+            byte = np.where(n == k + 1, lead | (cp >> 6 * k), 0x80 | (cp >> 6 * k & 0x3F))
+            ids[end[has] - 1 - k] = self.byte_id[byte[has]]
+        return ids, count
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text; equal seeds and keys give equal segmentations.
+
+        Each candidate merge is skipped on its own with the probability `dropout`, by a hash
+        of the seed, the key and the places in the text of the two symbols that it joins.
+        A skipped pair comes up again only after one of its symbols has changed.
+        """
+        bases = self.base(np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64))
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        some, own, at, n = [], [], [], 0
 
-    def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of a text; equal seeds and keys give equal segmentations.
+        def flush():
+            ids, count = self._bulk(some, bases[own], np.array(at))
+            for k, x in zip(own, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                found[k].append(x)
 
-        Each candidate merge of each chunk is skipped on its own with the probability `dropout`,
-        by a hash of the seed, the key, the place of the chunk and the candidate's number (the
-        skips of a place are drawn as geometric gaps, which is the same law).
-        """
-        if not text:
-            return np.zeros(0, "<i4")
-        if SPACE in text:
-            return self._spelt(text, key)
-        chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(self._join(chunks, key), "<i4")
-
-    def _join(self, chunks: list[str], key: int, part: int = 0) -> bytes:
-        known, node = self.known, self._node
-        base = []
-        for c in chunks:
-            x = known.get(c)
-            if x is None:
-                x = node(c, ())
-                if self.size < self.keep:
-                    self.size += 1
-                    known[c] = x
-            base.append(x)
-        if not self.limit or not chunks:
-            return b"".join([x[1] for x in base])
-        place = np.arange(len(chunks), dtype=np.uint64) + np.uint64(part << 32)
-        at = (place + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB) ^ np.uint64((key * 0x9E3779B97F4A7C15 ^ (self.seed + 1) * 0x8EBC6AF09C88C6E3) & (1 << 64) - 1)
-        out = [x[1] for x in base]
-        first = self._gaps(at, 0)
-        some = np.flatnonzero(first < np.array([x[0] for x in base]))
-        second = self._gaps(at[some], 1).tolist()
-        for i, skip, gap in zip(some.tolist(), first[some].tolist(), second, strict=True):
-            x, skips = base[i], ()
-            while skip < x[0]:
-                skips += (skip,)
-                y = x[2].get(skip) if x[2] else None
-                if y is None:
-                    y = node(chunks[i], skips)
-                    if self.size < self.keep:
-                        self.size += 1
-                        x[2] = x[2] or {}
-                        x[2][skip] = y
-                x = y
-                skip += 1 + (gap if len(skips) == 1 else int(self._gaps(at[i : i + 1], len(skips))[0]))
-            out[i] = x[1]
-        return b"".join(out)
-
-    def _spelt(self, text: str, key: int) -> np.ndarray:
-        """A text with space marks of its own: they are spelt in bytes between its parts."""
-        mark = np.array([self.byte_id[x] for x in SPACE.encode()], "<i4").tobytes()
-        parts = text.split(SPACE)
-        out = []
-        for k, p in enumerate(parts):
-            body = (SPACE if k == 0 else "") + p.replace(" ", SPACE)
-            out.append(self._join(_CHUNK.findall(body), key, k))
-        return np.frombuffer(mark.join(out), "<i4")
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            t, a = " " + t, 0
+            while a < len(t):
+                z = len(t)
+                if z - a > BULK:  # a long text is cut where a space follows another character
+                    z = t.rfind(" ", a + 1, a + BULK)
+                    while z > a and t[z - 1] == " ":
+                        z -= 1
+                    z = z if z > a else len(t)
+                some.append(t[a:z])
+                own.append(k)
+                at.append(a)
+                n += z - a
+                a = z
+                if n > BULK:
+                    flush()
+                    some, own, at, n = [], [], [], 0
+        if some:
+            flush()
+        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in found]
+
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        """Ids of one text (see `encode_many`)."""
+        return self.encode_many([text], [key])[0]
 
     def decode(self, ids) -> str:
-        """The text of the ids: the leading space of the first piece is not part of it."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
-        return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
+        """The text of the ids: the leading space of the first piece is not part of it.
+
+        Bytes that are no valid UTF-8 (ids that no text has) become replacement characters.
+        """
+        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))[1:]
+        try:
+            return raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace")
 
 
 _CODECS: dict = {}
@@ -190,30 +314,30 @@ def _codec(path: str | None, *how) -> PieceCodec:
 
 
 def encode_pieces(
-    docs: DataFrame, dropout: float = 0.1, seed: int = 0, variants: int = 8, id_col: str = "doc_id", text_col: str = "text", model: str | None = None,
+    docs: DataFrame, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", model: str | None = None,
 ) -> DataFrame:
     """doc_id, n_pieces, ids: every whole text encoded with seeded merge-dropout.
 
     The same seed, id and text give the same ids on any partitioning.  A null text gives
-    null ids and 0 pieces, an empty one no pieces.  Repeated rows are each encoded alike;
-    extra columns are not read; an empty table gives an empty result.
+    null ids and 0 pieces, an empty one no pieces; a null id draws as id 0 does.  A very
+    long text is encoded in parts that no merge could join.  Repeated rows are each encoded
+    alike; extra columns are not read; an empty table gives an empty result.
     """
 
     def run(batches):
-        codec = _codec(model, dropout, seed, variants)
+        codec = _codec(model, dropout, seed)
         for b in slices(batches):
-            a = 0
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            a = 0
             while a < len(texts):
                 z, n = a, 0
-                while z < len(texts) and (z == a or n < 1 << 22):
+                while z < len(texts) and (z == a or n < 4 * BULK):
                     n += len(texts[z] or "")
                     z += 1
-                got = [None if t is None else codec.encode(t, d or 0) for d, t in zip(docs_[a:z], texts[a:z], strict=True)]
-                flat = np.concatenate([g for g in got if g is not None] or [np.zeros(0, "<i4")])
-                sizes = np.array([0 if g is None else len(g) for g in got])
+                got = codec.encode_many([t or "" for t in texts[a:z]], [d or 0 for d in docs_[a:z]])
+                sizes = np.array([len(x) for x in got])
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(flat), mask=pa.array([g is None for g in got])
+                    pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(got)), mask=pa.array([t is None for t in texts[a:z]])
                 )
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(sizes, pa.int64()), lists], ["doc_id", "n_pieces", "ids"])
                 a = z
@@ -223,10 +347,15 @@ def encode_pieces(
 
 
 def decode_pieces(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """`encoded` with the column `text` decoded from its ids (null for null)."""
+    """`encoded`, all columns, with the column `text` (replaced, if there) decoded from its ids.
+
+    Null ids give a null text, no ids an empty one; ids outside the model raise an error,
+    bytes that are no UTF-8 become replacement characters.  Repeated rows are each decoded;
+    an empty table gives an empty result.
+    """
 
     def run(batches):
-        codec = _codec(model, 0.0, 0, 1)
+        codec = _codec(model, 0.0, 0)
         for b in slices(batches):
             yield b.append_column("text", pa.array([None if x is None else codec.decode(x) for x in b.column(ids_col).to_pylist()], pa.string()))
 

@@ -35,13 +35,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its removed paragraphs and passages and the text that is left."""
     from panelweave.llm.substring_dedup import dedup_substrings
 
-    found = dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"), detail=True)
-    removed, passages = (F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("__removed", "__passages"))
-    keeps = F.concat(F.transform(removed, lambda r: r["keep_doc_id"]), F.transform(passages, lambda r: r["keep_doc_id"]))
-    return found.select(
-        "doc_id", (F.size(removed) + F.size(passages)).cast("long").alias("n_removed"), removed.alias("removed"), passages.alias("passages"),
-        F.array_sort(F.array_distinct(keeps)).alias("keep_doc_ids"), "text",
-    )
+    found = dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"), detail="removed")
+    removed = F.coalesce("removed", F.array().cast(found.schema["removed"].dataType))
+    keeps = F.array_sort(F.array_distinct(F.transform(removed, lambda r: r["keep_doc_id"])))
+    return found.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), keeps.alias("keep_doc_ids"), "text")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

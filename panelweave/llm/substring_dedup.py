@@ -1,278 +1,274 @@
-"""Substring dedup: paragraphs that repeat within or across documents, by MinHash banding, then runs of words, exactly."""
+"""Substring dedup: paragraphs and passages that repeat within or across documents, by MinHash banding."""
 
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import id_filter, materialize, slices
+from panelweave.llm.common import free_names, id_filter, materialize, slices
 from panelweave.llm.ngram_join import _HASH, MULT
-from panelweave.llm.trie_join import linked_components, parity_sketch
+from panelweave.llm.trie_join import linked_components
+
+RADIUS, LEAD = 5, 3  # a passage begins where a hash of LEAD words is the least of RADIUS neighbours on either side
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+_BITS = np.uint64(44)  # of an n-gram's hash
 
-BANDS, ROWS = 10, 3  # a pair of similarity 0.8 shares a band with probability 0.9992
-_RNG = np.random.default_rng(20)
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
+def bands_for(num: int, den: int, rows: int, recall: float = 0.99) -> int:
+    """The least number of bands of `rows` minima by which a pair of similarity num/den meets with probability `recall`."""
+    bands, miss = 1, 1 - (num / den) ** rows
+    while miss**bands > 1 - recall:
+        bands += 1
+    return bands
 
-def paragraphs(text: str | None, min_words: int) -> list[tuple[int, str]]:
-    """(position, paragraph) of the newline-separated paragraphs of at least `min_words` words."""
-    return [(i, p) for i, p in enumerate((text or "").split("\n")) if n_words(p) >= min_words]
+
+def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
+    """`f` (minimum or maximum) over every `n` neighbours, by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = f(x[:-step], x[step:])
+        have += step
+    return x
 
 
-def n_words(paragraph: str) -> int:
-    return len(paragraph.encode("utf-8", "surrogatepass").split())
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every `n` words that follow each other."""
+    m = max(0, len(h) - n + 1)
+    out = np.full(m, n, np.uint64)
+    for i in range(n):
+        out = (out ^ h[i : m + i]) * MULT
+        out ^= out >> np.uint64(29)
+    return out
 
 
-def paragraph_sets(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct n-gram hashes per paragraph (each of at least `n` words), as `shingles`
-    gives them, and the band keys of their MinHash signatures, one row per paragraph.
+def passage_cuts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where passages begin, in the words `h` of documents of `sizes` words one after the other.
 
-    All paragraphs are hashed as one array; n-grams over a border are left out.
+    A cut is where the hash of LEAD words is less than those of the RADIUS places before
+    it and not more than those of the RADIUS after it, in its document: the words nearby
+    decide alone, so equal passages are cut alike wherever they stand, and passages
+    between two cuts have more than RADIUS words.  The first word of a document is a cut.
     """
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    flat = [x for w in words for x in w]
-    h = np.fromiter(map(_HASH.__getitem__, flat), np.uint64, len(flat))
-    grams = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        grams = (grams ^ h[i : len(h) - n + 1 + i]) * MULT
-        grams ^= grams >> np.uint64(29)
     ends = np.cumsum(sizes)
-    inside = np.ones(len(h), bool)
-    for k in range(1, n):
-        inside[ends - k] = False
-    grams = grams[inside[: len(grams)]]
-    first = np.concatenate([[0], np.cumsum(sizes - n + 1)])
-    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(texts), axis=1)
-    for r in range(ROWS):
-        for k in range(BANDS):
-            x = grams * _A[k * ROWS + r] + _B[k * ROWS + r]
-            x ^= x >> np.uint64(31)
-            keys[k] = (keys[k] ^ np.minimum.reduceat(x, first[:-1])) * MULT
-    keys ^= keys >> np.uint64(29)
-    cuts = first.tolist()
-    return [np.unique(grams[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], keys.T
-
-
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def repeated_paragraphs(
-    docs: DataFrame, min_words: int = 20, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    none = np.uint64((1 << 64) - 1)
+    lead = np.full(len(h) + 2 * RADIUS * (len(sizes) + 1), none, np.uint64)
+    # Documents stand RADIUS places apart, so that no document sees another.
+    at = np.arange(len(h)) + RADIUS * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    grams = np.concatenate([_grams(h, LEAD), np.full(min(LEAD - 1, len(h)), none, np.uint64)])
+    for k in range(1, LEAD):
+        last = ends - k
+        grams[last[last >= 0]] = none
+    lead[at] = grams
+    least = _slide(lead, RADIUS, np.minimum)
+    cut = (grams < least[at - RADIUS]) & (grams <= least[at + 1]) & (grams != none)
+    cut[(ends - sizes)[sizes > 0]] = True
+    return np.flatnonzero(cut)
+
+
+class Units:
+    """The paragraphs (first) and passages of some texts.
+
+    text, word, words: the text, the first word and the number of words of each; items:
+    the sorted distinct n-gram hashes of all units one after the other, unit k's from
+    ends[k - 1] to ends[k].
+    """
+
+    def __init__(self, texts: list[bytes], n: int, min_words: int, least: int):
+        lines = [[x.split() for x in t.lower().split(b"\n")] for t in texts]
+        in_line = np.array([len(x) for t in lines for x in t], np.int64)
+        sizes = np.array([sum(map(len, t)) for t in lines], np.int64)
+        h = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(chain.from_iterable(lines))), np.uint64, int(sizes.sum()))
+        begin = np.cumsum(sizes) - sizes
+        long_lines = in_line >= min_words
+        first, length = (np.cumsum(in_line) - in_line)[long_lines], in_line[long_lines]
+        self.paragraphs = len(first)
+        cuts = passage_cuts(h, sizes)
+        run = np.diff(cuts, append=len(h))
+        of = np.searchsorted(begin + sizes, cuts, "right")
+        use = (run >= n) & (sizes[of] >= least) if len(cuts) else np.zeros(0, bool)
+        first, length = np.concatenate([first, cuts[use]]), np.concatenate([length, run[use]])
+        self.text = np.searchsorted(begin + sizes, first, "right")
+        self.word, self.words = first - begin[self.text], length
+        grams = length - n + 1
+        stop = np.cumsum(grams)
+        unit = np.repeat(np.arange(len(first), dtype=np.uint64), grams)
+        at = np.arange(len(unit)) + np.repeat(first - stop + grams, grams)
+        items = _grams(h, n)[at] >> (np.uint64(64) - _BITS)
+        if len(first) < 1 << 20:
+            both = np.sort(items | (unit << _BITS))
+            items, unit = both & np.uint64((1 << 44) - 1), both >> _BITS
+        else:  # a text of many million words
+            order = np.lexsort((items, unit))
+            items, unit = items[order], unit[order]
+        new = np.ones(len(items), bool)
+        new[1:] = (items[1:] != items[:-1]) | (unit[1:] != unit[:-1])
+        self.items, unit = items[new], unit[new].astype(np.int64)
+        self.size = np.bincount(unit, minlength=len(first))
+        self.ends = np.cumsum(self.size)
+        self.unit = unit
+
+    def nodes(self) -> np.ndarray:
+        """A 64-bit hash of each set; sets of paragraphs and of passages never share one but by chance."""
+        if not len(self.size):
+            return np.zeros(0, np.int64)
+        x = (self.items + np.uint64(1)) * MULT
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = np.add.reduceat(x ^ (x >> np.uint64(29)), self.ends - self.size)
+        x = (x ^ self.size.astype(np.uint64) ^ ((np.arange(len(x)) < self.paragraphs).astype(np.uint64) << np.uint64(40))) * MULT
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+    def keys(self, bands: tuple[int, int], rows: tuple[int, int]) -> list[np.ndarray]:
+        """The band keys of paragraphs, then of passages: arrays of (units, bands)."""
+        cut = int(self.ends[self.paragraphs - 1]) if self.paragraphs else 0
+        starts = self.ends - self.size
+        out = []
+        for kind, (items, first) in enumerate(((self.items[:cut], starts[: self.paragraphs]), (self.items[cut:], starts[self.paragraphs :] - cut))):
+            rng = np.random.default_rng(20 + kind)
+            a = rng.integers(1, 1 << 63, (rows[kind], bands[kind]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            b = rng.integers(0, 1 << 63, (rows[kind], bands[kind]), dtype=np.uint64)
+            keys = np.repeat((np.arange(bands[kind]) + 64 * kind).astype(np.uint64)[None, :], len(first), axis=0)
+            for r, k in np.ndindex(*a.shape):
+                if len(first):
+                    x = items * a[r, k] + b[r, k]
+                    x ^= x >> np.uint64(31)
+                    x *= MULT
+                    keys[:, k] = (keys[:, k] ^ np.minimum.reduceat(x, first)) * MULT
+            out.append((keys ^ (keys >> np.uint64(29))).view(np.int64))
+        return out
+
+    def sketches(self) -> list[bytes]:
+        """`trie_join.parity_sketch` of each unit."""
+        out: list = [b""] * len(self.size)
+        width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, self.size))).astype(np.int64))
+        of = width[self.unit]
+        for b in np.unique(width).tolist():
+            who = np.flatnonzero(width == b)
+            slot = np.zeros(len(width), np.int64)
+            slot[who] = np.arange(len(who))
+            mine = of == b
+            at = slot[self.unit[mine]] * b + (self.items[mine] & np.uint64(b - 1)).astype(np.int64)
+            raw = np.packbits(np.bincount(at, minlength=len(who) * b).astype(np.uint8) & 1, bitorder="little").tobytes()
+            for j, k in enumerate(who.tolist()):
+                out[k] = raw[j * b // 8 : (j + 1) * b // 8]
+        return out
+
+
+def _bulks(batches, n: int, min_words: int, least: int, words: int = 100_000):
+    """(doc_ids, text hashes, Units) of the texts of Arrow batches (doc_id, text_hash, text), some at a time."""
+    for b in slices(batches):
+        docs, hashes, texts, todo = [], [], [], 0
+        for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
+            if t:
+                docs.append(doc)
+                hashes.append(th)
+                texts.append(t.encode("utf-8", "surrogatepass"))
+                todo += len(t) // 6
+            if texts and (todo > words or row == b.num_rows):
+                yield docs, hashes, Units(texts, n, min_words, least)
+                docs, hashes, texts, todo = [], [], [], 0
+
+
+def repeated_units(
+    docs: DataFrame, min_words: int = 20, least: int = 24, n: int = 5, num: int = 80, den: int = 100, recall: float = 0.99,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Every paragraph that repeats an earlier one: doc_id, text_hash, paragraph, keep_doc_id, keep_paragraph.
+    """Every stretch of words that repeats an earlier one: doc_id, text_hash, word, words, keep_doc_id.
 
-    Paragraphs of at least `min_words` words are compared as sets of word n-grams.  Equal
-    sets are one class.  Classes that share a MinHash band are candidates, verified by
+    Units are paragraphs (what stands between newlines) of at least `min_words` words, and
+    passages that content cuts out of the whole stream of words, across lines
+    (`passage_cuts`).  Units are compared as sets of word n-grams: equal sets are one
+    class; classes of one kind that share a MinHash band are candidates, verified by the
     exact Jaccard similarity (>= num/den) of whole sets; linked classes form components.
-    Of a component the first occurrence, by id (null first) and position, stays and all
-    others are removals.  Documents are told apart by id and text, so rows that repeat
-    both are one document and do not remove each other's paragraphs.
+    Bands are tuned so that a pair of just that similarity meets with probability `recall`.
+
+    Of a component the first occurrence, by id (null first), text hash and place, stays
+    and all others repeat it.  Paragraphs come first: passages that overlap a repeated
+    paragraph are left out, then neighbouring repeated passages of a document are joined,
+    and those of at least `least` words in all are given.  Documents are told apart by id
+    and text, so rows that repeat both are one document and do not repeat each other.
+    Null and empty texts have no unit; extra columns are not read.
     """
+    if min(min_words, RADIUS + 1) < n:
+        raise ValueError(f"units of fewer than {n} words have no {n}-gram")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = (2, 1)
+    bands = tuple(bands_for(num, den, r, recall) for r in rows)
 
     def sign(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["doc_id", "text_hash", "paragraph", "size", "digest", "node", "bands", "sketch"]
-        for b in slices(batches):
-            some, places, todo = [], [], 0
-            for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
-                for i, p in paragraphs(t, min_words):
-                    some.append(p.encode("utf-8", "surrogatepass"))
-                    places.append((doc, th, i))
-                    todo += len(p) // 6
-                if some and (todo > 30_000 or row == b.num_rows):
-                    sets, bands = paragraph_sets(some, n)
-                    digests = [blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                    cols = [*zip(*places, strict=True), [len(x) for x in sets], digests, [_node(x) for x in digests], list(bands.view(np.int64)), [parity_sketch(x) for x in sets]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-                    some, places, todo = [], [], 0
-
-    units = source.mapInArrow(sign, "doc_id long, text_hash long, paragraph int, size long, digest binary, node long, bands array<long>, sketch binary")
-    # Equal rows of the same document (repeated rows) fold here; so does all but one signature of a class.
-    units = materialize(units, "paragraphs")
-    classes = units.groupBy("digest", "size", "node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "paragraph")).alias("first"))
+        for docs_, hashes, u in _bulks(batches, n, min_words, least):
+            two = u.keys(bands, rows)
+            ends = np.concatenate([np.arange(len(two[0])) * bands[0], len(two[0]) * bands[0] + np.arange(len(two[1]) + 1) * bands[1]])
+            keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x.reshape(-1) for x in two])))
+            ids = pa.array(docs_, pa.int64()).take(pa.array(u.text))
+            columns = [
+                ids, pa.array(np.array(hashes, np.int64)[u.text]), pa.array(np.arange(len(u.size)) >= u.paragraphs), pa.array(u.word.astype(np.int32)),
+                pa.array(u.words.astype(np.int32)), pa.array(u.size), pa.array(u.nodes()), keys, pa.array(u.sketches(), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "passage", "word", "words", "size", "node", "keys", "sketch"])
+
+    schema = "doc_id long, text_hash long, passage boolean, word int, words int, size long, node long, keys array<long>, sketch binary"
+    units = materialize(source.mapInArrow(sign, schema), "units")
+    # Most units share no band with any other: only those that may are looked at further.
+    again = materialize(units.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated-keys")
+    likely = id_filter(again, "key")
+
+    def shared(batches):
+        for b in batches:
+            keys = b.column("keys")
+            hit = likely.many(keys.values.to_numpy()[keys.offsets[0].as_py() : keys.offsets[-1].as_py()])
+            first = keys.offsets.to_numpy()[:-1] - keys.offsets[0].as_py()
+            yield b.filter(pa.array(np.logical_or.reduceat(hit, first) if len(first) else np.zeros(0, bool)))
+
+    live = materialize(units.mapInArrow(shared, units.schema).dropDuplicates(["doc_id", "text_hash", "passage", "word"]), "shared-units")
+    place = F.struct("doc_id", "text_hash", "word")
+    classes = live.groupBy("node", "size").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("text_hash").alias("text_hash"))
     classes = materialize(classes, "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "node", "size")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        place = classes.join(nodes, "node", "left_semi").select(F.col("first.text_hash").bitwiseXOR(F.col("first.paragraph")).alias("place"))
-        likely = id_filter(place, "place")
+        wanted, texts = id_filter(nodes, "node"), id_filter(classes.join(nodes, "node", "left_semi").select("text_hash"), "text_hash")
 
         def whole(batches):
-            for b in slices(batches):
-                found, items = [], []
-                for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for i, p in enumerate((t or "").split("\n")):
-                        if likely(th ^ i) and n_words(p) >= min_words:
-                            s = paragraph_sets([p.encode("utf-8", "surrogatepass")], n)[0][0]
-                            found.append(_node(blake2b(s.tobytes(), digest_size=16).digest()))
-                            items.append(s.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
-
-        sets = source.select("text_hash", "text").mapInArrow(whole, "node long, items binary")
+            for b in batches:
+                keep = b.filter(pa.array(texts.many(b.column("text_hash").to_numpy())))
+                for _, _, u in _bulks([keep], n, min_words, least):
+                    node = u.nodes()
+                    use = np.flatnonzero(wanted.many(node))
+                    items = [u.items[u.ends[k] - u.size[k] : u.ends[k]].astype("<u8").tobytes() for k in use.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(items, pa.binary())], ["node", "items"])
+
+        sets = source.mapInArrow(whole, "node long, items binary")
         return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))
 
+    keys = classes.select(F.explode("keys").alias("key"), "node", "size")
     _, comp = linked_components(classes.select("node", "size", "sketch"), keys, sets_of, num, den)
-    component = F.coalesce("component", "node").alias("component")
-    of_class = materialize(classes.join(comp, "node", "left").select("digest", component, "first"), "of-class")
-    keep = of_class.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("classes"))
-    of_class = of_class.join(keep, "component").select("digest", "keep")
-    here = F.struct("doc_id", "text_hash", "paragraph")
-    return (
-        units.select("doc_id", "text_hash", "paragraph", "digest").join(of_class, "digest").where(here != F.col("keep"))
-        .select("doc_id", "text_hash", "paragraph", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"))
-        .distinct()
-    )
-
-
-def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False, **how) -> DataFrame:
-    """`docs`, all columns and rows, with repeated paragraphs taken out of the text.
-
-    With `detail` the column __removed (array of paragraph, keep_doc_id, keep_paragraph, in
-    order) is added.  Null texts stay null; a text may become empty.  What counts as a
-    repeat: see `repeated_paragraphs`.  A removed paragraph takes its newline with it.
-    """
-    gone = materialize(repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **how), "repeats")
-    gone = gone.groupBy(F.col("doc_id").alias("__gid"), F.col("text_hash").alias("__gth")).agg(
-        F.array_sort(F.collect_list(F.struct("paragraph", "keep_doc_id", "keep_paragraph"))).alias("__removed")
-    )
-    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text_col))
-    joined = marked.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    joined = joined.select(*cols, "__removed")
-    names = docs.columns
-
-    def cut(batches):
-        for b in slices(batches):
-            k = b.schema.get_field_index(text_col)
-            texts = b.column(k).to_pylist()
-            removed = b.column("__removed").to_pylist()
-            for i, r in enumerate(removed):
-                if r:
-                    drop = {x["paragraph"] for x in r}
-                    texts[i] = "\n".join(p for j, p in enumerate(texts[i].split("\n")) if j not in drop)
-            b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
-            yield b if detail else b.select(names)
-
-    return joined.mapInArrow(cut, joined.schema if detail else docs.schema)
-
-
-RUN, GRAM = 50, 16  # words of a run that counts as a repeat, and of a fingerprint within it
-_BASE = 0x9E3779B97F4A7C15
-_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
-
-
-def _windows(sums: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every `n` words that follow each other, from prefix sums of a polynomial modulo 2^64."""
-    x = (sums[n:] - sums[:-n]) * back[: len(sums) - n]
-    x = (x ^ (x >> np.uint64(32))) * MULT
-    return x ^ (x >> np.uint64(29))
-
-
-def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
-    """`f` (minimum or maximum) over every `n` neighbours, by doubling."""
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        x = f(x[:-step], x[step:])
-        have += step
-    return x
-
-
-def run_marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of at least RUN words: the sizes in words, the places and values of their
-    fingerprints, and the hash of every RUN words (places count words over all texts).
-
-    A fingerprint is a hash of GRAM words that is the least of RUN - GRAM + 1 neighbours,
-    so every RUN words hold one, and equal RUN words hold equal ones at equal places.
-    """
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    h = np.fromiter((_HASH[x] for w in words for x in w), np.uint64, int(sizes.sum()))
-    up, back = _powers(_BASE, len(h)), _powers(pow(_BASE, -1, 1 << 64), len(h))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
-    grams, runs = _windows(sums, back, GRAM), _windows(sums, back, RUN)
-    inside = np.ones(len(h), bool)
-    ends = np.cumsum(sizes)
-    for k in range(1, GRAM):
-        inside[ends - k] = False
-    inside = inside[: len(grams)]
-    w = RUN - GRAM + 1
-    least = _slide(np.where(inside, grams, np.uint64((1 << 64) - 1)), w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    chosen = inside & (_slide(np.concatenate([edge, least, edge]), w, np.maximum) == grams)
-    at = np.flatnonzero(chosen)
-    return sizes, at, grams[at], runs
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every RUN words that repeat earlier ones: doc_id, text_hash, word, keep_doc_id (word: place of the first).
-
-    Words are parted by white space, line ends too, and compared without ASCII case.  The
-    first occurrence, by id (null first) and place, stays; what overlaps it in its own
-    document is no repeat of it.  Only fingerprints that occur twice have the RUN words
-    around them compared, and by `run_marks` no repeat is without one.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    source = source.where(F.length("text") >= 2 * RUN - 1)
-
-    def bulks(batches):
-        for b in slices(batches):
-            some, places, todo = [], [], 0
-            for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
-                t = t.encode("utf-8", "surrogatepass")
-                if len(t.split(None, RUN - 1)) >= RUN:
-                    some.append(t)
-                    places.append((doc, th))
-                    todo += len(t) // 6
-                if some and (todo > 100_000 or row == b.num_rows):
-                    yield places, run_marks(some)
-                    some, places, todo = [], [], 0
-
-    def prints(batches):
-        for places, (sizes, at, values, _) in bulks(batches):
-            of = np.searchsorted(np.cumsum(sizes), at, "right")
-            docs_ = np.array([(th ^ (0 if d is None else 2 * d + 1) * _BASE) & (1 << 64) - 1 for d, th in places], np.uint64)
-            keys = docs_[of] ^ (at - (np.cumsum(sizes) - sizes)[of]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(keys.view(np.int64))], ["key", "place"])
-
-    marks = source.mapInArrow(prints, "key long, place long")
-    twice = materialize(marks.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key"), "fingerprints")
-    likely = id_filter(twice, "key")
-
-    def around(batches):
-        w = RUN - GRAM + 1
-        for places, (sizes, at, values, runs) in bulks(batches):
-            at = at[np.fromiter(map(likely, values.view(np.int64).tolist()), bool, len(at))]
-            n = int(sizes.sum())
-            step = np.bincount(np.maximum(at - w + 1, 0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
-            ends = np.cumsum(sizes)
-            start = np.flatnonzero(np.cumsum(step)[: len(runs)] > 0)
-            of = np.searchsorted(ends, start, "right")
-            fits = start + RUN <= ends[of]
-            start, of = start[fits], of[fits]
-            ids = pa.array([d for d, _ in places], pa.int64()).take(pa.array(of))
-            cols = [pa.array(runs[start].view(np.int64)), ids, pa.array(np.array([th for _, th in places], np.int64)[of]), pa.array((start - (ends - sizes)[of]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "text_hash", "word"])
-
-    runs = materialize(source.mapInArrow(around, "key long, doc_id long, text_hash long, word int"), "runs")
-    place = F.struct("doc_id", "text_hash", "word")
-    first = runs.groupBy("key").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("key", "keep")
-    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
-    found = runs.join(first, "key").where(~(same & (F.col("word") < F.col("keep.word") + RUN)))
-    return found.select("doc_id", "text_hash", "word", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
+    member = live.join(comp, "node", "left").select("doc_id", "text_hash", "passage", "word", "words", F.coalesce("component", "node").alias("component"))
+    member = materialize(member, "members")
+
+    def repeats(some: DataFrame) -> DataFrame:
+        keep = some.groupBy("component").agg(F.min(place).alias("keep"), F.count("*").alias("c")).where("c > 1").select("component", "keep")
+        found = some.join(keep, "component").where(place != F.col("keep"))
+        return found.select("doc_id", "text_hash", "word", "words", F.col("keep.doc_id").alias("keep_doc_id"))
+
+    paragraphs = materialize(repeats(member.where("not passage")), "repeated-paragraphs")
+    # A passage that overlaps a repeated paragraph: some paragraph before it ends within it, or one begins within it.
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("word", "passage")
+    both = member.where("passage").unionByName(paragraphs.select("doc_id", "text_hash", F.lit(False).alias("passage"), "word", "words", F.lit(None).cast("long").alias("component")))
+    mine = F.when(~F.col("passage"), F.col("word"))
+    reach = F.max(mine + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.min(mine).over(w.rowsBetween(1, Window.unboundedFollowing))
+    free = both.withColumn("reach", reach).withColumn("begin", begin).where("passage and coalesce(reach <= word, true) and coalesce(begin >= word + words, true)")
+    found = repeats(free.select("doc_id", "text_hash", "word", "words", "component"))
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("word")
+    new = F.coalesce(F.lag(F.col("word") + F.col("words")).over(w) != F.col("word"), F.lit(True))
+    chains = found.withColumn("new", new.cast("int")).withColumn("chain", F.sum("new").over(w))
+    chains = chains.groupBy("doc_id", "text_hash", "chain").agg(F.min("word").alias("word"), F.sum("words").cast("int").alias("words"), F.min_by("keep_doc_id", "word").alias("keep_doc_id"))
+    return paragraphs.unionByName(chains.where(F.col("words") >= least).drop("chain"))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -297,59 +293,47 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
-def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
-    """`docs`, all columns and rows, with repeated runs of RUN and more words taken out of the text.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: str | None = None, **how) -> DataFrame:
+    """`docs`, all columns and rows, with repeated paragraphs and passages taken out of the text.
 
-    With `detail` the column __passages (array of word, words, keep_doc_id, in order; places
-    in the text as given) is added.  What counts as a repeat: see `repeated_runs`.
+    With `detail` a column of that name is added: what was removed, an array of (word,
+    words, keep_doc_id) in order, null for nothing; places are those in the text as given.
+    What counts as a repeat: see `repeated_units`.  Null texts stay null; a text may become
+    empty; repeated rows are treated alike; an empty table gives an empty result.
     """
-    gone = repeated_runs(docs, id_col, text_col)
-    gone = gone.groupBy(F.col("doc_id").alias("__gid"), F.col("text_hash").alias("__gth")).agg(F.array_sort(F.collect_list(F.struct("word", "keep_doc_id"))).alias("__at"))
-
-    def joined_up(batches):
-        for b in batches:
-            spans = []
-            for at in b.column("__at").to_pylist():
-                here = []
-                for x in at:
-                    if here and x["word"] <= here[-1]["word"] + here[-1]["words"]:
-                        here[-1]["words"] = x["word"] + RUN - here[-1]["word"]
-                    else:
-                        here.append({"word": x["word"], "words": RUN, "keep_doc_id": x["keep_doc_id"]})
-                spans.append(here)
-            kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("keep_doc_id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["__gid", "__gth", "__passages"])
-
-    passages = "array<struct<word:int,words:int,keep_doc_id:long>>"
-    gone = materialize(gone.mapInArrow(joined_up, f"__gid long, __gth long, __passages {passages}"), "passages")
-    likely = id_filter(gone, "__gth")
-    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text_col))
+    gone = repeated_units(docs, id_col=id_col, text_col=text_col, **how)
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("word", "words", "keep_doc_id"))).alias("spans"))
+    gone = materialize(gone, "spans")
+    likely = id_filter(gone, "text_hash")
+    own_id, own_hash, gone_id, gone_hash, spans = free_names(docs, 5)
+    marked = docs.withColumns({own_id: F.col(f"`{id_col}`").cast("long"), own_hash: F.xxhash64(f"`{text_col}`")})
 
     def part(wanted: bool):
         def run(batches):
             for b in batches:
-                yield b.filter(pa.array([likely(th) == wanted for th in b.column("__th").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array(likely.many(b.column(own_hash).to_numpy()) == wanted))
 
         return marked.mapInArrow(run, marked.schema)
 
     # Only texts that may have repeats are dealt out for the join.
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    hit = part(True).join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left").select(*cols, "__passages")
+    names = docs.columns
+    gone = gone.toDF(gone_id, gone_hash, spans)
+    hit = part(True).join(gone, F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash)), "left")
+    hit = hit.select(*[F.col(f"`{c}`") for c in names], spans)
+    out_schema = hit.withColumnRenamed(spans, detail).schema if detail else docs.schema
 
     def cut(batches):
         for b in slices(batches):
             k = b.schema.get_field_index(text_col)
             texts = b.column(k).to_pylist()
-            for i, r in enumerate(b.column("__passages").to_pylist()):
+            for i, r in enumerate(b.column(spans).to_pylist()):
                 if r:
                     texts[i] = without_words(texts[i], [(x["word"], x["words"]) for x in r])
-            yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
-
-    out = hit.mapInArrow(cut, hit.schema).unionByName(part(False).select(*cols, F.lit(None).cast(passages).alias("__passages")))
-    return out if detail else out.drop("__passages")
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False, **how) -> DataFrame:
-    """Repeated paragraphs (`dedup_paragraphs`), then repeated runs of what is left (`dedup_runs`), taken out of the text."""
-    left = materialize(dedup_paragraphs(docs, id_col, text_col, detail, **how), "paragraphs-left")
-    return dedup_runs(left, id_col, text_col, detail)
+            columns = [pa.array(texts, f.type) if f.name == text_col else b.column(j) for j, f in enumerate(b.schema)]
+            columns, fields = (columns, [*names, detail]) if detail else (columns[:-1], names)
+            yield pa.RecordBatch.from_arrays(columns, fields)
+
+    rest = part(False).select(*[F.col(f"`{c}`") for c in names])
+    if detail:
+        rest = rest.withColumn(detail, F.lit(None).cast(out_schema[detail].dataType))
+    return hit.mapInArrow(cut, out_schema).unionByName(rest)

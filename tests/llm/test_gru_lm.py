@@ -21,15 +21,15 @@ def corpus(n=160, seed=1):
     return rows
 
 
-def test_gradient_is_the_slope(monkeypatch):
+def test_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     net = lm.GatedNet(3)
     net.p = {k: a.astype(np.float64) for k, a in net.p.items()}
-    x = rng.integers(0, lm.FREQUENT + lm.BUCKETS, (5, 4)).astype(np.int32)
-    y = rng.integers(-1, lm.FREQUENT + lm.BUCKETS, (5, 4)).astype(np.int32)
+    x = rng.integers(0, lm.FREQUENT + lm.BUCKETS, (5, 4)).astype(np.int16)
+    y = rng.integers(-1, lm.FREQUENT + lm.BUCKETS, (5, 4)).astype(np.int16)
+    y[:, 0] = (0, 3, 17, 70, 300)
     reset = rng.random((5, 4)) < 0.3
-    h0 = rng.normal(0, 1, (4, lm.HIDDEN))
-    monkeypatch.setattr(np, "float32", np.float64)
+    h0 = rng.normal(0, 1, (lm.HIDDEN, 4))
     g, _, base = net.gradients(x, y, reset, h0)
     for k in net.p:
         top = np.argsort(-np.abs(g[k]).ravel())[:4]
@@ -45,24 +45,63 @@ def test_gradient_is_the_slope(monkeypatch):
 
 def test_probabilities_sum_to_one():
     net = lm.GatedNet(1).start_from_counts(np.arange(lm.FREQUENT, 0, -1.0), np.full(lm.RARE, 9.0))
-    h = np.random.default_rng(2).normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
+    h = np.random.default_rng(2).normal(0, 1, (lm.HIDDEN, 1)).astype(np.float32)
     y = np.arange(lm.FREQUENT + lm.RARE)
-    logp, _ = net.log_probabilities(np.repeat(h, len(y), 0), y)
-    assert abs(np.exp(logp.astype(np.float64)).sum() - 1) < 1e-4
+    for scale in (1, 80):  # weights too large for plain exponentials, too
+        net.p["V"] *= scale
+        logp, _ = net.log_probabilities(np.repeat(h, len(y), 1), y)
+        assert abs(np.exp(logp.astype(np.float64)).sum() - 1) < 1e-4
+
+
+def step_by_step(net, d):
+    h, total = np.zeros((lm.HIDDEN, 1), np.float32), 0.0
+    for a, b in zip([0, *d], [*d, 0], strict=True):
+        h = net.forward(np.array([[a]]), np.array([[False]]), h).copy()
+        total += float(net.log_probabilities(h, np.array([b]))[0][0])
+    return total
 
 
 def test_lanes_and_windows_give_the_likelihood_of_each_document():
     rng = np.random.default_rng(5)
     net = lm.GatedNet(2)
-    docs = [rng.integers(1, 2000, n).astype(np.int32) for n in (0, 1, 70, 3, 24, 23, 120)]
-    got = lm.score_docs(net, docs, lanes=3)
-    for d, s in zip(docs, got, strict=True):
-        h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
-        for a, b in zip([0, *d], [*d, 0], strict=True):
-            hs = net.forward(np.array([[a]]), np.array([[False]]), h, net.table())
-            h = hs[-1]
-            total += float(net.log_probabilities(hs[0], np.array([b]))[0][0])
-        assert abs(total - s) < 1e-2
+    docs = [rng.integers(1, 2000, n).astype(np.int16) for n in (0, 1, 70, 3, 24, 23, 120)]
+    for lanes in (1, 3, 512):
+        for d, s in zip(docs, lm.score_docs(net, docs, lanes), strict=True):
+            assert abs(step_by_step(net, d) - s) < 1e-2
+
+
+def test_parts_of_long_documents_hold_every_token_once():
+    docs = [np.arange(1, n + 1, dtype=np.int16) for n in (0, 5, 9, 10, 11, 40)]
+    x, y, reset, which = lm.lanes_of(docs, 3, 10)
+    for k, d in enumerate(docs):
+        here = (which == k) & (y >= 0)
+        assert sorted(zip(x[here].tolist(), y[here].tolist(), strict=True)) == sorted(zip([0, *d.tolist()], [*d.tolist(), 0], strict=True))
+    assert reset.sum() == 1 + 1 + 1 + 2 + 2 + 5
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(1)
+    docs = [np.tile(rng.integers(1, 2000, 3), 200).astype(np.int16) for _ in range(40)]
+    net = lm.GatedNet(1)
+    before = lm.score_docs(net, docs).sum()
+    for _ in range(4):
+        lm.train_on(net, docs, 8)
+    assert lm.score_docs(net, docs).sum() > 0.8 * before
+
+
+def test_averaging_in_levels(spark):
+    net = lm.GatedNet()
+    size = sum(a.size for a in net.p.values())
+    rows = [(k, k + 1, (np.full(size, float(k)) * (k + 1)).tobytes()) for k in range(40)]
+    lm._average(net, spark.createDataFrame(rows, "task int, weight long, params binary"), 40, 3)
+    want = sum(k * (k + 1) for k in range(40)) / sum(range(41))
+    assert all(np.allclose(a, want) for a in net.p.values())
+
+
+def test_listed_words_break_ties_by_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 3)
+    counts = spark.createDataFrame([(b"b", 5), (b"a", 5), (b"d", 5), (b"c", 5), (b"z", 9)], "word binary, c long")
+    assert lm.most_frequent(counts) == [(b"z", 9), (b"a", 5), (b"b", 5)]
 
 
 def test_counts_base_and_gain(spark, monkeypatch):

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from panelweave.llm import piece_codec
 from panelweave.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -14,7 +15,39 @@ TEXTS = ["Hello world, the quick brown fox", "", " ", "  two  spaces ", "naïve
 
 @pytest.fixture(scope="module")
 def plain():
-    return PieceCodec(MODEL, dropout=0.0, variants=1)
+    return PieceCodec(MODEL, dropout=0.0)
+
+
+def naive(codec, text, key):
+    """The agenda on strings, one whole text at a time: best score, then leftmost; a skipped pair stays out."""
+    if not text:
+        return []
+    sym = [(i, i + 1, "▁" if c == " " else "\0" if c == "▁" else c, c) for i, c in enumerate(" " + text)]
+    base, skipped = codec.base(np.array([key])), set()
+    while True:
+        found = []
+        for k in range(len(sym) - 1):
+            a, b = sym[k], sym[k + 1]
+            i = codec.ids.get(a[2] + b[2])
+            if i is not None and (a[0], b[0], b[1]) not in skipped:
+                found.append((-codec.score[i], k))
+        if not found:
+            break
+        k = min(found)[1]
+        a, b = sym[k], sym[k + 1]
+        if codec.limit and codec.dropped(base, *(np.array([x]) for x in (a[0], b[0], b[1])))[0]:
+            skipped.add((a[0], b[0], b[1]))
+        else:
+            sym[k : k + 2] = [(a[0], b[1], a[2] + b[2], None)]
+    out = []
+    for _, _, s, c in sym:
+        out += [codec.ids[s]] if s in codec.ids else [int(codec.byte_id[x]) for x in c.encode()]
+    return out
+
+
+def odd_texts(seed, n, letters, most=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(letters, k=rng.randrange(most))) for _ in range(n)]
 
 
 def test_without_dropout_equals_the_library(plain):
@@ -22,18 +55,27 @@ def test_without_dropout_equals_the_library(plain):
     rng = random.Random(1)
     texts = [t for t in TEXTS if t and "▁" not in t and len(t) < 9000 and "\x00" not in t]
     texts += [" ".join("".join(rng.choices("abcdehlnorst ,.äß\n", k=rng.randrange(1, 12))) for _ in range(20)) for _ in range(150)]
-    for t in texts:
-        assert plain.encode(t).tolist() == sp.encode(t), t
+    for t, got in zip(texts, plain.encode_many(texts, [0] * len(texts)), strict=True):
+        assert got.tolist() == sp.encode(t), t
+
+
+def test_dropout_equals_a_naive_agenda():
+    texts = [t for t in TEXTS if t is not None and len(t) < 100]
+    texts += odd_texts(2, 120, "ab ▁\nß日🎉the")
+    texts += odd_texts(3, 60, ["the", " in", "tern", "ation", "al", " ", "ing", "!!", "ß"], 30)
+    texts += ["x" * 70 + " internationalisation", "pneumonoultramicroscopicsilicovolcanoconiosis" * 2]
+    for dropout in (0.1, 0.5):
+        codec = PieceCodec(MODEL, dropout=dropout, seed=3)
+        for k, (t, got) in enumerate(zip(texts, codec.encode_many(texts, list(range(len(texts)))), strict=True)):
+            assert got.tolist() == naive(codec, t, k), t
 
 
 def test_round_trip_and_variety(plain):
-    rng = random.Random(2)
-    texts = [t for t in TEXTS if t is not None]
-    texts += ["".join(rng.choices("ab ▁\nß日🎉the", k=rng.randrange(80))) for _ in range(300)]
+    texts = [t for t in TEXTS if t is not None] + odd_texts(2, 300, "ab ▁\nß日🎉the", 80)
     for dropout in (0.0, 0.1, 0.5, 1.0):
         codec = PieceCodec(MODEL, dropout=dropout, seed=3)
-        for k, t in enumerate(texts):
-            assert codec.decode(codec.encode(t, k)) == t
+        for t, ids in zip(texts, codec.encode_many(texts, list(range(len(texts)))), strict=True):
+            assert codec.decode(ids) == t
     text = "The government established several international organisations " * 20
     codec = PieceCodec(MODEL, dropout=0.1, seed=3)
     a, b = codec.encode(text, 1).tolist(), codec.encode(text, 2).tolist()
@@ -42,6 +84,15 @@ def test_round_trip_and_variety(plain):
     base = len(plain.encode(text))
     assert base < len(a) < 3 * base
     assert len(PieceCodec(MODEL, dropout=1.0).encode("hello")) == 6
+    assert plain.decode(plain.byte_id[[0x61, 0xFF, 0x62]]) == "�b"
+
+
+def test_parts_of_a_long_text_do_not_show(monkeypatch):
+    text = "several   international organisations\n" * 40 + "y" * 300 + " end"
+    codec = PieceCodec(MODEL, dropout=0.2, seed=1)
+    whole = codec.encode(text, -5).tolist()
+    monkeypatch.setattr(piece_codec, "BULK", 64)
+    assert codec.encode(text, -5).tolist() == whole and codec.decode(whole) == text
 
 
 def test_every_merge_is_a_piece_made_of_two(plain):
@@ -50,7 +101,7 @@ def test_every_merge_is_a_piece_made_of_two(plain):
 
 
 def test_table(spark):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "y"), (None, "null id", "z")]
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "y"), (None, "null id", "z"), (-7, "below zero", "z")]
     one = encode_pieces(spark.createDataFrame(rows, SCHEMA).repartition(1), seed=5)
     many = encode_pieces(spark.createDataFrame(rows, SCHEMA).repartition(6), seed=5)
     key = lambda r: (str(r.doc_id), r.n_pieces)
@@ -58,28 +109,33 @@ def test_table(spark):
     back = decode_pieces(many).collect()
     assert sorted((str(r.doc_id), r.text) for r in back if r.text is not None) == sorted((str(i), t) for i, t, _ in rows if t is not None)
     assert all((r.n_pieces, r.ids) == (0, None) for r in back if r.doc_id == 10)
-    assert encode_pieces(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = encode_pieces(spark.createDataFrame([], SCHEMA))
+    assert empty.count() == 0 and decode_pieces(empty).count() == 0
 
 
-def test_every_occurrence_is_drawn_on_its_own(plain):
-    word = "▁international"
-    merges, whole = plain.merge(word)
-    codec = PieceCodec(MODEL, dropout=0.1, seed=3)
+def test_query_equals_a_naive_agenda(spark, tmp_path):
+    from panelweave.llm.queries import op5_piece_codec
+
+    rows = [(i, t, "x") for i, t in enumerate([*odd_texts(7, 40, "ab ▁ß日the int", 50), None, ""])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    codec = PieceCodec(MODEL, dropout=0.1, seed=7)
+    got = {r.doc_id: (r.n_pieces, r.ids) for r in op5_piece_codec(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        want = naive(codec, t, i)
+        assert got[i] == (len(want), None if t is None else want)
+
+
+def test_every_candidate_of_every_occurrence_is_drawn_on_its_own(plain):
     n = 4000
-    got = codec.encode("international " * n, 1)
-    texts = {}
-    for k in range(n):
-        key = codec._join([word], k)
-        texts[key] = texts.get(key, 0) + 1
-    assert len(texts) > 8  # not a small table of segmentations per word
-    # The law is that of one free draw per candidate (a skipped merge may come back by another way).
-    rng = random.Random(4)
-    free = {}
-    for _ in range(n):
-        ids = np.array(plain.merge(word, {t for t in range(80) if rng.random() < 0.1})[1], "<i4").tobytes()
-        free[ids] = free.get(ids, 0) + 1
-    assert all(abs(texts.get(x, 0) - free.get(x, 0)) < 0.04 * n for x in {*texts, *free})
-    assert 0.9**merges < texts[np.array(whole, "<i4").tobytes()] / n < 1 and len(got) > n * len(whole)
-    short = next(w for w in ("▁a", "▁t", "▁s") if plain.merge(w)[0] == 1)  # a single merge
-    rates = [sum(len(codec._join([short], k + 10_000 * s)) > 4 for k in range(n)) / n for s in range(3)]
-    assert all(abs(r - 0.1) < 0.02 for r in rates)
+    codec = PieceCodec(MODEL, dropout=0.1, seed=3)
+    # One merge only: "▁a" out of "▁" and "a"; it is skipped in a tenth of the places and of the documents.
+    assert len(plain.encode("a")) == 1
+    in_text = np.array(codec.encode("a " * n + "a", 1))
+    pair = plain.encode("a")[0]
+    assert abs((in_text == pair).sum() / (n + 1) - 0.9) < 0.02
+    over_docs = sum(len(x) == 1 for x in codec.encode_many(["a"] * n, list(range(n))))
+    assert abs(over_docs / n - 0.9) < 0.02
+    word = "international"
+    ways = {tuple(x.tolist()) for x in codec.encode_many([word] * n, list(range(n)))}
+    assert len(ways) > 20  # not a small table of segmentations per word

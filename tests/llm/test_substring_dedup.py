@@ -1,19 +1,47 @@
 import random
 
-from panelweave.llm.common import _xxhash64_long, components, id_filter
-from panelweave.llm.substring_dedup import RUN, dedup_paragraphs, dedup_runs, dedup_substrings, paragraphs, without_words
+import numpy as np
+import pytest
 
-SCHEMA = "doc_id long, text string, paragraph string, digest string"
+from panelweave.llm.common import components, free_names, id_filter, xxhash64_longs
+from panelweave.llm.substring_dedup import LEAD, RADIUS, Units, bands_for, dedup_substrings, without_words
+from panelweave.llm.trie_join import parity_sketch
 
+SCHEMA = "doc_id long, text string, word string, _0 string"
 
-def grams(p, n=5):
-    w = p.lower().split()
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
 
+def ascii_words(text):
+    return text.encode().lower().split()
 
-def brute(rows, min_words=20):
-    docs = sorted({(i, t) for i, t, *_ in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
-    units = [(i, t, k, grams(p)) for i, t in docs for k, p in paragraphs(t, min_words)]
+
+def grams(ws, n=5):
+    return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))}
+
+
+def cuts_of(ws):
+    """By definition: strictly below the places before, not above those after; values as the code hashes them."""
+    from panelweave.llm.ngram_join import _HASH
+    from panelweave.llm.substring_dedup import _grams
+
+    g = [int(x) for x in _grams(np.array([_HASH[w] for w in ws], np.uint64), LEAD)]
+    return [i for i in range(len(ws)) if i == 0 or (i < len(g) and all(g[j] > g[i] for j in range(max(0, i - RADIUS), i)) and all(g[j] >= g[i] for j in range(i + 1, min(len(g), i + RADIUS + 1))))]
+
+
+def brute(rows, min_words=20, least=24, n=5):
+    """Texts left, as words: all pairs of units of a kind, single links, first occurrences stay."""
+    docs = sorted({(i, t) for i, t, *_ in rows if t}, key=lambda x: (x[0] is not None, x[0] or 0))
+    units = []
+    for d, (_, t) in enumerate(docs):
+        at = 0
+        for line in t.encode().lower().split(b"\n"):
+            k = len(line.split())
+            if k >= min_words:
+                units.append((0, d, at, k))
+            at += k
+        ws = ascii_words(t)
+        c = [*cuts_of(ws), len(ws)] if len(ws) >= least else []
+        units += [(1, d, a, b - a) for a, b in zip(c, c[1:], strict=False) if b - a >= n]
+    sets = [grams(ascii_words(docs[d][1])[a : a + k]) for _, d, a, k in units]
     up = list(range(len(units)))
 
     def root(x):
@@ -21,60 +49,142 @@ def brute(rows, min_words=20):
             x = up[x]
         return x
 
-    for a in range(len(units)):
-        for b in range(a):
-            x, y = units[a][3], units[b][3]
-            if 100 * len(x & y) >= 80 * len(x | y):
-                r, s = root(a), root(b)
-                up[max(r, s)] = min(r, s)
-    gone = {}
-    for k, (i, t, j, _) in enumerate(units):
-        if root(k) != k:
-            gone.setdefault((i, t), set()).add(j)
-    return {(i, t): "\n".join(p for j, p in enumerate(t.split("\n")) if j not in gone.get((i, t), ())) if t is not None else None for i, t in docs}
-
-
-def corpus(seed):
+    of: dict = {}
+    for k, (kind, *_) in enumerate(units):
+        for g in sets[k]:
+            of.setdefault((kind, g), []).append(k)
+    for some in of.values():
+        for k in some[1:]:
+            if root(k) != root(some[0]) and 100 * len(sets[k] & sets[some[0]]) >= 80 * len(sets[k] | sets[some[0]]):
+                up[root(k)] = root(some[0])
+    for some in of.values():
+        for i, a in enumerate(some):
+            for b in some[:i]:
+                if root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    up[root(a)] = root(b)
+
+    def repeats(ks):
+        first = {}
+        for k in ks:
+            first[root(k)] = min(first.get(root(k), (1 << 60, 0)), units[k][1:3])
+        return [units[k][1:] for k in ks if units[k][1:3] != first[root(k)]]
+
+    gone = {d: set() for d in range(len(docs))}
+    for d, a, k in repeats([k for k, u in enumerate(units) if u[0] == 0]):
+        gone[d].update(range(a, a + k))
+    free = [k for k, (kind, d, a, m) in enumerate(units) if kind == 1 and gone[d].isdisjoint(range(a, a + m))]
+    chains: dict = {}
+    for d, a, m in sorted(repeats(free)):
+        here = chains.setdefault(d, [])
+        if here and here[-1][0] + here[-1][1] == a:
+            here[-1][1] += m
+        else:
+            here.append([a, m])
+    for d, here in chains.items():
+        for a, m in here:
+            if m >= least:
+                gone[d].update(range(a, a + m))
+    return {docs[d]: [w for k, w in enumerate(ascii_words(docs[d][1])) if k not in g] for d, g in gone.items()}
+
+
+def corpus(seed, n=150):
     rng = random.Random(seed)
-    vocab = [f"w{i}" for i in range(400)]
-    pool, rows = [], []
-    for i in range(120):
-        ps = []
-        for _ in range(rng.randrange(5)):
-            if pool and rng.random() < 0.5:
-                ws = rng.choice(pool).split()
+    vocab = [f"W{i}" for i in range(600)]
+    pool, rows = [rng.choices(vocab, k=k) for k in (51, 52, 60, 75, 120)], []
+    for i in range(n):
+        ws: list = []
+        for _ in range(rng.randrange(1, 4)):
+            if rng.random() < 0.4:
+                some = list(rng.choice(pool))
                 for _ in range(rng.randrange(3)):
-                    ws[rng.randrange(len(ws))] = rng.choice(vocab)
+                    some[rng.randrange(len(some))] = rng.choice(vocab)
             else:
-                ws = rng.choices(vocab, k=rng.choice((1, 8, 19, 20, 60, 90)))
-            pool.append(" ".join(ws))
-            ps.append(pool[-1])
-        rows.append((i, "\n".join(ps), "x", None))
-    return rows + [(500, None, "x", None), (501, "", None, "x"), (502, "\n\n", "x", "x"), (503, "a\u00a0b" * 40 + " " + "c\x1cd " * 9, "x", "x")]
+                some = rng.choices(vocab, k=rng.choice((1, 8, 19, 20, 60, 90)))
+            if len(some) > 18 and rng.random() < 0.3:
+                pool.append(some)
+            ws += [*some, "\n"] if rng.random() < 0.6 else some
+        width = rng.choice((7, 19, 100, 10_000))  # hard-wrapped lines hold no paragraph of 20 words
+        rows.append((i, "\n".join(" ".join(ws[a : a + width]) for a in range(0, len(ws), width)), "x", None))
+    odd = [(500, None, "x", None), (501, "", None, "x"), (502, "\n \n", "x", "x"), (503, "a b" * 40 + " " + "c\x1cd " * 30, "x", "x"), (504, "tail " * 30000, "x", "x"), (505, "tail " * 30000, "x", "x")]
+    return rows + odd + [rows[9], (None, rows[6][1], "x", "x"), (501, "p q r", "x", "x")]
 
 
 def test_equals_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
-        rows += [rows[7], (900, "\n".join([rows[3][1]] + ["tail " * 30000] * 2), "x", "x")]
         docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-        got = dedup_paragraphs(docs)
+        got = dedup_substrings(docs, recall=0.9999999)
         assert got.columns == docs.columns
         want = brute(rows)
-        assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(i, want[i, t]) for i, t, *_ in rows], key=str)
+        got = got.collect()
+        assert len(got) == len(rows)
+        have = sorted((str(r.doc_id), ascii_words(r.text)) for r in got if r.text)
+        full = [(str(i), want[i, t]) for i, t, *_ in rows if t]
+        assert have == sorted((i, w) for i, w in full if w or (i, w) in have)
+        before = {(str(i), t) for i, t, *_ in rows}
+        assert sum((str(r.doc_id), r.text) in before for r in got) > 60  # texts without a repeat are as they were
 
 
-def test_empty_table(spark):
-    assert dedup_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
+def test_passages_that_begin_and_end_within_lines_are_caught_and_clean_texts_stay(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    passages = [rng.choices(vocab, k=rng.randrange(51, 90)) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        ws = rng.choices(vocab, k=rng.randrange(30, 300))
+        if i < 180:
+            a = rng.randrange(len(ws) + 1)
+            ws[a:a] = passages[i % 60]
+        width = rng.choice((9, 40, 200))
+        rows.append((i, "\n".join(" ".join(ws[a : a + width]) for a in range(0, len(ws), width)), "x", "x"))
+    got = {r.doc_id: r.removed for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA), detail="removed").collect()}
+    caught = [got[i] is not None for i in range(60, 180)]
+    assert np.mean(caught) >= 0.95 and all(got[i] is None for i in [*range(60), *range(180, 300)])
+
+
+def test_detail_and_white_space(spark):
+    p = " ".join(f"x{i}" for i in range(60))
+    rows = [(5, "a\n" + p, "", ""), (9, p + "\nb", "", ""), (11, "c\n" + p, "", "")]
+    got = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA), detail="removed").collect()}
+    assert got[5].removed is None and got[5].text == "a\n" + p
+    assert [tuple(x) for x in got[9].removed] == [(0, 60, 5)] and got[9].text == "b"
+    assert [tuple(x) for x in got[11].removed] == [(1, 60, 5)] and got[11].text == "c"
+    assert without_words("a\nb c\nd", [(1, 2)]) == "a\nd" and without_words("a\nb c\nd", [(1, 1)]) == "a\nc\nd"
+    assert without_words(" a b\n", [(0, 2)]) == " " and without_words("a b c d", [(1, 1), (3, 1)]) == "a c"
 
 
-def test_detail_names_the_kept_occurrence(spark):
-    p = " ".join(f"x{i}" for i in range(60))
-    docs = spark.createDataFrame([(5, "a\n" + p, "", ""), (9, p + "\nb", "", ""), (11, "c\n" + p, "", "")], SCHEMA)
-    got = {r.doc_id: r for r in dedup_paragraphs(docs, detail=True).collect()}
-    assert got[5]["__removed"] is None and got[5].text == "a\n" + p
-    assert [tuple(x) for x in got[9]["__removed"]] == [(0, 5, 1)] and got[9].text == "b"
-    assert [tuple(x) for x in got[11]["__removed"]] == [(1, 5, 1)] and got[11].text == "c"
+def test_bands_follow_the_threshold():
+    for num in (50, 70, 80, 90):
+        for rows in (1, 2, 3):
+            b = bands_for(num, 100, rows)
+            s = num / 100
+            assert 1 - (1 - s**rows) ** b >= 0.99 and (b == 1 or 1 - (1 - s**rows) ** (b - 1) < 0.99)
+
+
+def test_units_and_sketches_equal_their_definition():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "B", "c\n", "dd", "e"], k=rng.randrange(0, 300))).encode() for _ in range(40)]
+    u = Units(texts, 5, 20, 24)
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for line in t.split(b"\n"):
+            if len(line.split()) >= 20:
+                want.append((k, at, len(line.split())))
+            at += len(line.split())
+    assert list(zip(u.text[: u.paragraphs], u.word[: u.paragraphs], u.words[: u.paragraphs], strict=True)) == want
+    for j in range(len(u.size)):
+        ws = ascii_words(texts[u.text[j]].decode())[u.word[j] : u.word[j] + u.words[j]]
+        items = u.items[u.ends[j] - u.size[j] : u.ends[j]]
+        assert len(items) == len(grams(ws)) and (np.diff(items.astype(np.int64)) > 0).all()
+    assert u.sketches() == [parity_sketch(u.items[e - k : e]) for e, k in zip(u.ends, u.size, strict=True)]
+
+
+def test_odd_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert dedup_substrings(empty).count() == 0 and dedup_substrings(empty, detail="x").columns == [*empty.columns, "x"]
+    with pytest.raises(ValueError):
+        dedup_substrings(empty, min_words=3)
 
 
 def test_components_and_filter(spark):
@@ -97,74 +207,8 @@ def test_components_and_filter(spark):
     from pyspark.sql import functions as F
 
     ids = spark.createDataFrame([(i * i - 50,) for i in range(500)], "node long")
-    assert [r[0] for r in ids.select(F.xxhash64("node")).collect()] == [h - (1 << 64) if (h := _xxhash64_long(i * i - 50)) >> 63 else h for i in range(500)]
+    own = np.array([i * i - 50 for i in range(500)])
+    assert [r[0] for r in ids.select(F.xxhash64("node")).collect()] == xxhash64_longs(own).view(np.int64).tolist()
     test = id_filter(ids, "node")
-    assert all(test(i * i - 50) for i in range(500)) and sum(test(10**9 + i) for i in range(10_000)) < 30
-
-
-def brute_runs(rows):
-    """Texts left after every RUN words that stand earlier are cut."""
-    docs = sorted({(i, t) for i, t, *_ in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    first, left = {}, {}
-    for d, (i, t) in enumerate(docs):
-        words = t.encode().lower().split()
-        gone = set()
-        for a in range(len(words) - RUN + 1):
-            e, b = first.setdefault(tuple(words[a : a + RUN]), (d, a))
-            if e < d or a >= b + RUN:
-                gone.update(range(a, a + RUN))
-        left[i, t] = [w for k, w in enumerate(words) if k not in gone]
-    return left
-
-
-def shared_runs(texts):
-    seen = {}
-    for k, t in enumerate(texts):
-        w = t.encode().lower().split()
-        for a in range(len(w) - RUN + 1):
-            seen.setdefault(tuple(w[a : a + RUN]), set()).add(k)
-    return sum(len(x) > 1 for x in seen.values())
-
-
-def planted(seed):
-    rng = random.Random(seed)
-    vocab = [f"W{i}" for i in range(500)]
-    passages = [rng.choices(vocab, k=k) for k in (50, 51, 60, 75, 120)]
-    rows = []
-    for i in range(150):
-        w = rng.choices(vocab, k=rng.choice((3, 49, 200, 400)))
-        if i % 3 == 0:
-            a = rng.randrange(len(w) + 1)
-            w[a:a] = rng.choice(passages)
-        width = rng.choice((7, 12, 19, 100, 10_000))  # hard-wrapped lines hold no paragraph of 20 words
-        rows.append((i, "\n".join(" ".join(w[a : a + width]) for a in range(0, len(w), width)), "x", "x"))
-    return rows + [(None, rows[3][1], "x", "x"), (500, rows[6][1], "x", "x"), (501, "tail " * 300, "x", "x"), (502, None, "x", "x"), rows[9]]
-
-
-def test_runs_inside_and_across_lines(spark):
-    for seed in (1, 2):
-        rows = planted(seed)
-        docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-        want = brute_runs(rows)
-        got = dedup_runs(docs)
-        assert got.columns == docs.columns
-        got = got.collect()
-        before = {(str(i), t) for i, t, *_ in rows}
-        assert len(got) == len(rows)
-        left = sorted((str(r.doc_id), " ".join(r.text.lower().split())) for r in got if r.text is not None)
-        assert left == sorted((str(i), " ".join(w.decode() for w in want[i, t])) for i, t, *_ in rows if t is not None)
-        assert sum((str(r.doc_id), r.text) in before for r in got) > 90  # texts without a repeat are as they were
-        both = {(r.doc_id, r.text) for r in dedup_substrings(docs).collect() if r.text is not None}
-        assert shared_runs([t for _, t in both]) == 0
-        assert shared_runs([t for t in {r.text for r in dedup_paragraphs(docs).collect()} if t]) > 0
-
-
-def test_passage_detail_and_white_space(spark):
-    p = " ".join(f"x{i}" for i in range(60))
-    rows = [(5, "a " + p + " b\nc", "", ""), (9, "d e " + p.replace(" x30 ", "\nx30 ") + "\nf", "", ""), (11, p + " g", "", "")]
-    got = {r.doc_id: r for r in dedup_runs(spark.createDataFrame(rows, SCHEMA), detail=True).collect()}
-    assert got[5].text == rows[0][1] and got[5]["__passages"] is None
-    assert got[9].text == "d e\nf" and [tuple(x) for x in got[9]["__passages"]] == [(2, 60, 5)]
-    assert got[11].text == "g" and [tuple(x) for x in got[11]["__passages"]] == [(0, 60, 5)]
-    assert without_words("a\nb c\nd", [(1, 2)]) == "a\nd" and without_words("a\nb c\nd", [(1, 1)]) == "a\nc\nd"
-    assert without_words(" a b\n", [(0, 2)]) == " " and without_words("a b c d", [(1, 1), (3, 1)]) == "a c"
+    assert test.many(own).all() and test.many(10**9 + np.arange(10_000)).sum() < 1000
+    assert free_names(spark.createDataFrame([], SCHEMA), 2) == ["_1", "_2"]
