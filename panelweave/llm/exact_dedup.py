@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import materialize
+from panelweave.llm.common import free_names, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -30,24 +30,38 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 KEY = ["text_sha256", "check", "norm_chars"]
 
 
-def merge_runs(digests: DataFrame, runs: int, fan_in: int = 16) -> DataFrame:
+def merge_runs(digests: DataFrame, runs: int, bits: int = 4, slices: int = 256) -> DataFrame:
     """One row per digest: `best` (the row that stays) and `group_size`.
 
-    `runs` sorted runs are merged `fan_in` at a time, level by level, each level
-    keeping for every verified digest the best row and the number of rows.  A group of
-    copies has at most one row per run, so no task ever holds the copies of one text.
+    The digests of run r (rows with that `run`) are one sorted run in `slices` slices by
+    the digest.  In each round the runs exchange along `bits` levels of a binomial tree: a run
+    goes to the run whose number lacks its lowest `bits` bits, slice by slice, where the
+    runs that arrive are merged in order of the digest, and of every verified digest
+    the first row (the best) and the number of rows are kept.  A group of copies has at
+    most one row per run and round, so no task ever holds the copies of one text.
     """
-    best = F.min(F.struct((-F.col("n_chars")).alias("neg_chars"), "doc_id", "row")).alias("best")
-    level = digests.groupBy(F.pmod("run", F.lit(runs)).alias("run"), *KEY).agg(best, F.count("*").alias("group_size"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = level.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), *KEY).agg(
-            F.min("best").alias("best"), F.sum("group_size").alias("group_size")
-        )
-    return level.drop("run")
+    level = digests.select(
+        (F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long") % slices).cast("int").alias("slice"), "run", *KEY,
+        (-F.col("n_chars")).alias("neg_chars"), "doc_id", "row", F.lit(1).cast("long").alias("group_size"),
+    )
+    best = ["neg_chars", "doc_id", "row"]
+    group = Window.partitionBy("slice", "run", *KEY)
+
+    def merged(level: DataFrame) -> DataFrame:
+        """Rows of one (slice, run) meet in one task and are sorted once; both windows go by that order."""
+        level = level.repartition("slice", "run").sortWithinPartitions("slice", "run", *KEY, *best)
+        first = F.row_number().over(group.orderBy(*best))
+        return level.withColumn("first", first).withColumn("group_size", F.sum("group_size").over(group)).where("first = 1").drop("first")
+
+    while True:
+        level = merged(level.withColumn("run", F.shiftright("run", bits)))
+        runs = (runs - 1 >> bits) + 1
+        if runs <= 1:
+            break
+    return level.select(*KEY, F.struct(*best).alias("best"), "group_size")
 
 
-def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
     """The verdict on every row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Texts are equal when identical after deleting every ``[\\x20\\x09-\\x0D]``.  Of equal
@@ -60,7 +74,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = digests.withColumn("run", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     digests = materialize(digests, "digests")
     runs = digests.agg(F.max("run")).first()[0]
-    winners = merge_runs(digests, (runs or 0) + 1, fan_in)
+    winners = merge_runs(digests, (runs or 0) + 1, bits)
     winners = winners.select(
         *KEY, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")
     )
@@ -72,20 +86,15 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, all its columns, without exact copies (see `exact_copies`).
 
-    Rows that repeat both id and text are one document: any one of them stays.
+    Rows that repeat both id and text are one document: any one of them stays.  Null and
+    empty texts are one group, of which one row stays; a null id is the smallest; an empty
+    table gives an empty result.
     """
-    keep = exact_copies(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"), F.col("n_chars").alias("__keep_n")
-    )
-    marked = (
-        docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-        .withColumn("__n", F.length(F.coalesce(text_col, F.lit(""))).cast("long"))
-        .withColumn("__id", F.col(id_col))
-    )
-    same = (
-        F.col("__id").eqNullSafe(F.col("__keep_id"))
-        & (F.col("__sha") == F.col("__keep_sha"))
-        & (F.col("__n") == F.col("__keep_n"))
-    )
+    keep = exact_copies(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256", "n_chars")
+    own_id, own_sha, own_n, keep_id, keep_sha, keep_n = free_names(docs, 6)
+    keep = keep.toDF(keep_id, keep_sha, keep_n)
+    text = F.col(f"`{text_col}`")
+    marked = docs.withColumns({own_id: F.col(f"`{id_col}`"), own_sha: F.sha2(normalised(text), 256), own_n: F.length(F.coalesce(text, F.lit(""))).cast("long")})
+    same = F.col(own_id).eqNullSafe(F.col(keep_id)) & (F.col(own_sha) == F.col(keep_sha)) & (F.col(own_n) == F.col(keep_n))
     kept = marked.join(keep, same, "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates([own_id, own_sha]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,9 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import let
+from panelweave.llm.common import free_names, let
 
-SAMPLES = 32
+SAMPLES = 64
+STEPS = 4096  # steps of the quantile tables
+
+
+def _gamma_quantile(p: float) -> float:
+    """The quantile of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton's steps."""
+    x = math.sqrt(2 * p) if p < 0.2 else 2.0 if p < 0.9 else -math.log(1 - p) + 2
+    for _ in range(60):
+        x = max(x - (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x)), x / 4)
+    return x
 
 
 def word_shingles(text: Column, n: int = 5) -> Column:
@@ -44,38 +53,88 @@ def weighted(terms: Column) -> Column:
     return let(F.array_sort(terms), runs)
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """Bits shift..shift+15 of a hash as a number in (0, 1)."""
-    bits = F.shiftright(h, shift).bitwiseAND(F.lit(0xFFFF))
-    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-16)
+def shared_terms(a: Column, b: Column) -> Column:
+    """Distinct terms of two texts with their counts in each (null: none): array of struct(term, own, edited).
+
+    The lowest bit of a hash gives way to the text it comes from, so that one sort brings
+    both texts' terms together.
+    """
+    marked = F.concat(F.transform(a, lambda x: x.bitwiseAND(F.lit(-2))), F.transform(b, lambda x: x.bitwiseOR(F.lit(1))))
+
+    def pairs(e):
+        def one(x, k):
+            second = x["term"].bitwiseAND(F.lit(1)) == 1
+            ahead, back = F.get(e, k + 1), F.get(e, k - 1)
+            edited = F.when(second, x["weight"]).when(ahead["term"] == x["term"] + 1, ahead["weight"])
+            return F.struct(
+                x["term"].bitwiseAND(F.lit(-2)).alias("term"), F.when(~second, x["weight"]).alias("own"), edited.alias("edited"),
+                (second & F.coalesce(back["term"] == x["term"] - 1, F.lit(False))).alias("told"),
+            )
 
+        return F.filter(F.transform(e, one), lambda x: ~x["told"])
 
-def _sample(term: Column, log_weight: Column, i: int) -> Column:
-    """The i-th sampling value of a weighted term: ln a of consistent weighted sampling.
+    return let(weighted(marked), pairs)
 
-    With r and c from Gamma(2, 1) (each minus the log of a product of two uniforms) and b
-    uniform, all drawn from hashes of (term, i): t = floor(ln w / r + b) and
-    ln a = ln c - r (t - b + 1).  The term of least a is the sample.  ln a depends on the
-    term, i and t alone, so two texts have the same least value just if they have the
-    same sample, which happens with the probability of their generalised Jaccard
-    similarity.
+
+def _tables(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`df` with three constant columns: quantiles of r, logs of those of c, and of the first step of c.
+
+    The optimiser turns them into constants; no row carries them.
+    """
+    middle = [(k + 0.5) / STEPS for k in range(STEPS)]
+    r = [_gamma_quantile(p) for p in middle]
+    names = free_names(df, 3)
+    values = [r, [math.log(x) for x in r], [math.log(_gamma_quantile(p / STEPS)) for p in middle]]
+    return df.withColumns({n: F.split(F.lit(",".join(map(repr, v))), ",").cast("array<double>") for n, v in zip(names, values, strict=True)}), names
+
+
+def _draws(term: Column, i: int, tables: list[str]) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term's i-th sample: r and c from Gamma(2, 1), b uniform, all by hashes of (term, i).
+
+    r and c are the middles of 4096 equally likely steps; the first step of c, where the
+    samples of long texts come from, is parted into 4096 again.
     """
     h = F.xxhash64(term, F.lit(i))
-    b = F.shiftrightunsigned(F.xxhash64(h), 11).cast("double") * F.lit(2.0**-53)
-    r = -F.log(_uniform(h, 0) * _uniform(h, 16))
-    log_c = F.log(-F.log(_uniform(h, 32) * _uniform(h, 48)))
+
+    def step(shift):
+        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(STEPS - 1)).cast("int")
+
+    r, log_c = F.get(tables[0], step(0)), F.get(tables[1], step(12))
+    log_c = F.when(step(12) == 0, F.get(tables[2], step(24))).otherwise(log_c)
+    return r, log_c, F.shiftrightunsigned(F.xxhash64(h), 11).cast("double") * F.lit(2.0**-53)
+
+
+def _sample(log_weight: Column, r: Column, log_c: Column, b: Column) -> Column:
+    """The sampling value of a weighted term: ln a of consistent weighted sampling.
+
+    t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1).  The term of least a is the
+    sample.  ln a depends on the term, the sample and t alone, so two texts have the same
+    least value just if they have the same sample, which happens with the probability of
+    their generalised Jaccard similarity.
+    """
     return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + F.lit(1.0))
 
 
-def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """terms: rows (*by, term, log_weight), a null term where there is none.  The signature per group.
+def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES, weights: tuple[str, ...] = ("log_weight",)) -> DataFrame:
+    """terms: rows (*by, term, weights), a null term where there is none.  The signatures per group.
 
-    `signature` is an array of `samples` doubles; a group without terms has infinities.
-    Rows are reduced before any shuffle, so that a text never is gathered.
+    Each of `weights` (logs of weights, null: the term is not in that set) gives a column of
+    its name with an array of `samples` doubles; a set without terms has infinities.  Sets
+    of one group share the draws of their terms.  Rows are reduced before any shuffle, so
+    that a text never is gathered.
     """
-    values = [F.min(F.when(F.col("term").isNotNull(), _sample(F.col("term"), F.col("log_weight"), i))).alias(f"s{i}") for i in range(samples)]
-    low = terms.groupBy(*by).agg(*values)
-    return low.select(*by, F.array(*[F.coalesce(f"s{i}", F.lit(float("inf"))) for i in range(samples)]).alias("signature"))
+    rows, tables = _tables(terms)
+    draws = free_names(rows, 3 * samples)
+    cells = {}
+    for i in range(samples):
+        cells |= dict(zip(draws[3 * i : 3 * i + 3], _draws(F.col("term"), i, tables), strict=True))
+    rows = rows.select(*by, "term", *weights, *[c.alias(n) for n, c in cells.items()])
+    values = []
+    for w in weights:
+        there = F.col("term").isNotNull() & F.col(w).isNotNull()
+        values += [F.min(F.when(there, _sample(F.col(w), *map(F.col, draws[3 * i : 3 * i + 3])))).alias(f"{w}_{i}") for i in range(samples)]
+    low = rows.groupBy(*by).agg(*values)
+    return low.select(*by, *[F.array(*[F.coalesce(f"{w}_{i}", F.lit(float("inf"))) for i in range(samples)]).alias(w) for w in weights])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -88,29 +147,30 @@ def text_of(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(x), 32))), 8, "0")), "")
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """`docs`, all columns, with `fingerprint`: equal texts have equal ones.  Null text: empty.
+def fingerprint(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES, out: str = "fingerprint") -> DataFrame:
+    """`docs`, all columns, with `out` (replaced, if there): equal texts have equal ones.  Null text: empty.
 
-    A row number added in the scan tells repeated rows apart.
+    A row number added in the scan tells repeated rows apart; an empty table gives an empty result.
     """
-    cols = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__t", F.explode_outer(weighted(word_shingles(F.coalesce(text_col, F.lit(""))))))
-    rows = rows.withColumn("term", F.col("__t.term")).withColumn("log_weight", F.log(F.col("__t.weight").cast("double")))
-    done = sampled(rows.withColumn("__k", F.struct(*cols)), ["__row", "__k"], samples)
-    return done.select("__k.*", text_of(F.col("signature")).alias("fingerprint"))
+    docs = docs.drop(out)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("t", F.explode_outer(weighted(word_shingles(F.coalesce(F.col("d")[text_col], F.lit(""))))))
+    rows = rows.select("row", "d", F.col("t.term").alias("term"), F.log(F.col("t.weight").cast("double")).alias("log_weight"))
+    done = sampled(rows, ["row", "d"], samples)
+    return done.select("d.*", text_of(F.col("log_weight")).alias(out))
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def in_order(docs: DataFrame, id_col: str, text_col: str, most: int = 65_536) -> DataFrame:
     """doc_id, text and a `bucket` of neighbours by id, with an edge row at each bucket's end.
 
-    Buckets begin at approximate quantiles of the ids (at most 4096, a bounded list), so
+    Buckets, eight for each shuffle partition, begin at approximate quantiles of the ids (at most `most`, a bounded list), so
     they are even whatever ids there are.  The first row of each bucket is repeated as
     `edge` row of the bucket before (the last bucket gets the very first row), so that a
     window over one bucket sees the next document of every row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n = min(4096, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(most, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(n)], 100_000)).first()[0]
     cuts = sorted(set(cuts or []))
     if not cuts:
@@ -142,17 +202,13 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.when(~F.col("edge"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
+    key = ["bucket", "place", "edge", "doc_id", "n_chars", "edited_sha256"]
     both = rows.withColumn("edited", edited).select(
         "bucket", "place", "edge", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(False).alias("is_edit"), F.col("text")), F.struct(F.lit(True).alias("is_edit"), F.col("edited").alias("text")))).alias("v"),
-    ).where("v.text is not null")
-    key = ["bucket", "place", "edge", "doc_id", "n_chars", "edited_sha256", "is_edit"]
-    terms = both.select(*key[:-1], F.col("v.is_edit").alias("is_edit"), F.explode_outer(weighted(word_shingles(F.col("v.text")))).alias("t"))
-    terms = terms.select(*key, F.col("t.term").alias("term"), F.log(F.col("t.weight").cast("double")).alias("log_weight"))
-    signed = sampled(terms, key, samples)
-    own = signed.groupBy(*key[:-1]).agg(
-        F.max(F.when(~F.col("is_edit"), F.col("signature"))).alias("own"), F.max(F.when(F.col("is_edit"), F.col("signature"))).alias("edited")
+        F.explode_outer(shared_terms(word_shingles(F.col("text")), word_shingles(F.coalesce("edited", F.lit(""))))).alias("t"),
     )
+    terms = both.select(*key, F.col("t.term").alias("term"), *[F.log(F.col(f"t.{w}").cast("double")).alias(w) for w in ("own", "edited")])
+    own = sampled(terms, key, samples, ("own", "edited"))
     own = own.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("place")))
     return own.where("not edge").select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edited")).alias("edited_fingerprint"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"  # Unicode category L, here and in SQL
+_LETTER = regex.compile(LETTER)
 
 
 def windows_of(raw: bytes) -> np.ndarray:
@@ -69,14 +69,15 @@ class ByteConvNet:
                 np.add.at(g["E"], x[rows, at + j].ravel(), de[:, :, j * EMBED : (j + 1) * EMBED].reshape(-1, EMBED))
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.01, seed: int = 0):
-        """Adam on batches that draw every class equally often."""
+    def fit(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.01, seed: int = 0):
+        """Adam on batches that draw every class equally often, and within it windows by their `share`."""
         rng = np.random.default_rng(seed)
         of_class = [np.flatnonzero(y == k) for k in range(len(self.classes))]
+        heap = [np.cumsum(share[i]) for i in of_class]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
         for t in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(i, -(-batch // len(of_class))) for i in of_class])
+            pick = np.concatenate([i[np.searchsorted(c, rng.random(-(-batch // len(of_class))) * c[-1], "right").clip(max=len(i) - 1)] for i, c in zip(of_class, heap, strict=True)])
             lr = rate * (1 - (t - 1) / steps) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for k, g in self._gradients(x[pick], y[pick]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -128,34 +129,34 @@ class ByteConvNet:
         return lang, score
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, order_col: str, sample: int = 3000, per_text: int = 12) -> ByteConvNet | None:
-    """Fit on the `sample` rows of lowest hash of `order_col` and at most `per_text` windows of each.
+def labelled_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
+    """(label, whole text) of about `rows` labelled rows with a text, drawn by a hash of id and text; sorted.
 
-    The sample is bounded (at most sample x per_text windows of 128 bytes reach the
-    driver), so fitting costs the same whatever the size of the table.  None if no row
-    has a label and text.
+    The hash is compared with a bound that the number of rows gives, so no task gathers
+    more than its share, and rows that repeat id, text and label are taken once.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(order_col).alias("h"), F.col(order_col).alias("o"))
-    rows = rows.orderBy("h", "o", "l").limit(sample)
+    some = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    n = some.count()
+    low = F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1)
+    some = some.where(low < F.lit(min(2**63 - 1, 2**63 * rows // max(1, n))))
+    found = some.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.col(id_col).alias("i")).distinct().collect()
+    return sorted((r["l"], r["t"].encode("utf-8", "surrogatepass")) for r in found)
 
-    def cut(batches):
-        for b in slices(batches):
-            lang, out = [], []
-            for t, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = windows_of(t.encode("utf-8", "surrogatepass"))
-                for i in np.unique(np.linspace(0, len(w) - 1, per_text).astype(int)).tolist():
-                    lang.append(lab)
-                    out.append(w[i].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["l", "w"])
-
-    got = sorted((r["l"], bytes(r["w"])) for r in rows.select("t", "l").mapInArrow(cut, "l string, w binary").collect())
+
+def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = 3000) -> ByteConvNet | None:
+    """Fit on all windows of about `sample` labelled rows (`labelled_sample`); None if no row has a label and text.
+
+    The sample is bounded, so fitting costs the same whatever the size of the table; batches
+    draw the languages, then the texts of a language, then the windows of a text alike.
+    """
+    got = labelled_sample(labelled, sample, id_col, text_col, lang_col)
     if not got:
         return None
-    classes = sorted({lab for lab, _ in got})
-    x = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
-    y = np.array([classes.index(lab) for lab, _ in got])
-    return ByteConvNet(classes).fit(x, y)
+    classes = sorted({lang for lang, _ in got})
+    parts = [windows_of(raw) for _, raw in got]
+    y = np.repeat([classes.index(lang) for lang, _ in got], [len(w) for w in parts])
+    share = np.repeat([1 / len(w) for w in parts], [len(w) for w in parts])
+    return ByteConvNet(classes).fit(np.concatenate(parts), y, share)
 
 
 def identify(
@@ -167,7 +168,8 @@ def identify(
     and their log-probabilities averaged, weighted by their bytes.  lang_pred is `und`
     (score 0) where the text is null or has no letter, and everywhere if nothing is
     labelled.  Only the text decides: id, label and other columns are never inputs of a
-    prediction.  Columns named lang_pred or score are replaced.
+    prediction.  Columns named lang_pred or score are replaced.  Repeated rows are each
+    predicted alike, texts of any length whole; an empty table gives an empty result.
     """
     net = train(docs.where(train_on), text_col, lang_col, id_col)
     docs = docs.drop("lang_pred", "score")
@@ -187,18 +189,27 @@ def crc32_of_id(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
-def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+def reject_unknown(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None, calibration: int = 1000,
+) -> DataFrame:
     """`docs`, all its columns, without texts that have no language.
 
     Rejected are null texts, texts without a letter and those whose best language has a
-    probability below `least` (near a uniform guess); all else stays.
+    probability below `least`.  Unless it is given, `least` is found on about `calibration`
+    labelled rows that were not learnt from: half of the probability that 99 % of them
+    exceed, so that texts of the learnt languages stay.  With few languages a text in
+    another one may still have a high probability, and then it stays.  Where nothing is labelled only texts
+    without a letter go.  Rows that repeat stay or go together; a null id counts as any
+    other; an empty table gives an empty result.
     """
-    keep = docs.columns
     fold = F.pmod(crc32_of_id(id_col), F.lit(3))
-    source = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"__t": F.col(text_col), "__l": F.col(lang_col), "__i": F.col(id_col)})
-    net = train(source.where(fold != 1), "__t", "__l", "__i")
+    net = train(docs.where(fold != 1), text_col, lang_col, id_col)
     if net is None:
-        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+        return docs.where(F.col(text_col).rlike(LETTER))
+    if least is None:
+        held_out = labelled_sample(docs.where(fold == 1), calibration, id_col, text_col, lang_col)
+        scores = net.predict([raw.decode("utf-8", "surrogatepass") for _, raw in held_out])[1]
+        least = float(np.quantile([x for x in scores if x > 0] or [0.0], 0.01)) / 2
 
     def sift(batches):
         for b in slices(batches):

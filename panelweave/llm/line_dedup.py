@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import let, materialize
+from panelweave.llm.common import free_names, let, materialize
 
 WIDTH = 3
 
@@ -45,22 +45,29 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(again, ["a", "b"]).where(place != F.col("first")).select("doc_id", "text_hash", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: tuple[str, str] | None = None) -> DataFrame:
     """`docs`, all columns and rows, without the lines that later copies of windows cover.
 
     Lines are what stands between newlines.  A line goes if any window of three lines
     over it stands earlier, in this or another document; covered positions of
     overlapping windows are merged.  The first occurrence of every different line stays
-    somewhere in the corpus.  Texts of fewer than three lines are left alone, null texts
+    somewhere in the corpus.  Windows of blank lines only do not count.  Texts of fewer
+    than three lines are left alone, null texts
     stay null; a text may become empty.  Rows that repeat id and text are one document.
-    With `detail` the columns __lines and __removed (numbers of lines) are added.
+    An empty table gives an empty result.  With `detail` two columns of these names are
+    added: the numbers of lines and of removed lines.
+
+    Windows are told apart by two 64-bit hashes, not by their lines: of n different windows
+    any two fall together with a probability of about n^2 / 2^129.
     """
-    found = later_windows(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__gid"), F.col("text_hash").alias("__gth")).agg(F.array_sort(F.collect_list("pos")).alias("__at"))
-    marked = docs.withColumn("__id", F.col(id_col)).withColumn("__th", F.xxhash64(text_col))
-    joined = marked.join(found, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
+    own_id, own_hash, gone_id, gone_hash, at, left_lines = free_names(docs, 6)
+    found = later_windows(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).agg(F.array_sort(F.collect_list("pos")).alias(at))
+    text = F.col(f"`{text_col}`")
+    marked = docs.withColumns({own_id: F.col(f"`{id_col}`"), own_hash: F.xxhash64(text)})
+    joined = marked.join(found, F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash)), "left")
     # One character per line up to the last window: does a later window begin here?
-    begins = F.array_join(F.transform("__at", lambda p, k: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("__at", k - 1), F.lit(-1)) - 1), F.lit("1"))), "")
-    lines = F.split(F.col(text_col), "\n")
+    begins = F.array_join(F.transform(at, lambda p, k: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get(at, k - 1), F.lit(-1)) - 1), F.lit("1"))), "")
+    lines = F.split(text, "\n")
 
     def kept(flags):
         def begun(i):
@@ -68,10 +75,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return F.filter(lines, lambda _, i: ~(begun(i) | begun(i - 1) | begun(i - 2)))
 
-    left = F.when(F.col("__at").isNull(), lines).otherwise(let(F.split(begins, ""), kept))
-    joined = joined.withColumn("__left", left)
-    n, k = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__left"), F.lit(0))
-    cols = [(F.array_join("__left", "\n") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    left = F.when(F.col(at).isNull(), lines).otherwise(let(F.split(begins, ""), kept))
+    joined = joined.withColumn(left_lines, left)
+    n, k = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(left_lines), F.lit(0))
+    cols = [(F.array_join(left_lines, "\n") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]
     if detail:
-        cols += [F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("__lines"), F.when(F.col(text_col).isNull(), 0).otherwise(n - k).cast("long").alias("__removed")]
+        cols += [F.when(text.isNull(), 0).otherwise(x).cast("long").alias(c) for x, c in zip((n, n - k), detail, strict=True)]
     return joined.select(*cols)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import id_filter, materialize, slices
+from panelweave.llm.common import components, free_names, id_filter, materialize, slices
 from panelweave.llm.trie_join import linked_components, parity_sketch
 
 BUCKETS = 1 << 20
@@ -98,71 +98,106 @@ def common_buckets(docs: DataFrame, n: int) -> np.ndarray:
     return np.packbits(total > 32 + 4 * total.mean(), bitorder="little")
 
 
-def ngram_components(
-    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): one row per document (doc_id, n_shingles, component_id), and verified links.
+def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, components): what both uses need.
 
-    Two documents link when den * |A n B| >= num * |A u B| for their sets of distinct word
-    n-grams.  Equal sets are one class; its smallest id stands for it.  In the global
-    order (rare first) two linked sets share an n-gram within their first
-    |A| - ceil(num |A| / den) + 1, which serve as candidate keys; candidates are verified
-    on their whole sets by `linked_components`.  Links are between representatives and
-    form a spanning forest of each component.
-
-    Null, empty and wordless texts have size 0 and are linked with nothing; their
-    component is their own id.  A null id is never linked (its component is null).
-    Rows that repeat an id count as one document for links.  Extra columns are not
-    read; an empty table gives empty results.
+    rows: (doc_id, text_hash, size, node), one per row of `docs`; a node is a 64-bit hash of a set,
+    null for an empty set or a null id.  links: (a, b) and components: (node, component) of nodes.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     common = common_buckets(source.select("text"), n)
 
+    def node_of(s: np.ndarray) -> int:
+        return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
     def sign(batches):
         for b in slices(batches):
-            size, digest, prefix, sketch = [], [], [], []
-            for t in b.column(1).to_pylist():
+            size, node, prefix, sketch = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = _ordered(shingles(t, n), common)
+                full = len(s) > 0 and i is not None
                 size.append(len(s))
-                digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sketch.append(parity_sketch(s) if len(s) else None)
-                prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else None)
+                node.append(node_of(s) if full else None)
+                sketch.append(parity_sketch(s) if full else None)
+                prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if full else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "size", "digest", "prefix", "sketch"],
+                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_hash", "size", "node", "prefix", "sketch"],
             )
 
-    signed = materialize(source.mapInArrow(sign, "doc_id long, size long, digest binary, prefix array<long>, sketch binary"), "signed")
-    real = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(real.groupBy("digest", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    signed = materialize(source.mapInArrow(sign, "doc_id long, text_hash long, size long, node long, prefix array<long>, sketch binary"), "signed")
+    classes = signed.where("node is not null").groupBy("node").agg(
+        F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("text_hash").alias("text_hash")
+    )
+    classes = materialize(classes, "classes")
     keys = classes.select(F.explode("prefix").alias("key"), "node", "size")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        likely = id_filter(nodes, "node")
+        texts = id_filter(classes.join(nodes, "node", "left_semi").select("text_hash"), "text_hash")
 
         def whole(batches):
             for b in slices(batches):
-                b = b.filter(pa.array(likely.many(b.column(0).fill_null(0).to_numpy())))
-                some = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None]
-                items = [_ordered(shingles(t, n), common).astype("<u8").tobytes() for _, t in some]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+                b = b.filter(pa.array(texts.many(b.column("text_hash").to_numpy())))
+                found = [_ordered(shingles(t, n), common) for t in b.column("text").to_pylist()]
+                items = pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), items], ["node", "items"])
 
-        found = source.mapInArrow(whole, "node long, items binary")
+        found = source.select("text_hash", "text").mapInArrow(whole, "node long, items binary")
         return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))
 
-    about = classes.groupBy("node").agg(F.max_by("size", "digest").alias("size"), F.max_by("sketch", "digest").alias("sketch"))
-    links, comp = linked_components(about, keys, sets_of, num, den)
-    of_class = classes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
-    out = signed.select("doc_id", "size", "digest").join(of_class, "digest", "left")
-    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    links, comp = linked_components(classes.select("node", "size", "sketch"), keys, sets_of, num, den)
+    return signed.select("doc_id", "text_hash", "size", "node"), links, comp
+
+
+def ngram_components(
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): one row per row of `docs` (doc_id, n_shingles, component_id), and verified links.
+
+    Two documents link when den * |A n B| >= num * |A u B| for their sets of distinct word
+    n-grams.  Equal sets are one class; its smallest id stands for it.  In the global
+    order (rare first) two linked sets share an n-gram within their first
+    |A| - ceil(num |A| / den) + 1, which serve as candidate keys; candidates are verified
+    on their whole sets by `linked_components`.  Links are between representatives and
+    form a spanning forest of each component.
+
+    Null, empty and wordless texts have size 0 and are linked with nothing; their
+    component is their own id.  A null id is never linked (its component is null).
+    Rows that repeat an id count as one document: what any of its texts is linked with is
+    one component.  Extra columns are not read; an empty table gives empty results.
+    Shingles are 63-bit hashes and sets 64-bit ones.
+    """
+    rows, links, comp = _classes(docs, n, num, den, id_col, text_col)
+    of_class = rows.where("node is not null").select("doc_id", "node").distinct().join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("c"))
+    of_class = materialize(of_class, "of-class")
+    # An id with texts of several components joins these.
+    several = of_class.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("doc_id", "a")
+    joined = components(several.join(of_class, "doc_id").select("a", F.col("c").alias("b")))
+    of_class = of_class.join(joined, F.col("c") == joined["node"], "left").select("doc_id", of_class["node"], F.coalesce("component", "c").alias("c"))
+    of_class = materialize(of_class, "of-document")
+    least = of_class.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    of_doc = of_class.groupBy("doc_id").agg(F.min("c").alias("c")).join(least, "c").select("doc_id", "component_id")
+    out = rows.select("doc_id", F.col("size").alias("n_shingles")).join(of_doc, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = of_class.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    links = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return out, links
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs`, all its columns, with one document (the smallest id) of each component.
+    """`docs`, all its columns, with one document of each component of texts (see `ngram_components`).
 
-    Unless told otherwise sets are of five words and link at a similarity of 0.8.
+    Unless told otherwise sets are of five words and link at a similarity of 0.8.  The
+    smallest id stays, of equal ids the smallest hash of the text.  Rows are told apart by id and text: rows that
+    repeat both stay or go together, and a text of its own stays whatever else has its id.
+    Rows with a null id or a text without words stay; an empty table gives an empty result.
     """
-    found, _ = ngram_components(docs, **({"n": 5, "num": 80, "den": 100} | how), id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    rows, _, comp = _classes(docs, **({"n": 5, "num": 80, "den": 100} | how), id_col=id_col, text_col=text_col)
+    member = rows.where("node is not null").join(comp, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("c"))
+    member = materialize(member, "members")
+    keep = member.groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
+    gone = member.join(keep, "c").where(F.struct("doc_id", "text_hash") != F.col("keep")).select("doc_id", "text_hash").distinct()
+    own_id, own_hash = free_names(docs, 2)
+    gone = gone.toDF(own_id, own_hash)
+    same = (docs[id_col].cast("long") == gone[own_id]) & (F.xxhash64(docs[text_col]) == gone[own_hash])
+    return docs.join(gone, same, "left_anti")

@@ -27,8 +27,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of lines, of removed lines, and the text that is left."""
     from panelweave.llm.line_dedup import dedup_lines
 
-    found = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), detail=True)
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+    found = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), detail=("n_lines", "n_removed"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import components, materialize
 
 BLOCK = 256
+HOT = 8  # blocks of a group beyond which it is dealt out again by a second item
 
 
 class PrefixTree:
@@ -216,6 +217,27 @@ def _block_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select(F.col("key").alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
 
 
+def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, node, comp) of large groups under keys of a group and one more item.
+
+    Let p be |A| - ceil(num |A| / den) + 1.  Linked sets share an item within their first
+    p, and two within their first p + 1.  So two linked sets of one group, which may be that of
+    such an item, meet again under some other item among the first p + 1 of each.
+    """
+
+    def first_items(batches):
+        for b in batches:
+            firsts = []
+            for raw in b.column("items").to_pylist():
+                s = np.frombuffer(raw, "<u8")
+                firsts.append(s[: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(firsts, pa.list_(pa.int64()))], ["node", "firsts"])
+
+    firsts = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(first_items, "node long, firsts array<long>")
+    again = rows.join(firsts, "node").select("key", "node", "comp", F.explode("firsts").alias("item")).where("item <> key")
+    return again.select(F.xxhash64("key", "item").alias("key"), "node", "comp").distinct()
+
+
 def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all nodes whose sets have Jaccard >= num/den and share a key.
 
@@ -227,11 +249,13 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
        sketches allow, each once whatever the number of shared keys, are verified: the
        others of a hub, in blocks of `BLOCK`, form a prefix tree which the hub's set probes.
     2. What the hubs did not settle: groups whose other members still lie in more than
-       one component, equal groups once, cut into blocks.  Members that the sketches
-       leave no partner in another component go; each pair of blocks of what is left is
-       joined by a prefix tree, skipping connected pairs.
-    So no link between different components is lost, no group is gathered beyond a pair
-    of blocks, and rows are emitted per member, not per pair.
+       one component, equal groups once.  A group of more than `HOT` blocks is dealt out
+       again by a second item of its members' sets (`_dealt_again`).  Groups are cut into
+       blocks; members that the sketches leave no partner in another component go; each
+       pair of blocks of what is left is joined by a prefix tree, skipping connected pairs.
+    So no link between different components is lost and no group is gathered beyond a pair
+    of blocks.  Pairs of blocks grow with the square of what is left of a group after
+    both deals: sets that share a key, a second item and no link with their hub.
     """
     hub = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "size")).alias("hub")).where("m > 1")
     grouped = keys.join(hub.select("key", "hub"), "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
@@ -260,8 +284,19 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     first = materialize(_run_groups(hubs.unionByName(members), num, den), "links")
     comp = materialize(components(first), "components")
 
+    def with_sets(some: DataFrame) -> DataFrame:
+        """Sets of all of `some` nodes: those at hand and, where there are others, theirs."""
+        more = some.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+        return sets.unionByName(materialize(sets_of(more), "sets"))
+
     rest = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    pairs = _block_pairs(rest, materialize(_open_groups(rest), "open"))
+    groups = materialize(_open_groups(rest), "open")
+    pairs = _block_pairs(rest, groups.where(F.col("n") <= HOT))
+    large = groups.where(F.col("n") > HOT).select("key")
+    if not large.isEmpty():
+        rows = materialize(rest.join(large, "key"), "large-groups")
+        again = materialize(_dealt_again(rows, with_sets(rows), num, den), "dealt-again")
+        pairs = pairs.unionByName(_block_pairs(again, materialize(_open_groups(again), "open")))
     dealt = pairs.join(nodes, "node").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
     dealt = dealt.select("g", "lo", "hi", "block", "node", "comp", "size", "sketch")
     live = dealt.mapInArrow(_thin_groups(num, den), "a long, b long").toDF("key", "node").distinct()
@@ -269,10 +304,8 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     live = materialize(live, "live")
     if live.isEmpty():
         return first, comp
-    more = live.select("node").distinct().join(sets.select("node"), "node", "left_anti")
-    all_sets = sets.unionByName(materialize(sets_of(more), "sets"))
     pairs = _block_pairs(live, materialize(_open_groups(live), "open"))
-    second = materialize(_run_groups(pairs.join(all_sets, "node"), num, den), "links")
+    second = materialize(_run_groups(pairs.join(with_sets(live), "node"), num, den), "links")
     if second.isEmpty():
         return first, comp
     links = first.unionByName(second)

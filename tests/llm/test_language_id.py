@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelweave.llm.language_id import WINDOW, ByteConvNet, crc32_of_id, identify, reject_unknown, windows_of
+from panelweave.llm.language_id import WINDOW, ByteConvNet, crc32_of_id, identify, labelled_sample, reject_unknown, windows_of
 
 SCHEMA = "doc_id long, text string, lang string, score string, n string"
 WORDS = {
@@ -58,6 +58,21 @@ def test_reject_keeps_clean_rows_and_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows if r[0] not in (900, 901)) and rows_text
 
 
+def test_letters_are_those_of_unicode(spark):
+    net = ByteConvNet(["a", "b"])
+    texts = ["²", "Ⅷ", "٣ _ 7", "é", "ß 1", "字", "\u0301", None, ""]
+    assert [k == "und" for k in net.predict(texts)[0]] == [True, True, True, False, False, False, True, True, True]
+    docs = spark.createDataFrame([(i, t, None, "x", "") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in reject_unknown(docs).collect()) == [3, 4, 5]
+
+
+def test_sample_is_bounded_and_takes_copies_once(spark):
+    rows = [(i % 400, f"text {i % 400}", "en", "x", "") for i in range(3000)] + [(5, None, "en", "x", ""), (6, "", "en", "x", ""), (7, "no label", None, "x", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len(labelled_sample(docs, 10**6, "doc_id", "text", "lang")) == 400
+    assert 20 < len(labelled_sample(docs, 750, "doc_id", "text", "lang")) < 200
+
+
 def test_tables_equal_convolution():
     net = ByteConvNet(["a", "b", "c"], seed=4)
     x = windows_of(bytes(range(256)) * 3 + b"tail")

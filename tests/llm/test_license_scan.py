@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from panelweave.llm.license_scan import PHRASES, Scanner, compile_template, scan_licenses
+from panelweave.llm.license_scan import PHRASES, TEMPLATES, Scanner, compile_template, scan_licenses
 
 SCHEMA = "doc_id long, text string, labels string, spans string"
 
@@ -73,6 +73,38 @@ def test_base_equals_brute_force(spark):
 
 def test_template_labels():
     scan = Scanner().scan
-    want = {3: "mit,mit-notice", 4: "gpl,gpl-3.0-notice", 5: "cc-by,cc-by-nc-notice", 6: "apache,apache-2.0-notice", 12: "gpl,gpl-header", 13: "apache"}
+    want = {3: "mit,mit-notice", 4: "gpl,gpl-3.0-notice", 5: "cc-by,cc-by-nc-notice", 6: "apache,apache-2.0-notice", 12: "gpl,gpl-2.0-header", 13: "apache"}
     for i, labels in want.items():
         assert scan(TEXTS[i])[5] == labels
+
+
+def sample(template, rng):
+    """A text that the template accepts, with optional regions taken or left by chance."""
+    out, depth, taken = [], 0, [True]
+    for m in re.finditer(r"\[\[|\]\]|\{\{(\d+)\.\.(\d+)(?::([^}]*))?\}\}|[^\s\[\]{}]+", template):
+        if m[0] == "[[":
+            taken.append(taken[-1] and rng.random() < 0.5)
+        elif m[0] == "]]":
+            taken.pop()
+        elif taken[-1]:
+            word = "9" if m[3] and "0-9" in m[3] else (m[3] or "acme").split("|")[0]
+            out += [word] * rng.randint(int(m[1]), int(m[2])) if m[1] else [m[0]]
+    assert not depth
+    return out
+
+
+def test_each_wording_has_its_own_label_and_relatives_do_not():
+    rng, scan = random.Random(3), Scanner().scan
+    beside = {  # wordings that stand whole within another
+        "apache-2.0-header": {"apache-2.0-notice"},
+    }
+    for label, template in TEMPLATES.items():
+        for _ in range(4):
+            ws = sample(template, rng)
+            got = {x[2] for x in scan("before " + " ".join(w.title() for w in ws) + ". After")[7]}
+            assert got == {label} | beside.get(label, set()), (label, got)
+            # One mandatory word less: not accepted any more.
+            plain = [w for w in re.sub(r"\[\[.*?\]\]", " ", re.sub(r"\[\[[^\[\]]*\]\]", " ", template)).split() if re.fullmatch("[a-z]{6,}", w)]
+            if plain:
+                word = rng.choice(plain)
+                assert label not in {x[2] for x in scan(" ".join(w if w != word else "xx" for w in ws))[7]}, (label, word)

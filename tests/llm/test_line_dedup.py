@@ -2,7 +2,7 @@ import random
 
 from panelweave.llm.line_dedup import dedup_lines
 
-SCHEMA = "doc_id long, text string, pos string, first string"
+SCHEMA = "doc_id long, text string, _0 string, __th string"
 
 
 def brute(rows):
@@ -27,10 +27,11 @@ def test_equals_brute_force(spark):
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(0, 14))), "x", None) for i in range(150)]
     rows += [(500, None, "x", "y"), (501, "", None, "y"), (502, "a\n" * 4000, "x", "y"), (503, "z", "x", "y"), (504, "\n\n\n\n", "x", "y"), (None, "line 1\nline 2\nline 3", "x", "y"), rows[4], (502, "a\n" * 4000, "x", "y")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = dedup_lines(docs, detail=True)
+    got = dedup_lines(docs, detail=("n_lines", "n_removed"))
     want = brute(rows)
-    assert got.columns == [*docs.columns, "__lines", "__removed"] and got.count() == len(rows)
-    have = sorted([(str(r.doc_id), r.text, r["__lines"], r["__removed"]) for r in got.collect()], key=str)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"] and got.count() == len(rows)
+    assert {(r["_0"], r["__th"]) for r in got.collect()} == {r[2:] for r in rows}
+    have = sorted([(str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in got.collect()], key=str)
     assert have == sorted([(str(i), *(want[i, t] if t is not None else (None, 0, 0))) for i, t, *_ in rows], key=str)
 
 
