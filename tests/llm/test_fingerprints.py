@@ -5,9 +5,9 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from panelweave.llm.fingerprints import _gamma_quantile, edited_pairs, fingerprint, sampled, shared_terms, weighted, word_shingles
+from panelweave.llm.fingerprints import edited_pairs, fingerprint, sampled, weighted, word_shingles
 
-SCHEMA = "doc_id long, text string, row string, _0 string"
+SCHEMA = "doc_id long, text string, row string, d string"
 
 
 def grams(text, n=5):
@@ -45,20 +45,6 @@ def test_shingles_and_weights(spark):
         assert sorted(x.weight for x in r.g or []) == sorted(grams(r.t).values())
 
 
-def test_shared_terms(spark):
-    texts = [("a b c d e f g a b c d e f g", "a b c d e f h a b c"), ("", "one"), ("one two", ""), ("", ""), ("x y z", "x y z")]
-    df = spark.createDataFrame(texts, "a string, b string").withColumn("t", shared_terms(word_shingles(F.col("a")), word_shingles(F.col("b"))))
-    for r in df.collect():
-        a, b = grams(r.a), grams(r.b)
-        assert sorted([(x.own, x.edited) for x in r.t or []], key=str) == sorted([(a.get(g), b.get(g)) for g in {*a, *b}], key=str)
-
-
-def test_gamma_quantiles():
-    for p in (1e-8, 1e-4, 0.01, 0.2, 0.5, 0.9, 0.99, 0.9999):
-        x = _gamma_quantile(p)
-        assert abs(1 - (1 + x) * math.exp(-x) - p) < 1e-9 + 1e-6 * p
-
-
 def test_pairs(spark):
     rows = corpus(60) + [(1000, None, "x", "y"), (1001, "", "x", "y"), (1002, " \t", "x", "y"), (1003, "Big " * 30000, "x", "y"), (1004, "naïve 🎉 " * 9, None, "y")]
     rows.append((1005, rows[3][1], "x", None))
@@ -80,7 +66,7 @@ def test_collision_rate_is_generalised_jaccard(spark):
     """Integer and fractional weights over several thousand samples."""
     a, b = {1: 5.0, 2: 1.0, 3: 0.4, 4: 2.5}, {1: 2.0, 2: 3.5, 3: 0.4, 9: 1.0}
     rows = [(f"{k}{rep}", 1000 * rep + t, math.log(w)) for rep in range(150) for k, d in (("a", a), ("b", b)) for t, w in d.items()]
-    sig = {r.k: r.log_weight for r in sampled(spark.createDataFrame(rows, "k string, term long, log_weight double"), ["k"], 32).collect()}
+    sig = {r.k: r.signature for r in sampled(spark.createDataFrame(rows, "k string, term long, log_weight double"), ["k"], 32).collect()}
     rate = sum(x == y for i in range(150) for x, y in zip(sig[f"a{i}"], sig[f"b{i}"], strict=True)) / (150 * 32)
     want = sum(min(a.get(t, 0), b.get(t, 0)) for t in {*a, *b}) / sum(max(a.get(t, 0), b.get(t, 0)) for t in {*a, *b})
     assert abs(rate - want) < 4 * math.sqrt(want * (1 - want) / (150 * 32))
