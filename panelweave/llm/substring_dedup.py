@@ -14,12 +14,12 @@ from panelweave.llm.common import free_names, id_filter, materialize, slices
 from panelweave.llm.ngram_join import _HASH, MULT
 from panelweave.llm.trie_join import linked_components
 
-RADIUS, LEAD = 5, 3  # a passage begins where a hash of LEAD words is the least of RADIUS neighbours on either side
+RADIUS, LEAD = 6, 3  # a passage begins where a hash of LEAD words is the least of RADIUS neighbours on either side
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _BITS = np.uint64(44)  # of an n-gram's hash
 
 
-def bands_for(num: int, den: int, rows: int, recall: float = 0.99) -> int:
+def bands_for(num: int, den: int, rows: int, recall: float) -> int:
     """The least number of bands of `rows` minima by which a pair of similarity num/den meets with probability `recall`."""
     bands, miss = 1, 1 - (num / den) ** rows
     while miss**bands > 1 - recall:
@@ -175,7 +175,7 @@ def _bulks(batches, n: int, min_words: int, least: int, words: int = 100_000):
 
 
 def repeated_units(
-    docs: DataFrame, min_words: int = 20, least: int = 24, n: int = 5, num: int = 80, den: int = 100, recall: float = 0.99,
+    docs: DataFrame, min_words: int = 20, least: int = 20, n: int = 5, num: int = 80, den: int = 100, recall: float = 0.95,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Every stretch of words that repeats an earlier one: doc_id, text_hash, word, words, keep_doc_id.
@@ -246,7 +246,7 @@ def repeated_units(
         return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))
 
     keys = classes.select(F.explode("keys").alias("key"), "node", "size")
-    _, comp = linked_components(classes.select("node", "size", "sketch"), keys, sets_of, num, den)
+    _, comp = linked_components(classes.select("node", "size", "sketch"), keys, sets_of, num, den, by_tree=False)
     member = live.join(comp, "node", "left").select("doc_id", "text_hash", "passage", "word", "words", F.coalesce("component", "node").alias("component"))
     member = materialize(member, "members")
 

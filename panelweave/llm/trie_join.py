@@ -160,11 +160,52 @@ def _join_groups(num: int, den: int):
     return run
 
 
-def _run_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _compare_groups(num: int, den: int, cells: int = 1 << 22):
+    """As `_join_groups`, for small sets: all overlaps of two blocks at once, as a product of 0/1 tables.
+
+    Where a table would have more than `cells` cells the prefix tree does the work.
+    """
+    by_tree = _join_groups(num, den)
+
+    def run(batches):
+        pairs: list = []
+        for (g, lo, hi, *_), rows in _groups(batches, 3):
+            left = np.array([r[0] == lo for r in rows])
+            right = left if lo == hi else np.array([r[0] == hi for r in rows])
+            if not left.any() or not right.any():
+                continue
+            size = np.array([len(r[3]) // 8 for r in rows])
+            items, column = np.unique(np.frombuffer(b"".join(r[3] for r in rows), "<u8"), return_inverse=True)
+            if len(items) * len(rows) > cells:
+                names = ["g", "lo", "hi", "block", "node", "comp", "items"]
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                columns = zip(*[(g, lo, hi, *r) for r in rows], strict=True)
+                yield from by_tree([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)])
+                continue
+            table = np.zeros((len(rows), len(items)), np.float32)
+            table[np.repeat(np.arange(len(rows)), size), column] = 1
+            a, b = np.flatnonzero(left), np.flatnonzero(right)
+            comp = np.array([r[2] for r in rows])
+            ok = (den + num) * (table[a] @ table[b].T) >= num * (size[a][:, None] + size[b][None, :])
+            ok &= comp[a][:, None] != comp[b][None, :]
+            forest = _Forest()
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = rows[a[i]], rows[b[j]]
+                if forest.join(x[2], y[2]):
+                    pairs.append((x[1], y[1]))
+            if len(pairs) > 10_000:
+                yield _edges(pairs)
+                pairs = []
+        yield _edges(pairs)
+
+    return run
+
+
+def _run_groups(rows: DataFrame, join) -> DataFrame:
     """rows: g, lo, hi, block, node, comp, items."""
     dealt = rows.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "block", "node")
     dealt = dealt.select("g", "lo", "hi", "block", "node", "comp", "items")
-    return dealt.mapInArrow(_join_groups(num, den), "a long, b long")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def _thin_groups(num: int, den: int):
@@ -178,6 +219,16 @@ def _thin_groups(num: int, den: int):
             size = np.array([r[3] for r in rows], np.int64)
             comp = np.array([r[2] for r in rows], np.int64)
             width = np.array([len(r[4]) // 8 for r in rows])
+            if (width == width[0]).all() and width[0] * len(rows) <= 4096:  # all pairs at once
+                own = np.stack([np.frombuffer(r[4], np.uint64) for r in rows])
+                apart = np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(2, dtype=np.int64)
+                both = size[:, None] + size[None, :]
+                ok = ((den + num) * apart <= (den - num) * both) & (comp[:, None] != comp[None, :]) & (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :]))
+                out += [(g, rows[i][1]) for i in np.flatnonzero(ok.any(1)).tolist()]
+                if len(out) > 10_000:
+                    yield _edges(out)
+                    out = []
+                continue
             at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
             own = {w: np.stack([_words(rows[i][4], w) for i in ix]) for w, ix in at.items()}
             folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in own.items() if w > 1}
@@ -238,13 +289,15 @@ def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return again.select(F.xxhash64("key", "item").alias("key"), "node", "comp").distinct()
 
 
-def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den: int, by_tree: bool = True) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all nodes whose sets have Jaccard >= num/den and share a key.
 
     nodes: rows (node, size, sketch: `parity_sketch`); keys: rows (key, node, size); a pair
     is a candidate if it shares a key.  `sets_of` is a function: DataFrame of nodes ->
     DataFrame (node, items: sorted little-endian u64).
 
+    `by_tree`: sets are compared by prefix trees, else (for small sets) by tables.
+
     1. In each key's group the least node is the hub.  Pairs (hub, other) that sizes and
        sketches allow, each once whatever the number of shared keys, are verified: the
        others of a hub, in blocks of `BLOCK`, form a prefix tree which the hub's set probes.
@@ -257,6 +310,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     of blocks.  Pairs of blocks grow with the square of what is left of a group after
     both deals: sets that share a key, a second item and no link with their hub.
     """
+    join = (_join_groups if by_tree else _compare_groups)(num, den)
     hub = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "size")).alias("hub")).where("m > 1")
     grouped = keys.join(hub.select("key", "hub"), "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
     grouped = materialize(grouped.where("node <> hub"), "grouped")
@@ -281,7 +335,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     members = members.select(F.col("hub").alias("g"), F.lit(0).cast("long").alias("lo"), "hi", F.col("hi").alias("block"), "node", F.col("node").alias("comp"), "items")
     hubs = blocks.select("hub", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("hi")).join(sets.withColumnRenamed("node", "hub"), "hub")
     hubs = hubs.select(F.col("hub").alias("g"), F.lit(0).cast("long").alias("lo"), "hi", F.lit(0).cast("long").alias("block"), F.col("hub").alias("node"), F.col("hub").alias("comp"), "items")
-    first = materialize(_run_groups(hubs.unionByName(members), num, den), "links")
+    first = materialize(_run_groups(hubs.unionByName(members), join), "links")
     comp = materialize(components(first), "components")
 
     def with_sets(some: DataFrame) -> DataFrame:
@@ -305,7 +359,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     if live.isEmpty():
         return first, comp
     pairs = _block_pairs(live, materialize(_open_groups(live), "open"))
-    second = materialize(_run_groups(pairs.join(with_sets(live), "node"), num, den), "links")
+    second = materialize(_run_groups(pairs.join(with_sets(live), "node"), join), "links")
     if second.isEmpty():
         return first, comp
     links = first.unionByName(second)

