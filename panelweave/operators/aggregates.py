@@ -18,7 +18,7 @@ def stockday_panel(trades: DataFrame) -> DataFrame:
         F.stddev_samp("value").alias("size_sd"), F.countDistinct("entity").alias("n_entities"), F.coalesce(F.sum(F.when(known, value)), F.lit(0.0)).alias("valid_gross"),
     )
     p = p.withColumns({"net": F.col("buy_value") - F.col("sell_value"), "gross": F.col("buy_value") + F.col("sell_value"), "n": F.col("n_buys") + F.col("n_sells")})
-    return p.withColumns({"mean_size": F.col("gross") / F.col("n"), "coverage": F.col("valid_gross") / F.col("gross")})
+    return p.withColumns({"mean_size": F.col("gross") / F.nullif(F.col("n"), F.lit(0)), "coverage": F.col("valid_gross") / F.nullif(F.col("gross"), F.lit(0.0))})
 
 
 def entity_values(trades: DataFrame, side: int) -> DataFrame:
@@ -28,33 +28,33 @@ def entity_values(trades: DataFrame, side: int) -> DataFrame:
 def concentration(trades: DataFrame, side: int) -> DataFrame:
     """Herfindahl index of participants within (inst, d) on one side, and the attributed value."""
     c = entity_values(trades, side).groupBy(*KEY).agg(F.sum(F.col("v") * F.col("v")).alias("sq"), F.sum("v").alias("valid_value"))
-    return c.select(*KEY, (F.col("sq") / (F.col("valid_value") * F.col("valid_value"))).alias("concentration"), "valid_value")
+    return c.select(*KEY, (F.col("sq") / F.nullif(F.col("valid_value") * F.col("valid_value"), F.lit(0.0))).alias("concentration"), "valid_value")
 
 
 def book_focus(trades: DataFrame, side: int) -> DataFrame:
     """Value-weighted mean of the participants' own concentration across instruments that day."""
     e = entity_values(trades, side)
-    own = e.groupBy("entity", "d").agg((F.sum(F.col("v") * F.col("v")) / (F.sum("v") * F.sum("v"))).alias("hhi"))
-    return e.join(own, ["entity", "d"]).groupBy(*KEY).agg((F.sum(F.col("v") * F.col("hhi")) / F.sum("v")).alias("focus"))
+    own = e.groupBy("entity", "d").agg((F.sum(F.col("v") * F.col("v")) / F.nullif(F.sum("v") * F.sum("v"), F.lit(0.0))).alias("hhi"))
+    return e.join(own, ["entity", "d"]).groupBy(*KEY).agg((F.sum(F.col("v") * F.col("hhi")) / F.nullif(F.sum("v"), F.lit(0.0))).alias("focus"))
 
 
 def gate_coverage(df: DataFrame, covered: str, total: str, cols: list[str], least: float = 0.5) -> DataFrame:
     """Null where less than `least` of the value is attributed."""
-    ok = F.col(covered) / F.col(total) >= least
+    ok = F.col(covered) / F.nullif(F.col(total), F.lit(0.0)) >= least
     return df.withColumns({c: F.when(ok, F.col(c)) for c in cols})
 
 
 def composition(trades: DataFrame, by: list[str], part: str) -> DataFrame:
     """Participants, largest share, entropy and Herfindahl index of value shares per group."""
     v = trades.groupBy(*by, part).agg(F.sum("value").alias("v"))
-    s = v.withColumn("s", F.col("v") / F.sum("v").over(Window.partitionBy(*by)))
+    s = v.withColumn("s", F.col("v") / F.nullif(F.sum("v").over(Window.partitionBy(*by)), F.lit(0.0)))
     return s.groupBy(*by).agg(F.count("*").alias("parts"), F.max("s").alias("top_share"), (-F.sum(F.col("s") * F.log("s"))).alias("entropy"), F.sum(F.col("s") * F.col("s")).alias("hhi"))
 
 
 def market_flow(panel: DataFrame) -> DataFrame:
     """Per day: net, gross, imbalance, and breadth (share of net buyers less share of net sellers)."""
     return panel.groupBy("d").agg(
-        F.sum("net").alias("net"), F.sum("gross").alias("gross"), (F.sum("net") / F.sum("gross")).alias("imbalance"),
+        F.sum("net").alias("net"), F.sum("gross").alias("gross"), (F.sum("net") / F.nullif(F.sum("gross"), F.lit(0.0))).alias("imbalance"),
         F.avg(F.signum("net")).alias("breadth"),
     )
 
@@ -83,7 +83,7 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     exp = pa.join(pb, "k").agg(F.sum(F.col("na") * F.col("nb")).alias("x"))
     row = c.agg(total.alias("t"), agree.alias("g")).join(exp)  # one row each
     po, pe = F.col("g") / F.col("t"), F.col("x") / (F.col("t") * F.col("t"))
-    return row.select(po.alias("observed"), pe.alias("expected"), ((po - pe) / (1 - pe)).alias("kappa"))
+    return row.select(po.alias("observed"), pe.alias("expected"), ((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"))
 
 
 def funnel(df: DataFrame, value: str, steps: list[tuple[str, str]]) -> DataFrame:
@@ -103,7 +103,7 @@ def latency_curve(trades: DataFrame, calendar: DataFrame, event: str, report: st
     """
     a = calendar.select(F.col("d").alias(event), F.col("pos").alias("__a"))
     b = calendar.select(F.col("d").alias(report), F.col("pos").alias("__b"))
-    j = trades.join(F.broadcast(a), event).join(F.broadcast(b), report, "left")  # a row per trading day
+    j = trades.join(a, event).join(b, report, "left")
     j = j.withColumn("lag", F.col("__b") - F.col("__a"))
     t = j.groupBy("lag").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
     t = t.withColumn("tv", F.sum("v").over(Window.partitionBy(F.lit(1)))).withColumn("tn", F.sum("n").over(Window.partitionBy(F.lit(1))))
@@ -149,10 +149,11 @@ def enrichment(df: DataFrame, label: str, hit: str) -> DataFrame:
     g = df.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("long")).alias("k"))
     w = Window.partitionBy(F.lit(1))
     g = g.withColumn("on", F.sum("n").over(w) - F.col("n")).withColumn("ok", F.sum("k").over(w) - F.col("k"))
-    p1, p0 = F.col("k") / F.col("n"), F.col("ok") / F.col("on")
+    others = F.nullif(F.col("on"), F.lit(0))
+    p1, p0 = F.col("k") / F.col("n"), F.col("ok") / others
     pool = (F.col("k") + F.col("ok")) / (F.col("n") + F.col("on"))
-    z = (p1 - p0) / F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("on")))
-    return g.select(label, "n", "k", p1.alias("rate"), (p1 / p0).alias("ratio"), z.alias("z"))
+    z = (p1 - p0) / F.nullif(F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / others)), F.lit(0.0))
+    return g.select(label, "n", "k", p1.alias("rate"), (p1 / F.nullif(p0, F.lit(0.0))).alias("ratio"), z.alias("z"))
 
 
 def roll_spread(df: DataFrame, key: str, ts: str, ret: str) -> DataFrame:
@@ -164,7 +165,7 @@ def roll_spread(df: DataFrame, key: str, ts: str, ret: str) -> DataFrame:
 
 def range_proxy(df: DataFrame, key: str, high: str, low: str, close: str) -> DataFrame:
     """Median over keys of the keys' median relative range."""
-    per = df.groupBy(key).agg(F.median((F.col(high) - F.col(low)) / F.col(close)).alias("m"))
+    per = df.groupBy(key).agg(F.median((F.col(high) - F.col(low)) / F.nullif(F.col(close), F.lit(0.0))).alias("m"))
     return per.agg(F.median("m").alias("median_range"), F.count("*").alias("keys"))
 
 

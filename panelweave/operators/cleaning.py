@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.mix import mix
+
 
 def admit(trades: DataFrame, kinds: list[str], id_length: tuple[int, int] = (1, 99)) -> DataFrame:
     """Trades of side 1 (buy) or 4 (sell), positive rate, an admitted kind and an id of right length."""
@@ -119,9 +121,9 @@ def last_rows(df: DataFrame, key: str, ts: str, n: int) -> DataFrame:
 
 
 def random_block(df: DataFrame, key: str, ts: str, n: int, seed: int) -> DataFrame:
-    """`n` consecutive rows of each key from a start drawn by a hash of key and seed."""
+    """`n` consecutive rows of each key (a whole number) from a start drawn from key and seed."""
     rows = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(ts))).withColumn("__m", F.count("*").over(Window.partitionBy(key)))
-    start = F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.col("__m") - n, F.lit(0)) + 1)
+    start = mix(seed, F.greatest(F.col("__m") - n, F.lit(0)) + 1, F.col(key))
     return rows.where((F.col("__n") > start) & (F.col("__n") <= start + n)).drop("__n", "__m")
 
 

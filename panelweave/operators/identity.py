@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators.saved import saved
+
 
 def admit_edges(edges: DataFrame, tiers: list[str]) -> DataFrame:
     """Dated edges of admitted tiers between different ids; the earliest per source (then least target)."""
@@ -26,30 +30,49 @@ def break_reciprocal(edges: DataFrame, permanent: str) -> DataFrame:
     return pair.where(keep).drop("__o", "__n")
 
 
-def chain_intervals(edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """old_id, canonical_id, effective_from, effective_to (null: open), depth.
+def chain_intervals(edges: DataFrame) -> DataFrame:
+    """old_id, canonical_id, effective_from (null: ever), effective_to (null: open), depth, confidence.
 
-    Each edge holds from its date; from the date of the next edge on, the chain goes one
-    deeper.  A chain stops at a cycle back to its source or where the date goes backwards.
-    The loop runs at most `max_depth` joins over edges, never over pairs of ids.
+    edges: at most one per old_id, with a `tier` (the least is the surest).  An id stands for
+    itself up to its edge's date (depth 0, confidence SELF); from the date of each further edge
+    on the chain goes one deeper.  It stops at an id already met and where the date goes
+    backwards (equal dates go on).  `confidence` is the weakest tier of the whole chain.
+    Chains grow together, one join over edges a round, until none grows any more; rounds
+    are cut by checkpoints.
     """
-    e = edges.select("old_id", "new_id", "ca_date")
-    step = e.select("old_id", F.col("new_id").alias("canonical_id"), F.col("ca_date").alias("effective_from"), F.lit(1).alias("depth"))
-    out = step
-    nxt = e.select(F.col("old_id").alias("__o"), F.col("new_id").alias("__n"), F.col("ca_date").alias("__d"))
-    for k in range(2, max_depth + 1):
-        step = step.join(nxt, F.col("canonical_id") == F.col("__o")).where((F.col("__n") != F.col("old_id")) & (F.col("__d") > F.col("effective_from")))
-        step = step.select("old_id", F.col("__n").alias("canonical_id"), F.col("__d").alias("effective_from"), F.lit(k).alias("depth"))
-        out = out.unionByName(step)
-    return out.withColumn("effective_to", F.lead("effective_from").over(Window.partitionBy("old_id").orderBy("depth")))
+    e = edges.select("old_id", "new_id", "ca_date", "tier")
+    nxt = e.toDF("__o", "__n", "__d", "__t")
+    step = e.select("old_id", F.col("new_id").alias("canonical_id"), F.col("ca_date").alias("effective_from"), F.lit(1).alias("depth"), "tier", F.array("old_id", "new_id").alias("seen"))
+    rounds = []
+    while True:
+        step = saved(step)
+        if step.isEmpty():
+            break
+        rounds.append(step)
+        grown = step.join(nxt, F.col("canonical_id") == F.col("__o")).where(~F.array_contains("seen", F.col("__n")) & (F.col("__d") >= F.col("effective_from")))
+        step = grown.select("old_id", F.col("__n").alias("canonical_id"), F.col("__d").alias("effective_from"), (F.col("depth") + 1).alias("depth"), F.greatest("tier", "__t").alias("tier"), F.concat("seen", F.array("__n")).alias("seen"))
+    self_ = e.select("old_id", F.col("old_id").alias("canonical_id"), F.lit(None).cast("date").alias("effective_from"), F.lit(0).alias("depth"), "tier")
+    out = reduce(DataFrame.unionByName, [self_, *[r.drop("seen") for r in rounds]])
+    w = Window.partitionBy("old_id")
+    weakest = F.when(F.col("depth") == 0, "SELF").otherwise(F.max("tier").over(w))
+    return out.withColumn("effective_to", F.lead("effective_from").over(w.orderBy("depth"))).withColumn("confidence", weakest).drop("tier")
 
 
 def interval_gates(intervals: DataFrame) -> DataFrame:
-    """One row: intervals, non-monotone ones, self targets, and holes between neighbours."""
-    w = Window.partitionBy("old_id").orderBy("effective_from")
+    """One row: intervals, non-monotone ones, self targets beyond the first, and holes between neighbours."""
+    w = Window.partitionBy("old_id").orderBy("depth")
     prev = F.lag("effective_to").over(w)
-    d = intervals.withColumn("__hole", prev.isNotNull() & (prev != F.col("effective_from")))
-    return d.agg(F.count("*").alias("n"), F.count(F.when(F.col("effective_to") <= F.col("effective_from"), 1)).alias("not_monotone"), F.count(F.when(F.col("canonical_id") == F.col("old_id"), 1)).alias("self"), F.count(F.when(F.col("__hole"), 1)).alias("holes"))
+    d = intervals.withColumn("__hole", (F.col("depth") > 0) & ~prev.eqNullSafe(F.col("effective_from")))
+    return d.agg(F.count("*").alias("n"), F.count(F.when(F.col("effective_to") < F.col("effective_from"), 1)).alias("not_monotone"), F.count(F.when((F.col("canonical_id") == F.col("old_id")) & (F.col("depth") > 0), 1)).alias("self"), F.count(F.when(F.col("__hole"), 1)).alias("holes"))
+
+
+def hindsight_gate(edges: DataFrame, cut: str) -> DataFrame:
+    """One row: intervals that begin by `cut` and are not the same when built of edges up to `cut` alone."""
+    cols, day = ["old_id", "canonical_id", "effective_from", "depth"], F.to_date(F.lit(cut))
+    full = chain_intervals(edges).where((F.col("depth") > 0) & (F.col("effective_from") <= day)).select(*cols)
+    part = chain_intervals(edges.where(F.col("ca_date") <= day)).where("depth > 0").select(*cols)
+    both = full.withColumn("side", F.lit(1)).unionByName(part.withColumn("side", F.lit(-1)))
+    return both.groupBy(*cols).agg(F.sum("side").alias("s")).agg(F.count(F.when(F.col("s") != 0, 1)).alias("hindsight"), F.count("*").alias("intervals"))
 
 
 def overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

@@ -27,10 +27,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], lts: str, rts: s
 
 
 def resolve(left: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, value: str) -> DataFrame:
-    """Point in half-open interval [start, end); an open end is null.  Equal keys meet first."""
-    i = intervals.select(F.col(key).alias("__k"), F.col(start).alias("__a"), F.col(end).alias("__b"), F.col(value))
-    on = (F.col(key) == F.col("__k")) & (F.col(ts) >= F.col("__a")) & (F.col("__b").isNull() | (F.col(ts) < F.col("__b")))
-    return left.join(i, on, "left").drop("__k", "__a", "__b")
+    """Point in half-open interval [start, end); an open end is null.
+
+    A key's intervals do not overlap: the last that has begun is the only one that may
+    hold the point, so an as-of join and a test of its end decide, and no pairs are made.
+    """
+    found = asof_join(left, intervals.select(key, start, end, value), [key], ts, start, [end, value])
+    inside = F.col(end).isNull() | (F.col(ts) < F.col(end))
+    return found.withColumn(value, F.when(inside, F.col(value))).drop(end, f"{start}_matched")
 
 
 def nearest_event_days(left: DataFrame, events: DataFrame, by: list[str], lts: str, ets: str) -> DataFrame:

@@ -25,10 +25,10 @@ def book(w: DataFrame, returns: DataFrame, calendar: DataFrame, lag: int, cost_b
 
     Turnover is the absolute change of holdings over all names; half of it is given too.
     """
-    cal = F.broadcast(calendar.select(F.col("d"), "pos"))  # a row per trading day
+    cal = calendar.select(F.col("d"), "pos")
     held = w.join(cal, "d").select("inst", (F.col("pos") + 1 + lag).alias("pos"), "w")
-    held = held.join(F.broadcast(calendar.select("pos")), "pos")
-    gone = held.select("inst", (F.col("pos") + 1).alias("pos"), (-F.col("w")).alias("w")).join(F.broadcast(calendar.select("pos")), "pos")
+    held = held.join(calendar.select("pos"), "pos")
+    gone = held.select("inst", (F.col("pos") + 1).alias("pos"), (-F.col("w")).alias("w")).join(calendar.select("pos"), "pos")
     turn = held.select("inst", "pos", "w").unionByName(gone).groupBy("inst", "pos").agg(F.sum("w").alias("dw")).groupBy("pos").agg(F.sum(F.abs("dw")).alias("turnover"))
     r = returns.where(F.col("ret").isNotNull()).join(cal, "d").select("inst", "pos", "ret")
     pnl = held.join(r, ["inst", "pos"], "left").groupBy("pos").agg(F.coalesce(F.sum(F.col("w") * F.col("ret")), F.lit(0.0)).alias("gross"))
@@ -48,13 +48,13 @@ def metrics(b: DataFrame, ts: str, pnl: str, periods: float) -> DataFrame:
     d = drawdown(b, ts, pnl)
     a = d.agg(F.avg(pnl).alias("m"), F.stddev_samp(pnl).alias("s"), F.sqrt(F.avg(F.least(F.col(pnl), F.lit(0.0)) ** 2)).alias("down"), F.min("drawdown").alias("dd"), F.avg((F.col(pnl) > 0).cast("double")).alias("hit"), (F.sum(pnl) / F.nullif(F.sum("turnover"), F.lit(0.0)) * 1e4).alias("margin_bps"))
     m, root = F.col("m") * periods, F.sqrt(F.lit(periods))
-    return a.select(m.alias("ret"), (F.col("s") * root).alias("vol"), (m / (F.col("s") * root)).alias("sharpe"), (m / (F.col("down") * root)).alias("sortino"), F.col("dd").alias("max_drawdown"), (m / -F.col("dd")).alias("calmar"), "hit", "margin_bps")
+    return a.select(m.alias("ret"), (F.col("s") * root).alias("vol"), (m / F.nullif(F.col("s") * root, F.lit(0.0))).alias("sharpe"), (m / F.nullif(F.col("down") * root, F.lit(0.0))).alias("sortino"), F.col("dd").alias("max_drawdown"), (m / F.nullif(-F.col("dd"), F.lit(0.0))).alias("calmar"), "hit", "margin_bps")
 
 
 def cost_grid(b: DataFrame, costs: list[float], periods: float) -> DataFrame:
     """Sharpe after each cost per unit of turnover, and the breakeven cost; one pass, one row per cost."""
     c = b.withColumn("cost_bps", F.explode(F.array(*map(F.lit, costs)))).withColumn("__n", F.col("gross") - F.col("cost_bps") * 1e-4 * F.col("turnover"))
-    return c.groupBy("cost_bps").agg((F.avg("__n") / F.stddev_samp("__n") * F.sqrt(F.lit(periods))).alias("sharpe"), (F.sum("gross") / F.nullif(F.sum("turnover"), F.lit(0.0)) * 1e4).alias("breakeven_bps"))
+    return c.groupBy("cost_bps").agg((F.avg("__n") / F.nullif(F.stddev_samp("__n"), F.lit(0.0)) * F.sqrt(F.lit(periods))).alias("sharpe"), (F.sum("gross") / F.nullif(F.sum("turnover"), F.lit(0.0)) * 1e4).alias("breakeven_bps"))
 
 
 def reversal(df: DataFrame, key: str, ts: str, ret: str, width: int) -> DataFrame:

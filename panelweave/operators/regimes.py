@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.normal import normal_cdf, normal_pdf
+from panelweave.operators.saved import carried
 
 
 def rule_backbone(df: DataFrame, col: str, share_low: float, share_high: float) -> DataFrame:
@@ -71,7 +74,7 @@ def past_densities(obs: DataFrame, vintages: DataFrame, h: int, low: float, step
     mass = F.sum("w").over(cell)
     g = g.withColumn("mass", mass).withColumn("ess", F.col("mass") * F.col("mass") / F.sum("w2").over(cell))
     g = g.where("mass > 0").withColumn("cdf", F.sum("w").over(cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.col("mass"))
-    return g.join(F.broadcast(vintages), "asof_pos").select("vintage", "cls", "bin", "cdf", "mass", "ess")
+    return g.join(vintages, "asof_pos").select("vintage", "cls", "bin", "cdf", "mass", "ess")
 
 
 def density_gates(d: DataFrame) -> DataFrame:
@@ -90,29 +93,41 @@ def pinball(y: Column, q: Column, tau: float) -> Column:
     return F.when(y >= q, (y - q) * tau).otherwise((q - y) * (1 - tau))
 
 
-def forward_filter(df: DataFrame, key: str, ts: str, obs: str, means: list[float], sds: list[float], trans: list[list[float]], start: list[float]) -> DataFrame:
+def forward_filter(
+    df: DataFrame, key: str, ts: str, obs: str, means: list[float], sds: list[float], trans: list[list[float]], start: list[float],
+    pos: str | None = None, most_gap: int = 250,
+) -> DataFrame:
     """Causal state probabilities per key: carried belief, moved by the transitions, times the likelihood.
 
-    A null observation moves the belief only.  The recursion runs over each key's sorted
-    rows in one expression.
+    A null observation moves the belief only.  With `pos`, a row's number in the calendar,
+    the belief is moved once for each position since the row before; after more than
+    `most_gap` positions it starts anew from the stationary distribution.
     """
     k = len(means)
-    rows = F.array_sort(F.collect_list(F.struct(ts, F.col(obs).alias("x"))))
-
-    def step(s, r):
-        moved = [F.when(s["n"] == 0, F.lit(start[j])).otherwise(sum(s["p"][i] * F.lit(trans[i][j]) for i in range(k))) for j in range(k)]
-        like = [F.when(r["x"].isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(1e-300), F.exp(-((r["x"] - means[j]) / sds[j]) ** 2 / 2) / sds[j])) for j in range(k)]
-
-        def norm(raw):
-            total = sum((raw[j] for j in range(1, k)), raw[0])
-            return F.transform(raw, lambda x: x / total)
-
-        p = F.transform(F.array(F.array(*[m * lk for m, lk in zip(moved, like, strict=True)])), norm)[0]
-
-        def put(q):
-            return F.struct((s["n"] + 1).alias("n"), q.alias("p"), F.concat(s["out"], F.array(F.struct(r[ts].alias(ts), q.alias("p")))).alias("out"))
-
-        return F.transform(F.array(p), put)[0]
 
-    zero = F.struct(F.lit(0).alias("n"), F.array(*map(F.lit, start)).alias("p"), F.array().cast(f"array<struct<{ts}:date,p:array<double>>>").alias("out"))
-    return df.groupBy(key).agg(F.aggregate(rows, zero, step, lambda s: s["out"]).alias("o")).select(key, F.inline("o"))
+    def move(p):
+        return [sum(p[i] * trans[i][j] for i in range(k)) for j in range(k)]
+
+    stationary = [1 / k] * k
+    for _ in range(2000):
+        stationary = move(stationary)
+
+    def step(s, x, at):
+        if s is None:
+            p = list(start)
+        else:
+            p, gap = s[0], int(at - s[1])
+            if gap > most_gap:
+                p = list(stationary)
+            else:
+                for _ in range(gap):
+                    p = move(p)
+        if x is not None:
+            p = [m * max(1e-300, math.exp(-(((x - a) / d) ** 2) / 2) / d) for m, a, d in zip(p, means, sds, strict=True)]
+        total = sum(p)
+        p = [v / total for v in p]
+        return (p, at), (p,)
+
+    number = F.col(pos).cast("double") if pos else F.row_number().over(Window.partitionBy(key).orderBy(ts)).cast("double")
+    rows = df.select(key, ts, F.col(obs).cast("double").alias("__x"), number.alias("__at"))
+    return carried(rows, key, ts, ["__x", "__at"], lambda: None, step, "p array<double>")

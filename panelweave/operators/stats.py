@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators.saved import saved
 from panelweave.operators.windows import average_rank
 
 
@@ -66,7 +67,7 @@ def hac_mean(df: DataFrame, ts: str, col: str, lag: int) -> DataFrame:
     for k in range(1, lag + 1):
         s = s + 2 * (1 - k / (lag + 1)) * F.col(f"g{k}")
     se = F.sqrt(s) / F.col("n")
-    return g.select("mean", se.alias("se"), (F.col("mean") / se).alias("t"), "n")
+    return g.select("mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"), "n")
 
 
 def daily_differential(df: DataFrame, ts: str, a: str, b: str, lag: int) -> DataFrame:
@@ -101,14 +102,18 @@ def christoffersen(df: DataFrame, key: str, ts: str, hit: str) -> DataFrame:
 
 
 def effective_n(df: DataFrame, day: str, hit: str) -> DataFrame:
-    """Intraclass correlation of a 0/1 indicator within days, and the effective number of rows."""
+    """Intraclass correlation of a 0/1 indicator within days, and the effective number of rows.
+
+    Without variation (no hit or hits only), with one day, or with one row a day the correlation is 0.
+    """
     g = df.where(F.col(hit).isNotNull()).groupBy(day).agg(F.count("*").cast("double").alias("m"), F.sum(F.col(hit).cast("double")).alias("x"))
     a = g.agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.sum(F.col("x") * F.col("x") / F.col("m")).alias("b"))
     n, k, sx = F.col("n"), F.col("k"), F.col("sx")
-    m0 = (n - F.col("m2") / n) / (k - 1)
-    msb = (F.col("b") - sx * sx / n) / (k - 1)
-    msw = (sx - F.col("b")) / (n - k)
-    icc = F.greatest(F.lit(0.0), (msb - msw) / (msb + (m0 - 1) * msw))
+    more = F.nullif(k - 1, F.lit(0))
+    m0 = (n - F.col("m2") / n) / more
+    msb = (F.col("b") - sx * sx / n) / more
+    msw = (sx - F.col("b")) / F.nullif(n - k, F.lit(0.0))
+    icc = F.greatest(F.lit(0.0), (msb - msw) / F.nullif(msb + (m0 - 1) * msw, F.lit(0.0)))
     return a.select(n.alias("n"), icc.alias("icc"), (n / (1 + (n / k - 1) * icc)).alias("effective_n"))
 
 
@@ -128,13 +133,31 @@ def daily_ic(df: DataFrame, day: str, signal: str, outcome: str, min_names: int)
     return rows.groupBy(day).agg(F.corr("__a", "__b").alias("ic"), F.count("*").alias("names")).where(F.col("names") >= min_names)
 
 
+def cumulated(counts: DataFrame, by: list[str], value: str, n: str, out: str = "below", parts: int = 64) -> DataFrame:
+    """`counts` (one row per `by` and value) with `out`: the sum of `n` over smaller values of the group.
+
+    Values are cut into ranges, so that a group of any number of values is summed up in
+    many tasks: totals per range first, then running sums within the ranges.
+    """
+    ranged = saved(counts.repartitionByRange(parts, *by, value).withColumn("__part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__part").agg(F.sum(n).alias("__t"))
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
+    own = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(before, [*by, "__part"]).withColumn(out, F.col("__before") + own).drop("__part", "__before")
+
+
 def auc_scores(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """Tie-corrected rank AUC, log-loss, Brier score and accuracy at one half."""
-    r = df.withColumn("__r", average_rank(p, *by))
-    yd, pd_ = F.col(y).cast("double"), F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
-    g = r.groupBy(*by).agg(
-        F.sum(yd).alias("k"), F.count("*").cast("double").alias("n"), F.sum(F.col("__r") * yd).alias("s"), F.avg(-(yd * F.log(pd_) + (1 - yd) * F.log(1 - pd_))).alias("log_loss"),
-        F.avg((F.col(p) - yd) * (F.col(p) - yd)).alias("brier"), F.avg(((F.col(p) >= 0.5).cast("double") == yd).cast("double")).alias("accuracy"),
+    v, ones, n = F.col(p), F.col("ones"), F.col("n")
+    c = df.groupBy(*by, p).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("ones"))
+    c = cumulated(c, by, p, "n").withColumn("r", F.col("below") + (n + 1) / 2)
+    clipped = F.least(F.greatest(v, F.lit(1e-12)), F.lit(1 - 1e-12))
+    total = F.sum("n")
+    g = c.groupBy(*by).agg(
+        F.sum("ones").alias("k"), total.alias("n"), F.sum(F.col("r") * ones).alias("s"),
+        (F.sum(-(ones * F.log(clipped) + (n - ones) * F.log(1 - clipped))) / total).alias("log_loss"),
+        (F.sum(ones * (v - 1) * (v - 1) + (n - ones) * v * v) / total).alias("brier"), (F.sum(F.when(v >= 0.5, ones).otherwise(n - ones)) / total).alias("accuracy"),
     )
     k, n = F.col("k"), F.col("n")
     return g.select(*by, ((F.col("s") - k * (k + 1) / 2) / F.nullif(k * (n - k), F.lit(0.0))).alias("auc"), "log_loss", "brier", "accuracy")
@@ -151,7 +174,7 @@ def reliability(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
 
 def paired_t(df: DataFrame, day: str, a: str, b: str) -> DataFrame:
     d = df.groupBy(day).agg(F.avg(F.col(a) - F.col(b)).alias("x"))
-    return d.agg(F.avg("x").alias("mean"), (F.avg("x") / F.stddev_samp("x") * F.sqrt(F.count("x"))).alias("t"), F.count("x").alias("days"))
+    return d.agg(F.avg("x").alias("mean"), (F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * F.sqrt(F.count("x"))).alias("t"), F.count("x").alias("days"))
 
 
 def hazard_by_age(df: DataFrame, age: str, event: str, cap: int, thin: int) -> DataFrame:
@@ -185,14 +208,19 @@ def weighted_quantile(df: DataFrame, by: str, v: str, w: str, q: float) -> DataF
 
 
 def cohen_d(df: DataFrame, label: str, col: str, a: str, b: str) -> DataFrame:
-    """Standardised mean difference and the tie-corrected Mann-Whitney statistic of two groups."""
-    r = df.where(F.col(label).isin(a, b) & F.col(col).isNotNull()).withColumn("__r", average_rank(col))
+    """Standardised mean difference, tie-corrected Mann-Whitney and Kolmogorov-Smirnov statistics of two groups."""
+    rows = df.where(F.col(label).isin(a, b) & F.col(col).isNotNull())
     ia, ib = F.col(label) == a, F.col(label) == b
     x = F.col(col)
-    g = r.agg(
+    g = rows.agg(
         *[f(F.when(i, x)).alias(n) for n, f, i in (("ma", F.avg, ia), ("mb", F.avg, ib), ("va", F.var_samp, ia), ("vb", F.var_samp, ib))],
-        F.count(F.when(ia, 1)).alias("na"), F.count(F.when(ib, 1)).alias("nb"), F.sum(F.when(ia, F.col("__r"))).alias("s"),
+        F.count(F.when(ia, 1)).alias("na"), F.count(F.when(ib, 1)).alias("nb"),
     )
+    c = rows.groupBy(col).agg(F.count("*").alias("n"), F.count(F.when(ia, 1)).alias("a"), F.count(F.when(ib, 1)).alias("b"))
+    c = cumulated(cumulated(cumulated(c, [], col, "n"), [], col, "a", "below_a"), [], col, "b", "below_b")
+    up = F.abs((F.col("below_a") + F.col("a")) / F.nullif(F.col("na"), F.lit(0)) - (F.col("below_b") + F.col("b")) / F.nullif(F.col("nb"), F.lit(0)))
+    ranks = c.join(g.select("na", "nb")).agg(F.sum((F.col("below") + (F.col("n") + 1) / 2) * F.col("a")).alias("s"), F.max(up).alias("ks"))  # one row on the right
     na, nb = F.col("na"), F.col("nb")
-    pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / (na + nb - 2))
-    return g.select(((F.col("ma") - F.col("mb")) / pooled).alias("d"), (F.col("s") - na * (na + 1) / 2).alias("u"), "na", "nb")
+    pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / F.nullif(na + nb - 2, F.lit(0)))
+    one = g.join(ranks)  # one row each
+    return one.select(((F.col("ma") - F.col("mb")) / F.nullif(pooled, F.lit(0.0))).alias("d"), (F.col("s") - na * (na + 1) / 2).alias("u"), "ks", "na", "nb")

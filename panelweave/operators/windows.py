@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.normal import probit
+from panelweave.operators.saved import carried
 
 
 def rolling(agg, col, key: str, ts: str, width: int, min_n: int, lag: int = 0) -> Column:
@@ -103,30 +106,39 @@ def trading_calendar(rows: DataFrame, day: str, key: str, min_names: int) -> Dat
 
 
 def thin(df: DataFrame, key: str, ts: str, days: int) -> DataFrame:
-    """Greedy thinning: a row stays if it is at least `days` after the last row that stayed."""
-    every = F.array_sort(F.collect_list(ts))
-    kept = F.aggregate(
-        every, F.array().cast("array<date>"),
-        lambda acc, d: F.when((F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) >= days), F.concat(acc, F.array(d))).otherwise(acc),
-    )
-    return df.groupBy(key).agg(kept.alias("__k")).select(key, F.explode("__k").alias(ts))
+    """Greedy thinning of a key's distinct dates: one stays if it is at least `days` after the last that stayed."""
+    rows = df.select(key, ts).distinct().withColumn("__n", F.datediff(ts, F.lit("1970-01-01")).cast("double"))
+
+    def step(last, n):
+        return (n, (n,)) if last is None or n - last >= days else (last, None)
+
+    return carried(rows, key, ts, ["__n"], lambda: None, step, "__n double").drop("__n")
+
 
+def own_past_quintile(df: DataFrame, key: str, ts: str, col: str) -> DataFrame:
+    """1 + floor(5 x the share of a key's values so far, this one too, that are smaller), at most 5."""
 
-def ewma_variance(df: DataFrame, key: str, ts: str, ret: str, decay: float, burn: int) -> DataFrame:
+    def step(past, v):
+        below = bisect_left(past, v)
+        past.insert(below, v)
+        return past, (float(min(5, 1 + 5 * below // len(past))),)
+
+    return carried(df.where(F.col(col).isNotNull()), key, ts, [col], list, step, "quintile double").withColumn("quintile", F.col("quintile").cast("int"))
+
+
+def ewma_variance(df: DataFrame, key: str, ts: str, ret: str, decay: float, burn: int, least: int | None = None) -> DataFrame:
     """Exponentially weighted variance per key, led in by the mean square of the first `burn` returns.
 
-    v = decay * v + (1 - decay) * r^2 after each non-null return; missing days keep v.  The
-    recursion runs once over each key's sorted rows.
+    v = decay * v + (1 - decay) * r^2 after each non-null return; missing days keep v.  It is
+    given from the `least`-th return on (the `burn`-th, unless told otherwise).
     """
-    rows = F.array_sort(F.collect_list(F.struct(ts, F.col(ret).alias("r"))))
-
-    def step(s, x):
-        n = s["n"] + F.when(x["r"].isNull(), 0).otherwise(1)
-        sq = F.coalesce(x["r"] * x["r"], F.lit(0.0))
-        mean = s["v"] + (sq - s["v"]) / F.greatest(n, F.lit(1))
-        v = F.when(x["r"].isNull(), s["v"]).when(n <= burn, mean).otherwise(s["v"] * decay + sq * (1 - decay))
-        out = F.struct(x[ts].alias(ts), F.when(n >= burn, v).alias("variance"))
-        return F.struct(n.cast("int").alias("n"), v.alias("v"), F.concat(s["out"], F.array(out)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("v"), F.array().cast(f"array<struct<{ts}:date,variance:double>>").alias("out"))
-    return df.groupBy(key).agg(F.aggregate(rows, zero, step, lambda s: s["out"]).alias("o")).select(key, F.inline("o"))
+    least = least or burn
+
+    def step(s, r):
+        n, v = s
+        if r is not None:
+            n += 1
+            v = v + (r * r - v) / n if n <= burn else decay * v + (1 - decay) * r * r
+        return (n, v), (v if n >= least else None,)
+
+    return carried(df, key, ts, [ret], lambda: (0, 0.0), step, "variance double")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["cleaning_queries", "panel_queries", "model_queries", "panel_model_queries"]
+MODULES = ["cleaning_queries", "panel_queries", "model_queries", "panel_model_queries", "engine_queries"]
 
 
 def QUERIES_OF():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.mix import mix_sql
 from panelweave.operators import cleaning as cl
 from panelweave.operators import identity as idn
 from panelweave.operators import joins as jn
@@ -45,7 +46,7 @@ def a8(v: Views):
     return m.select("event_id", F.col("m")[0][1].alias("a01"), F.col("m")[1][0].alias("a10"))
 
 
-@query("A9_fingerprint")
+@query("A9_fingerprint", f"SELECT count(*) AS rows, CAST(sum({mix_sql(5, 1000003, 'l_orderkey', 'l_linenumber')}) AS BIGINT) AS key_hash, count(DISTINCT l_returnflag) AS categories FROM lineitem")
 def a9(v: Views):
     return tb.fingerprint(v.table("lineitem"), ["l_orderkey", "l_linenumber"], "l_returnflag")
 
@@ -72,13 +73,13 @@ def b2(v: Views):
     return cl.mask_interval(v.trades, "day", "1995-05-01", "1996-06-30").groupBy("inst").agg(F.count("*").alias("n"), F.max("d").alias("last"))
 
 
-ENTITY_SQL = "CASE WHEN o_orderkey % 5 = 0 THEN '(null)' WHEN o_orderkey % 5 = 1 THEN 'FII' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || strftime(o_orderdate, '%y%m%d') ELSE ' E' || CAST(o_custkey AS VARCHAR) END"
+ENTITY_SQL = "CASE WHEN o_orderkey % 5 = 0 THEN '(null)' WHEN o_orderkey % 5 = 1 THEN 'ENT' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || strftime(o_orderdate, '%y%m%d') ELSE ' E' || CAST(o_custkey AS VARCHAR) END"
 
 
-@query("B3_entity_id", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 'FII' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE 'E' || CAST(o_custkey AS VARCHAR) END AS eid FROM orders")
+@query("B3_entity_id", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 'ENT' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE 'E' || CAST(o_custkey AS VARCHAR) END AS eid FROM orders")
 def b3(v: Views):
     raw = F.when(F.col("o_orderkey") % 5 == 0, "(null)").when(
-        F.col("o_orderkey") % 5 == 1, F.concat(F.lit("FII"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.date_format("o_orderdate", "yyMMdd"))
+        F.col("o_orderkey") % 5 == 1, F.concat(F.lit("ENT"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.date_format("o_orderdate", "yyMMdd"))
     ).otherwise(F.concat(F.lit(" E"), F.col("o_custkey").cast("string")))
     return v.table("orders").select("o_orderkey", cl.entity_id(raw).alias("eid"))
 
@@ -198,7 +199,7 @@ def b20(v: Views):
     return cl.last_rows(v.events, "user_id", "ts", 5).select("event_id", "user_id")
 
 
-@query("B21_random_block")
+@query("B21_random_block", f"WITH {EVENTS}, n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM ev), s AS (SELECT *, {mix_sql(7, '(greatest(m - 20, 0) + 1)', 'user_id')} AS a FROM n) SELECT event_id, user_id FROM s WHERE k > a AND k <= a + 20")
 def b21(v: Views):
     return cl.random_block(v.events, "user_id", "ts", 20, seed=7).select("event_id", "user_id")
 
@@ -287,10 +288,9 @@ def c8(v: Views):
 
 @query("C9_in_vintage_window", f"WITH {EVENTS}, {VINTAGES} SELECT v.user_id, v.asof_day, count(e.event_id) > 0 AS seen FROM vint v LEFT JOIN ev e ON e.user_id = v.user_id AND e.event_type = 'error' AND e.day <= v.asof_day AND e.day > v.asof_day - 4 GROUP BY 1, 2")
 def c9(v: Views):
-    e = v.events.where("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("day").alias("x"))
-    vint = _vintages(v)
-    on = (F.col("user_id") == F.col("u")) & (F.col("x") <= F.col("asof_day")) & (F.col("x") > F.date_sub("asof_day", 4))
-    return vint.join(e, on, "left").groupBy("user_id", "asof_day").agg((F.count("x") > 0).alias("seen"))
+    e = v.events.where("event_type = 'error'").select("user_id", "day").distinct().withColumn("x", F.col("day"))
+    last = jn.asof_join(_vintages(v), e, ["user_id"], "asof_day", "day", ["x"])
+    return last.select("user_id", "asof_day", F.coalesce(F.col("x") > F.date_sub("asof_day", 4), F.lit(False)).alias("seen"))
 
 
 @query("C10_nearest_event", f"WITH {EVENTS}, {VINTAGES}, b AS (SELECT e.event_id, e.user_id, e.day, date_diff('day', v.asof_day, e.day) AS x FROM ev e ASOF LEFT JOIN vint v ON e.user_id = v.user_id AND e.day >= v.asof_day) SELECT b.event_id, CAST(least(b.x, date_diff('day', b.day, v.asof_day)) AS INTEGER) AS days FROM b ASOF LEFT JOIN vint v ON b.user_id = v.user_id AND b.day <= v.asof_day")
@@ -321,21 +321,19 @@ def c13(v: Views):
 @query("C14_lookup_map", f"WITH {TRADES}, m AS (SELECT kind, avg(value) AS mean_value FROM trades GROUP BY kind) SELECT inst, avg(value - mean_value) AS excess FROM trades JOIN m USING (kind) GROUP BY inst", "excess", 4)
 def c14(v: Views):
     m = v.trades.groupBy("kind").agg(F.avg("value").alias("mean_value"))
-    return v.trades.join(F.broadcast(m), "kind").groupBy("inst").agg(F.avg(F.col("value") - F.col("mean_value")).alias("excess"))
+    return v.trades.join(m, "kind").groupBy("inst").agg(F.avg(F.col("value") - F.col("mean_value")).alias("excess"))
 
 
-EDGES = "edges AS (SELECT 'I' || CAST(o_custkey % 400 AS VARCHAR) AS old_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'I' || CAST((o_custkey * 7 + o_orderkey) % 400 AS VARCHAR) END AS new_id, CAST(o_orderdate AS DATE) AS ca_date, left(o_orderpriority, 1) AS tier FROM orders)"
+EDGES = "edges AS (SELECT 'I' || CAST(o.o_custkey AS VARCHAR) AS old_id, 'I' || CAST(n.o_custkey AS VARCHAR) AS new_id, CAST(o.o_orderdate AS DATE) AS ca_date, left(o.o_orderpriority, 1) AS tier FROM orders o LEFT JOIN orders n ON n.o_orderkey = o.o_orderkey + 1)"
 ADMITTED = EDGES + ", adm AS (SELECT * FROM edges WHERE old_id <> new_id AND tier IN ('1', '2', '3') QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY ca_date, new_id) = 1)"
 
 
 def _edges(v: Views):
+    """An edge per order: from its customer to that of the order with the next number."""
     o = v.table("orders")
-
-    def name(x):
-        return F.concat(F.lit("I"), (x % 400).cast("string"))
-
-    new = F.when(F.col("o_orderkey") % 11 != 0, name(F.col("o_custkey") * 7 + F.col("o_orderkey")))
-    return o.select(name(F.col("o_custkey")).alias("old_id"), new.alias("new_id"), F.to_date("o_orderdate").alias("ca_date"), F.substring("o_orderpriority", 1, 1).alias("tier"))
+    n = o.select((F.col("o_orderkey") - 1).alias("k"), F.concat(F.lit("I"), F.col("o_custkey").cast("string")).alias("new_id"))
+    j = o.join(n, F.col("o_orderkey") == F.col("k"), "left")
+    return j.select(F.concat(F.lit("I"), F.col("o_custkey").cast("string")).alias("old_id"), "new_id", F.to_date("o_orderdate").alias("ca_date"), F.substring("o_orderpriority", 1, 1).alias("tier"))
 
 
 def _admitted(v: Views):
@@ -347,29 +345,41 @@ def d1(v: Views):
     return _admitted(v).select("old_id", "new_id", "ca_date")
 
 
-@query("D2_break_reciprocal", f"WITH {ADMITTED} SELECT a.old_id, a.new_id FROM adm a LEFT JOIN adm b ON a.old_id = b.new_id AND a.new_id = b.old_id WHERE b.old_id IS NULL OR (length(a.new_id) = 4 AND length(a.old_id) <> 4)")
+@query("D2_break_reciprocal", f"WITH {ADMITTED} SELECT a.old_id, a.new_id FROM adm a LEFT JOIN adm b ON a.old_id = b.new_id AND a.new_id = b.old_id WHERE b.old_id IS NULL OR (substr(a.new_id, 2, 1) < '5' AND NOT substr(a.old_id, 2, 1) < '5')")
 def d2(v: Views):
-    return idn.break_reciprocal(_admitted(v), "length(id) = 4").select("old_id", "new_id")
+    return idn.break_reciprocal(_admitted(v), "substr(id, 2, 1) < '5'").select("old_id", "new_id")
+
+
+def _chains(edges: str, name: str) -> str:
+    return f"""{name} AS (WITH RECURSIVE c AS (SELECT old_id, new_id AS canonical_id, ca_date AS effective_from, 1 AS depth, tier, [old_id, new_id] AS seen FROM {edges}
+ UNION ALL SELECT c.old_id, a.new_id, a.ca_date, c.depth + 1, greatest(c.tier, a.tier), list_append(c.seen, a.new_id) FROM c JOIN {edges} a ON c.canonical_id = a.old_id WHERE NOT list_contains(c.seen, a.new_id) AND a.ca_date >= c.effective_from)
+ SELECT old_id, canonical_id, effective_from, depth, tier FROM c UNION ALL SELECT old_id, old_id, NULL, 0, tier FROM {edges})"""
 
 
-CHAINS = ADMITTED + """, ch AS (WITH RECURSIVE c AS (SELECT old_id, new_id AS canonical_id, ca_date AS effective_from, 1 AS depth FROM adm
- UNION ALL SELECT c.old_id, a.new_id, a.ca_date, c.depth + 1 FROM c JOIN adm a ON c.canonical_id = a.old_id WHERE a.new_id <> c.old_id AND a.ca_date > c.effective_from AND c.depth < 6) SELECT * FROM c),
- iv AS (SELECT *, lead(effective_from) OVER (PARTITION BY old_id ORDER BY depth) AS effective_to FROM ch)"""
+CHAINS = f"{ADMITTED}, {_chains('adm', 'ch')}, iv AS (SELECT old_id, canonical_id, effective_from, depth, CASE WHEN depth = 0 THEN 'SELF' ELSE max(tier) OVER (PARTITION BY old_id) END AS confidence, lead(effective_from) OVER (PARTITION BY old_id ORDER BY depth) AS effective_to FROM ch)"
 
 
-@query("D3_chain_intervals", f"WITH {CHAINS} SELECT old_id, canonical_id, effective_from, effective_to, depth FROM iv")
+@query("D3_chain_intervals", f"WITH {CHAINS} SELECT old_id, canonical_id, effective_from, effective_to, depth, confidence FROM iv")
 def d3(v: Views):
-    return idn.chain_intervals(_admitted(v)).select("old_id", "canonical_id", "effective_from", "effective_to", "depth")
+    return idn.chain_intervals(_admitted(v)).select("old_id", "canonical_id", "effective_from", "effective_to", "depth", "confidence")
 
 
-@query("D4_interval_gates", f"WITH {CHAINS}, g AS (SELECT *, lag(effective_to) OVER (PARTITION BY old_id ORDER BY effective_from) AS p FROM iv) SELECT count(*) AS n, count(*) FILTER (effective_to <= effective_from) AS not_monotone, count(*) FILTER (canonical_id = old_id) AS self, count(*) FILTER (p IS NOT NULL AND p <> effective_from) AS holes FROM g")
+@query("D4_interval_gates", f"WITH {CHAINS}, g AS (SELECT *, lag(effective_to) OVER (PARTITION BY old_id ORDER BY depth) AS p FROM iv) SELECT count(*) AS n, count(*) FILTER (effective_to < effective_from) AS not_monotone, count(*) FILTER (canonical_id = old_id AND depth > 0) AS self, count(*) FILTER (depth > 0 AND p IS DISTINCT FROM effective_from) AS holes FROM g")
 def d4(v: Views):
     return idn.interval_gates(idn.chain_intervals(_admitted(v)))
 
 
-@query("D5_overlaps", f"WITH {TRADES}, l AS (SELECT inst, entity, min(day) AS a, max(day) AS b FROM trades WHERE entity < 20 GROUP BY 1, 2), x AS (SELECT *, lag(b) OVER (PARTITION BY inst ORDER BY a, b) AS prev_end FROM l) SELECT inst, entity, a, b, prev_end FROM x WHERE prev_end > a")
+CUT = "1996-06-30"
+
+
+@query("D4_hindsight_gate", f"WITH {CHAINS}, early AS (SELECT * FROM adm WHERE ca_date <= DATE '{CUT}'), {_chains('early', 'ch2')}, f AS (SELECT old_id, canonical_id, effective_from, depth FROM ch WHERE depth > 0 AND effective_from <= DATE '{CUT}'), p AS (SELECT old_id, canonical_id, effective_from, depth FROM ch2 WHERE depth > 0), x AS ((SELECT * FROM f EXCEPT SELECT * FROM p) UNION (SELECT * FROM p EXCEPT SELECT * FROM f)) SELECT (SELECT count(*) FROM x) AS hindsight, (SELECT count(*) FROM (SELECT * FROM f UNION SELECT * FROM p)) AS intervals")
+def d4h(v: Views):
+    return idn.hindsight_gate(_admitted(v), CUT)
+
+
+@query("D5_overlaps", f"WITH {TRADES}, l AS (SELECT inst, entity, min(day) AS a, max(day) AS b FROM trades GROUP BY 1, 2), x AS (SELECT *, lag(b) OVER (PARTITION BY inst ORDER BY a, b) AS prev_end FROM l) SELECT inst, entity, a, b, prev_end FROM x WHERE prev_end > a")
 def d5(v: Views):
-    life = v.trades.where("entity < 20").groupBy("inst", "entity").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    life = v.trades.groupBy("inst", "entity").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     return idn.overlaps(life, "inst", "a", "b")
 
 
@@ -386,9 +396,9 @@ def d7(v: Views):
     return v.events.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("c"))
 
 
-@query("D8_lifetimes", f"WITH {EVENTS}, l AS (SELECT user_id, event_type, min(day) AS a, max(day) AS b FROM ev WHERE day(day) % 11 = user_id % 11 GROUP BY 1, 2), n AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY a, b, event_type) AS nx FROM l) SELECT user_id, count(*) AS keys, CASE WHEN bool_and(coalesce(nx > b, TRUE)) THEN 'fragment' ELSE 'coexist' END AS kind FROM n GROUP BY user_id")
+@query("D8_lifetimes", f"WITH {EVENTS}, l AS (SELECT user_id, event_type, min(day) AS a, max(day) AS b FROM ev GROUP BY 1, 2), n AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY a, b, event_type) AS nx FROM l) SELECT user_id, count(*) AS keys, CASE WHEN bool_and(coalesce(nx > b, TRUE)) THEN 'fragment' ELSE 'coexist' END AS kind FROM n GROUP BY user_id")
 def d8(v: Views):
-    return idn.lifetimes(v.events.where("dayofmonth(day) % 11 = user_id % 11"), "user_id", "event_type", "day")
+    return idn.lifetimes(v.events, "user_id", "event_type", "day")
 
 
 @query("D9_name_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' '))) / CAST(len(list_distinct(list_concat(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')))) AS DOUBLE) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1", "similarity")
@@ -406,9 +416,9 @@ def d10(v: Views):
     return j.groupBy("event_type").agg(F.count("*").alias("n"), F.count("u").alias("matched"), F.avg(F.col("u").isNotNull().cast("double")).alias("rate"))
 
 
-@query("D11_link_confirmed", f"WITH {ADMITTED}, s AS (SELECT 'I' || CAST(o_custkey % 400 AS VARCHAR) AS id, list(DISTINCT o_orderpriority) AS syms FROM orders GROUP BY 1) SELECT a.old_id, a.new_id, list_has_any(x.syms, y.syms) AS shared FROM adm a JOIN s x ON x.id = a.old_id JOIN s y ON y.id = a.new_id")
+@query("D11_link_confirmed", f"WITH {ADMITTED}, s AS (SELECT 'I' || CAST(o_custkey AS VARCHAR) AS id, list(DISTINCT o_orderpriority) AS syms FROM orders GROUP BY 1) SELECT a.old_id, a.new_id, list_has_any(x.syms, y.syms) AS shared FROM adm a JOIN s x ON x.id = a.old_id JOIN s y ON y.id = a.new_id")
 def d11(v: Views):
-    s = v.table("orders").groupBy(F.concat(F.lit("I"), (F.col("o_custkey") % 400).cast("string")).alias("id")).agg(F.collect_set("o_orderpriority").alias("syms"))
+    s = v.table("orders").groupBy(F.concat(F.lit("I"), F.col("o_custkey").cast("string")).alias("id")).agg(F.collect_set("o_orderpriority").alias("syms"))
     a = _admitted(v)
     x, y = s.select(F.col("id").alias("old_id"), F.col("syms").alias("sx")), s.select(F.col("id").alias("new_id"), F.col("syms").alias("sy"))
     return a.join(x, "old_id").join(y, "new_id").select("old_id", "new_id", F.arrays_overlap("sx", "sy").alias("shared"))

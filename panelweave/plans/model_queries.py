@@ -78,7 +78,7 @@ def j14(v: Views):
     return st.christoffersen(_hits(v), "inst", "d", "hit")
 
 
-@query("J15_effective_n", f"WITH {HITS}, g AS (SELECT d, CAST(count(*) AS DOUBLE) AS m, CAST(sum(hit::INT) AS DOUBLE) AS x FROM hits GROUP BY d), a AS (SELECT sum(m) AS n, count(*) AS k, sum(x) AS sx, sum(m * m) AS m2, sum(x * x / m) AS b FROM g), s AS (SELECT *, (n - m2 / n) / (k - 1) AS m0, (b - sx * sx / n) / (k - 1) AS msb, (sx - b) / (n - k) AS msw FROM a), r AS (SELECT *, greatest(0, (msb - msw) / (msb + (m0 - 1) * msw)) AS icc FROM s) SELECT n, icc, n / (1 + (n / k - 1) * icc) AS effective_n FROM r", "icc effective_n")
+@query("J15_effective_n", f"WITH {HITS}, g AS (SELECT d, CAST(count(*) AS DOUBLE) AS m, CAST(sum(hit::INT) AS DOUBLE) AS x FROM hits GROUP BY d), a AS (SELECT sum(m) AS n, count(*) AS k, sum(x) AS sx, sum(m * m) AS m2, sum(x * x / m) AS b FROM g), s AS (SELECT *, (n - m2 / n) / nullif(k - 1, 0) AS m0, (b - sx * sx / n) / nullif(k - 1, 0) AS msb, (sx - b) / nullif(n - k, 0) AS msw FROM a), r AS (SELECT *, coalesce(greatest(0, (msb - msw) / nullif(msb + (m0 - 1) * msw, 0)), 0) AS icc FROM s) SELECT n, icc, n / (1 + (n / k - 1) * icc) AS effective_n FROM r", "icc effective_n")
 def j15(v: Views):
     return st.effective_n(_hits(v), "d", "hit")
 
@@ -98,7 +98,7 @@ def j18(v: Views):
     return g.withColumn("half_width", 1.96 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")))
 
 
-@query("J19_two_samples", f"WITH {STATES}, x AS (SELECT state, round(gross, 2) AS g FROM states WHERE state IN ('buy', 'sell')), r AS (SELECT *, {avg_rank('g', '1')} AS r FROM x), a AS (SELECT avg(g) FILTER (state = 'buy') AS ma, avg(g) FILTER (state = 'sell') AS mb, var_samp(g) FILTER (state = 'buy') AS va, var_samp(g) FILTER (state = 'sell') AS vb, count(*) FILTER (state = 'buy') AS na, count(*) FILTER (state = 'sell') AS nb, sum(r) FILTER (state = 'buy') AS s FROM r) SELECT (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d, s - na * (na + 1) / 2 AS u, na, nb FROM a", "d u")
+@query("J19_two_samples", f"WITH {STATES}, x AS (SELECT state, round(gross, 2) AS g FROM states WHERE state IN ('buy', 'sell')), r AS (SELECT *, {avg_rank('g', '1')} AS r FROM x), a AS (SELECT avg(g) FILTER (state = 'buy') AS ma, avg(g) FILTER (state = 'sell') AS mb, var_samp(g) FILTER (state = 'buy') AS va, var_samp(g) FILTER (state = 'sell') AS vb, count(*) FILTER (state = 'buy') AS na, count(*) FILTER (state = 'sell') AS nb, sum(r) FILTER (state = 'buy') AS s FROM r) SELECT (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d, s - na * (na + 1) / 2 AS u, (SELECT max(abs(ca / CAST(ta AS DOUBLE) - cb / CAST(tb AS DOUBLE))) FROM (SELECT count(*) FILTER (state = 'buy') OVER (ORDER BY g) AS ca, count(*) FILTER (state = 'sell') OVER (ORDER BY g) AS cb, count(*) FILTER (state = 'buy') OVER () AS ta, count(*) FILTER (state = 'sell') OVER () AS tb FROM x)) AS ks, na, nb FROM a", "d u ks")
 def j19(v: Views):
     return st.cohen_d(v.states.withColumn("gross", F.round("gross", 2)), "state", "gross", "buy", "sell")
 
@@ -231,7 +231,7 @@ DENS = ZED + f", {CALENDAR}, obs AS (SELECT c.pos, CASE WHEN z.inst < 'Brand#2'
 
 
 def _densities(v: Views):
-    obs = _outcome(v).where("z is not null").join(F.broadcast(v.calendar), "d").select("pos", F.when(F.col("inst") < "Brand#2", "a").otherwise("b").alias("cls"), F.round("z", 6).alias("z"), (1.0 + F.col("pos") % 3).alias("w"))
+    obs = _outcome(v).where("z is not null").join(v.calendar, "d").select("pos", F.when(F.col("inst") < "Brand#2", "a").otherwise("b").alias("cls"), F.round("z", 6).alias("z"), (1.0 + F.col("pos") % 3).alias("w"))
     vint = v.calendar.groupBy(F.date_format("d", "yyyy").alias("vintage")).agg(F.max("pos").alias("asof_pos"))
     return rg.past_densities(obs, vint, 5, -4.0, 0.5, 16)
 

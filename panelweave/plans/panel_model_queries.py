@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.mix import mix_sql
 from panelweave.operators import hmm, joins, panelreg, resampling
 from panelweave.operators import regimes as rg
 from panelweave.operators import windows as win
@@ -51,27 +52,27 @@ def j17(v: Views):
     return panelreg.ljung_box(_hits(v), "inst", "d", "z", 2)
 
 
-@query("J20_block_bootstrap")
+@query("J20_block_bootstrap", f"WITH {HITS}, d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS pos, s, n0, count(*) OVER () AS n FROM (SELECT d, sum(z) AS s, count(*) AS n0 FROM hits GROUP BY d)), w AS (SELECT rep, pos, n, CASE WHEN pos = 0 OR {mix_sql(11, 8, 'rep', 'pos')} = 0 THEN {mix_sql(12, 'n', 'rep', 'pos')} END AS a, CASE WHEN pos = 0 OR {mix_sql(11, 8, 'rep', 'pos')} = 0 THEN pos END AS f FROM d, (SELECT unnest(range(1, 201)) AS rep)), x AS (SELECT rep, (last_value(a IGNORE NULLS) OVER o + pos - last_value(f IGNORE NULLS) OVER o) % n AS pos FROM w WINDOW o AS (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING)) SELECT CAST(rep AS INTEGER) AS rep, sum(s) / sum(n0) AS estimate FROM x JOIN d USING (pos) GROUP BY rep", "estimate")
 def j20(v: Views):
     daily = _hits(v).groupBy("d").agg(F.sum("z").alias("s"), F.count("*").alias("n"))
     return resampling.block_bootstrap(daily, "d", "s", "n", 200, 8, 11)
 
 
-@query("J24_run_permutation")
+@query("J24_run_permutation", f"WITH {STATES}, p AS (SELECT inst, row_number() OVER (PARTITION BY inst ORDER BY d) - 1 AS pos, state = 'sell' AS h FROM states), r AS (SELECT inst, rep, h, CASE WHEN rep = 0 THEN 0 ELSE {mix_sql(13, 2147483648, 'rep', 'pos')} END AS x, pos FROM p, (SELECT unnest(range(0, 51)) AS rep)), l AS (SELECT rep, h AND NOT coalesce(lag(h) OVER (PARTITION BY inst, rep ORDER BY x, pos), FALSE) AS s FROM r) SELECT CAST(rep AS INTEGER) AS rep, count(*) FILTER (s) AS runs FROM l GROUP BY rep")
 def j24(v: Views):
     return resampling.run_permutation(v.states, "inst", "d", "state", "sell", 50, 13)
 
 
 @query("J34_event_arc", f"WITH {PRICE}, {CALENDAR}, x AS (SELECT inst, c.pos, volume, abs(ret) > 0.3 AS big FROM price JOIN calendar c USING (d)), e AS (SELECT inst, pos AS p, unnest(range(-3, 4)) AS o FROM x WHERE big) SELECT CAST(o AS INTEGER) AS \"offset\", count(volume) AS n, avg(volume) AS mean FROM e JOIN x ON x.inst = e.inst AND x.pos = e.p + e.o GROUP BY o", "mean")
 def j34(v: Views):
-    x = v.price.join(F.broadcast(v.calendar), "d").select("inst", "pos", "volume", "ret")
+    x = v.price.join(v.calendar, "d").select("inst", "pos", "volume", "ret")
     return panelreg.event_arc(x.where("abs(ret) > 0.3"), x.select("inst", "pos", "volume"), "inst", "pos", "volume", 3, 3)
 
 
 @query("K1_K5_regimes")
 def k1(v: Views):
     """The fitted model's smoothed state per row; the regime model over all instruments."""
-    x = v.states.join(F.broadcast(v.calendar), "d").select("inst", "d", "pos", "imb")
+    x = v.states.join(v.calendar, "d").select("inst", "d", "pos", "imb")
     par, _ = hmm.fit(x, "inst", "pos", "imb", states=3, rounds=5)
     out = hmm.decode(x, "inst", "d", "pos", "imb", par)
     return out.select("inst", "d", "state", F.round(F.col("filtered")[2], 6).alias("p_buy"), F.round(F.col("smoothed")[0], 6).alias("s_sell"))

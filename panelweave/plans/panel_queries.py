@@ -149,9 +149,9 @@ def e24(v: Views):
     return agg.truncation_share(v.price, "inst", "d", 20)
 
 
-@query("E25_match_attrition", f"WITH {EVENTS}, p AS (SELECT DISTINCT user_id, day FROM ev WHERE event_type = 'purchase' AND user_id % 4 <> 0) SELECT e.event_type, count(*) AS n, avg(CASE WHEN k.user_id IS NULL THEN 1.0 ELSE 0 END) AS key_absent, avg(CASE WHEN k.user_id IS NOT NULL AND p.user_id IS NULL THEN 1.0 ELSE 0 END) AS other_date, avg(CASE WHEN p.user_id IS NOT NULL THEN 1.0 ELSE 0 END) AS matched FROM ev e LEFT JOIN (SELECT DISTINCT user_id FROM p) k ON e.user_id = k.user_id LEFT JOIN p ON e.user_id = p.user_id AND e.day = p.day GROUP BY 1", "key_absent other_date matched")
+@query("E25_match_attrition", f"WITH {EVENTS}, p AS (SELECT DISTINCT user_id, day FROM ev WHERE event_type = 'purchase') SELECT e.event_type, count(*) AS n, avg(CASE WHEN k.user_id IS NULL THEN 1.0 ELSE 0 END) AS key_absent, avg(CASE WHEN k.user_id IS NOT NULL AND p.user_id IS NULL THEN 1.0 ELSE 0 END) AS other_date, avg(CASE WHEN p.user_id IS NOT NULL THEN 1.0 ELSE 0 END) AS matched FROM ev e LEFT JOIN (SELECT DISTINCT user_id FROM p) k ON e.user_id = k.user_id LEFT JOIN p ON e.user_id = p.user_id AND e.day = p.day GROUP BY 1", "key_absent other_date matched")
 def e25(v: Views):
-    right = v.events.where("event_type = 'purchase' and user_id % 4 <> 0")
+    right = v.events.where("event_type = 'purchase'")
     return agg.match_attrition(v.events, right, "user_id", "day", "event_type")
 
 
@@ -283,9 +283,7 @@ def f15(v: Views):
 @query("F16_own_past_quintile", f"WITH {EVENTS}, x AS (SELECT user_id, day, round(avg(value), 6) AS v FROM ev GROUP BY 1, 2) SELECT a.user_id, a.day, CAST(least(5, 1 + floor(5 * count(*) FILTER (b.v < a.v) / count(*))) AS INTEGER) AS quintile FROM x a JOIN x b ON a.user_id = b.user_id AND b.day <= a.day GROUP BY a.user_id, a.day, a.v")
 def f16(v: Views):
     x = v.events.groupBy("user_id", "day").agg(F.round(F.avg("value"), 6).alias("v"))
-    past = F.collect_list("v").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    below = F.size(F.filter("past", lambda p: p < F.col("v")))
-    return x.withColumn("past", past).select("user_id", "day", F.least(F.lit(5), 1 + F.floor(5 * below / F.size("past"))).cast("int").alias("quintile"))
+    return win.own_past_quintile(x, "user_id", "day", "v")
 
 
 @query("F17_lags", f"WITH {PRICE} SELECT inst, d, lag(ret, 1) OVER w AS l1, lag(ret, 5) OVER w AS l5, lead(ret, 1) OVER w AS f1 FROM price WINDOW w AS (PARTITION BY inst ORDER BY d)", "l1 l5 f1")
@@ -303,9 +301,9 @@ def f18(v: Views):
 @query("F19_ewma_variance", f"""WITH RECURSIVE {PRICE}, o AS (SELECT inst, d, ret, row_number() OVER (PARTITION BY inst ORDER BY d) AS k FROM price),
  z AS (SELECT inst, d, k, CASE WHEN ret IS NULL THEN 0 ELSE 1 END AS n, CASE WHEN ret IS NULL THEN 0.0 ELSE ret * ret END::DOUBLE AS v FROM o WHERE k = 1
  UNION ALL SELECT o.inst, o.d, o.k, z.n + CASE WHEN o.ret IS NULL THEN 0 ELSE 1 END, (CASE WHEN o.ret IS NULL THEN z.v WHEN z.n + 1 <= 20 THEN z.v + (o.ret * o.ret - z.v) / (z.n + 1) ELSE z.v * 0.94 + o.ret * o.ret * 0.06 END)::DOUBLE FROM z JOIN o ON o.inst = z.inst AND o.k = z.k + 1)
- SELECT inst, d, CASE WHEN n >= 20 THEN v END AS variance FROM z""", "variance")
+ SELECT inst, d, CASE WHEN n >= 60 THEN v END AS variance FROM z""", "variance")
 def f19(v: Views):
-    return win.ewma_variance(v.price, "inst", "d", "ret", 0.94, 20)
+    return win.ewma_variance(v.price, "inst", "d", "ret", 0.94, 20, 60)
 
 
 @query("F20_forward_return", f"WITH {PRICE} SELECT inst, d, CASE WHEN count(ret) OVER w = 5 THEN sum(ln(1 + ret)) OVER w END AS fwd FROM price WINDOW w AS (PARTITION BY inst ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)", "fwd")
@@ -337,7 +335,7 @@ def f23(v: Views):
 
 @query("F24_calendar_gap", f"WITH {TRADES}, {CALENDAR}, x AS (SELECT DISTINCT t.inst, t.d, c.pos FROM trades t JOIN calendar c ON t.d = c.d WHERE t.quantity > 30) SELECT inst, d, least(250, pos - lag(pos) OVER (PARTITION BY inst ORDER BY d)) AS gap FROM x")
 def f24(v: Views):
-    x = v.trades.where("quantity > 30").select("inst", "d").distinct().join(F.broadcast(v.calendar), "d")
+    x = v.trades.where("quantity > 30").select("inst", "d").distinct().join(v.calendar, "d")
     gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("inst").orderBy("d"))
     return x.select("inst", "d", F.when(gap.isNotNull(), F.least(F.lit(250), gap)).otherwise(F.lit(250)).alias("gap"))
 

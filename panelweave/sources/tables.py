@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.functions.mix import mix
+
 TAPE = T.StructType([
     T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),
     T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_quantity", T.DoubleType()), T.StructField("l_extendedprice", T.DoubleType()),
@@ -86,8 +88,8 @@ def decode_matrices(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """Rows, an order-free hash of the keys, and the number of different categories."""
-    part = F.pmod(F.xxhash64(*keys), F.lit(1_000_003))
+    """Rows, an order-free hash of the keys (whole numbers), and the number of different categories."""
+    part = mix(5, 1_000_003, *map(F.col, keys))
     return df.agg(F.count("*").alias("rows"), F.sum(part).alias("key_hash"), F.countDistinct(category).alias("categories"))
 
 

@@ -5,9 +5,11 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from panelweave.functions.normal import normal_cdf, probit
+from panelweave.operators import aggregates as agg
 from panelweave.operators import cleaning as cl
 from panelweave.operators import identity as idn
 from panelweave.operators import joins as jn
+from panelweave.operators import panelreg as pr
 from panelweave.operators import portfolio as pf
 from panelweave.operators import regimes as rg
 from panelweave.operators import stats as st
@@ -60,9 +62,17 @@ def test_future_changes_nothing_past(spark):
 
 
 def test_chain_stops_at_cycles_and_backward_dates(spark):
-    e = spark.createDataFrame([("a", "b", day(1)), ("b", "c", day(5)), ("c", "a", day(9)), ("x", "y", day(8)), ("y", "z", day(2))], "old_id string, new_id string, ca_date date")
-    got = {(r.old_id, r.canonical_id, r.depth) for r in idn.chain_intervals(e).collect()}
+    chain = [(f"n{k}", f"n{k + 1}", day(20 + k // 2), "1" if k != 4 else "3") for k in range(9)]  # longer than any fixed depth, with equal dates
+    e = spark.createDataFrame([("a", "b", day(1), "2"), ("b", "c", day(5), "1"), ("c", "a", day(9), "1"), ("x", "y", day(8), "1"), ("y", "z", day(2), "1"), *chain], "old_id string, new_id string, ca_date date, tier string")
+    rows = idn.chain_intervals(e).collect()
+    got = {(r.old_id, r.canonical_id, r.depth) for r in rows if r.depth and r.old_id in "abcxy"}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("x", "y", 1), ("y", "z", 1)}
+    long = sorted((r for r in rows if r.old_id == "n0"), key=lambda r: r.depth)
+    assert [r.canonical_id for r in long] == [f"n{k}" for k in range(10)] and {r.confidence for r in long[1:]} == {"3"} and long[0].confidence == "SELF"
+    assert long[0].effective_from is None and all(a.effective_to == b.effective_from for a, b in zip(long, long[1:], strict=False)) and long[-1].effective_to is None
+    gates = idn.interval_gates(idn.chain_intervals(e)).first()
+    assert (gates.not_monotone, gates.self, gates.holes) == (0, 0, 0)
+    assert idn.hindsight_gate(e, str(day(22))).first().hindsight == 0
 
 
 def test_reciprocal_pairs(spark):
@@ -120,6 +130,42 @@ def test_filter_is_a_probability_and_waits_on_missing(spark):
     assert abs(p[1][0] - (p[0][0] * 0.9 + p[0][1] * 0.2)) < 1e-12 and p[3][1] > 0.99
 
 
+def test_filter_moves_over_gaps(spark):
+    a = [[0.9, 0.1], [0.2, 0.8]]
+    rows = [("a", day(0), 0, -1.0), ("a", day(9), 3, None), ("a", day(20), 400, None)]
+    p = [r.p for r in rg.forward_filter(spark.createDataFrame(rows, "k string, t date, pos int, x double"), "k", "t", "x", [-1.0, 1.0], [0.5, 0.5], a, [0.5, 0.5], "pos").orderBy("t").collect()]
+    q = p[0]
+    for _ in range(3):
+        q = [q[0] * 0.9 + q[1] * 0.2, q[0] * 0.1 + q[1] * 0.8]
+    assert abs(p[1][0] - q[0]) < 1e-12 and abs(p[2][0] - 2 / 3) < 1e-9
+
+
+def test_degenerate_tables_do_not_stop_a_job(spark):
+    """Constant series, one class, no hits, one day: nulls or zeros, no error."""
+    flat = spark.createDataFrame([("a", day(k), 1.0, 0.0, False, 0.0) for k in range(5)], "key string, d date, x double, z double, hit boolean, turnover double")
+    one = flat.limit(1)
+    for df in (flat, one, flat.limit(0)):
+        hidden = [
+            st.hac_mean(df, "d", "x", 1), st.paired_t(df, "d", "x", "z"), st.effective_n(df, "d", "hit"), st.cohen_d(df, "key", "x", "a", "b"), st.auc_scores(df, "hit", "z", ["key"]),
+            agg.kappa(df.withColumn("k2", F.col("key")), "key", "k2"), agg.enrichment(df, "key", "hit"), agg.market_flow(df.select("d", F.lit(0.0).alias("net"), F.lit(0.0).alias("gross"))),
+            agg.stockday_panel(df.select(F.col("key").alias("inst"), "d", F.lit(1).alias("side"), F.lit(0.0).alias("value"), F.lit(1.0).alias("quantity"), F.lit(1).alias("entity"))),
+            agg.gate_coverage(df, "z", "z", ["x"]), pr.ljung_box(df, "key", "d", "x", 2), pr.fe_slope(df, "x", "z", "key", "d", 1),
+            pf.metrics(df, "d", "z", 52.0), pf.cost_grid(df.withColumn("gross", F.lit(0.0)), [1.0], 52.0),
+        ]
+        for h in hidden:
+            h.collect()
+    assert st.effective_n(flat, "d", "hit").first().icc == 0.0
+
+
+def test_past_quintile_and_cumulated_counts(spark):
+    rows = [("a", day(k), v) for k, v in enumerate((3.0, 1.0, 2.0, 9.0, 9.0))]
+    got = win.own_past_quintile(spark.createDataFrame(rows, "k string, t date, v double"), "k", "t", "v").orderBy("t").collect()
+    assert [r.quintile for r in got] == [1, 1, 2, 4, 4]
+    c = spark.createDataFrame([(g, v, (v * 7) % 5 + 1) for g in "ab" for v in range(300)], "g string, v int, n int")
+    want = {(g, v): sum((x * 7) % 5 + 1 for x in range(v)) for g in "ab" for v in range(300)}
+    assert {(r.g, r.v): r.below for r in st.cumulated(c, ["g"], "v", "n").collect()} == want
+
+
 def test_embargo(spark):
     """An outcome counts in a vintage just if it ended by then."""
     obs = spark.createDataFrame([(k, "c", 0.1 * k, 1.0) for k in range(1, 11)], "pos int, cls string, z double, w double")
