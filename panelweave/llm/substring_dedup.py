@@ -272,15 +272,21 @@ def repeated_units(
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """`text` without the words of `spans` (first word, number of words; apart and in order).
+    """`text` without the words of `spans` (first word, number of words; in order, neighbours count as one).
 
     White space before a span goes with it; from a span that begins a line and ends within
     one, the white space after it goes.
     """
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
-    out, done = [], 0
+    whole: list[list[int]] = []
     for a, n in spans:
+        if whole and a <= whole[-1][0] + whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], a + n - whole[-1][0])
+        else:
+            whole.append([a, n])
+    out, done = [], 0
+    for a, n in whole:
         z = a + n
         begins = a == 0 or b"\n" in raw[at[a - 1][1] : at[a][0]]
         ends = z == len(at) or b"\n" in raw[at[z - 1][1] : at[z][0]]

@@ -98,10 +98,14 @@ def test_averaging_in_levels(spark):
     assert all(np.allclose(a, want) for a in net.p.values())
 
 
-def test_listed_words_break_ties_by_word(spark, monkeypatch):
-    monkeypatch.setattr(lm, "LISTED", 3)
-    counts = spark.createDataFrame([(b"b", 5), (b"a", 5), (b"d", 5), (b"c", 5), (b"z", 9)], "word binary, c long")
-    assert lm.most_frequent(counts) == [(b"z", 9), (b"a", 5), (b"b", 5)]
+def test_listed_words_take_a_share_of_the_last_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 120)
+    rows = [(f"w{k}".encode(), 5) for k in range(400)] + [(f"x{k}".encode(), 6 + k) for k in range(40)] + [(b"y", 1)]
+    got = lm.most_frequent(spark.createDataFrame(rows, "word binary, c long"))
+    assert got[:40] == [(f"x{k}".encode(), 6 + k) for k in reversed(range(40))] and {c for _, c in got[40:]} == {5} and 80 < len(got) < 170
+    assert got[40:] == sorted(got[40:])
+    monkeypatch.setattr(lm, "LISTED", 10_000)
+    assert len(lm.most_frequent(spark.createDataFrame(rows, "word binary, c long"))) == len(rows)
 
 
 def test_counts_base_and_gain(spark, monkeypatch):

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -7,6 +9,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from panelweave.llm.substring_dedup import without_words
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_substring_dedup import removed_words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {
@@ -73,9 +79,8 @@ def brute(rows):
     ids = sorted(docs)
     docs = {ids[k]: docs[ids[k]] for k, r in enumerate(groups([grams(docs[i]) for i in ids])) if k == r}
     ids = sorted(docs)
-    units = [(i, k, p) for i in ids for k, p in enumerate(docs[i].split("\n")) if len(p.split()) >= 20]
-    gone = {units[k][:2] for k, r in enumerate(groups([grams(p) for *_, p in units])) if k != r}
-    return {i: "\n".join(p for k, p in enumerate(docs[i].split("\n")) if (i, k) not in gone) for i in ids}
+    gone = removed_words([(i, docs[i]) for i in ids])
+    return {i: without_words(docs[i], [(k, 1) for k in sorted(gone[i, docs[i]])]) for i in ids}
 
 
 def test_run_equals_brute_force(spark, tmp_path):

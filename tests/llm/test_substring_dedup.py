@@ -27,8 +27,13 @@ def cuts_of(ws):
     return [i for i in range(len(ws)) if i == 0 or (i < len(g) and all(g[j] > g[i] for j in range(max(0, i - RADIUS), i)) and all(g[j] >= g[i] for j in range(i + 1, min(len(g), i + RADIUS + 1))))]
 
 
-def brute(rows, min_words=20, least=20, n=5):
-    """Texts left, as words: all pairs of units of a kind, single links, first occurrences stay."""
+def brute(rows):
+    """Texts left, as words."""
+    return {x: [w for k, w in enumerate(ascii_words(x[1])) if k not in g] for x, g in removed_words(rows).items()}
+
+
+def removed_words(rows, min_words=20, least=20, n=5):
+    """Numbers of the words that go: all pairs of units of a kind, single links, first occurrences stay."""
     docs = sorted({(i, t) for i, t, *_ in rows if t}, key=lambda x: (x[0] is not None, x[0] or 0))
     units = []
     for d, (_, t) in enumerate(docs):
@@ -84,7 +89,7 @@ def brute(rows, min_words=20, least=20, n=5):
         for a, m in here:
             if m >= least:
                 gone[d].update(range(a, a + m))
-    return {docs[d]: [w for k, w in enumerate(ascii_words(docs[d][1])) if k not in g] for d, g in gone.items()}
+    return {docs[d]: g for d, g in gone.items()}
 
 
 def corpus(seed, n=150):
