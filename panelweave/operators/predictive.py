@@ -140,7 +140,7 @@ def mixture(rows: DataFrame, densities: DataFrame, classes: list[str], low: floa
     r = r.withColumn("__z", clipped)
     r = r.withColumn("crps", F.when(F.col("z").isNotNull(), total(F.transform("__p", lambda p, k: p * F.abs(mid(k) - F.col("__z")))) - step * total(F.transform("__f", lambda f: f * (1 - f)))))
     for tag, a in alphas.items():
-        k = F.size(F.filter("__f", lambda f, a=a: f < a))
+        k = F.size(F.filter("__f", lambda f: f < a))
         r = r.withColumn("__k", F.least(k, F.lit(bins - 1))).withColumn("__ok", F.col("__e") * a >= thin)
         r = r.withColumn(f"var_{tag}", F.when(F.col("__ok"), low + (F.col("__k") + 0.5) * step))
         r = r.withColumn(f"es_{tag}", F.when(F.col("__ok"), total(F.transform("__p", lambda p, k: F.when(k <= F.col("__k"), p * mid(k)).otherwise(0.0))) / a))
