@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +26,18 @@ LISTED = 200_000  # words whose count every task knows; the counts of all others
 STEPS = 24  # length of a truncated backpropagation window
 LANES, PART = 512, 1024  # texts side by side; a longer text is learnt in parts (but scored as a whole)
 BLOCK = 2_000_000  # tokens that are kept together
+PIECE = 1 << 24  # bytes of text that are split into words at a time
 
 FIRST = np.cumsum((0, *WIDTHS))  # where the words of each class begin
 CLASS_OF = np.concatenate([np.repeat(np.arange(CLASSES), WIDTHS), CLASSES + (FREQUENT + np.arange(BUCKETS)) % RARE]).astype(np.int8)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
-def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and the gradient with respect to the scores (classes, tokens).
+def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, safe: bool, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets and, to learn from, the gradient with respect to the scores (classes, tokens).
 
     States lie within -1 and 1, which bounds the scores; only where they are not `safe` for
     plain exponentials is the greatest score taken off first.
@@ -54,6 +51,8 @@ def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, sa
     np.exp(s, out=s)
     total = np.ones(len(s), s.dtype) @ s
     logp -= np.log(total)
+    if not learn:
+        return logp, s
     np.divide(-1, total, out=total)
     s *= total
     s[target, at] += 1
@@ -141,7 +140,7 @@ class GatedNet:
         safe = _safe(p["C"], p["c"])
         for a in range(0, len(y), 2048):  # in parts that stay in the cache
             at = slice(a, a + 2048)
-            logp[at], e = _softmax(p["C"], p["c"], hs[:, at], k[at], safe)
+            logp[at], e = _softmax(p["C"], p["c"], hs[:, at], k[at], safe, grad is not None)
             if grad is not None:
                 grad["C"] += e @ hs[:, at].T
                 grad["c"] += e.sum(1)
@@ -152,7 +151,7 @@ class GatedNet:
             if a == b:
                 continue
             words = slice(FIRST[c], FIRST[c + 1])
-            more, e = _softmax(p["V"][words], p["v"][words], hs[:, a:b], y[order[a:b]] - FIRST[c], safe)
+            more, e = _softmax(p["V"][words], p["v"][words], hs[:, a:b], y[order[a:b]] - FIRST[c], safe, grad is not None)
             logp[a:b] += more
             if grad is not None:
                 grad["V"][words], grad["v"][words] = e @ hs[:, a:b].T, e.sum(1)
@@ -298,15 +297,25 @@ def score_docs(net: GatedNet, docs: list[np.ndarray], lanes: int = LANES) -> np.
     return out
 
 
-class _Numbers(dict):
-    """Words numbered in the order of their first use."""
+BLOCKS = "id array<long>, held_out array<boolean>, fold array<int>, size array<int>, codes binary, words array<binary>, counts array<long>"
+
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts after lower-casing A-Z, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null("")))
+    words = lists.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty word
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return words.filter(real), np.diff(before[ends - ends[0]])
 
 
-BLOCKS = "id array<long>, held_out array<boolean>, fold array<int>, size array<int>, codes binary, words array<binary>, counts array<long>"
+def _one_row(columns: dict[str, pa.Array | bytes]) -> pa.RecordBatch:
+    """A batch of one row: bytes as they are, arrays as lists."""
+    out = []
+    for c in columns.values():
+        out.append(pa.array([c], pa.binary()) if isinstance(c, bytes) else pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
+    return pa.RecordBatch.from_arrays(out, list(columns))
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -316,32 +325,34 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     `words`, document after document; `counts` count each word's tokens that are not held out.
     """
 
-    def run(batches):
-        schema = pa.schema([
-            ("id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("fold", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())),
-            ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
-        ])
-        numbers, rows, codes, n = _Numbers(), [], [], 0
-
-        def block():
-            counts = np.zeros(len(numbers), np.int64)
-            learnt = [c for (_, held, *_), c in zip(rows, codes, strict=True) if not held]
-            if learnt:
-                counts += np.bincount(np.concatenate(learnt), minlength=len(numbers))
-            cols = [*map(list, zip(*rows, strict=True)), [len(c) for c in codes], np.concatenate(codes).tobytes(), list(numbers), counts]
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    def block(about: list, words: list, sizes: list) -> pa.RecordBatch:
+        coded = pa.concat_arrays(words).dictionary_encode()
+        ids, held, fold = (pa.concat_arrays([b.column(name) for b in about]) for name in ("id", "held_out", "fold"))
+        size, codes = np.concatenate(sizes), coded.indices.to_numpy().astype(np.int32)
+        learnt = np.repeat(~held.to_numpy(zero_copy_only=False), size)
+        counts = np.bincount(codes[learnt], minlength=len(coded.dictionary))
+        return _one_row({
+            "id": ids, "held_out": held, "fold": fold, "size": pa.array(size, pa.int32()), "codes": codes.tobytes(),
+            "words": coded.dictionary, "counts": pa.array(counts, pa.int64()),
+        })
 
+    def run(batches):
+        about, words, sizes, n, held = [], [], [], 0, 0
         for b in slices(batches):
-            for *about, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = words_of(text)
-                rows.append(about)
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                n += len(words) + 1
-                if n > BLOCK:
-                    yield block()
-                    numbers, rows, codes, n = _Numbers(), [], [], 0
-        if rows:
-            yield block()
+            length = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [*np.flatnonzero(np.diff(length // PIECE, prepend=-1)).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                about.append(b.slice(a, z - a))
+                more, size = split_words(about[-1].column("text"))
+                words.append(more)
+                sizes.append(size)
+                n += len(more) + len(size)
+                held += more.nbytes
+                if n > BLOCK or held > 4 * PIECE:
+                    yield block(about, words, sizes)
+                    about, words, sizes, n, held = [], [], [], 0, 0
+        if about:
+            yield block(about, words, sizes)
 
     return docs.select("id", "held_out", "fold", "text").mapInArrow(run, BLOCKS)
 
@@ -377,17 +388,17 @@ def _listed(sent) -> Listed:
     return _LISTS[key]
 
 
-def _opened(batches, names: list[str]):
-    """The rows of blocks as tuples: numpy for codes, lists for words, arrays for all else."""
+def _opened(batches, names: list[str], code: str):
+    """The rows of blocks as tuples: numpy of type `code` for codes, lists for words, numbers for block, arrays for all else."""
     for b in batches:
         for i in range(b.num_rows):
             row = []
             for name in names:
                 v = b.column(name)[i]
                 if name == "codes":
-                    row.append(np.frombuffer(v.as_buffer(), "<i4"))
+                    row.append(np.frombuffer(v.as_buffer(), code))
                 else:
-                    row.append(v.as_py() if name == "words" else v.values)
+                    row.append(v.as_py() if name in ("words", "block") else v.values)
             yield row
 
 
@@ -397,6 +408,45 @@ def count_words(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"))
 
 
+CODED = (
+    "id array<long>, held_out array<boolean>, fold array<int>, size array<int>, codes binary, known array<long>, base array<double>, "
+    "extra array<double>, far array<array<struct<word:binary,n:long>>>"
+)
+
+
+def coded_blocks(blocks: DataFrame, sent, log_mass: np.ndarray) -> DataFrame:
+    """The blocks with the network's ids (int16) in place of words: `CODED`.
+
+    Per document also what the listed words give: `known` and `base` count them and sum
+    up log10(c + 0.5), `extra` sums that less `log_mass` of their class over the rare ones;
+    `far` are the words that are not listed, with their numbers.
+    """
+
+    def run(batches):
+        listed = _listed(sent)
+        for ids, held, fold, size_, codes, words in _opened(batches, ["id", "held_out", "fold", "size", "codes", "words"], "<i4"):
+            ranks, net_ids = listed.of(words)
+            size = size_.to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            known = ranks >= 0
+            logs = np.zeros(len(words))
+            logs[known] = listed.log_count[ranks[known]]
+            # A rare word adds its log10(c + 0.5), less that of its class's mass.
+            share = np.where(net_ids >= FREQUENT, logs - log_mass[(net_ids - FREQUENT) % RARE], 0.0)
+            sums = [np.bincount(doc, x[codes], len(size)) if len(doc) else np.zeros(len(size)) for x in (known, logs, share)]
+            far = np.flatnonzero(~known[codes])
+            pair, times = np.unique(doc[far] * len(words) + codes[far], return_counts=True)
+            at = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words)))
+            far_words = pa.array(words, pa.binary()).take(pa.array(pair % max(1, len(words))))
+            items = pa.StructArray.from_arrays([far_words, pa.array(times)], ["word", "n"])
+            yield _one_row({
+                "id": ids, "held_out": held, "fold": fold, "size": size_, "codes": net_ids[codes].tobytes(), "known": pa.array(sums[0].astype(np.int64)),
+                "base": pa.array(sums[1]), "extra": pa.array(sums[2]), "far": pa.ListArray.from_arrays(pa.array(at, pa.int32()), items),
+            })
+
+    return blocks.select("id", "held_out", "fold", "size", "codes", "words").mapInArrow(run, CODED)
+
+
 def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     """About LISTED most frequent words with their counts, by falling count, then word.
 
@@ -442,7 +492,7 @@ def _average(net: GatedNet, parts: DataFrame, tasks: int, fan: int = 16) -> None
             a += old.size
 
 
-def train(blocks: DataFrame, sent, net: GatedNet, rounds: int = 4, chunk: int = 2_000_000) -> GatedNet:
+def train(coded: DataFrame, net: GatedNet, rounds: int = 4, chunk: int = 2_000_000) -> GatedNet:
     """One pass over all documents that are not held out: data-parallel rounds with averaging.
 
     A round takes the documents of one hash fold; every task trains a copy of the network
@@ -450,18 +500,18 @@ def train(blocks: DataFrame, sent, net: GatedNet, rounds: int = 4, chunk: int =
     reaches the driver is one set of parameters a round, whatever the size of the table.
     The result depends on how the table is partitioned.
     """
-    rows = blocks.select("held_out", "fold", "size", "codes", "words")
+    rows = coded.select("held_out", "fold", "size", "codes")
     for r in range(rounds):
         params = net.p
 
         def fit(batches, params=params, r=r):
-            listed, own, docs, n, weight = _listed(sent), GatedNet(), [], 0, 0
+            own, docs, n, weight = GatedNet(), [], 0, 0
             own.p = {k: a.copy() for k, a in params.items()}
-            for held, fold, size, codes, words in _opened(batches, ["held_out", "fold", "size", "codes", "words"]):
+            for held, fold, size, codes in _opened(batches, ["held_out", "fold", "size", "codes"], "<i2"):
                 use = ~held.to_numpy(zero_copy_only=False) & (fold.to_numpy() == r)
-                ids, end = listed.of(words)[1], np.cumsum(size.to_numpy())
+                end = np.cumsum(size.to_numpy())
                 for i in np.flatnonzero(use).tolist():
-                    docs.append(ids[codes[end[i - 1] if i else 0 : end[i]]])
+                    docs.append(codes[end[i - 1] if i else 0 : end[i]])
                     n += len(docs[-1]) + 1
                     if n > chunk:
                         weight += train_on(own, docs)
@@ -515,12 +565,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         rare_mass[r["k"]] += r["m"]
     for w, c in top[: FREQUENT - 1]:
         rare_mass[bucket_of(w) % RARE] -= c + 0.5
-    net = train(blocks, sent, GatedNet().start_from_counts(frequent, rare_mass), rounds)
     log_mass, base_of_end = np.log10(rare_mass), float(np.log10(ends + 0.5))
-    params = net.p
+    coded = materialize(coded_blocks(blocks, sent, log_mass).withColumn("block", F.monotonically_increasing_id()), "coded-blocks")
+    params = train(coded, GatedNet().start_from_counts(frequent, rare_mass), rounds).p
+    columns = ["block", "id", "held_out", "size", "codes", "known", "base", "extra"]
 
     def apply(batches):
-        listed, own = _listed(sent), GatedNet()
+        own = GatedNet()
         own.p = params
         docs_, about, todo = [], [], 0
 
@@ -532,42 +583,27 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 a += k
             return done
 
-        for ids, held, size, codes, words in _opened(batches, ["id", "held_out", "size", "codes", "words"]):
-            ranks, net_ids = listed.of(words)
+        for block, ids, held, size, codes, known, base, extra in _opened(batches, columns, "<i2"):
             size = size.to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            known = ranks >= 0
-            logs = np.zeros(len(words))
-            logs[known] = listed.log_count[ranks[known]]
-            # A rare word adds its log10(c + 0.5), less that of its class's mass.
-            share = np.where(net_ids >= FREQUENT, logs - log_mass[(net_ids - FREQUENT) % RARE], 0.0)
-            sums = [np.bincount(doc, x[codes], len(size)) if len(doc) else np.zeros(len(size)) for x in (known, logs, share)]
-            # Words that are not listed, with their numbers, per document.
-            far = np.flatnonzero(~known[codes])
-            pair, times = np.unique(doc[far] * len(words) + codes[far], return_counts=True)
-            at = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words)))
-            far_words = pa.array(words, pa.binary()).take(pa.array(pair % max(1, len(words))))
-            items = pa.StructArray.from_arrays([far_words, pa.array(times)], ["word", "n"])
-            columns = [ids, held, pa.array(size + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), items)]
-            about.append((pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "extra", "far"]), len(size)))
-            code, end = net_ids[codes], np.cumsum(size)
-            docs_ += [code[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
-            todo += len(code)
+            k = len(size)
+            row = [pa.array(np.full(k, block)), pa.array(np.arange(k, dtype=np.int32)), ids, held, pa.array(size + 1), known, base, extra]
+            about.append((pa.RecordBatch.from_arrays(row, ["block", "at", "doc_id", "held_out", "n_tokens", "known", "base", "extra"]), k))
+            docs_ += [codes[e - n : e] for e, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
+            todo += len(codes)
             if todo > chunk:
                 yield from flush()
                 docs_, about, todo = [], [], 0
         if about:
             yield from flush()
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, extra double, far array<struct<word:binary,n:long>>, net double"
-    scored = blocks.select("id", "held_out", "size", "codes", "words").mapInArrow(apply, schema)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    far = scored.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.n").join(counts, "word", "left")
+    schema = "block long, at int, doc_id long, held_out boolean, n_tokens long, known long, base double, extra double, net double"
+    scored = coded.select(*columns).mapInArrow(apply, schema)
+    far = coded.select("block", F.posexplode("far").alias("at", "f")).select("block", "at", F.inline("f")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    far = far.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("far_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("far_known"))
+    far = far.groupBy("block", "at").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("far_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("far_known"))
     far_log = F.coalesce("far_log", F.lit(0.0))
     base = F.col("base") + far_log + F.lit(base_of_end) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
-    return scored.drop("far").join(far, "row", "left").select(
+    return scored.join(far, ["block", "at"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("far_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("net") + F.col("extra") + far_log).alias("score"),
     )

@@ -1,8 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelweave.llm import gru_lm as lm
@@ -131,3 +133,13 @@ def test_odd_tables(spark):
     none = lm.score(docs, F.lit(True)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in none] == [(0, 0, 0.0)] * 2 and all(math.isfinite(r.score) for r in none)
     assert lm.score(spark.createDataFrame([], SCHEMA), F.lit(False)).count() == 0
+
+
+def test_words_are_split_at_the_six_white_space_characters():
+    rng = random.Random(5)
+    texts = [None, "", " ", "\n\n", *("".join(rng.choice("aB\u00c4\u00e9\u00a0\u2003\x1c\x85 \t\n\r\x0b\x0c") for _ in range(rng.choice((1, 5, 60)))) for _ in range(200))]
+    words, size = lm.split_words(pa.array(texts).slice(1))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts[1:]]
+    assert [w.decode() for w in words.to_pylist()] == [w for x in want for w in x]
+    assert size.tolist() == [len(x) for x in want]
+    assert lm.split_words(pa.array([], pa.string()))[1].tolist() == []
