@@ -25,7 +25,7 @@ MENTIONS = set("""said says wrote writes called calls word words term terms quot
 zitat dit disait mot mots terme citation dijo llamó palabra palabras término cita""".split())
 ADDRESSES = set("you your you're youre yourself du dich dein deine tu toi ton vous tú te eres usted".split())
 NEAR = 6  # words on either side that a match is judged by
-PLACES = ("quoted", "plain", "directed")
+QUOTED, PLAIN, DIRECTED = 0, 1, 2
 _WORD = re.compile(r"\w(?:[\w*@$'’-]*\w)?")
 _OPEN, _CLOSE = "“«„‹", "”»“›"
 
@@ -116,20 +116,21 @@ def words_of(text: str | None) -> list[str]:
 
 
 def place(text: str, spans: list[tuple[int, int]], words: list[str], i: int) -> int:
-    """0 if the `i`-th word is quoted, 1 if it stands plain, 2 if it is said to someone.
+    """Whether the `i`-th word is quoted, stands plain or is said to someone.
 
     Signs of quotation are a pair of marks around it within `NEAR` words, and a word near it
     that reports or names words; a sign of abuse is a word near it that addresses someone.
     The side with more signs decides.
     """
     a, b = max(0, i - NEAR), min(len(words), i + NEAR + 1)
-    before, after = text[spans[a][0] : spans[i][0]], text[spans[i][1] : spans[b - 1][1] + 1]
+    begin, end = spans[a - 1][1] if a else 0, spans[b][0] if b < len(words) else len(text)
+    before, after = text[begin : spans[i][0]], text[spans[i][1] : end]
     marks = any(before.rfind(o) > before.rfind(c) and c in after for o, c in zip(_OPEN, _CLOSE, strict=True))
     marks = marks or before.count('"') % 2 == 1 and '"' in after
     around = words[a:i] + words[i + 1 : b]
     quoted = marks + any(w in MENTIONS for w in around)
     directed = any(w in ADDRESSES for w in around)
-    return 0 if quoted > directed else 2 if directed > quoted else 1
+    return QUOTED if quoted > directed else DIRECTED if directed > quoted else PLAIN
 
 
 @dataclass
@@ -228,13 +229,16 @@ class ToxicityModel:
     weights: np.ndarray
 
     def features(self, found: list[tuple[int, int, int]]) -> np.ndarray:
-        """For each place: the most evidence of a match, and the log of all evidence."""
-        x = np.zeros(2 * len(PLACES))
+        """The most evidence of a match and the log of all evidence, of matches that are not quoted and of quoted ones; last, the most evidence of one said to someone."""
+        x = np.zeros(5)
         for term, edits, at in found:
             e = max(0.0, self.evidence[term, edits])
-            x[at] = max(x[at], e)
-            x[len(PLACES) + at] += e
-        x[len(PLACES) :] = np.log1p(x[len(PLACES) :])
+            k = 2 if at == QUOTED else 0
+            x[k] = max(x[k], e)
+            x[k + 1] += e
+            if at == DIRECTED:
+                x[4] = max(x[4], e)
+        x[1], x[3] = np.log1p(x[1]), np.log1p(x[3])
         return x
 
     def score(self, found: list[tuple[int, int, int]]) -> float:
@@ -242,8 +246,8 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
-#: What the weights are drawn to where labels say nothing: quoted terms count little, those said to someone most.
-PRIOR = np.array([-3.0, 0.1, 1.0, 1.3, 0.05, 0.5, 0.65])
+#: The constant and weights that are taken where labels say nothing: quoted terms count little, those said to someone most.
+PRIOR = np.array([-3.0, 1.0, 0.5, 0.1, 0.05, 0.3])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -275,7 +279,7 @@ def train(labelled: DataFrame, text: str, toxic: str, share: float = 0.003, erro
     """A model from the rows of `labelled`, whose column `toxic` is 0 or 1.
 
     Terms, and the counts that give each term's evidence, come from all labelled rows.  The
-    six features of about `sample` rows, drawn by a hash, fit the weights; no text is sent.
+    five features of about `sample` rows, drawn by a hash, fit the weights; no text is sent.
     """
     terms = sorted({*SEEDS, *learn_terms(labelled, text, toxic, share, error)})
     shared = labelled.sparkSession.sparkContext.broadcast(terms)  # bounded: seeds, and words of a text / share
@@ -294,7 +298,7 @@ def train(labelled: DataFrame, text: str, toxic: str, share: float = 0.003, erro
         counts[r["y"], r["t"], r["e"]] = r["count"]
     size = {r["y"]: r["count"] for r in seen.groupBy("y").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    base = n1 / (n0 + n1) if n0 + n1 else 0.5
+    base = n1 / (n0 + n1) if n0 + n1 else 0.1
     base = min(max(base, 1e-3), 1 - 1e-3)
     known = np.zeros((len(terms), 3))
     known[[t in set(SEEDS) for t in terms]] = (2.0, 0.5, 0.2)  # toxic texts that a seed counts beforehand
@@ -307,7 +311,7 @@ def train(labelled: DataFrame, text: str, toxic: str, share: float = 0.003, erro
     some = seen.where(low < F.lit(min(2**63 - 1, 2**63 * sample // (n0 + n1))))
     rows = some.where(F.size("f") > 0).groupBy("y", "f").count().collect()  # about `sample` rows at most
     none = {r["y"]: r["count"] for r in some.where(F.size("f") == 0).groupBy("y").count().collect()}
-    x = [model.features([(m["t"], m["e"], m["p"]) for m in r["f"]]) for r in rows for _ in range(r["count"])] + [np.zeros(6)] * sum(none.values())
+    x = [model.features([(m["t"], m["e"], m["p"]) for m in r["f"]]) for r in rows for _ in range(r["count"])] + [np.zeros(5)] * sum(none.values())
     y = [r["y"] for r in rows for _ in range(r["count"])] + [k for k, n in none.items() for _ in range(n)]
     model.weights = fit_weights(np.array(x), np.array(y, float))
     return model
