@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
-from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import free_names, materialize, slices
+from panelweave.llm.common import free_names, id_filter, materialize, slices
 
 # Insults that are known before anything is learnt.
 SEEDS = """idiot idiots moron morons stupid scum trash loser losers clown pathetic worthless disgusting imbecile bastard bitch asshole
@@ -176,46 +176,48 @@ def _bound(hits: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
 def learn_terms(labelled: DataFrame, text: str, toxic: str, share: float, error: float) -> list[str]:
     """Words that toxic labelled texts hold and others do not, from all labelled texts.
 
-    A word counts once for all texts with the same smallest word hash, so that near copies do
-    not count as witnesses of their own.  Candidates have a share of `share` of the toxic
-    texts' hashes, three at least, which bounds their number by the mean number of words of
-    a text over `share`.  A word is taken if nine tenths of its texts are toxic and chance
+    Texts with the same smallest hash of three words, as near copies have, are one witness: the one whose
+    list of words comes last speaks for all.  Candidates have a share of `share` of the toxic
+    witnesses, three at least, which bounds their number by the mean number of words of
+    a text over `share`.  A word is taken if nine tenths of its witnesses are toxic and chance
     (Chernoff's bound, times the number of candidates) gives that with less than `error`.
     """
-    def tell(batches):
-        for b in slices(batches):
-            w, s, y = [], [], []
-            for t, label in zip(b.column(text).to_pylist(), b.column(toxic).to_pylist(), strict=True):
-                every = set(words_of(t))
-                found = every if wanted is None else every & wanted
-                sign = min(map(hash_of, every)) if found else 0
-                w += found
-                s += [sign] * len(found)
-                y += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(s, pa.int64()), pa.array(y, pa.int32())], ["w", "s", "y"])
-
-    def hash_of(word: str) -> int:
-        return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
-
-    wanted, kind = None, "w string, s long, y int"
-    bad = labelled.where(F.col(toxic) == 1).mapInArrow(tell, kind).select("w", "s").distinct()
-    bad = materialize(bad, "toxic-words")
-    n_bad = bad.select("s").distinct().count()
-    least = max(3, math.ceil(share * n_bad))
-    some = bad.groupBy("w").count().where(F.col("count") >= least).collect()  # at most words of a text / share
-    if not some:
-        return []
+    def sign_of(words: list[str]) -> int:
+        runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
+        return min(crc32("\n".join(r).encode("utf-8", "surrogatepass")) for r in runs)
+
+    def tell(wanted: dict[str, int] | None):
+        def run(batches):
+            for b in slices(batches):
+                signs, lists = [], []
+                for t in b.column(text).to_pylist():
+                    every = words_of(t)
+                    found = sorted(set(every)) if wanted is None else sorted({wanted[w] for w in every if w in wanted})
+                    if found:
+                        signs.append(sign_of(every))
+                        lists.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(lists, pa.list_(pa.string() if wanted is None else pa.int32()))], ["s", "w"])
+
+        return run
+
+    def witnesses(label: int, wanted: dict[str, int] | None = None) -> DataFrame:
+        kind = "s long, w array<string>" if wanted is None else "s long, w array<int>"
+        return labelled.where(F.col(toxic) == label).select(text).mapInArrow(tell(wanted), kind).groupBy("s").agg(F.max("w").alias("w"))
+
+    bad = materialize(witnesses(1), "toxic-witnesses")
+    least = max(3, math.ceil(share * bad.count()))
+    some = bad.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= least).collect()  # at most words of a text / share
     hits = {r["w"]: r["count"] for r in some}
-    wanted = frozenset(hits)
-    other = labelled.where(F.col(toxic) == 0).mapInArrow(tell, kind).select("w", "s").distinct().groupBy("w").count().collect()
-    clean = {r["w"]: r["count"] for r in other}
+    words = sorted(hits)
     counts = {r["y"]: r["count"] for r in labelled.groupBy(F.col(toxic).alias("y")).count().collect()}
     base = counts.get(1, 0) / max(1, sum(counts.values()))
-    if not 0 < base < 1:
+    if not words or not 0 < base < 1:
         return []
-    words = sorted(hits)
+    other = witnesses(0, {w: i for i, w in enumerate(words)}).select(F.explode("w").alias("w")).groupBy("w").count().collect()
     t = np.array([hits[w] for w in words], float)
-    n = t + np.array([clean.get(w, 0) for w in words], float)
+    n = t.copy()
+    for r in other:
+        n[r["w"]] += r["count"]
     take = (t / n >= 0.9) & (_bound(t, n, base) >= math.log(len(words) / error))
     return [w for w, ok in zip(words, take, strict=True) if ok]
 
@@ -331,8 +333,18 @@ def score_toxicity(
     """
     docs = docs.drop("score", "predicted")
     i, y, t = free_names(docs, 3)
-    flags = labels.where(F.col(toxic_col).isin(0, 1)).groupBy(F.col(id_col).alias(i)).agg(F.max(toxic_col).cast("int").alias(y))
+    flags = labels.where(F.col(toxic_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(i)).agg(F.max(toxic_col).cast("int").alias(y))
     own = docs.where(train_on).select(F.col(id_col), F.col(text_col).alias(t))
+    if dict(own.dtypes)[id_col] == dict(flags.dtypes)[i] == "bigint":
+        flags = materialize(flags, "toxic-flags")
+        known = id_filter(flags, i)
+
+        def thin(batches):  # only texts that can have a label are shuffled
+            for b in batches:
+                ids = b.column(0)
+                yield b.filter(pa.array(known.many(ids.fill_null(0).to_numpy(zero_copy_only=False)))) if b.num_rows else b
+
+        own = own.mapInArrow(thin, own.schema)
     labelled = own.join(flags, own[id_col] == flags[i]).select(t, y)
     model = train(materialize(labelled, "toxic-labelled"), t, y)
     shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.evidence, model.weights))
