@@ -46,67 +46,59 @@ def failing_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("rid", "id", "part"), fails
 
 
-def _masks(n: int, size: int) -> list[int]:
-    return [m for m in range(1 << n) if m.bit_count() == size]
-
-
 def prefix_counts(rows: DataFrame, fails: dict[str, DataFrame], marked: dict[str, DataFrame]) -> DataFrame:
     """(part, mask, f, kept, removed, redundant, *marked): what filter `f` does after the set of filters `mask`.
 
     Orders that begin with the same set of filters have the same survivors, so relations are
     kept for each set, not for each order.  The survivors of all sets of k filters are one
-    table (mask, rid, part); they meet each filter's id table in a left-anti join for the
-    survivors of sets of k + 1 and in a left-semi join for the removed rows.  What is
-    redundant are ids of a filter's table without a survivor; what is lost of each marked id
-    table (rid) are the removed rows in it.  `rows` and the tables may be empty.
+    table (mask, rid, part).  Each goes to every filter that its set lacks and meets that
+    filter's id table: a left-semi join gives the removed rows, a left-anti join the survivors
+    of the sets of k + 1.  Ids of a filter's table without a survivor are redundant, and
+    removed rows in a marked id table (rid) are lost.  `rows` and the tables may be empty.
     """
     names = sorted(fails)
+    n = len(names)
+    bit = F.expr("shiftleft(1, f)")
+    every = reduce(DataFrame.union, [fails[c].select(F.lit(i).alias("f"), "rid", "part") for i, c in enumerate(names)])
+    ids = every.select("f", "rid")
     alive = rows.select(F.lit(0).alias("mask"), "rid", "part")
-    out = []
-    for k in range(len(names)):
-        gone, on = [], []
-        for i, f in enumerate(names):
-            without = alive.where(F.col("mask").bitwiseAND(1 << i) == 0)
-            gone.append(without.join(fails[f].select("rid"), "rid", "left_semi").select("mask", F.lit(i).alias("f"), "rid", "part"))
-            grown = alive.where(F.col("mask") < (1 << i))  # each larger set from one smaller set alone
-            on.append(grown.join(fails[f].select("rid"), "rid", "left_anti").select(F.col("mask").bitwiseOR(1 << i).alias("mask"), "rid", "part"))
-        removed = materialize(reduce(DataFrame.union, gone), f"audit-removed-{k}")
-        tried = [fails[f].select(F.explode(F.array(*map(F.lit, m))).alias("mask"), F.lit(i).alias("f"), "rid", "part") for i, f in enumerate(names) if (m := [m for m in _masks(len(names), k) if not m >> i & 1])]
-        redundant = reduce(DataFrame.union, tried).join(alive.select("mask", "rid"), ["mask", "rid"], "left_anti")
-        alive = materialize(reduce(DataFrame.union, on), f"audit-alive-{k + 1}")
-        found = {"removed": removed, "redundant": redundant, **{c: removed.join(ids.select("rid"), "rid", "left_semi") for c, ids in marked.items()}}
-        for c, df in found.items():
-            out.append(df.groupBy("part", "mask", "f").agg(F.count("*").alias("n")).withColumn("what", F.lit(c)))
-        kept = alive.groupBy("part", "mask").agg(F.count("*").alias("n"))
-        before = F.array(*[F.lit(i) for i in range(len(names))])
-        kept = kept.withColumn("f", F.explode(before)).where(F.expr("(mask & shiftleft(1, f)) <> 0"))
-        out.append(kept.select("part", F.expr("mask & ~shiftleft(1, f)").alias("mask"), "f", "n", F.lit("kept").alias("what")))
-    counts = reduce(DataFrame.union, out).groupBy("part", "mask", "f").pivot("what", ["kept", "removed", "redundant", *marked]).agg(F.sum("n"))
-    pairs = [(m, i) for i in range(len(names)) for m in range(1 << len(names)) if not m >> i & 1]
-    every = rows.select("part").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(i).alias("f")) for m, i in pairs])))
-    every = every.select("part", "p.*")
-    return every.join(counts, ["part", "mask", "f"], "left").na.fill(0)
+    survivors, removed = [alive], []
+    lacks = F.filter(F.array(*map(F.lit, range(n))), lambda i: F.col("mask").bitwiseAND(F.element_at(F.array(*[F.lit(1 << j) for j in range(n)]), i + 1)) == 0)
+    for k in range(n):
+        tried = alive.select("mask", F.explode(lacks).alias("f"), "rid", "part")
+        removed.append(materialize(tried.join(ids, ["f", "rid"], "left_semi"), f"audit-removed-{k}"))
+        once = tried.where(F.col("mask") < bit)  # each larger set from one smaller set alone
+        alive = materialize(once.join(ids, ["f", "rid"], "left_anti").select(F.col("mask").bitwiseOR(bit).alias("mask"), "rid", "part"), f"audit-alive-{k + 1}")
+        survivors.append(alive)
+    gone, left = reduce(DataFrame.unionByName, removed), reduce(DataFrame.union, survivors)
+    sets = F.filter(F.sequence(F.lit(0), F.lit((1 << n) - 1)), lambda m: F.element_at(F.array(*[m.bitwiseAND(1 << j) for j in range(n)]), F.col("f") + 1) == 0)
+    redundant = every.select(F.explode(sets).alias("mask"), "f", "rid", "part").join(left.select("mask", "rid"), ["mask", "rid"], "left_anti")
+    found = {"removed": gone, "redundant": redundant, **{c: gone.join(m.select("rid"), "rid", "left_semi") for c, m in marked.items()}}
+    out = [materialize(df.groupBy("part", "mask", "f").agg(F.count("*").alias("n")), f"audit-count-{c}").withColumn("what", F.lit(c)) for c, df in found.items()]
+    kept = materialize(left.groupBy("part", "mask").agg(F.count("*").alias("n")), "audit-count-kept")
+    kept = kept.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.col("mask").bitwiseAND(bit) != 0)
+    out.append(kept.select("part", (F.col("mask") - bit).alias("mask"), "f", "n", F.lit("kept").alias("what")))
+    counts = reduce(DataFrame.unionByName, out).groupBy("part", "mask", "f").agg(*[F.sum(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in ("kept", *found)])
+    pairs = rows.select("part").distinct().withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("mask", F.explode(sets))
+    return pairs.join(counts, ["part", "mask", "f"], "left").na.fill(0)
 
 
 def all_orders(counts: DataFrame, names: list[str], marked: list[str]) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, *marked, shapley) from `prefix_counts`.
 
     A pair of a set and a filter stands in the orders that begin with the set and go on with
-    the filter, so each row is copied to those orders; nothing is joined with them.
+    the filter; a row joins with those orders alone.
     """
     n = len(names)
-    orders: dict[tuple[int, int], list[tuple[str, int]]] = {}
-    for p in permutations(range(n)):
-        for s in range(n):
-            orders.setdefault((sum(1 << i for i in p[:s]), p[s]), []).append(("".join(names[i] for i in p), s + 1))
-    by_filter = Window.partitionBy("part", "f")
+    orders = [(sum(1 << i for i in p[:s]), p[s], "".join(names[i] for i in p), s + 1) for p in permutations(range(n)) for s in range(n)]
+    table = counts.sparkSession.createDataFrame(orders, "mask int, f int, filter_order string, step int")  # n * n! rows
+    by_filter = Window.partitionBy("part", "f")  # at most 2**(n - 1) rows
     times = F.element_at(F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)]), (F.bit_count("mask") + 1).cast("int"))
-    others = F.expr(f"{(1 << n) - 1} - shiftleft(1, f)")
     rows = counts.withColumn("shapley", F.sum(F.col("removed") * times).over(by_filter))
+    others = F.expr(f"{(1 << n) - 1} - shiftleft(1, f)")
     rows = rows.withColumn("unique_fails", F.sum(F.when(F.col("mask") == others, F.col("removed"))).over(by_filter))
-    table = F.create_map(*[x for (m, i), found in orders.items() for x in (F.lit(m * n + i), F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step")) for o, s in found]))])
-    rows = rows.withColumn("o", F.explode(F.element_at(table, F.col("mask") * n + F.col("f"))))
-    return rows.select("part", "o.filter_order", "o.step", "kept", "removed", "redundant", "unique_fails", *marked, "shapley")
+    rows = rows.join(F.broadcast(table), ["mask", "f"])
+    return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", *marked, "shapley")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
