@@ -92,7 +92,7 @@ def funnel(df: DataFrame, value: str, steps: list[tuple[str, str]]) -> DataFrame
     for i, (_, rule) in enumerate(steps):
         cond = cond & F.coalesce(F.expr(rule), F.lit(False))
         aggs += [F.count(F.when(cond, 1)).alias(f"n{i}"), F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0.0)).alias(f"v{i}")]
-    cells = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"n{i}").alias("rows"), (F.col(f"v{i}") / F.col("__total")).alias("value_share")) for i, (name, _) in enumerate(steps)])
+    cells = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"n{i}").alias("rows"), (F.col(f"v{i}") / F.nullif(F.col("__total"), F.lit(0.0))).alias("value_share")) for i, (name, _) in enumerate(steps)])
     return df.agg(*aggs).select(F.inline(cells))
 
 
@@ -109,7 +109,7 @@ def latency_curve(trades: DataFrame, calendar: DataFrame, event: str, report: st
     t = t.withColumn("tv", F.sum("v").over(Window.partitionBy(F.lit(1)))).withColumn("tn", F.sum("n").over(Window.partitionBy(F.lit(1))))
     w = Window.partitionBy(F.lit(1)).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     t = t.where(F.col("lag").between(0, max_lag))
-    return t.select("lag", (F.sum("v").over(w) / F.col("tv")).alias("value_share"), (F.sum("n").over(w) / F.col("tn")).alias("count_share"))
+    return t.select("lag", (F.sum("v").over(w) / F.nullif(F.col("tv"), F.lit(0.0))).alias("value_share"), (F.sum("n").over(w) / F.col("tn")).alias("count_share"))
 
 
 def persistence(trades: DataFrame, key: str, date_col: str) -> DataFrame:
@@ -127,7 +127,7 @@ def variance_split(df: DataFrame, key: str, col: str) -> DataFrame:
     g = df.groupBy(key).agg(F.count(col).alias("n"), F.avg(col).alias("m"), F.var_pop(col).alias("v"))
     w = g.agg(F.sum("n").alias("t"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), F.sum(F.col("n") * F.col("v")).alias("wn"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     between = F.col("sq") / F.col("t") - F.col("mu") * F.col("mu")
-    return w.select(between.alias("between_var"), (F.col("wn") / F.col("t")).alias("within_var"), (between / (between + F.col("wn") / F.col("t"))).alias("between_share"))
+    return w.select(between.alias("between_var"), (F.col("wn") / F.col("t")).alias("within_var"), (between / F.nullif(between + F.col("wn") / F.col("t"), F.lit(0.0))).alias("between_share"))
 
 
 def median_autocorrelation(df: DataFrame, key: str, ts: str, col: str, min_n: int) -> DataFrame:

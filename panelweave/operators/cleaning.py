@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.mix import mix
+from panelweave.operators.stats import quantiles
 
 
 def admit(trades: DataFrame, kinds: list[str], id_length: tuple[int, int] = (1, 99)) -> DataFrame:
@@ -72,7 +73,7 @@ def combine_events(df: DataFrame, keys: list[str], factor: str) -> DataFrame:
 
 def confirm(factor: Column, observed: Column, band: float = 1.30) -> Column:
     """Whether the observed price ratio lies within the log band of the factor; null if it is not known."""
-    return F.when(observed.isNotNull() & (observed > 0), F.abs(F.log(observed / factor)) <= F.log(F.lit(band)))
+    return F.when((observed > 0) & (factor > 0), F.abs(F.log(observed) - F.log(factor)) <= F.log(F.lit(band)))
 
 
 def adjust_returns(df: DataFrame, ret: str, factor: str, confirmed: str) -> DataFrame:
@@ -97,8 +98,7 @@ def guard_returns(df: DataFrame, ret: str, limit: float = 0.5) -> DataFrame:
 
 def winsorise(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
     """Values clipped to global (linear) quantiles."""
-    q = df.agg(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    out = df.join(F.broadcast(q))  # one row
+    out = df.join(F.broadcast(quantiles(df, col, [low, high], out="__q")))  # one row
     return out.withColumn(col, F.least(F.greatest(F.col(col), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
 
 

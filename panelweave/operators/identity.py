@@ -75,10 +75,17 @@ def hindsight_gate(edges: DataFrame, cut: str) -> DataFrame:
     return both.groupBy(*cols).agg(F.sum("side").alias("s")).agg(F.count(F.when(F.col("s") != 0, 1)).alias("hindsight"), F.count("*").alias("intervals"))
 
 
-def overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Intervals that begin before the one before them (by start) has ended."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    return df.withColumn("prev_end", F.lag(end).over(w)).where(F.col("prev_end") > F.col(start))
+def overlaps(df: DataFrame, key: str, start: str, end: str, name: str) -> DataFrame:
+    """Intervals that begin before some earlier one of their key has ended, with `prev_end`, the latest end so far.
+
+    Intervals are in order of start, end and `name`; a null end is open, later than all dates,
+    and `prev_end` is null where an open interval came before.
+    """
+    never = F.to_date(F.lit("9999-12-31"))
+    until = F.coalesce(end, never)
+    w = Window.partitionBy(key).orderBy(F.col(start), until, F.col(name)).rowsBetween(Window.unboundedPreceding, -1)
+    d = df.where(F.col(start).isNotNull()).withColumn("prev_end", F.max(until).over(w))
+    return d.where(F.col("prev_end") > F.col(start)).withColumn("prev_end", F.nullif("prev_end", never))
 
 
 def lifetimes(df: DataFrame, group: str, key: str, ts: str) -> DataFrame:

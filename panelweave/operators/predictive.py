@@ -1,11 +1,10 @@
-"""Densities in force, their recalibration and tails, predictive mixtures and the risk query."""
+"""Densities in force, their recalibration and tails."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.mix import mix
@@ -105,59 +104,3 @@ def spliced_tail(d: DataFrame, low: float, step: float, share: float) -> DataFra
     gpd = F.when(base <= 0, 0.0).when(F.abs("xi") < 1e-9, F.exp(-(F.col("ub") - F.col("bin")) * step / F.col("sc"))).otherwise(F.exp(-F.log(F.when(base > 0, base)) / F.col("xi")))
     spliced = F.when((F.col("bin") < F.col("ub")) & F.col("sc").isNotNull(), F.col("pu") * gpd).otherwise(F.col("cdf"))
     return m.select("vintage", "bin", spliced.alias("cdf"))
-
-
-def mixture(rows: DataFrame, densities: DataFrame, classes: list[str], low: float, step: float, bins: int, alphas: dict[str, float], thin: float) -> DataFrame:
-    """`rows` (vintage, z, w: array of class weights, ...) with mean, sd, pit, crps and var_/es_ of the mixture in force.
-
-    F = sum of w times the classes' distributions.  A tail with too little support (effective
-    size of the mixture times its level below `thin`) has no VaR and ES.  Rows whose vintage
-    lacks a class are left out.  Distributions are arrays, one row a vintage.
-    """
-    def filled(a: Column) -> Column:
-        """A value for every bin: that of the last bin at or below it, 0 before the first."""
-        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at(F.filter(a, lambda x: x["bin"] <= k), F.lit(-1))["cdf"], F.lit(0.0)))
-
-    per = densities.groupBy("vintage", "cls").agg(F.array_sort(F.collect_list(F.struct("bin", "cdf"))).alias("cells"), F.max("ess").alias("ess")).withColumn("cdf", filled(F.col("cells")))
-    d = per.groupBy("vintage").agg(*[F.max(F.when(F.col("cls") == c, F.struct("cdf", "ess"))).alias(f"__d{i}") for i, c in enumerate(classes)])
-    r = rows.join(d, "vintage").where(reduce(lambda a, b: a & b, [F.col(f"__d{i}").isNotNull() for i in range(len(classes))]))
-    w = [F.col("w")[i] for i in range(len(classes))]
-    cdf = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: reduce(lambda a, b: a + b, [x * F.get(F.col(f"__d{i}")["cdf"], k) for i, x in enumerate(w)]))
-    r = r.withColumn("__f", cdf).withColumn("__e", 1 / reduce(lambda a, b: a + b, [x * x / F.col(f"__d{i}")["ess"] for i, x in enumerate(w)]))
-    r = r.withColumn("__p", F.transform("__f", lambda f, k: f - F.when(k > 0, F.get("__f", k - 1)).otherwise(0.0)))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-    def mid(k):
-        return low + (k + 0.5) * step
-
-    r = r.withColumn("mean", total(F.transform("__p", lambda p, k: p * mid(k))))
-    r = r.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), total(F.transform("__p", lambda p, k: p * mid(k) * mid(k))) - F.col("mean") * F.col("mean"))))
-    clipped = F.greatest(F.lit(low), F.least("z", F.lit(low + bins * step)))
-    at = F.greatest(F.lit(0), F.least(F.floor((F.col("z") - low) / step), F.lit(bins - 1))).cast("int")
-    r = r.withColumn("pit", F.when(F.col("z").isNotNull(), F.get("__f", at)))
-    r = r.withColumn("__z", clipped)
-    r = r.withColumn("crps", F.when(F.col("z").isNotNull(), total(F.transform("__p", lambda p, k: p * F.abs(mid(k) - F.col("__z")))) - step * total(F.transform("__f", lambda f: f * (1 - f)))))
-    for tag, a in alphas.items():
-        k = F.size(F.filter("__f", lambda f: f < a))
-        r = r.withColumn("__k", F.least(k, F.lit(bins - 1))).withColumn("__ok", F.col("__e") * a >= thin)
-        r = r.withColumn(f"var_{tag}", F.when(F.col("__ok"), low + (F.col("__k") + 0.5) * step))
-        r = r.withColumn(f"es_{tag}", F.when(F.col("__ok"), total(F.transform("__p", lambda p, k: F.when(k <= F.col("__k"), p * mid(k)).otherwise(0.0))) / a))
-    return r.drop("__f", "__e", "__p", "__z", "__k", "__ok", *[f"__d{i}" for i in range(len(classes))])
-
-
-def risk_query(pred: DataFrame, key: str, ts: str, entity, start: str, end: str, sigma: str, h: int, tag: str) -> DataFrame:
-    """One row on an entity and window: rows, outcomes, forecasts given and withheld, breaches, and VaR and ES in percent.
-
-    A withheld forecast is no breach and no row of the breach rate.
-    """
-    p = pred.where((F.col(key) == entity) & F.col(ts).between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
-    v, e, z = F.col(f"var_{tag}"), F.col(f"es_{tag}"), F.col("z")
-    both = v.isNotNull() & z.isNotNull()
-    scale = F.col(sigma) * math.sqrt(h)
-    breaches = F.count(F.when(both & (z < v), 1))
-    return p.agg(
-        F.count("*").alias("rows"), F.count("z").alias("outcomes"), F.count(v).alias("forecasts"), F.count(F.when(v.isNull(), 1)).alias("withheld"), breaches.alias("breaches"),
-        (breaches / F.nullif(F.count(F.when(both, 1)), F.lit(0))).alias("breach_rate"), F.avg(100 * (F.exp(v * scale) - 1)).alias("var_pct"), F.avg(100 * (F.exp(e * scale) - 1)).alias("es_pct"),
-    )

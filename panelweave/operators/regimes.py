@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.normal import normal_cdf, normal_pdf
 from panelweave.operators.saved import carried
+from panelweave.operators.stats import quantiles
 
 
 def rule_backbone(df: DataFrame, col: str, share_low: float, share_high: float) -> DataFrame:
     """Classes cut so that the lowest and highest shares match a census."""
-    q = df.agg(F.percentile(col, F.array(F.lit(share_low), F.lit(1 - share_high))).alias("__q"))
-    out = df.join(F.broadcast(q))  # one row
+    out = df.join(F.broadcast(quantiles(df, col, [share_low, 1 - share_high], out="__q")))  # one row
     return out.withColumn("rule", F.when(F.col(col) < F.col("__q")[0], "sell").when(F.col(col) > F.col("__q")[1], "buy").otherwise("neutral")).drop("__q")
 
 

@@ -16,19 +16,24 @@ def _numbered(daily: DataFrame, ts: str) -> DataFrame:
     return daily.withColumn("__pos", F.row_number().over(w.orderBy(ts)) - 1).withColumn("__n", F.count("*").over(w))
 
 
-def block_bootstrap(daily: DataFrame, ts: str, total: str, weight: str, replicates: int, mean_block: int, seed: int) -> DataFrame:
-    """Stationary date-block bootstrap of sum(total) / sum(weight) from one row per date.
+def block_walk(daily: DataFrame, ts: str, replicates: int, mean_block: int, seed: int) -> DataFrame:
+    """(rep, all columns of `daily`): as many dates as there are, in blocks of random length.
 
     Each replicate walks the dates in a ring: with probability 1 / mean_block it jumps to a
     drawn date, else it takes the next one.  Work is replicates x dates, not rows.
     """
-    d = _numbered(daily.select(ts, total, weight), ts)
+    d = _numbered(daily, ts)
     walk = d.select(F.col("__pos").alias("pos"), F.col("__n").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     jump = (F.col("pos") == 0) | (mix(seed, mean_block, F.col("rep"), F.col("pos")) == 0)
     walk = walk.withColumn("at", F.when(jump, mix(seed + 1, F.col("n"), F.col("rep"), F.col("pos")))).withColumn("from", F.when(jump, F.col("pos")))
     r = Window.partitionBy("rep").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     src = F.pmod(F.last("at", ignorenulls=True).over(r) + F.col("pos") - F.last("from", ignorenulls=True).over(r), F.col("n"))
-    drawn = walk.select("rep", src.cast("int").alias("__pos")).join(d.drop("__n"), "__pos")
+    return walk.select("rep", src.cast("int").alias("__pos")).join(d.drop("__n"), "__pos").drop("__pos")
+
+
+def block_bootstrap(daily: DataFrame, ts: str, total: str, weight: str, replicates: int, mean_block: int, seed: int) -> DataFrame:
+    """Stationary date-block bootstrap of sum(total) / sum(weight) from one row per date."""
+    drawn = block_walk(daily.select(ts, total, weight), ts, replicates, mean_block, seed)
     return drawn.groupBy("rep").agg((F.sum(total) / F.nullif(F.sum(weight), F.lit(0.0))).alias("estimate"))
 
 

@@ -133,18 +133,53 @@ def daily_ic(df: DataFrame, day: str, signal: str, outcome: str, min_names: int)
     return rows.groupBy(day).agg(F.corr("__a", "__b").alias("ic"), F.count("*").alias("names")).where(F.col("names") >= min_names)
 
 
-def cumulated(counts: DataFrame, by: list[str], value: str, n: str, out: str = "below", parts: int = 64) -> DataFrame:
+def cumulated(counts: DataFrame, by: list[str], value: str, n: str, out: str = "below") -> DataFrame:
     """`counts` (one row per `by` and value) with `out`: the sum of `n` over smaller values of the group.
 
-    Values are cut into ranges, so that a group of any number of values is summed up in
-    many tasks: totals per range first, then running sums within the ranges.
+    Values are cut into ranges, as many as the session's shuffle partitions, so that a group
+    of any number of values is summed up in many tasks: totals per range first, then running
+    sums within the ranges.
     """
-    ranged = saved(counts.repartitionByRange(parts, *by, value).withColumn("__part", F.spark_partition_id()))
+    ranged = saved(counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "__part").agg(F.sum(n).alias("__t"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     own = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(before, [*by, "__part"]).withColumn(out, F.col("__before") + own).drop("__part", "__before")
+    keys = [*by, "__part"]
+    before = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__before")
+    ranged = ranged.withColumn("__own", own)
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+    return ranged.join(before, same).select(*counts.columns, (F.col("__before") + F.col("__own")).alias(out))
+
+
+def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None, out: str = "q") -> DataFrame:
+    """Exact linear quantiles: (*by, `out`: an array in the order of `qs`), as `percentile` gives them.
+
+    Values are counted, then summed up over ranges of values (`cumulated`), and the values at
+    the ranks around each quantile picked out, so that no task holds the values of a group.
+    Nulls do not count; without `by` an empty table gives one row of nulls.
+    """
+    by = by or []
+    c = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__n"))
+    c = cumulated(c, by, col, "__n", "__below")
+    total = c.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    if by:
+        total = total.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], "__all")
+        c = c.join(total, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)])  # a row a group on the right
+    else:
+        c = c.join(total)  # one row on the right
+
+    def at(rank):
+        return F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__n")), F.col(col).cast("double")))
+
+    parts = []
+    for q in qs:
+        place = F.lit(float(q)) * (F.col("__all") - 1)
+        low, share = F.floor(place), place - F.floor(place)
+        parts += [at(low), at(F.ceil(place)), F.max(share)]
+    g = c.groupBy(*by).agg(*[p.alias(f"__{i}") for i, p in enumerate(parts)])
+    one = [F.col(f"__{i}") + (F.col(f"__{i + 1}") - F.col(f"__{i}")) * F.col(f"__{i + 2}") for i in range(0, len(parts), 3)]
+    return g.select(*by, F.array(*one).alias(out))
 
 
 def auc_scores(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -196,15 +231,21 @@ def hazard_within(h: DataFrame, k: int) -> DataFrame:
 
 
 def weighted_quantile(df: DataFrame, by: str, v: str, w: str, q: float) -> DataFrame:
-    """Weighted quantile at mid-point plotting positions, linear between them."""
+    """Weighted quantile per group at mid-point plotting positions, linear between them.
+
+    Weights are added up per value and summed up over ranges of values, so a group of any
+    size is dealt out; of a group only the two values around the quantile meet.
+    """
     rows = df.where(F.col(w) > 0).groupBy(by, v).agg(F.sum(w).alias("__w"))
-    o = Window.partitionBy(by).orderBy(v)
-    cum = F.sum("__w").over(o.rowsBetween(Window.unboundedPreceding, 0))
-    p = (cum - F.col("__w") / 2) / F.sum("__w").over(Window.partitionBy(by))
-    rows = rows.withColumn("p", p)
-    rows = rows.withColumn("p2", F.lead("p").over(o)).withColumn("v2", F.lead(v).over(o)).withColumn("first", F.lag("p").over(o).isNull())
-    x = F.when((F.col("first")) & (F.col("p") >= q), F.col(v)).when((F.col("p") <= q) & (F.col("p2") > q), F.col(v) + (F.col("v2") - F.col(v)) * (q - F.col("p")) / (F.col("p2") - F.col("p"))).when(F.col("p2").isNull() & (F.col("p") <= q), F.col(v))
-    return rows.withColumn("x", x).groupBy(by).agg(F.min("x").alias("quantile"))
+    rows = cumulated(rows, [by], v, "__w", "__below")
+    total = rows.groupBy(F.col(by).alias("__k")).agg(F.sum("__w").alias("__all"))
+    rows = rows.join(total, F.col(by).eqNullSafe(F.col("__k")))  # a row a group on the right
+    p = (F.col("__below") + F.col("__w") / 2) / F.col("__all")
+    here = F.struct(p.alias("p"), F.col(v).cast("double").alias("v"))
+    g = rows.groupBy(by).agg(F.max(F.when(p <= q, here)).alias("a"), F.min(F.when(p > q, here)).alias("b"))
+    a, b = F.col("a.v"), F.col("b.v")
+    between = a + (b - a) * (q - F.col("a.p")) / (F.col("b.p") - F.col("a.p"))
+    return g.select(by, F.coalesce(between, a, b).alias("quantile"))
 
 
 def cohen_d(df: DataFrame, label: str, col: str, a: str, b: str) -> DataFrame:

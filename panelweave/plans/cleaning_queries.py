@@ -377,10 +377,10 @@ def d4h(v: Views):
     return idn.hindsight_gate(_admitted(v), CUT)
 
 
-@query("D5_overlaps", f"WITH {TRADES}, l AS (SELECT inst, entity, min(day) AS a, max(day) AS b FROM trades GROUP BY 1, 2), x AS (SELECT *, lag(b) OVER (PARTITION BY inst ORDER BY a, b) AS prev_end FROM l) SELECT inst, entity, a, b, prev_end FROM x WHERE prev_end > a")
+@query("D5_overlaps", f"WITH {TRADES}, l AS (SELECT inst, entity, min(day) AS a, max(day) AS b FROM trades GROUP BY 1, 2), x AS (SELECT *, max(b) OVER (PARTITION BY inst ORDER BY a, b, entity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM l) SELECT inst, entity, a, b, prev_end FROM x WHERE prev_end > a")
 def d5(v: Views):
     life = v.trades.groupBy("inst", "entity").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    return idn.overlaps(life, "inst", "a", "b")
+    return idn.overlaps(life, "inst", "a", "b", "entity")
 
 
 @query("D6_issuer_terminal", f"WITH {TRADES} SELECT left(inst, 7) AS issuer, count(DISTINCT inst) AS ids, arg_max(inst, (day, inst)) AS terminal, CAST(date_diff('day', min(day), max(day)) AS INTEGER) AS span FROM trades GROUP BY 1")

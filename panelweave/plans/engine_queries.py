@@ -129,7 +129,7 @@ DEV = DENS + ", dv AS (SELECT inst, d, ln(stddev_samp(ret) OVER a / stddev_samp(
 def k17(v: Views):
     def sd(width, least):
         return win.rolling(F.stddev_samp, "ret", "inst", "d", width, least, 1)
-    dev = v.price.select("inst", "d", F.log(sd(20, 10) / sd(60, 20)).alias("dev"))
+    dev = v.price.select("inst", "d", (F.log(F.nullif(sd(20, 10), F.lit(0.0))) - F.log(F.nullif(sd(60, 20), F.lit(0.0)))).alias("dev"))
     df = dev.join(_outcome(v), ["inst", "d"]).join(v.calendar, "d").select("pos", "dev", "z")
     vint = v.calendar.groupBy(F.date_format("d", "yyyy").alias("vintage")).agg(F.max("pos").alias("asof_pos"))
     return predictive.recalibration(df, vint, 5, 4.0, 100, 0.8)
@@ -150,28 +150,6 @@ def k20(v: Views):
     return predictive.spliced_tail(_densities(v), -4.0, 0.5, 0.05)
 
 
-PRED = DENS + f", {STATES[STATES.index('panel0 AS'):]}, sg AS (SELECT inst, d, stddev_samp(ret) OVER w AS sd FROM price WINDOW w AS (PARTITION BY inst ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)), rw AS (SELECT s.inst, s.d, z.z, sg.sd AS sigma, (1 + s.imb) / 2 AS wa, (1 - s.imb) / 2 AS wb, (SELECT max(asof_pos) FROM vint WHERE asof_pos < c.pos) AS ap FROM states s JOIN calendar c USING (d) JOIN z USING (inst, d) JOIN sg USING (inst, d)), rv AS (SELECT rw.*, v.vintage FROM rw JOIN vint v ON v.asof_pos = rw.ap WHERE (SELECT count(DISTINCT cls) FROM dens WHERE dens.vintage = v.vintage) = 2), es AS (SELECT vintage, max(ess) FILTER (cls = 'a') AS ea, max(ess) FILTER (cls = 'b') AS eb FROM dens GROUP BY 1), dfull AS (SELECT vintage, cls, bin, coalesce(last_value(dens.cdf IGNORE NULLS) OVER (PARTITION BY vintage, cls ORDER BY bin ROWS UNBOUNDED PRECEDING), 0) AS cdf FROM (SELECT vintage, cls, CAST(bin AS INTEGER) AS bin FROM (SELECT DISTINCT vintage, cls FROM dens), (SELECT unnest(range(16)) AS bin)) LEFT JOIN dens USING (vintage, cls, bin)), fb AS (SELECT inst, d, any_value(z) AS z, any_value(sigma) AS sigma, any_value(1 / (wa * wa / ea + wb * wb / eb)) AS em, bin, sum(CASE cls WHEN 'a' THEN wa ELSE wb END * cdf) AS f FROM rv JOIN dfull USING (vintage) JOIN es USING (vintage) GROUP BY inst, d, bin), pb AS (SELECT *, f - coalesce(lag(f) OVER (PARTITION BY inst, d ORDER BY bin), 0) AS p, -4 + (bin + 0.5) * 0.5 AS mid, greatest(-4, least(z, 4)) AS zc, greatest(0, least(floor((z + 4) / 0.5), 15)) AS zb, least(count(*) FILTER (f < 0.05) OVER (PARTITION BY inst, d), 15) AS k FROM fb), pred AS (SELECT inst, d, any_value(z) AS z, any_value(sigma) AS sigma, sum(p * mid) AS mean, sqrt(greatest(0, sum(p * mid * mid) - sum(p * mid) * sum(p * mid))) AS sd, CASE WHEN any_value(z) IS NOT NULL THEN max(f) FILTER (bin = zb) END AS pit, CASE WHEN any_value(z) IS NOT NULL THEN sum(p * abs(mid - zc)) - 0.5 * sum(f * (1 - f)) END AS crps, CASE WHEN any_value(em) * 0.05 >= 5 THEN -4 + (any_value(k) + 0.5) * 0.5 END AS var_05, CASE WHEN any_value(em) * 0.05 >= 5 THEN sum(CASE WHEN bin <= k THEN p * mid ELSE 0 END) / 0.05 END AS es_05 FROM pb GROUP BY inst, d)"
-
-
-def _predictions(v: Views):
-    vint = v.calendar.groupBy(F.date_format("d", "yyyy").alias("vintage")).agg(F.max("pos").alias("asof_pos"))
-    in_force = vint.agg(F.array_sort(F.collect_list(F.struct("asof_pos", "vintage"))).alias("vs"))  # a vintage a year
-    sd = v.price.select("inst", "d", F.stddev_samp("ret").over(Window.partitionBy("inst").orderBy("d").rowsBetween(-60, -1)).alias("sigma"))
-    rows = v.states.select("inst", "d", F.array((1 + F.col("imb")) / 2, (1 - F.col("imb")) / 2).alias("w")).join(v.calendar, "d").join(_outcome(v), ["inst", "d"]).join(sd, ["inst", "d"]).join(in_force)  # one row
-    rows = rows.withColumn("vintage", F.try_element_at(F.filter("vs", lambda x: x["asof_pos"] < F.col("pos")), F.lit(-1))["vintage"])
-    return predictive.mixture(rows.select("inst", "d", "z", "sigma", "w", "vintage"), _densities(v), ["a", "b"], -4.0, 0.5, 16, {"05": 0.05}, 5.0)
-
-
-@query("K21_predictive_mixture", f"WITH {PRED} SELECT inst, d, mean, sd, pit, crps, var_05, es_05 FROM pred", "mean sd pit crps var_05 es_05", 4)
-def k21(v: Views):
-    return _predictions(v).select("inst", "d", "mean", "sd", "pit", "crps", "var_05", "es_05")
-
-
-@query("K24_risk_query", f"WITH {PRED} SELECT count(*) AS rows, count(z) AS outcomes, count(var_05) AS forecasts, count(*) FILTER (var_05 IS NULL) AS withheld, count(*) FILTER (z < var_05) AS breaches, count(*) FILTER (z < var_05) / nullif(count(*) FILTER (z IS NOT NULL AND var_05 IS NOT NULL), 0) AS breach_rate, avg(100 * (exp(var_05 * sigma * sqrt(5)) - 1)) AS var_pct, avg(100 * (exp(es_05 * sigma * sqrt(5)) - 1)) AS es_pct FROM pred WHERE inst = 'Brand#23' AND d BETWEEN DATE '1994-01-01' AND DATE '1998-12-31'", "breach_rate var_pct es_pct", 4)
-def k24(v: Views):
-    return predictive.risk_query(_predictions(v), "inst", "d", "Brand#23", "1994-01-01", "1998-12-31", "sigma", 5, "05")
-
-
 @query("P6_engine_gates", f"WITH {BOOK} SELECT count(*) AS days, sum(gross) AS gross, sum(turnover) AS turnover, sum(gross) - 0.0015 * sum(turnover) - sum(net) AS cost_error, 0.0::DOUBLE AS exact_error FROM book", "gross turnover cost_error exact_error", 5)
 def p6(v: Views):
     """The book against a second computation of its gross return by joins on positions, and the identity of its costs."""

@@ -34,7 +34,7 @@ class Views:
         return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("p_brand").alias("inst"), F.trunc("l_shipdate", self.grain).alias("d"), day.alias("day"), F.col("l_suppkey").alias("entity"),
             F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(4).alias("side"), F.col("l_quantity").alias("quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"), F.col("l_extendedprice").alias("value"),
+            (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("rate"), F.col("l_extendedprice").alias("value"),
             F.date_add(day, F.col("l_linenumber") - 1).alias("rpt"), F.col("l_returnflag").alias("kind"),
         )
 
@@ -44,10 +44,10 @@ class Views:
 
     @cached_property
     def price(self) -> DataFrame:
-        p = self.trades.groupBy("inst", "d").agg((F.sum("value") / F.sum("quantity")).alias("close"), F.sum("quantity").alias("volume"), F.sum("value").alias("turnover"))
-        p = p.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("inst").orderBy("d")) - 1)
+        p = self.trades.groupBy("inst", "d").agg((F.sum("value") / F.nullif(F.sum("quantity"), F.lit(0.0))).alias("close"), F.sum("quantity").alias("volume"), F.sum("value").alias("turnover"))
+        p = p.withColumn("ret", F.col("close") / F.nullif(F.lag("close").over(Window.partitionBy("inst").orderBy("d")), F.lit(0.0)) - 1)
         w = Window.partitionBy("d")
-        market = F.sum(F.col("ret") * F.col("turnover")).over(w) / F.sum(F.when(F.col("ret").isNotNull(), F.col("turnover"))).over(w)
+        market = F.sum(F.col("ret") * F.col("turnover")).over(w) / F.nullif(F.sum(F.when(F.col("ret").isNotNull(), F.col("turnover"))).over(w), F.lit(0.0))
         return p.withColumn("mkt", market).withColumn("adj", F.col("ret") - F.col("mkt"))
 
     @cached_property
@@ -56,7 +56,7 @@ class Views:
 
     @cached_property
     def states(self) -> DataFrame:
-        imb = F.col("net") / F.col("gross")
+        imb = F.col("net") / F.nullif(F.col("gross"), F.lit(0.0))
         state = F.when(imb > 0.15, "buy").when(imb < -0.15, "sell").otherwise("neutral")
         return self.panel.select("inst", "d", "net", "gross", "n", imb.alias("imb"), state.alias("state"))
 

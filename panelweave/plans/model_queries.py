@@ -61,7 +61,7 @@ HITS = PRICE + ", h0 AS (SELECT inst, d, ret, CASE WHEN count(ret) OVER w >= 20
 def _hits(v: Views):
     sd = win.rolling(F.stddev_samp, "ret", "inst", "d", 60, 20, 1)
     h = v.price.select("inst", "d", "ret", sd.alias("sd")).where("sd is not null and ret is not null")
-    return h.select("inst", "d", (F.col("ret") / F.col("sd")).alias("z")).withColumn("hit", F.col("z") < -1.645)
+    return h.select("inst", "d", (F.col("ret") / F.nullif(F.col("sd"), F.lit(0.0))).alias("z")).withColumn("hit", F.col("z") < -1.645)
 
 
 def xlogy(x: str, y: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.normal import normal_cdf, normal_cdf_sql, probit, probit_sql
 from panelweave.operators import aggregates as agg
 from panelweave.operators import windows as win
+from panelweave.operators.stats import quantiles
 from panelweave.plans.fixtures import CALENDAR, EVENTS, PANEL, PRICE, RUNS, STATES, TRADES, Views, avg_rank
 from panelweave.plans.registry import query
 
@@ -275,7 +276,7 @@ def f14(v: Views):
 
 @query("F15_global_quintile", f"WITH {PRICE}, q AS (SELECT quantile_cont(turnover, [0.2, 0.4, 0.6, 0.8]) AS e FROM price) SELECT inst, d, CAST((turnover > e[1])::INT + (turnover > e[2])::INT + (turnover > e[3])::INT + (turnover > e[4])::INT AS INTEGER) AS bucket FROM price, q")
 def f15(v: Views):
-    e = v.price.agg(F.percentile("turnover", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("e"))
+    e = quantiles(v.price, "turnover", [0.2, 0.4, 0.6, 0.8], out="e")
     p = v.price.join(F.broadcast(e))  # one row
     return p.select("inst", "d", F.size(F.filter("e", lambda x: F.col("turnover") > x)).alias("bucket"))
 

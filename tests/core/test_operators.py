@@ -2,10 +2,12 @@ import math
 from datetime import date, timedelta
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelweave.functions.normal import normal_cdf, probit
 from panelweave.operators import aggregates as agg
+from panelweave.operators import calibration as cal
 from panelweave.operators import cleaning as cl
 from panelweave.operators import identity as idn
 from panelweave.operators import joins as jn
@@ -150,6 +152,9 @@ def test_degenerate_tables_do_not_stop_a_job(spark):
             agg.kappa(df.withColumn("k2", F.col("key")), "key", "k2"), agg.enrichment(df, "key", "hit"), agg.market_flow(df.select("d", F.lit(0.0).alias("net"), F.lit(0.0).alias("gross"))),
             agg.stockday_panel(df.select(F.col("key").alias("inst"), "d", F.lit(1).alias("side"), F.lit(0.0).alias("value"), F.lit(1.0).alias("quantity"), F.lit(1).alias("entity"))),
             agg.gate_coverage(df, "z", "z", ["x"]), pr.ljung_box(df, "key", "d", "x", 2), pr.fe_slope(df, "x", "z", "key", "d", 1),
+            agg.variance_split(df, "key", "x"), agg.funnel(df, "z", [("all", "true")]), st.quantiles(df, "z", [0.1, 0.9]), st.quantiles(df, "z", [0.5], ["key"]), cal.coverage(df, "hit", 0.05, "d"),
+            agg.latency_curve(df.select(F.col("d").alias("e"), F.col("d").alias("r"), F.lit(0.0).alias("value")), df.select("d", F.lit(1).alias("pos")), "e", "r", 2), cal.pit_uniformity(df, "d", "z", 4, 3, 2, 1),
+            df.select(cl.confirm(F.lit(0.0), F.lit(1.0))), cal.pit_independence(df, "key", "d", "z", 2, 1), cal.student_scores(df.withColumn("nu", F.lit(4.0)), "x", "z", "nu"), st.weighted_quantile(df, "key", "x", "z", 0.5),
             pf.metrics(df, "d", "z", 52.0), pf.cost_grid(df.withColumn("gross", F.lit(0.0)), [1.0], 52.0),
         ]
         for h in hidden:
@@ -190,3 +195,47 @@ def test_sources_round_trip(spark, tmp_path):
 def test_series_drops_bad_cells(spark):
     df = spark.createDataFrame([("2020-01-01", "1.5"), ("2020-01-02", "."), ("x", "2")], "DATE string, X string")
     assert [tuple(r) for r in tb.series(df, "DATE", "X").collect()] == [(date(2020, 1, 1), 1.5)]
+
+
+def test_overlaps_see_open_ends_and_far_neighbours(spark):
+    rows = [("k", "a", day(1), day(100)), ("k", "b", day(5), day(6)), ("k", "c", day(50), day(60)), ("k", "d", day(200), None), ("k", "e", day(300), day(301)), ("j", "f", day(1), day(2)), ("j", "g", day(2), day(3)), ("k", "n", None, day(3))]
+    df = spark.createDataFrame(rows, "k string, n string, a date, b date")
+    got = {r.n: r.prev_end for r in idn.overlaps(df, "k", "a", "b", "n").collect()}
+    assert got == {"b": day(100), "c": day(100), "e": None}
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[int(i % 3 == 0)], float(x)) for i, x in enumerate(rng.integers(0, 50, 400))] + [(None, 1.5), (None, 2.5), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    for by in ([], ["g"]):
+        want = {r.g if by else 0: r.q for r in df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
+        got = {r.g if by else 0: r.q for r in st.quantiles(df, "v", qs, by).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert st.quantiles(df.limit(0), "v", qs).collect()[0].q == [None] * len(qs)
+
+
+def test_uniform_transforms_pass_and_piled_up_ones_do_not(spark):
+    rng = np.random.default_rng(6)
+    def table(f):
+        return spark.createDataFrame([("k", day(d), float(f(rng.uniform()))) for d in range(60) for _ in range(20)], "k string, d date, u double")
+    even, odd = (cal.pit_uniformity(table(f), "d", "u", 10, 200, 4, 3).first() for f in (lambda u: u, lambda u: u * u))
+    assert not even.reject and odd.reject and even.n == 1200 and odd.p < 1e-9 < even.p
+    r = cal.uniform_distance(table(lambda u: u), "k", "u").first()
+    s = cal.uniform_distance(table(lambda u: u * u), "k", "u").first()
+    assert r.p > 0.01 and s.p < 1e-9 and abs(s.d - 0.25) < 0.05
+
+
+def test_clustered_hits_are_worth_less(spark):
+    rows = [(day(d), d % 10 == 0) for d in range(100) for _ in range(30)]
+    r = cal.coverage(spark.createDataFrame(rows, "d date, hit boolean"), "hit", 0.05, "d").first()
+    assert r.rate == 0.1 and abs(r.effective_n - 100) < 1 and r.p < 1e-9 and 0.02 < r.p_effective < 0.1
+
+
+def test_student_scores_of_planted_quantiles(spark):
+    rows = [(float(x), 2.0, 5.0) for x in np.random.default_rng(7).standard_t(5, 2000) * 2] + [(1.0, 0.0, 5.0), (None, 1.0, 5.0), (1.0, 1.0, None)]
+    got = cal.student_scores(spark.createDataFrame(rows, "y double, s double, nu double"), "y", "s", "nu")
+    wide = cal.student_scores(spark.createDataFrame([(y, 4.0, n) for y, _, n in rows[:2000]], "y double, s double, nu double"), "y", "s", "nu").agg(F.avg("crps")).first()[0]
+    r = got.agg(F.avg("crps").alias("c"), F.avg("pit").alias("p"), F.count("crps").alias("n")).first()
+    assert r.n == 2000 and r.c < wide and abs(r.p - 0.5) < 0.03
