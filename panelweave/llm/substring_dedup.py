@@ -175,7 +175,7 @@ def _bulks(batches, n: int, min_words: int, least: int, words: int = 100_000):
 
 
 def repeated_units(
-    docs: DataFrame, min_words: int = 20, least: int = 20, n: int = 5, num: int = 80, den: int = 100, recall: float = 0.95,
+    docs: DataFrame, min_words: int = 20, least: int = 20, n: int = 5, num: int = 80, den: int = 100, recall: float = 0.99,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Every stretch of words that repeats an earlier one: doc_id, text_hash, word, words, keep_doc_id.

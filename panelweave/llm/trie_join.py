@@ -272,20 +272,23 @@ def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     """Rows (key, node, comp) of large groups under keys of a group and one more item.
 
     Let p be |A| - ceil(num |A| / den) + 1.  Linked sets share an item within their first
-    p, and two within their first p + 1.  So two linked sets of one group, which may be that of
-    such an item, meet again under some other item among the first p + 1 of each.
+    p, and two within their first p + 1, unless they have but one in common.  So two linked sets
+    of one group, which may be that of such an item, meet again under some other item among
+    the first p + 1 of each.  One common item links only sets of at most den / num items;
+    these keep their own key too, in a group apart from larger sets.
     """
 
     def first_items(batches):
         for b in batches:
-            firsts = []
+            firsts, small = [], []
             for raw in b.column("items").to_pylist():
                 s = np.frombuffer(raw, "<u8")
                 firsts.append(s[: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(firsts, pa.list_(pa.int64()))], ["node", "firsts"])
+                small.append(num * len(s) <= den)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(firsts, pa.list_(pa.int64())), pa.array(small, pa.bool_())], ["node", "firsts", "small"])
 
-    firsts = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(first_items, "node long, firsts array<long>")
-    again = rows.join(firsts, "node").select("key", "node", "comp", F.explode("firsts").alias("item")).where("item <> key")
+    firsts = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(first_items, "node long, firsts array<long>, small boolean")
+    again = rows.join(firsts, "node").select("key", "node", "comp", "small", F.explode("firsts").alias("item")).where("item <> key or small")
     return again.select(F.xxhash64("key", "item").alias("key"), "node", "comp").distinct()
 
 

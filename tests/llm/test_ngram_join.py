@@ -119,6 +119,17 @@ def test_large_groups_are_dealt_again(spark, monkeypatch):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_large_groups_keep_links_of_one_common_item(spark, monkeypatch):
+    """At one half a set of one item links with sets of two that have but it in common."""
+    monkeypatch.setattr(trie_join, "BLOCK", 4)
+    monkeypatch.setattr(trie_join, "HOT", 1)
+    rows = [(i, f"a w{i}", "x", None) for i in range(40)] + [(100, "a", "x", None), (101, "b c", "x", None), (102, "a w3 w4 w5", "x", None)]
+    want = brute(rows, 1, 1, 2)
+    assert want[7] == want[100] == 0 and want[101] == 101
+    got = {r.doc_id: r.component_id for r in ngram_components(spark.createDataFrame(rows, SCHEMA), n=1, num=1, den=2)[0].collect()}
+    assert got == want
+
+
 def test_tree_finds_all_and_only_similar_sets():
     rng = np.random.default_rng(1)
     for _ in range(40):
