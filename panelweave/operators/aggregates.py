@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators.windows import average_rank
+
 KEY = ["inst", "d"]
 
 
@@ -208,3 +210,33 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def universe(df: DataFrame, group: str, key: str, ts: str) -> DataFrame:
     return df.groupBy(group, F.year(ts).alias("year")).agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.countDistinct(ts).alias("days"))
+
+
+def era_overlap(df: DataFrame, era: Column, ids: list[str]) -> DataFrame:
+    """(id, early, late, both): how many values of each id column TRAIN and TEST rows hold, and how many stand in both."""
+    parts = None
+    for c in ids:
+        per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.max((era == "TRAIN").cast("int")).alias("a"), F.max((era == "TEST").cast("int")).alias("b"))
+        one = per.agg(F.lit(c).alias("id"), F.sum("a").alias("early"), F.sum("b").alias("late"), F.sum(F.col("a") * F.col("b")).alias("both"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def rank_stability(df: DataFrame, key: str, era: Column, col: str) -> DataFrame:
+    """One row: the keys with a mean in both eras, and the rank correlation of the two means."""
+    m = df.groupBy(key).agg(F.avg(F.when(era == "TRAIN", F.col(col))).alias("a"), F.avg(F.when(era == "TEST", F.col(col))).alias("b")).dropna()
+    m = m.withColumn("ra", average_rank("a")).withColumn("rb", average_rank("b"))  # one row a key
+    return m.agg(F.count("*").alias("keys"), F.corr("ra", "rb").alias("rank_correlation"))
+
+
+def enrichment_by_era(df: DataFrame, label: str, hit: str, era: Column) -> DataFrame:
+    """`enrichment` within each of TRAIN and TEST."""
+    parts = [enrichment(df.where(era == e), label, hit).withColumn("era", F.lit(e)) for e in ("TRAIN", "TEST")]
+    return parts[0].unionByName(parts[1])
+
+
+def stored_against(df: DataFrame, stored: str, again: Column, tol: float) -> DataFrame:
+    """One row: rows, rows where a stored column and its recomputation differ by more than `tol` or one is missing, and the largest difference."""
+    gap = F.abs(F.col(stored) - again)
+    missing = F.col(stored).isNull() != again.isNull()
+    return df.agg(F.count("*").alias("rows"), F.count(F.when((gap > tol) | missing, 1)).alias("mismatches"), F.max(gap).alias("worst"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.saved import saved
@@ -100,3 +100,18 @@ def name_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     """Jaccard similarity of the words of two names."""
     x, y = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
     return df.withColumn("similarity", F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
+def issuer_groups(rows: DataFrame, key: str, day: str, issuer: Column, most_overlap: int) -> DataFrame:
+    """(issuer, key, ids, overlap_days, canonical): the ids of an issuer, and what each is carried under.
+
+    Ids of one issuer that follow one another are carried under the one that is seen last (of
+    equal last days the greatest); if they are seen together on more than `most_overlap` days
+    they exist side by side and each stays itself.  Ids of different issuers never meet.
+    """
+    seen = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(issuer.alias("issuer"), F.col(key).alias("key"), F.col(day).alias("day")).distinct()
+    both = seen.groupBy("issuer", "day").agg(F.count("*").alias("n")).groupBy("issuer").agg(F.count(F.when(F.col("n") > 1, 1)).alias("overlap_days"))
+    ids = seen.groupBy("issuer", "key").agg(F.max("day").alias("last"))
+    top = ids.groupBy("issuer").agg(F.count("*").alias("ids"), F.max_by("key", F.struct("last", "key")).alias("terminal"))
+    j = ids.join(top, "issuer").join(both, "issuer")
+    return j.select("issuer", "key", "ids", "overlap_days", F.when(F.col("overlap_days") <= most_overlap, F.col("terminal")).otherwise(F.col("key")).alias("canonical"))

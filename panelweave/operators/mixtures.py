@@ -292,3 +292,19 @@ def risk_summary(rows: DataFrame, level: str) -> DataFrame:
         F.avg(b.cast("double")).alias("breach_rate"), F.avg(F.col(f"normal_breach_{level}").cast("double")).alias("normal_breach_rate"), F.max("param_age_days").alias("oldest_days"),
         F.avg(f"var_{level}_pct").alias("var_pct"), F.avg(f"es_{level}_pct").alias("es_pct"),
     )
+
+
+def coherence(pred: DataFrame, tail: str, wide: str, tol: float = 1e-9) -> DataFrame:
+    """(system, n, crossed, shallow): rows with both levels, rows whose deeper VaR lies above the other, and rows with an ES above its VaR; both must be 0."""
+    a, b = F.col(f"var_{tail}"), F.col(f"var_{wide}")
+    bad = (F.col(f"es_{tail}") > a + tol) | (F.col(f"es_{wide}") > b + tol)
+    return pred.groupBy("system").agg(F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"), F.count(F.when(a > b + tol, 1)).alias("crossed"), F.count(F.when(bad, 1)).alias("shallow"))
+
+
+def head_to_head(pred: DataFrame, keys: list[str], by: str, a: str, b: str) -> DataFrame:
+    """(by, n, mean, t, wins): the score of system `a` less that of `b` on the rows that both score, per group; wins counts rows where `a` is the lower."""
+    x = pred.where(F.col("system") == a).select(*keys, F.col("crps").alias("__a"))
+    y = pred.where(F.col("system") == b).select(*keys, F.col("crps").alias("__b"))
+    d = F.col("__a") - F.col("__b")
+    j = x.join(y, keys).where("__a is not null and __b is not null")
+    return j.groupBy(by).agg(F.count("*").alias("n"), F.avg(d).alias("mean"), (F.avg(d) / F.nullif(F.stddev_samp(d), F.lit(0.0)) * F.sqrt(F.count("*"))).alias("t"), F.count(F.when(d < 0, 1)).alias("wins"))

@@ -92,3 +92,14 @@ def fe_specs(df: DataFrame, ys: list[str], x: str, control: str, a: str, b: str,
         meat = e.groupBy("spec", a).agg(F.sum("s").alias("g")).groupBy("spec").agg(F.sum(F.col("g") * F.col("g")).alias("meat"))
         parts.append(m.join(meat, "spec").select(F.lit(y).alias("y"), "spec", "slope", (F.sqrt("meat") / F.nullif(F.col("uu"), F.lit(0.0))).alias("se"), "n"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def screen_verdict(cells: DataFrame, bar: float) -> DataFrame:
+    """One row of `screen`'s cells: the full-sample leg (|t| at the bar), the era leg (the bar and one sign in both), and both."""
+    def of(name, col):
+        return F.max(F.when(F.col("cell") == name, F.col(col)))
+
+    g = cells.agg(*[of(c, "t").alias(f"t_{c.lower()}") for c in ("FULL", "TRAIN", "TEST")])
+    full = F.coalesce(F.abs("t_full") >= bar, F.lit(False))
+    eras = F.coalesce((F.abs("t_train") >= bar) & (F.abs("t_test") >= bar) & (F.signum("t_train") == F.signum("t_test")), F.lit(False))
+    return g.select("t_full", "t_train", "t_test", full.alias("full_leg"), eras.alias("era_leg"), F.when(full & eras, "PASS").when(full, "FULL ONLY").otherwise("FAIL").alias("verdict"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,32 @@ def reversal(df: DataFrame, key: str, ts: str, ret: str, width: int) -> DataFram
     """Minus the trailing sum of returns."""
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(-(width - 1), 0)
     return df.withColumn("alpha", F.when(F.count(ret).over(w) == width, -F.sum(ret).over(w)))
+
+
+def fitness(b: DataFrame, pnl: str, periods: float, least_turnover: float = 0.125) -> DataFrame:
+    """One row: Sharpe ratio, mean turnover, and their trade-off, Sharpe * sqrt(|annual return| / max(turnover, least_turnover)), over days with a holding or a trade."""
+    d = b.where((F.abs("turnover") + F.abs(F.col(pnl))) > 0)
+    a = d.agg(F.count("*").alias("days"), (F.avg(pnl) * periods).alias("ret"), (F.avg(pnl) / F.nullif(F.stddev_samp(pnl), F.lit(0.0)) * F.sqrt(F.lit(periods))).alias("sharpe"), F.avg("turnover").alias("turnover"))
+    return a.select("days", "sharpe", "turnover", (F.col("sharpe") * F.sqrt(F.abs("ret") / F.greatest("turnover", F.lit(least_turnover)))).alias("fitness"))
+
+
+def gated(df: DataFrame, alpha: str, gate: Column, out: str) -> DataFrame:
+    """The signal where the gate holds, and none (a null) elsewhere: those names are out of the book that day."""
+    return df.withColumn(out, F.when(F.coalesce(gate, F.lit(False)), F.col(alpha)))
+
+
+def switched(df: DataFrame, first: str, second: str, use_first: Column, out: str) -> DataFrame:
+    """One of two signals, each within-day centred and scaled before, by a condition known that day."""
+    return df.withColumn(out, F.when(use_first, F.col(first)).otherwise(F.col(second)))
+
+
+def standard_signal(df: DataFrame, day: str, col: str) -> DataFrame:
+    """`col` less its mean of the day, over its spread of the day; null where there is none."""
+    w = Window.partitionBy(day)
+    return df.withColumn(col, (F.col(col) - F.avg(col).over(w)) / F.nullif(F.stddev_pop(col).over(w), F.lit(0.0)))
+
+
+def alignment_gate(b: DataFrame, future: DataFrame, ts: str) -> DataFrame:
+    """One row: days, and the largest difference of a book's gross return when all returns after a day are replaced: it must be 0 up to that day."""
+    j = b.select(ts, F.col("gross").alias("__a")).join(future.select(ts, F.col("gross").alias("__b")), ts)
+    return j.agg(F.count("*").alias("days"), F.max(F.abs(F.col("__a") - F.col("__b"))).alias("worst"))

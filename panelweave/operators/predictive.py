@@ -104,3 +104,31 @@ def spliced_tail(d: DataFrame, low: float, step: float, share: float) -> DataFra
     gpd = F.when(base <= 0, 0.0).when(F.abs("xi") < 1e-9, F.exp(-(F.col("ub") - F.col("bin")) * step / F.col("sc"))).otherwise(F.exp(-F.log(F.when(base > 0, base)) / F.col("xi")))
     spliced = F.when((F.col("bin") < F.col("ub")) & F.col("sc").isNotNull(), F.col("pu") * gpd).otherwise(F.col("cdf"))
     return m.select("vintage", "bin", spliced.alias("cdf"))
+
+
+def recalibration_table(df: DataFrame, vintages: DataFrame, h: int, clip: float, low: float, width: float, bins: int, prior: float) -> DataFrame:
+    """(vintage, bin, n, ratio): mean clipped z^2 per bin of the volatility deviation over the vintage's mean, drawn to 1.
+
+    df: (pos, dev, z); vintages: (vintage, asof_pos).  The ratio of a bin is
+    (sum + prior * mean) / ((n + prior) * mean): `prior` rows at the level of all stand in each
+    bin.  Sums enter at the first vintage that knows a row and are added up over vintages.
+    """
+    y = F.least(F.greatest(F.col("z"), F.lit(-clip)), F.lit(clip)) ** 2
+    b = F.greatest(F.lit(0), F.least(F.floor((F.col("dev") - low) / width), F.lit(bins - 1))).cast("int")
+    v = vintages.agg(F.array_sort(F.collect_list("asof_pos")).alias("__a"))  # a few hundred vintages
+    o = df.dropna(subset=["dev", "z"]).join(v)
+    o = o.withColumn("asof_pos", F.try_element_at(F.filter("__a", lambda a: admits(F.col("pos"), h, a)), F.lit(1))).where("asof_pos is not null")
+    new = o.groupBy("asof_pos", b.alias("bin")).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
+    grid = vintages.select("vintage", "asof_pos").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))  # vintages x bins
+    up = Window.partitionBy("bin").orderBy("asof_pos").rowsBetween(Window.unboundedPreceding, 0)
+    c = grid.join(new, ["asof_pos", "bin"], "left").na.fill(0, ["n", "s"]).select("vintage", "bin", F.sum("n").over(up).alias("n"), F.sum("s").over(up).alias("s"))
+    whole = Window.partitionBy("vintage")
+    mean = F.sum("s").over(whole) / F.nullif(F.sum("n").over(whole), F.lit(0))
+    c = c.withColumn("__m", mean)
+    return c.select("vintage", "bin", "n", F.coalesce((F.col("s") + prior * F.col("__m")) / F.nullif((F.col("n") + prior) * F.col("__m"), F.lit(0.0)), F.lit(1.0)).alias("ratio"))
+
+
+def replicate_summary(reps: DataFrame, col: str) -> DataFrame:
+    """One row: replicates, mean, sd, 2.5 and 97.5 % quantiles, skewness and excess kurtosis of a bootstrap's estimates."""
+    q = F.percentile(col, F.array(F.lit(0.025), F.lit(0.975)))  # a row a replicate
+    return reps.agg(F.count(col).alias("replicates"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), q[0].alias("low"), q[1].alias("high"), F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurtosis"))

@@ -131,3 +131,29 @@ def forward_filter(
     number = F.col(pos).cast("double") if pos else F.row_number().over(Window.partitionBy(key).orderBy(ts)).cast("double")
     rows = df.select(key, ts, F.col(obs).cast("double").alias("__x"), number.alias("__at"))
     return carried(rows, key, ts, ["__x", "__at"], lambda: None, step, "p array<double>")
+
+
+def seven_classes(state: Column, block: Column, conc: Column, low: float, high: float, b_low: float, b_high: float) -> Column:
+    """Seven classes from a state and two cut points a side: low, middle and high concentration of sellers and of buyers, and quiet."""
+    return (
+        F.when(state == "neutral", "quiet").when(state == "sell", F.when(conc < low, "hostage").when(conc > high, "concentrated_sell").otherwise("sell_mid"))
+        .otherwise(F.when(block < b_low, "dispersed_buy").when(block > b_high, "block_buy").otherwise("buy_mid"))
+    )
+
+
+def frontier(d: DataFrame, vintages: DataFrame, least: float) -> DataFrame:
+    """(cls, valid_from, vintages): per class the first vintage from which on every later one has an effective size of `least` or more.
+
+    A class without such a vintage has a null.
+    """
+    e = d.groupBy("vintage", "cls").agg(F.max("ess").alias("ess")).join(vintages, "vintage")
+    w = Window.partitionBy("cls").orderBy(F.desc("asof_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("__later", F.min("ess").over(w))
+    return e.groupBy("cls").agg(F.min_by("vintage", F.when(F.col("__later") >= least, F.col("asof_pos"))).alias("valid_from"), F.count("*").alias("vintages"))
+
+
+def embargo_slack(obs: DataFrame, vintages: DataFrame, h: int) -> DataFrame:
+    """(vintage, n, slack): outcomes that a vintage is the first to know, and the least number of positions by which they ended before it; below 0 would be a look ahead."""
+    v = vintages.agg(F.array_sort(F.collect_list(F.struct("asof_pos", "vintage"))).alias("__a"))  # a few hundred vintages
+    o = obs.join(v).withColumn("__f", F.try_element_at(F.filter("__a", lambda a: admits(F.col("pos"), h, a["asof_pos"])), F.lit(1))).where("__f is not null")
+    return o.groupBy(F.col("__f.vintage").alias("vintage")).agg(F.count("*").alias("n"), F.min(F.col("__f.asof_pos") - h - F.col("pos")).alias("slack"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -48,3 +49,9 @@ def carried(df: DataFrame, key: str, ts: str, columns: list[str], start: Callabl
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns_], [key, ts, *names])
 
     return rows.mapInArrow(run, schema)
+
+
+def shared_folder(spark) -> str:
+    """A new folder, for one result, where all executors can read and write."""
+    saved(spark.range(0))  # sets the checkpoint folder of a single machine
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"

@@ -265,3 +265,53 @@ def cohen_d(df: DataFrame, label: str, col: str, a: str, b: str) -> DataFrame:
     pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / F.nullif(na + nb - 2, F.lit(0)))
     one = g.join(ranks)  # one row each
     return one.select(((F.col("ma") - F.col("mb")) / F.nullif(pooled, F.lit(0.0))).alias("d"), (F.col("s") - na * (na + 1) / 2).alias("u"), "ks", "na", "nb")
+
+
+def hac_slope(df: DataFrame, ts: str, y: str, x: str, lag: int) -> DataFrame:
+    """One row: intercept, slope of y on x, its Newey-West error and t, and the number of dates (one row a date)."""
+    one, w = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy(ts)
+    d = df.dropna(subset=[y, x]).select(ts, F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"))
+    d = d.withColumns({"__my": F.avg("__y").over(one), "__u": F.col("__x") - F.avg("__x").over(one)})
+    d = d.withColumn("__b", F.sum(F.col("__u") * F.col("__y")).over(one) / F.nullif(F.sum(F.col("__u") * F.col("__u")).over(one), F.lit(0.0)))
+    d = d.withColumn("__s", F.col("__u") * (F.col("__y") - F.col("__my") - F.col("__b") * F.col("__u")))
+    d = d.select("__x", "__u", "__my", "__b", "__s", *[F.lag("__s", k).over(w).alias(f"__l{k}") for k in range(1, lag + 1)])
+    s = F.sum(F.col("__s") * F.col("__s"))
+    for k in range(1, lag + 1):
+        s = s + 2 * (1 - k / (lag + 1)) * F.coalesce(F.sum(F.col("__s") * F.col(f"__l{k}")), F.lit(0.0))
+    g = d.agg(F.first("__my").alias("my"), F.avg("__x").alias("mx"), F.first("__b").alias("slope"), (F.sqrt(F.greatest(s, F.lit(0.0))) / F.nullif(F.sum(F.col("__u") * F.col("__u")), F.lit(0.0))).alias("se"), F.count("*").alias("n"))
+    return g.select((F.col("my") - F.col("slope") * F.col("mx")).alias("const"), "slope", "se", (F.col("slope") / F.nullif(F.col("se"), F.lit(0.0))).alias("t"), "n")
+
+
+def ic_summary(ic: DataFrame, day: str, every: int) -> DataFrame:
+    """One row: days, mean rank correlation and its t, and the t of every `every`-th day alone, which do not overlap."""
+    d = ic.where("ic is not null").withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(day)) - 1)  # one row a date
+    x = F.when(F.col("__i") % every == 0, F.col("ic"))
+
+    def t(c):
+        return F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * F.sqrt(F.count(c))
+
+    return d.agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), t(F.col("ic")).alias("t"), F.count(x).alias("apart"), t(x).alias("t_apart"))
+
+
+def calibration_error(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
+    """One row: the expected calibration error of the likelier class: the gap of accuracy and confidence per bin of confidence, weighted by rows."""
+    d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    conf = F.greatest(F.col(p), 1 - F.col(p))
+    right = ((F.col(p) >= 0.5) == F.col(y)).cast("double")
+    b = F.least(F.floor(conf * bins), F.lit(bins - 1))
+    g = d.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.avg(right).alias("acc"), F.avg(conf).alias("conf"))
+    return g.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"))
+
+
+def event_grid(anchors: DataFrame, cum: DataFrame, key: str, ts: str, horizons: list[int], era: Column) -> DataFrame:
+    """(anchor, state, era, h, n, excess): mean cumulated return over the h rows after each anchor, less the era's mean over all rows.
+
+    anchors: key, ts, anchor, state; cum: key, ts, cum.  Rows whose horizon passes the end of the data do not count.
+    """
+    w = Window.partitionBy(key).orderBy(ts)
+    led = cum.select(key, ts, era.alias("era"), *[(F.lead("cum", h).over(w) - F.col("cum")).alias(f"__{h}") for h in horizons])
+    ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"__{h}").alias("car")) for h in horizons])
+    fw = led.select(key, ts, "era", F.inline(ahead)).where("car is not null and era is not null")
+    base = fw.groupBy("era", "h").agg(F.avg("car").alias("base"))
+    g = anchors.join(fw, [key, ts]).groupBy("anchor", "state", "era", "h").agg(F.count("*").alias("n"), F.avg("car").alias("m"))
+    return g.join(base, ["era", "h"]).select("anchor", "state", "era", "h", "n", (F.col("m") - F.col("base")).alias("excess"))

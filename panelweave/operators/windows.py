@@ -142,3 +142,32 @@ def ewma_variance(df: DataFrame, key: str, ts: str, ret: str, decay: float, burn
         return (n, v), (v if n >= least else None,)
 
     return carried(df, key, ts, [ret], lambda: (0, 0.0), step, "variance double")
+
+
+def bounce_free_car(cum: str, key: str, ts: str, skip: int, h: int) -> tuple[Column, Column]:
+    """Cumulated return of rows skip + 1 to h ahead, which leaves out the first ones and their bounce; and whether the data end before.
+
+    Where they end, the last value stands for what is missing.
+    """
+    w = Window.partitionBy(key).orderBy(ts)
+    last = F.last(cum).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    end, begin = F.lead(cum, h).over(w), F.lead(cum, skip).over(w)
+    return F.coalesce(end, last) - F.coalesce(begin, last), end.isNull()
+
+
+def held_impulse(df: DataFrame, key: str, ts: str, state: str, value, rows: int, mean: bool = False) -> DataFrame:
+    """An impulse on the first row after a run of `value`, held for `rows` rows by its maximum or mean."""
+    w = Window.partitionBy(key).orderBy(ts)
+    i = F.when((F.col("__p") == value) & ~F.col(state).eqNullSafe(F.lit(value)), 1.0).otherwise(0.0)
+    d = df.withColumn("__p", F.lag(state).over(w)).withColumn("__i", i)
+    return d.withColumn("held", (F.avg if mean else F.max)("__i").over(w.rowsBetween(-(rows - 1), 0))).drop("__p", "__i")
+
+
+def detection_lag(df: DataFrame, key: str, ts: str, causal: str, smoothed: str) -> DataFrame:
+    """(label, runs, found, lag): per smoothed label its runs, those in which the causal label ever says the same, and the mean number of rows until it does."""
+    w = Window.partitionBy(key).orderBy(ts)
+    new = F.when(F.col(smoothed).eqNullSafe(F.lag(smoothed).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    d = df.withColumn("__r", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__i", F.row_number().over(Window.partitionBy(key, "__r").orderBy(ts)) - 1)
+    per = d.groupBy(key, "__r", F.col(smoothed).alias("label")).agg(F.min(F.when(F.col(causal) == F.col(smoothed), F.col("__i"))).alias("lag"))
+    return per.groupBy("label").agg(F.count("*").alias("runs"), F.count("lag").alias("found"), F.avg("lag").alias("lag"))

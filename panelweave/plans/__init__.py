@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["cleaning_queries", "panel_queries", "model_queries", "panel_model_queries", "engine_queries", "inference_queries", "regime_queries", "mixture_queries", "structural_queries"]
+MODULES = ["cleaning_queries", "panel_queries", "model_queries", "panel_model_queries", "engine_queries", "inference_queries", "regime_queries", "mixture_queries", "structural_queries", "completing_queries"]
 
 
 def QUERIES_OF():

@@ -58,9 +58,13 @@ def a10(v: Views):
     return tb.compare_tables(got, want, ["inst"], "x", 0.01).select("inst", "verdict")
 
 
-@query("A11_schema_audit")
+AUDITED = ("customer", "supplier", "orders", "lineitem")
+KINDS = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(column_type) END"
+
+
+@query("A11_schema_audit", f"WITH c AS ({' UNION ALL '.join(f'SELECT column_name, {KINDS} AS type FROM (DESCRIBE {t})' for t in AUDITED)}) SELECT column_name AS column, count(*) AS frames, list_sort(list(DISTINCT type)) AS types, count(*) = 4 AND count(DISTINCT type) = 1 AS agree FROM c GROUP BY 1")
 def a11(v: Views):
-    return tb.schema_audit(v.spark, {t: v.table(t) for t in ("customer", "supplier", "orders", "lineitem")})
+    return tb.schema_audit(v.spark, {t: v.table(t) for t in AUDITED})
 
 
 @query("B1_admit", f"WITH {TRADES} SELECT inst, count(*) AS n FROM trades WHERE side IN (1, 4) AND rate > 0 AND kind IN ('A', 'N') AND length(inst) BETWEEN 7 AND 7 GROUP BY inst")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.normal import normal_cdf_sql
+from panelweave.functions.normal import normal_cdf_sql, probit_sql
 from panelweave.operators import aggregates as agg
 from panelweave.operators import portfolio as pf
 from panelweave.operators import regimes as rg
@@ -332,7 +332,14 @@ def p5(v: Views):
     return pf.reversal(v.price, "inst", "d", "ret", 4).select("inst", "d", "alpha")
 
 
-@query("M0_concentrated_selling")
+M0 = f"""WITH {TRADES}, adm AS (SELECT * FROM trades WHERE side IN (1, 4) AND rate > 0 AND kind IN ('A', 'N', 'R')), pn AS (SELECT inst, d, count(*) AS n, sum(CASE WHEN side = 4 THEN value ELSE 0 END) AS sell_value FROM adm GROUP BY 1, 2),
+ ev AS (SELECT inst, d, entity, sum(value) AS v FROM adm WHERE side = 4 AND entity IS NOT NULL GROUP BY 1, 2, 3), cc AS (SELECT inst, d, sum(v * v) / (sum(v) * sum(v)) AS c, sum(v) AS vv FROM ev GROUP BY 1, 2),
+ m AS (SELECT pn.inst, pn.d, n, sell_value, CASE WHEN vv / nullif(sell_value, 0) >= 0.5 THEN round(c, 9) END AS concentration FROM pn LEFT JOIN cc ON cc.inst = pn.inst AND cc.d = pn.d WHERE n >= 3),
+ r AS (SELECT *, (rank() OVER (PARTITION BY d ORDER BY concentration) + (count(*) OVER (PARTITION BY d, concentration) - 1) / 2.0) / (count(*) OVER (PARTITION BY d) + 1) AS p FROM m WHERE concentration IS NOT NULL)
+ SELECT inst, d, n, sell_value, concentration, {probit_sql('p')} AS score FROM r ORDER BY score DESC, d, inst LIMIT 50"""
+
+
+@query("M0_concentrated_selling", M0, "sell_value score")
 def flagship(v: Views):
     from panelweave.plans.flagship import concentrated_selling
 
