@@ -181,3 +181,52 @@ def test_trees_find_the_planted_signal(spark):
     p = sv.permuted(test, "d", "k", "b", 3).orderBy("d", "k").collect()
     t = test.orderBy("d", "k").collect()
     assert [sorted(r.b for r in p if r.d == day(30)), [r.a for r in p]] == [sorted(r.b for r in t if r.d == day(30)), [r.a for r in t]] and [r.b for r in p] != [r.b for r in t]
+
+
+def test_hac_slope_equals_its_formula(spark):
+    from panelweave.operators import stats as st
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, 200)
+    y = 0.5 + 0.3 * x + np.convolve(rng.normal(0, 1, 202), [1, 0.5, 0.2], "valid")
+    df = spark.createDataFrame([(day(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(day(900), None, 1.0)], "d date, x double, y double")
+    r = st.hac_slope(df, "d", "y", "x", 3).first()
+    u = x - x.mean()
+    b = (u @ y) / (u @ u)
+    s = u * (y - y.mean() - b * u)
+    var = s @ s + 2 * sum((1 - k / 4) * (s[k:] @ s[:-k]) for k in (1, 2, 3))
+    assert np.allclose([r.slope, r.const, r.se, r.t], [b, y.mean() - b * x.mean(), math.sqrt(var) / (u @ u), b / (math.sqrt(var) / (u @ u))]) and r.n == 200
+    assert st.hac_slope(df.limit(0), "d", "y", "x", 2).first().slope is None
+
+
+def test_issuers_merge_what_follows_and_keep_what_stands_side_by_side(spark):
+    from panelweave.operators import identity as idn
+
+    rows = [("AA1", t) for t in range(5)] + [("AA2", t) for t in range(4, 9)] + [("BB1", t) for t in range(9)] + [("BB2", t) for t in range(9)] + [("CC1", 0), (None, 1)]
+    df = spark.createDataFrame([(k, day(t)) for k, t in rows], "k string, d date")
+    got = {r.key: (r.canonical, r.overlap_days) for r in idn.issuer_groups(df, "k", "d", F.substring("k", 1, 2), 2).collect()}
+    assert got == {"AA1": ("AA2", 1), "AA2": ("AA2", 1), "BB1": ("BB1", 9), "BB2": ("BB2", 9), "CC1": ("CC1", 0)}
+
+
+def test_detection_lags_and_bounce_free_returns(spark):
+    from panelweave.operators import windows as win
+
+    labels = [(0, 1), (0, 0), (0, 0), (1, 0), (1, 0), (0, 0), (1, 1)]
+    df = spark.createDataFrame([("k", day(i), s, c, float(i * i)) for i, (s, c) in enumerate(labels)], "k string, d date, s int, c int, cum double")
+    got = {r.label: (r.runs, r.found, r.lag) for r in win.detection_lag(df, "k", "d", "c", "s").collect()}
+    assert got == {0: (2, 2, 0.5), 1: (2, 1, 0.0)}
+    car, cut = win.bounce_free_car("cum", "k", "d", 1, 3)
+    assert [(r.car, r.cut) for r in df.select("d", car.alias("car"), cut.alias("cut")).orderBy("d").collect()] == [(8.0, False), (12.0, False), (16.0, False), (20.0, False), (11.0, True), (0.0, True), (0.0, True)]
+
+
+def test_recalibration_table_and_frontier(spark):
+    from panelweave.operators import predictive, regimes
+
+    rows = [(p, 0.05 if p % 2 else -0.05, 1.0 if p % 2 else 0.5) for p in range(1, 101)] + [(5, None, 1.0), (6, 0.1, None)]
+    vint = spark.createDataFrame([("a", 0), ("b", 101)], "vintage string, asof_pos int")
+    got = {(r.vintage, r.bin): (r.n, r.ratio) for r in predictive.recalibration_table(spark.createDataFrame(rows, "pos int, dev double, z double"), vint, 1, 4.0, -0.1, 0.1, 2, 10.0).collect()}
+    m = (50 * 1.0 + 50 * 0.25) / 100
+    assert got["a", 0] == (0, 1.0) and got["b", 1] == (50, (50 + 10 * m) / (60 * m)) and got["b", 0] == (50, (12.5 + 10 * m) / (60 * m))
+    d = spark.createDataFrame([("v1", "x", 99.0), ("v2", "x", 10.0), ("v3", "x", 80.0), ("v4", "x", 90.0), ("v4", "y", 1.0)], "vintage string, cls string, ess double")
+    v = spark.createDataFrame([(f"v{i}", i) for i in range(1, 5)], "vintage string, asof_pos int")
+    assert {r.cls: r.valid_from for r in regimes.frontier(d, v, 60.0).collect()} == {"x": "v3", "y": None}
