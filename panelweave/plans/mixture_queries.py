@@ -28,7 +28,7 @@ ROLLED = BASE + """,
  ab AS MATERIALIZED (SELECT kind, vintage, bin, max(w / mass) FILTER (cls = 'a') AS fa, max(w / mass) FILTER (cls = 'b') AS fb, max(w) FILTER (cls = 'a') AS ca, max(w) FILTER (cls = 'b') AS cb, max(w2) FILTER (cls = 'a') AS sa, max(w2) FILTER (cls = 'b') AS sb, max(n) FILTER (cls = 'a') AS na, max(n) FILTER (cls = 'b') AS nb, max(ess) FILTER (cls = 'a') AS ea, max(ess) FILTER (cls = 'b') AS eb, max(mass) FILTER (cls = 'a') AS ma, max(mass) FILTER (cls = 'b') AS mb FROM cu GROUP BY ALL HAVING fa IS NOT NULL AND fb IS NOT NULL),
  rv AS (SELECT rw.*, vint.vintage, vint.asof_d FROM rw LEFT JOIN vint ON vint.asof_pos = (SELECT max(asof_pos) FROM vint WHERE asof_pos < rw.pos)),
  ms AS (SELECT DISTINCT kind, vintage, ma, mb FROM ab),
- rs AS (SELECT rv.*, 'soft_roll' AS system, 'soft_roll' AS kind, wa AS u, wb AS y FROM rv UNION ALL SELECT rv.*, 'soft_exp', 'soft_exp', wa, wb FROM rv UNION ALL SELECT rv.*, 'hard_roll', 'hard_roll', (wa > wb)::INT::DOUBLE, 1 - (wa > wb)::INT::DOUBLE FROM rv UNION ALL SELECT rv.*, 'clim_roll', 'soft_roll', ma / (ma + mb), mb / (ma + mb) FROM rv JOIN ms ON ms.kind = 'soft_roll' AND ms.vintage = rv.vintage),
+ rs AS (SELECT rv.*, 'soft_roll' AS system, 'soft_roll' AS kind, wa AS u, wb AS y FROM rv UNION ALL SELECT rv.*, 'soft_exp', 'soft_exp', wa, wb FROM rv UNION ALL SELECT rv.*, 'hard_roll', 'hard_roll', (wa > wb)::INT::DOUBLE, 1 - (wa > wb)::INT::DOUBLE FROM rv UNION ALL SELECT rv.*, 'clim_roll', 'soft_roll', ma / (ma + mb), mb / (ma + mb) FROM rv LEFT JOIN ms ON ms.kind = 'soft_roll' AND ms.vintage = rv.vintage),
  fx AS (SELECT rs.inst, rs.d, rs.system, rs.z, ab.bin, u * fa + y * fb AS f, u * ca + y * cb AS cw, u * u * sa + y * y * sb AS cs, CASE WHEN u > 0 THEN u * na ELSE 0 END + CASE WHEN y > 0 THEN y * nb ELSE 0 END AS cn, 1 / (u * u / ea + y * y / eb) / 5 AS em FROM rs JOIN ab ON ab.kind = rs.kind AND ab.vintage = rs.vintage),
  px AS (SELECT *, f - coalesce(lag(f) OVER w, 0) AS p, coalesce(lead(bin) OVER w, 1000) - bin AS gap, -10 + (bin + 0.5) * 0.02 AS mid, CASE WHEN z IS NOT NULL THEN greatest(-10, least(z, 10)) END AS zc FROM fx WINDOW w AS (PARTITION BY inst, d, system ORDER BY bin)),
  vr AS (SELECT inst, d, system, min(bin) FILTER (f >= 0.01 - 1e-12) AS k1, min(bin) FILTER (f >= 0.05 - 1e-12) AS k5 FROM px GROUP BY ALL),
