@@ -25,7 +25,7 @@ from panelweave.plans.mixture_queries import ROLLED, _systems
 from panelweave.plans.model_queries import BOOK, DENS, IC, _book, _densities, _outcome, _signal, _weights
 from panelweave.plans.panel_queries import CUM, _cum
 from panelweave.plans.regime_queries import BELIEF, MOST, PAR, PATHS, SEEN, _seen
-from panelweave.plans.registry import query
+from panelweave.plans.registry import ORACLES, query
 from panelweave.sources import tables as tb
 
 ERA = "CASE WHEN {0} <= DATE '1997-12-31' THEN 'TRAIN' ELSE 'TEST' END"
@@ -182,12 +182,15 @@ def j35s(v: Views):
     return trials.conversion(seen.join(implied), "observed", "implied")  # one row each
 
 
-@query("K11_replicates")
+REPLICATES = ORACLES["K11_clustered_quantiles"].replace("range(1, 21)", "range(1, 101)")
+
+
+@query("K11_replicates", f"WITH r AS ({REPLICATES}), c AS (SELECT quantile AS q, quantile - avg(quantile) OVER () AS e FROM r) SELECT count(q) AS replicates, avg(q) AS mean, stddev_samp(q) AS sd, quantile_cont(q, CAST(0.025 AS DOUBLE)) AS low, quantile_cont(q, CAST(0.975 AS DOUBLE)) AS high, avg(e * e * e) / pow(avg(e * e), 1.5) AS skew, avg(e * e * e * e) / (avg(e * e) * avg(e * e)) - 3 AS kurtosis FROM c", "mean sd low high skew kurtosis", 4)
 def k11s(v: Views):
     """Spread and shape of the clustered bootstrap of a weighted quantile."""
     x = v.states.select("inst", F.round("imb", 9).alias("v"), F.col("n").cast("double").alias("w"))
-    r = predictive.replicate_summary(predictive.clustered_quantiles(x, "inst", "v", "w", 0.6, 100, 17), "quantile")
-    return r.select("replicates", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high", "skew", "kurtosis")])
+    reps = predictive.clustered_quantiles(x, "inst", "v", "w", 0.6, 100, 17).withColumn("quantile", F.round("quantile", 6))
+    return predictive.replicate_summary(reps, "quantile")
 
 
 @query("K12_seven_classes", f"WITH {STATES} SELECT inst, d, CASE WHEN state = 'neutral' THEN 'quiet' WHEN state = 'sell' THEN CASE WHEN n < 5 THEN 'hostage' WHEN n > 9 THEN 'concentrated_sell' ELSE 'sell_mid' END WHEN gross < 150000 THEN 'dispersed_buy' WHEN gross > 400000 THEN 'block_buy' ELSE 'buy_mid' END AS cls FROM states")
