@@ -52,7 +52,7 @@ def walk_forward_hazard(
     discrete hazard by age, and the share of ends.  Forecasts carry all columns of `rows`, y,
     p_model, p_age and p_share; folds has per year the rows and the last day of training, and
     the first day of the forecasts.  Years with fewer than `least` training rows, or one class
-    alone, are left out.
+    alone, are left out; if all are, both tables are empty, with the same columns.
     """
     d = saved(rows.withColumn("y", ends_within(k)).where(F.col("y").isNotNull()))
     out, folds = [], []
@@ -72,7 +72,9 @@ def walk_forward_hazard(
         folds.append(test.agg(F.lit(year).alias("year"), F.lit(n["n"]).alias("train_rows"), F.lit(n["last"]).alias("last_train"), F.min(ts).alias("first_test"), F.count("*").alias("test_rows")))
     if not out:
         none = d.limit(0)
-        return none.withColumns({c: F.lit(None).cast("double") for c in ("p_model", "p_age", "p_share")}), none.groupBy().agg(F.lit(None).cast("int").alias("year")).limit(0)
+        day = dict(d.dtypes)[ts]
+        kinds = {"year": "int", "train_rows": "bigint", "last_train": day, "first_test": day, "test_rows": "bigint"}
+        return none.withColumns({c: F.lit(None).cast("double") for c in ("p_model", "p_age", "p_share")}), none.select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
     return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, folds)
 
 

@@ -230,3 +230,11 @@ def test_recalibration_table_and_frontier(spark):
     d = spark.createDataFrame([("v1", "x", 99.0), ("v2", "x", 10.0), ("v3", "x", 80.0), ("v4", "x", 90.0), ("v4", "y", 1.0)], "vintage string, cls string, ess double")
     v = spark.createDataFrame([(f"v{i}", i) for i in range(1, 5)], "vintage string, asof_pos int")
     assert {r.cls: r.valid_from for r in regimes.frontier(d, v, 60.0).collect()} == {"x": "v3", "y": None}
+
+
+def test_no_year_with_enough_rows_keeps_the_columns(spark):
+    day0 = date(2020, 1, 1)
+    rows = sv.run_rows(spark.createDataFrame([("i", day0 + timedelta(7 * i), float(i), "sell") for i in range(80)], "k string, d date, x double, state string"), "k", "d", "state", "sell", 21)
+    some = sv.walk_forward_hazard(rows.withColumn("left", F.col("age") % 3), "d", ["x"], 1, [2021], least=10, trees=2, depth=2)[1]
+    _, none = sv.walk_forward_hazard(rows, "d", ["x"], 1, [2021], least=10**9)
+    assert none.dtypes == some.dtypes and none.count() == 0
