@@ -53,13 +53,13 @@ def in_any_window(df: DataFrame, ts: str, windows: list[tuple[str, str, str]]) -
     return label
 
 
-def frame_diff(full: DataFrame, part: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """One row: worst difference, cells that differ, and cells present on one side only."""
+def frame_diff(full: DataFrame, part: DataFrame, keys: list[str], col: str, tolerance: float = 0.0) -> DataFrame:
+    """One row: worst difference, cells that differ by more than `tolerance`, and cells present on one side only."""
     j = full.select(*keys, F.col(col).alias("a")).join(part.select(*keys, F.col(col).alias("b")), keys, "full")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     diff = F.abs(F.col("a") - F.col("b"))
     return j.agg(
-        F.max(diff).alias("worst"), F.count(F.when(both & (diff > 0), 1)).alias("differing"),
+        F.max(diff).alias("worst"), F.count(F.when(both & (diff > tolerance), 1)).alias("differing"),
         F.count(F.when(F.col("a").isNotNull() & F.col("b").isNull(), 1)).alias("full_only"),
         F.count(F.when(F.col("a").isNull() & F.col("b").isNotNull(), 1)).alias("part_only"),
     )

@@ -239,3 +239,10 @@ def test_student_scores_of_planted_quantiles(spark):
     wide = cal.student_scores(spark.createDataFrame([(y, 4.0, n) for y, _, n in rows[:2000]], "y double, s double, nu double"), "y", "s", "nu").agg(F.avg("crps")).first()[0]
     r = got.agg(F.avg("crps").alias("c"), F.avg("pit").alias("p"), F.count("crps").alias("n")).first()
     assert r.n == 2000 and r.c < wide and abs(r.p - 0.5) < 0.03
+
+
+def test_difference_within_the_tolerance_does_not_count(spark):
+    full = spark.createDataFrame([(1, 0.15), (2, 1.0), (3, 2.0)], "k int, v double")
+    part = spark.createDataFrame([(1, 0.15 + 1e-9), (2, 1.5), (3, 2.0)], "k int, v double")
+    got = jn.frame_diff(full, part, ["k"], "v", 0.1).first()
+    assert got.differing == 1 and got.worst == 0.5 and jn.frame_diff(full, part, ["k"], "v").first().differing == 2
