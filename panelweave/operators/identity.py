@@ -37,10 +37,14 @@ def chain_intervals(edges: DataFrame) -> DataFrame:
     itself up to its edge's date (depth 0, confidence SELF); from the date of each further edge
     on the chain goes one deeper.  It stops at an id already met and where the date goes
     backwards (equal dates go on).  `confidence` is the weakest tier of the whole chain.
-    Chains grow together, one join over edges a round, until none grows any more; rounds
-    are cut by checkpoints.
+    Chains grow together, one join over edges a round, until none grows any more; edges and
+    rounds are cut by checkpoints, so that what the edges come from is worked out once.
     """
-    e = edges.select("old_id", "new_id", "ca_date", "tier")
+    return _intervals(saved(edges.select("old_id", "new_id", "ca_date", "tier")))
+
+
+def _intervals(e: DataFrame) -> DataFrame:
+    """The chains of saved edges."""
     nxt = e.toDF("__o", "__n", "__d", "__t")
     step = e.select("old_id", F.col("new_id").alias("canonical_id"), F.col("ca_date").alias("effective_from"), F.lit(1).alias("depth"), "tier", F.array("old_id", "new_id").alias("seen"))
     rounds = []
@@ -69,8 +73,9 @@ def interval_gates(intervals: DataFrame) -> DataFrame:
 def hindsight_gate(edges: DataFrame, cut: str) -> DataFrame:
     """One row: intervals that begin by `cut` and are not the same when built of edges up to `cut` alone."""
     cols, day = ["old_id", "canonical_id", "effective_from", "depth"], F.to_date(F.lit(cut))
-    full = chain_intervals(edges).where((F.col("depth") > 0) & (F.col("effective_from") <= day)).select(*cols)
-    part = chain_intervals(edges.where(F.col("ca_date") <= day)).where("depth > 0").select(*cols)
+    e = saved(edges.select("old_id", "new_id", "ca_date", "tier"))
+    full = _intervals(e).where((F.col("depth") > 0) & (F.col("effective_from") <= day)).select(*cols)
+    part = _intervals(e.where(F.col("ca_date") <= day)).where("depth > 0").select(*cols)
     both = full.withColumn("side", F.lit(1)).unionByName(part.withColumn("side", F.lit(-1)))
     return both.groupBy(*cols).agg(F.sum("side").alias("s")).agg(F.count(F.when(F.col("s") != 0, 1)).alias("hindsight"), F.count("*").alias("intervals"))
 

@@ -246,3 +246,17 @@ def test_difference_within_the_tolerance_does_not_count(spark):
     part = spark.createDataFrame([(1, 0.15 + 1e-9), (2, 1.5), (3, 2.0)], "k int, v double")
     got = jn.frame_diff(full, part, ["k"], "v", 0.1).first()
     assert got.differing == 1 and got.worst == 0.5 and jn.frame_diff(full, part, ["k"], "v").first().differing == 2
+
+
+def test_what_edges_come_from_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(f"i{k}", f"i{k + 1}", day(k), "1") for k in range(6)]
+    e = spark.createDataFrame(rows, "old_id string, new_id string, ca_date date, tier string").withColumn("new_id", counted.asNondeterministic()("new_id"))
+    assert idn.chain_intervals(e).count() == 6 + 21 and seen.value == 6
+    assert idn.hindsight_gate(e, str(day(9))).first().hindsight == 0 and seen.value == 12
