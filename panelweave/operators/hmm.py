@@ -117,14 +117,14 @@ def _parts(stats: np.ndarray, k: int, d: int):
     return float(logl[0]), g0, n, sx.reshape(k, d), sxx.reshape(k, d), xi.reshape(k, k)
 
 
-def update(stats: np.ndarray, par: dict) -> tuple[float, dict]:
-    """(log-likelihood of `par`, next parameters) from summed statistics: each state has its own means and variances."""
+def update(stats: np.ndarray, par: dict, floor: float = FLOOR) -> tuple[float, dict]:
+    """(log-likelihood of `par`, next parameters) from summed statistics: each state has its own means and variances, of `floor` at least."""
     k, d = par["means"].shape
     logl, g0, n, sx, sxx, xi = _parts(stats, k, d)
     n = np.maximum(n, 1e-12)[:, None]
     means = sx / n
     rows = np.maximum(xi.sum(1, keepdims=True), 1e-300)
-    return logl, {**par, "means": means, "variances": np.maximum(sxx / n - means**2, FLOOR), "trans": np.where(xi.sum(1, keepdims=True) > 0, xi / rows, par["trans"]), "start": g0 / g0.sum()}
+    return logl, {**par, "means": means, "variances": np.maximum(sxx / n - means**2, floor), "trans": np.where(xi.sum(1, keepdims=True) > 0, xi / rows, par["trans"]), "start": g0 / g0.sum()}
 
 
 def update_two_chains(stats: np.ndarray, par: dict) -> tuple[float, dict]:

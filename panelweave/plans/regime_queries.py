@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def k1e(v: Views):
     """The log-likelihood of given parameters and what one round of expectation-maximisation makes of them."""
     x = _seen(v).withColumn("g", F.lit(0))
     begin = {(0, 0): {"means": np.array(MEANS)[:, None], "variances": np.array(SDS)[:, None] ** 2, "trans": np.array(TRANS), "start": np.array(START)}}
-    got = hmm.fit_many(x, "g", "inst", "pos", ["imb"], begin, 1, 0.0, MOST)[0, 0]
+    got = hmm.fit_many(x, "g", "inst", "pos", ["imb"], begin, 1, 0.0, MOST, partial(hmm.update, floor=1e-12))[0, 0]  # the round's own variances, however small
     m, s = got["means"][:, 0], np.sqrt(got["variances"][:, 0])
     row = (got["history"][0], float(m[0]), float(m[1]), float(s[0]), float(s[1]), float(got["start"][0]))
     return v.spark.createDataFrame([row], "loglik double, mean0 double, mean1 double, sd0 double, sd1 double, start0 double")

@@ -148,3 +148,10 @@ def test_eras_do_not_mix(spark):
     df = spark.createDataFrame([("k", 1, "A", 0), ("k", 2, "A", 0), ("k", 3, "B", 1), ("k", 4, "B", 0), ("j", 5, "B", 1)], "k string, t int, era string, s int")
     got = {(r.era, r.s, r.next): (r.n, r.share) for r in hmm.era_replication(df, "k", "t", "era", "s").collect()}
     assert got == {("A", 0, None): (2, 1.0), ("A", 0, 0): (1, 1.0), ("B", 0, None): (1, 1 / 3), ("B", 1, None): (2, 2 / 3), ("B", 1, 0): (1, 1.0)}
+
+
+def test_one_round_keeps_a_small_variance():
+    par = {"means": np.zeros((1, 1)), "variances": np.ones((1, 1)), "trans": np.ones((1, 1)), "start": np.ones(1)}
+    x = np.array([0.14, 0.15, 0.16])
+    stats = np.concatenate([[0.0], [1.0], [3.0], [x.sum()], [(x**2).sum()], [2.0]])
+    assert np.allclose(hmm.update(stats, par, 1e-12)[1]["variances"], x.var()) and hmm.update(stats, par)[1]["variances"] == hmm.FLOOR
