@@ -189,15 +189,33 @@ def crc32_of_id(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
+def usual_score(net: ByteConvNet, labelled: DataFrame, share: float, id_col: str, text_col: str, lang_col: str) -> float:
+    """The `share` quantile of the scores of all labelled texts with a letter, to five digits; 0 if there is none.
+
+    Every labelled row is scored where it lies; Spark counts the rounded scores, so what one
+    task holds is bounded by their digits.  Rows that repeat id, text and label count once.
+    """
+    some = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    rows = some.select(F.xxhash64(id_col, text_col, lang_col).alias("h"), F.sha2(F.col(text_col).cast("binary"), 256).alias("t"), F.col(text_col).alias("x"))
+
+    def score(batches):
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(net.predict(b.column(2).to_pylist())[1], pa.float64())], ["h", "t", "s"])
+
+    scores = rows.mapInArrow(score, "h long, t string, s double").where("s > 0").groupBy("h", "t").agg(F.max("s").alias("s"))
+    counts = scores.groupBy(F.round("s", 5).alias("s")).agg(F.count("*").alias("n"))
+    return counts.agg(F.percentile("s", share, F.col("n")).alias("q")).first()["q"] or 0.0
+
+
 def reject_unknown(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None, calibration: int = 1000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None,
 ) -> DataFrame:
     """`docs`, all its columns, without texts that have no language.
 
     Rejected are null texts, texts without a letter and those whose best language has a
-    probability below `least`.  Unless it is given, `least` is found on about `calibration`
-    labelled rows that were not learnt from: half of the probability that 99 % of them
-    exceed, so that texts of the learnt languages stay.  With few languages a text in
+    probability below `least`.  Unless it is given, `least` is found on all labelled rows that
+    were not learnt from: half of the probability that 99 % of them exceed, so that texts of
+    the learnt languages stay (`usual_score`; rows that repeat id, text and label count once).  With few languages a text in
     another one may still have a high probability, and then it stays.  Where nothing is labelled only texts
     without a letter go.  Rows that repeat stay or go together; a null id counts as any
     other; an empty table gives an empty result.
@@ -207,12 +225,10 @@ def reject_unknown(
     if net is None:
         return docs.where(F.col(text_col).rlike(LETTER))
     if least is None:
-        held_out = labelled_sample(docs.where(fold == 1), calibration, id_col, text_col, lang_col)
-        scores = net.predict([raw.decode("utf-8", "surrogatepass") for _, raw in held_out])[1]
-        least = float(np.quantile([x for x in scores if x > 0] or [0.0], 0.01)) / 2
+        least = usual_score(net, docs.where(fold == 1), 0.01, id_col, text_col, lang_col) / 2
 
     def sift(batches):
-        for b in slices(batches):
+        for b in slices(batches, 64):
             lang, score = net.predict(b.column(text_col).to_pylist())
             yield b.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
 

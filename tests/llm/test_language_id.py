@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelweave.llm.language_id import WINDOW, ByteConvNet, crc32_of_id, identify, labelled_sample, reject_unknown, windows_of
+from panelweave.llm.language_id import WINDOW, ByteConvNet, crc32_of_id, identify, labelled_sample, reject_unknown, usual_score, windows_of
 
 SCHEMA = "doc_id long, text string, lang string, score string, n string"
 WORDS = {
@@ -102,3 +102,15 @@ def test_gradient_is_the_slope_of_the_loss():
                 loss.append(-net.log_probabilities(x)[np.arange(5), y].mean())
                 net.p[k][at] -= d
             assert abs((loss[0] - loss[1]) / 2e-5 - g[k][at]) < 1e-3
+
+
+def test_the_bound_comes_from_every_labelled_row_once(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS[rng.choice(sorted(WORDS))], k=rng.randrange(1, 30))), "en", "", "") for i in range(2500)]
+    net = ByteConvNet(["de", "en", "fr"])
+    want = np.quantile(net.predict([r[1] for r in rows])[1], 0.01)
+    twice = [*rows, *rows[:900], (9001, "12", "en", "", ""), (9002, None, "en", "", ""), (9003, rows[0][1], None, "", ""), (None, "", "en", "", "")]
+    for parts in (1, 5):
+        got = usual_score(net, spark.createDataFrame(twice, SCHEMA).repartition(parts), 0.01, "doc_id", "text", "lang")
+        assert abs(got - want) < 2e-5
+    assert usual_score(net, spark.createDataFrame([], SCHEMA), 0.01, "doc_id", "text", "lang") == 0.0
