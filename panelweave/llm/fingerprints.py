@@ -41,7 +41,7 @@ def weighted(terms: Column) -> Column:
             )),
         ))
 
-    return let(F.array_sort(terms), runs)
+    return let(F.sort_array(terms), runs)
 
 
 def _uniform(h: Column, shift: int) -> Column:
@@ -64,7 +64,9 @@ def _sample(term: Column, log_weight: Column, i: int) -> Column:
     b = F.shiftrightunsigned(F.xxhash64(h), 11).cast("double") * F.lit(2.0**-53)
     r = -F.log(_uniform(h, 0) * _uniform(h, 16))
     log_c = F.log(-F.log(_uniform(h, 32) * _uniform(h, 48)))
-    return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + F.lit(1.0))
+    # b < 1, so a weight of one, as most have, gives t = 0 without the division.
+    t = F.when(log_weight == 0.0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
+    return log_c - r * (t - b + F.lit(1.0))
 
 
 def sampled(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -95,7 +97,8 @@ def fingerprint(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES,
     """
     docs = docs.drop(out)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("t", F.explode_outer(weighted(word_shingles(F.coalesce(F.col("d")[text_col], F.lit(""))))))
+    rows = rows.withColumn("t", weighted(word_shingles(F.coalesce(F.col("d")[text_col], F.lit("")))))
+    rows = rows.select("row", "d", F.explode_outer("t").alias("t"))
     rows = rows.select("row", "d", F.col("t.term").alias("term"), F.log(F.col("t.weight").cast("double")).alias("log_weight"))
     done = sampled(rows, ["row", "d"], samples)
     return done.select("d.*", text_of(F.col("signature")).alias(out))
@@ -148,8 +151,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.explode(F.array(F.struct(F.lit(False).alias("is_edit"), F.col("text")), F.struct(F.lit(True).alias("is_edit"), F.col("edited").alias("text")))).alias("v"),
     ).where("v.text is not null")
     key = ["bucket", "place", "edge", "doc_id", "n_chars", "edited_sha256", "is_edit"]
-    terms = both.select(*key[:-1], F.col("v.is_edit").alias("is_edit"), F.explode_outer(weighted(word_shingles(F.col("v.text")))).alias("t"))
-    terms = terms.select(*key, F.col("t.term").alias("term"), F.log(F.col("t.weight").cast("double")).alias("log_weight"))
+    # The terms are a column first: rows are then dealt out and reduced in one piece of compiled code.
+    terms = both.select(*key[:-1], F.col("v.is_edit").alias("is_edit"), weighted(word_shingles(F.col("v.text"))).alias("t"))
+    terms = terms.select(*key, F.explode_outer("t").alias("t")).select(*key, F.col("t.term").alias("term"), F.log(F.col("t.weight").cast("double")).alias("log_weight"))
     signed = sampled(terms, key, samples)
     own = signed.groupBy(*key[:-1]).agg(
         F.max(F.when(~F.col("is_edit"), F.col("signature"))).alias("own"), F.max(F.when(F.col("is_edit"), F.col("signature"))).alias("edited")

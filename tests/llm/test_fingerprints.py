@@ -85,3 +85,16 @@ def test_general_fingerprint(spark):
     got = fingerprint(docs)
     assert got.columns == [*docs.columns, "fingerprint"] and got.count() == 4
     assert len({r.fingerprint for r in got.collect()}) == 2
+
+
+def test_terms_are_dealt_out_in_compiled_code(spark):
+    """Row by row, without the lambdas of the shingles in the same step."""
+    docs = spark.createDataFrame(corpus(5), SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (edited_pairs(docs), fingerprint(docs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            steps = [x for x in plan.splitlines() if "Generate explode(" in x and "true, [t" in x]
+            assert len(steps) == 1 and "*(" in steps[0] and "lambda" not in steps[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
