@@ -6,6 +6,7 @@ sets as rows (node, items).  Sets are sorted in one global order.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,16 +25,18 @@ class PrefixTree:
 
     `search` walks the tree once per probe.  A node's overlap with the probe is counted
     once for all sets that share its path, and a subtree is left as soon as the overlap
-    so far plus what can still be met in it cannot reach the required overlap.
+    so far plus what can still be met in it cannot reach the required overlap, and not
+    entered if it holds none of the members that the search is for.
     """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
         order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes() if sets[i].dtype.byteorder == ">" else sets[i].astype(">u8").tobytes())
-        self.root = self._build(order, 0)
+        self.place = np.argsort(order)
+        self.root = self._build(order, 0, 0)
 
-    def _build(self, members: list[int], depth: int):
-        """(begin, end, set that spells the segment, sets ending here, children, least and most size)."""
+    def _build(self, members: list[int], depth: int, at: int):
+        """(begin, end, set that spells the segment, sets ending here, children, least and most size, range of places in order)."""
         first, last = self.sets[members[0]], self.sets[members[-1]]
         n = min(len(first), len(last))
         same = np.flatnonzero(first[depth:n] != last[depth:n])
@@ -45,17 +48,19 @@ class PrefixTree:
             b = a
             while b < len(rest) and self.sets[rest[b]][end] == self.sets[rest[a]][end]:
                 b += 1
-            children.append(self._build(rest[a:b], end))
+            children.append(self._build(rest[a:b], end, at + len(ending) + a))
             a = b
         sizes = [len(self.sets[m]) for m in members]
-        return depth, end, members[0], ending, children, min(sizes), max(sizes)
+        return depth, end, members[0], ending, children, min(sizes), max(sizes), at, at + len(members)
 
-    def search(self, probe: np.ndarray, num: int, den: int, skip=lambda m: False) -> Iterator[tuple[int, int]]:
-        """(member, overlap) of every member with den * overlap >= num * union."""
+    def search(self, probe: np.ndarray, num: int, den: int, skip=lambda m: False, among: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """(member, overlap) of every member (`among`: of these alone) with den * overlap >= num * union."""
         n = len(probe)
+        places = None if among is None else np.sort(self.place[among]).tolist()
+        wanted = None if among is None else set(among.tolist())
         stack = [(self.root, 0, 0)]
         while stack:
-            (depth, end, spell, ending, children, least, most), overlap, met = stack.pop()
+            (depth, end, spell, ending, children, least, most, _, _), overlap, met = stack.pop()
             if den * min(n, most) < num * max(n, least):
                 continue
             seg = self.sets[spell][depth:end]
@@ -66,13 +71,25 @@ class PrefixTree:
             if len(seg):
                 met += int(at[-1]) + bool(hit[-1])
             for m in ending:
-                if not skip(m) and (den + num) * overlap >= num * (n + end):
+                if (wanted is None or m in wanted) and not skip(m) and (den + num) * overlap >= num * (n + end):
                     yield m, overlap
             # The required overlap with any set below is at least num * (n + least) / (den + num).
             if children and (den + num) * (overlap + min(n - met, most - end)) >= num * (n + max(least, end)):
+                if places is not None:
+                    children = _holding(children, places)
                 stack += [(c, overlap, met) for c in children]
 
 
+def _holding(children: list[tuple], places: list[int]) -> list[tuple]:
+    """Those of a node's children, which follow each other, that hold one of the sorted `places`."""
+    found, k = [], bisect_left(places, children[0][-2])
+    while k < len(places) and places[k] < children[-1][-1]:
+        c = children[bisect_right(children, places[k], key=lambda c: c[-2]) - 1]
+        found.append(c)
+        k = bisect_left(places, c[-1], k)
+    return found
+
+
 def parity_sketch(s: np.ndarray) -> bytes:
     """Parities of how many items fall on each of b bits, b the power of two at or above the size.
 
@@ -98,6 +115,35 @@ def may_link(a: bytes, b: bytes, sizes: int, num: int, den: int) -> bool:
     return (den + num) * apart <= (den - num) * sizes
 
 
+class Sketches:
+    """The sketches of some sets; `near` asks for those that a further set may link with."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        sketch = [parity_sketch(s) for s in sets]
+        width = np.array([len(x) // 8 for x in sketch])
+        self.of = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        self.tables = {(w, w): np.stack([_words(sketch[i], w) for i in ix]) for w, ix in self.of.items()}
+
+    def near(self, probe: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The sorted numbers of all sets but those that sizes and sketches prove not to link with `probe`."""
+        sketch, out = parity_sketch(probe), []
+        for w, ix in self.of.items():
+            size = self.size[ix]
+            fit = den * np.minimum(size, len(probe)) >= num * np.maximum(size, len(probe))
+            if not fit.any():
+                continue
+            n = min(w, len(sketch) // 8)
+            if (w, n) not in self.tables:
+                table = self.tables[w, w]
+                while table.shape[1] > n:
+                    table = table[:, : table.shape[1] // 2] ^ table[:, table.shape[1] // 2 :]
+                self.tables[w, n] = table
+            apart = np.bitwise_count(self.tables[w, n] ^ _words(sketch, n)).sum(1, dtype=np.int64)
+            out.append(ix[fit & ((den + num) * apart <= (den - num) * (size + len(probe)))])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 class _Forest:
     def __init__(self):
         self.up: dict = {}
@@ -135,7 +181,9 @@ def _join_groups(num: int, den: int):
     """Per (group, block pair): probe the tree of the first block with the second's sets.
 
     A pair is tried only while its ends are not yet connected, so at most one link is
-    kept per set: the links of a group form a spanning forest.
+    kept per set: the links of a group form a spanning forest.  In a tree of several sets
+    a probe looks for those alone that the sketches allow, so that sets without a partner
+    cost no walk; within a block each pair is tried once.
     """
 
     def run(batches):
@@ -146,9 +194,18 @@ def _join_groups(num: int, den: int):
             right = left if lo == hi else [r for r in rows if r[0] == hi]
             if not left or not right:
                 continue
-            tree = PrefixTree([np.frombuffer(r[3], "<u8") for r in left])
-            for _, node, comp, items in right:
-                find = tree.search(np.frombuffer(items, "<u8"), num, den, lambda m: forest.root(left[m][2]) == forest.root(comp))
+            sets = [np.frombuffer(r[3], "<u8") for r in left]
+            tree = PrefixTree(sets)
+            sketches = Sketches(sets) if len(left) > 1 else None
+            for i, (_, node, comp, items) in enumerate(right):
+                probe, among = np.frombuffer(items, "<u8"), None
+                if sketches:
+                    among = sketches.near(probe, num, den)
+                    among = among[: np.searchsorted(among, i)] if lo == hi else among
+                    among = among[[forest.root(left[m][2]) != forest.root(comp) for m in among.tolist()]] if len(among) else among
+                    if not len(among):
+                        continue
+                find = tree.search(probe, num, den, lambda m: forest.root(left[m][2]) == forest.root(comp), among)
                 for m, _overlap in find:
                     if forest.join(left[m][2], comp):
                         pairs.append((left[m][1], node))

@@ -140,3 +140,48 @@ def test_tree_finds_all_and_only_similar_sets():
             want = {(i, len(np.intersect1d(s, probe))) for i, s in enumerate(some)}
             want = {(i, k) for i, k in want if 10 * k >= 6 * (len(some[i]) + len(probe) - k)}
             assert set(tree.search(probe, 6, 10)) == want
+
+
+def test_a_tree_is_walked_only_for_sets_that_sketches_allow(monkeypatch):
+    """Groups of unlike sets with one common item cost no walk each pair; the links are those of all pairs."""
+    from panelweave.llm import trie_join as tj
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([[np.uint64(7)], rng.integers(0, 1 << 62, int(k), dtype=np.uint64)])) for k in rng.integers(30, 300, 120)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // d], rng.integers(0, 1 << 62, len(s) // 40, dtype=np.uint64)])) for s in sets[:40] for d in (12, 30)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+
+    def linked(a, b):
+        both = len(np.intersect1d(a, b))
+        return 100 * both >= 85 * (len(a) + len(b) - both)
+
+    tree, sketches = tj.PrefixTree(sets), tj.Sketches(sets)
+    for p in sets[::7]:
+        want = {m for m, s in enumerate(sets) if linked(p, s)}
+        near = sketches.near(p, 85, 100)
+        assert want <= set(near.tolist())
+        assert {m for m, _ in tree.search(p, 85, 100, among=near)} == want == {m for m, _ in tree.search(p, 85, 100)}
+        assert {m for m, _ in tree.search(p, 85, 100, among=near[::2])} == want & set(near[::2].tolist())
+
+    tries = 0
+    plain = tj.PrefixTree.search
+
+    def counted(self, *a, **k):
+        nonlocal tries
+        tries += 1
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(tj.PrefixTree, "search", counted)
+    for lo, hi in ((0, 0), (0, 1)):
+        block = [i % 2 if hi else 0 for i in range(len(sets))]
+        columns = [[5] * len(sets), [lo] * len(sets), [hi] * len(sets), block, list(range(len(sets))), list(range(len(sets))), [s.astype("<u8").tobytes() for s in sets]]
+        batch = tj.pa.RecordBatch.from_arrays([tj.pa.array(c) for c in columns], ["g", "lo", "hi", "block", "node", "comp", "items"])
+        tries = 0
+        got = [e for b in tj._join_groups(85, 100)([batch]) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert tries < len(sets) // 2 + 10
+        forest, want = tj._Forest(), tj._Forest()
+        assert all(linked(sets[a], sets[b]) and forest.join(a, b) for a, b in got)
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (not hi or block[a] != block[b]) and linked(sets[a], sets[b])]
+        for a, b in pairs:
+            want.join(a, b)
+        assert all(forest.root(i) == want.root(i) for i in range(len(sets)))
