@@ -6,6 +6,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,15 @@ def let(value, body):
 
 
 def slices(batches, rows: int = 512):
-    """The same Arrow rows in smaller batches, so that a task holds few texts as Python objects."""
+    """The same Arrow rows in smaller batches, so that a task holds few texts as Python objects.
+
+    What Arrow has freed goes back to the machine at the end, as the worker lives on.
+    """
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+    b = None
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

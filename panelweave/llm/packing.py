@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,15 @@ class ChunkEncoder:
     falls into independent chunks; chunks seen before come from a table of at most
     `keep` entries and the new ones of a batch are encoded in one call.  Any other text
     is encoded as a whole.  A text that holds the string of an added token goes through
-    `tokenizers` itself, which gives that token's id.
+    `tokenizers` itself, which gives that token's id; its tables are loaded for the first such text.
     """
 
     def __init__(self, stem: str, pattern: str, keep: int = 300_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(f"{stem}.json")
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.stem = stem
+        with open(f"{stem}.json", encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{stem}.tiktoken", "rb"))}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -43,6 +45,12 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(f"{self.stem}.json")
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         new = [c for c in chunks if c not in self.known]
         fresh: dict[str, bytes] = {}

@@ -141,3 +141,15 @@ def test_sequences_hold_the_ids(spark, tok):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exact_tables_are_loaded_for_added_tokens_alone(tok):
+    """A worker that meets no added token does not hold the vocabulary twice."""
+    stem = public_tokenizers.path("byte_bpe_50k.json").removesuffix(".json")
+    enc = ChunkEncoder(stem, public_tokenizers.PATTERN)
+    assert enc.added == [t.content for t in tok.get_added_tokens_decoder().values()]
+    list(enc(["some words here", " two  blanks ", ""]))
+    assert "exact" not in vars(enc)
+    text = f"a {enc.added[0]} b"
+    assert np.frombuffer(next(enc([text])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert "exact" in vars(enc)
