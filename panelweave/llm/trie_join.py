@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import components, materialize
 
 BLOCK = 256
-HOT = 8  # blocks of a group beyond which it is dealt out again by a second item
+HOT = 8  # blocks of a group beyond which it is dealt out again by a second item; small sets are dealt again beyond one
 
 
 class PrefixTree:
@@ -177,6 +177,11 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _members(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "node", "late"])
+
+
 def _join_groups(num: int, den: int):
     """Per (group, block pair): probe the tree of the first block with the second's sets.
 
@@ -281,9 +286,9 @@ def _thin_groups(num: int, den: int):
                 apart = np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(2, dtype=np.int64)
                 both = size[:, None] + size[None, :]
                 ok = ((den + num) * apart <= (den - num) * both) & (comp[:, None] != comp[None, :]) & (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :]))
-                out += [(g, rows[i][1]) for i in np.flatnonzero(ok.any(1)).tolist()]
+                out += [(g, rows[i][1], rows[i][0] < 0) for i in np.flatnonzero(ok.any(1)).tolist()]
                 if len(out) > 10_000:
-                    yield _edges(out)
+                    yield _members(out)
                     out = []
                 continue
             at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
@@ -302,29 +307,65 @@ def _thin_groups(num: int, den: int):
                         if len(js):
                             live[i] = True
                             live[js] = True
-            out += [(g, r[1]) for r, k in zip(rows, live.tolist(), strict=True) if k]
+            out += [(g, r[1], r[0] < 0) for r, k in zip(rows, live.tolist(), strict=True) if k]
             if len(out) > 10_000:
-                yield _edges(out)
+                yield _members(out)
                 out = []
-        yield _edges(out)
+        yield _members(out)
 
     return run
 
 
 def _open_groups(rows: DataFrame) -> DataFrame:
-    """(key, n): groups with sets of more than one component, equal groups once; n: their blocks."""
-    who = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    groups = rows.groupBy("key").agg(who.alias("who"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    return groups.groupBy("who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("who.m") / BLOCK).alias("n"))
+    """(key, n, n_late): groups with sets of more than one component, equal groups once; their blocks, without and of `late` sets."""
+    late = F.col("late").cast("long")
+    who = F.struct(F.count("*").alias("m"), F.sum(late).alias("late"), F.bit_xor(F.xxhash64("node", "late")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    groups = rows.groupBy("key").agg(who.alias("who"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 and who.m > who.late")
+    groups = groups.groupBy("who").agg(F.min("key").alias("key"))
+    return groups.select("key", F.ceil((F.col("who.m") - F.col("who.late")) / BLOCK).alias("n"), F.ceil(F.col("who.late") / BLOCK).alias("n_late"))
 
 
 def _block_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each set of an open group in every pair of blocks that its own block is part of: g, lo, hi, block."""
-    rows = rows.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    """Each set of an open group in every pair of blocks that its own block is part of: g, lo, hi, block.
+
+    Blocks of `late` sets have numbers below 0; they are paired with the others, not with each other.
+    """
+    rows = rows.join(groups, "key")
+    own = F.xxhash64("node", F.lit(1))
+    rows = rows.withColumn("block", F.when(F.col("late"), -1 - F.pmod(own, F.col("n_late"))).otherwise(F.pmod(own, F.col("n"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("late"), F.lit(0).cast("long")).otherwise(-F.col("n_late")), F.col("n") - 1)))
     return rows.select(F.col("key").alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
 
 
+def _dealt_by_rarest(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, node, comp, late) of large groups under keys of a group and one of the set's rarest items there.
+
+    A group's sets share its key's item, and often a whole phrase; what links them is the
+    rest.  With a group's items in the order of how many of its sets hold them (then by
+    value), linked sets A and B, |A| <= |B|, share one within the first |A| - ceil(2 num |A| / (num + den)) + 1
+    of A and the first |B| - ceil(num |B| / den) + 1 of B.  A set is `late` under items that it
+    has in the second range alone: it meets smaller sets there, which are not.  Items that only one set of a group holds come first
+    and link nothing; they are counted and left out.
+    """
+
+    def all_items(batches):
+        for b in batches:
+            items = [np.frombuffer(raw, "<u8").view(np.int64) for raw in b.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
+
+    items = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(all_items, "node long, items array<long>")
+    held = rows.join(items, "node").select("key", "node", "comp", F.size("items").alias("size"), F.explode("items").alias("item"))
+    held = materialize(held, "group-items")
+    often = materialize(held.groupBy("key", "item").agg(F.count("*").alias("f")).where("f > 1"), "shared-items")
+    shared = held.join(often, ["key", "item"]).groupBy("key", "node", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("items"))
+    size = F.col("size")
+    alone = size - F.size("items")
+    first = size - F.ceil(2 * num * size / (num + den)) + 1
+    reach = size - F.ceil(num * size / den) + 1
+    dealt = shared.select("key", "node", "comp", (first - alone).alias("first"), F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(0), reach - alone).cast("int"))).alias("at", "x"))
+    return dealt.select(F.xxhash64("key", "x.item").alias("key"), "node", "comp", (F.col("at") >= F.col("first")).alias("late"))
+
+
 def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (key, node, comp) of large groups under keys of a group and one more item.
 
@@ -346,7 +387,7 @@ def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     firsts = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(first_items, "node long, firsts array<long>, small boolean")
     again = rows.join(firsts, "node").select("key", "node", "comp", "small", F.explode("firsts").alias("item")).where("item <> key or small")
-    return again.select(F.xxhash64("key", "item").alias("key"), "node", "comp").distinct()
+    return again.select(F.xxhash64("key", "item").alias("key"), "node", "comp", F.lit(False).alias("late")).distinct()
 
 
 def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den: int, by_tree: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -363,12 +404,13 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
        others of a hub, in blocks of `BLOCK`, form a prefix tree which the hub's set probes.
     2. What the hubs did not settle: groups whose other members still lie in more than
        one component, equal groups once.  A group of more than `HOT` blocks is dealt out
-       again by a second item of its members' sets (`_dealt_again`).  Groups are cut into
+       again by a second item of its members' sets (`_dealt_again`); of small sets one of
+       more than a block, by the items that are rarest in it (`_dealt_by_rarest`).  Groups are cut into
        blocks; members that the sketches leave no partner in another component go; each
        pair of blocks of what is left is joined by a prefix tree, skipping connected pairs.
     So no link between different components is lost and no group is gathered beyond a pair
     of blocks.  Pairs of blocks grow with the square of what is left of a group after
-    both deals: sets that share a key, a second item and no link with their hub.
+    both deals: sets that share a key, a second (or a rarest) item and no link with their hub.
     """
     join = (_join_groups if by_tree else _compare_groups)(num, den)
     hub = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "size")).alias("hub")).where("m > 1")
@@ -403,18 +445,19 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
         more = some.select("node").distinct().join(sets.select("node"), "node", "left_anti")
         return sets.unionByName(materialize(sets_of(more), "sets"))
 
-    rest = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    rest = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.lit(False).alias("late"))
     groups = materialize(_open_groups(rest), "open")
-    pairs = _block_pairs(rest, groups.where(F.col("n") <= HOT))
-    large = groups.where(F.col("n") > HOT).select("key")
+    hot, deal = (HOT, _dealt_again) if by_tree else (1, _dealt_by_rarest)
+    pairs = _block_pairs(rest, groups.where(F.col("n") <= hot))
+    large = groups.where(F.col("n") > hot).select("key")
     if not large.isEmpty():
-        rows = materialize(rest.join(large, "key"), "large-groups")
-        again = materialize(_dealt_again(rows, with_sets(rows), num, den), "dealt-again")
+        rows = materialize(rest.join(large, "key").drop("late"), "large-groups")
+        again = materialize(deal(rows, with_sets(rows), num, den), "dealt-again")
         pairs = pairs.unionByName(_block_pairs(again, materialize(_open_groups(again), "open")))
     dealt = pairs.join(nodes, "node").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
     dealt = dealt.select("g", "lo", "hi", "block", "node", "comp", "size", "sketch")
-    live = dealt.mapInArrow(_thin_groups(num, den), "a long, b long").toDF("key", "node").distinct()
-    live = live.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    live = dealt.mapInArrow(_thin_groups(num, den), "key long, node long, late boolean").distinct()
+    live = live.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), "late")
     live = materialize(live, "live")
     if live.isEmpty():
         return first, comp

@@ -217,3 +217,42 @@ def test_components_and_filter(spark):
     test = id_filter(ids, "node")
     assert test.many(own).all() and test.many(10**9 + np.arange(10_000)).sum() < 1000
     assert free_names(spark.createDataFrame([], SCHEMA), 2) == ["_1", "_2"]
+
+
+def test_large_groups_of_one_phrase_are_not_paired_block_by_block(spark, monkeypatch):
+    """All links inside a group whose sets share a phrase, from rows that grow with the sets and not with their square."""
+    from panelweave.llm import trie_join
+
+    monkeypatch.setattr(trie_join, "BLOCK", 16)
+    made = []
+    plain = trie_join._block_pairs
+    monkeypatch.setattr(trie_join, "_block_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+
+    def run(n, seed):
+        rng = np.random.default_rng(seed)
+        phrase = rng.integers(0, 1 << 44, 7)
+        sets = [{*phrase.tolist()}, {*phrase[:6].tolist()}]  # links with every set of one more item; with none but the first
+        for _ in range(n):
+            sets.append({*phrase[: rng.integers(1, 8)].tolist(), *rng.integers(0, 1 << 44, rng.integers(1, 30)).tolist()})
+        sets += [{*sorted(s)[: len(s) - int(rng.integers(0, 3))], int(phrase[0]), *rng.integers(0, 1 << 44, rng.integers(0, 2)).tolist()} for s in sets[2 : 2 + n // 3]]
+        sets += [{*s, int(rng.integers(0, 1 << 44))} for s in sets[n // 2 : n]]
+        sets = [np.array(sorted(s), "<u8") for s in sets]
+        rows = [(i, len(s), parity_sketch(s), s.tobytes()) for i, s in enumerate(sets)]
+        table = spark.createDataFrame(rows, "node long, size long, sketch binary, items binary")
+        keys = table.selectExpr("5L as key", "node", "size")
+        made.clear()
+        links, comp = trie_join.linked_components(table.select("node", "size", "sketch"), keys, lambda nodes: table.join(nodes, "node", "left_semi").select("node", "items"), 80, 100, by_tree=False)
+        forest, whole = trie_join._Forest(), [set(s.tolist()) for s in sets]
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(whole[a] & whole[b])
+                if 100 * both >= 80 * (len(whole[a]) + len(whole[b]) - both):
+                    forest.join(a, b)
+        got = {r.node: r.component for r in comp.collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == [forest.root(i) for i in range(len(sets))]
+        assert len({*got.values()}) > n // 4 and links.count() >= len(got) - len({*got.values()})
+        return len(sets), sum(x.count() for x in made)
+
+    for n, seed in ((60, 1), (300, 2)):
+        sets, rows = run(n, seed)
+        assert rows < 8 * sets, (sets, rows)
