@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import components, materialize
 
 BLOCK = 256
-HOT = 8  # blocks of a group beyond which it is dealt out again by a second item; small sets are dealt again beyond one
+HOT = 8  # blocks of a group beyond which it is dealt out again by a second item
+HOT_SMALL = 4  # the same for groups of small sets, which are dealt out by their rarest items
 
 
 class PrefixTree:
@@ -405,7 +406,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     2. What the hubs did not settle: groups whose other members still lie in more than
        one component, equal groups once.  A group of more than `HOT` blocks is dealt out
        again by a second item of its members' sets (`_dealt_again`); of small sets one of
-       more than a block, by the items that are rarest in it (`_dealt_by_rarest`).  Groups are cut into
+       more than `HOT_SMALL`, by the items that are rarest in it (`_dealt_by_rarest`).  Groups are cut into
        blocks; members that the sketches leave no partner in another component go; each
        pair of blocks of what is left is joined by a prefix tree, skipping connected pairs.
     So no link between different components is lost and no group is gathered beyond a pair
@@ -447,7 +448,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
 
     rest = grouped.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.lit(False).alias("late"))
     groups = materialize(_open_groups(rest), "open")
-    hot, deal = (HOT, _dealt_again) if by_tree else (1, _dealt_by_rarest)
+    hot, deal = (HOT, _dealt_again) if by_tree else (HOT_SMALL, _dealt_by_rarest)
     pairs = _block_pairs(rest, groups.where(F.col("n") <= hot))
     large = groups.where(F.col("n") > hot).select("key")
     if not large.isEmpty():
