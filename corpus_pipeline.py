@@ -12,6 +12,11 @@ from panelweave.llm.packing import pack
 from panelweave.llm.substring_dedup import dedup_substrings
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to the Python workers, of which an executor keeps several, 4 MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 # All stages but the last return the columns of `documents`.  Nulls in columns that a stage does
 # not read, and names that clash with those it uses within, change nothing.  An empty table
 # gives an empty result; texts are read whole whatever their length.
@@ -23,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; a null id or lang counts as any other value; rows that repeat
     stay or go together.
     """
+    _small_batches(spark)
     return reject_unknown(docs)
 
 
@@ -41,6 +47,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are linked with nothing and stay, as do rows with a null id; rows
     that repeat an id are one document.
     """
+    _small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -50,6 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Every row stays; null and empty texts stay as they are, and a text whose every part
     repeats becomes empty.  Earlier is the smaller id, then the place in the text.
     """
+    _small_batches(spark)
     return dedup_substrings(docs)
 
 
@@ -58,6 +66,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is an empty one: its end mark alone.  Rows that repeat are packed each.
     """
+    _small_batches(spark)
     return pack(docs)
 
 

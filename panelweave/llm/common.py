@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager
 
@@ -71,16 +72,21 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def slices(batches, rows: int = 512):
-    """The same Arrow rows in smaller batches, so that a task holds few texts as Python objects.
+def give_back() -> None:
+    """What Arrow and numpy have freed goes back to the machine, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
-    What Arrow has freed goes back to the machine at the end, as the worker lives on.
-    """
+
+def slices(batches, rows: int = 512):
+    """The same Arrow rows in smaller batches, so that a task holds few texts as Python objects; at the end `give_back`."""
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
     b = None
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

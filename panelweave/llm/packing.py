@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import id_filter, materialize, slices
+from panelweave.llm.common import give_back, id_filter, materialize, slices
 
 _LOOSE = re.compile(r" (?:\s|$)")
 
@@ -51,6 +51,11 @@ class ChunkEncoder:
 
         return Tokenizer.from_file(f"{self.stem}.json")
 
+    def forget(self) -> None:
+        """Empty the table of chunks seen: the encoder stays with its worker, and other work takes its place."""
+        self.known.clear()
+        give_back()
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         new = [c for c in chunks if c not in self.known]
         fresh: dict[str, bytes] = {}
@@ -233,6 +238,7 @@ def token_pieces(
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             columns.insert(5, pa.array(np.full(len(out[0]), task, np.int32)))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
+        encode.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(cut, PIECES)
@@ -257,6 +263,7 @@ def _cut_crcs(docs: DataFrame, cut: DataFrame, capacity: int, end_id: int, id_co
                 for col, v in zip(out, (doc, s, zlib.crc32(raw[4 * s :]), raw[4 * s :]), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["doc", "at", "whole_crc", "ids"])
+        encode.forget()
 
     def crcs(batches):
         for b in batches:

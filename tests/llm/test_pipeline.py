@@ -106,3 +106,23 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_reach_the_workers_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from panelweave.llm.packing import _encoder
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    cp.language_id(spark, spark.createDataFrame([], SCHEMA), "").collect()
+    docs = spark.range(0, 400, 1, 1).select(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 5000).alias("text"))
+    got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 2 and max(got) < 6 << 20
+    encode = _encoder(None)
+    assert list(encode(["some words"])) and encode.known
+    encode.forget()
+    assert not encode.known and list(encode(["some words"]))
