@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import zlib
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +92,46 @@ def slices(batches, rows: int = 512):
     give_back()
 
 
+BUCKETS = 1 << 20
+SLICE = 1 << 14
+
+
+def bucket_counts(rows: DataFrame, items_of) -> np.ndarray:
+    """How many items of all rows have each number modulo `BUCKETS`.
+
+    `items_of`: Arrow batch -> array of unsigned longs.  Tasks send their counts in
+    compressed slices and the driver receives one slice of counts for each of
+    ``BUCKETS / SLICE``, a fixed size.
+    """
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches):
+            np.add.at(total, (items_of(b) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        task = TaskContext.get().partitionId()
+        for k in range(BUCKETS // SLICE):
+            part = total[k * SLICE : (k + 1) * SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                    ["slice", "task", "counts"],
+                )
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"slice": pdf["slice"][:1], "task": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    parts = rows.mapInArrow(count, "slice int, task int, counts binary")
+    for fan in (4096, 64, 1):  # merged in levels, so that no group grows with the number of tasks
+        if fan == 1 or rows.rdd.getNumPartitions() > 64 * fan:
+            parts = parts.withColumn("task", F.pmod("task", F.lit(fan)))
+            parts = parts.groupBy("slice", "task").applyInPandas(add, "slice int, task int, counts binary")
+    total = np.zeros(BUCKETS, np.int64)
+    for r in parts.collect():
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return total
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component).
 

@@ -2,99 +2,35 @@
 
 from __future__ import annotations
 
-import zlib
-from hashlib import blake2b
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import components, free_names, id_filter, materialize, slices
-from panelweave.llm.trie_join import linked_components, parity_sketch
-
-BUCKETS = 1 << 20
-SLICE = 1 << 14
-MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHash(dict):
-    """64-bit hash of a word; a bounded number of words is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 200_000:
-            self[word] = h
-        return h
+from panelweave.llm.common import BUCKETS, bucket_counts, components, free_names, id_filter, materialize, slices
+from panelweave.llm.trie_join import linked_components
+from panelweave.llm.words import _WordHash, binaries, distinct, parity_sketches, set_hashes, shingles
 
 
 _HASH = _WordHash()
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text, A-Z in lower case.
-
-    Words are ``[^\\x20\\x09-\\x0D]+``.  With fewer than `n` words the whole sequence is
-    one n-gram; with none the set is empty.  The word count takes part in the hash of a
-    short sequence, so that it equals no n-gram.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(words) - k + 1 + i]) * MULT
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
-
-
-def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The set in the global order: rare n-grams first, each part by hash."""
-    s = s >> np.uint64(1)
+def _ordered(column: pa.Array, n: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the texts in the global order: rare n-grams first, each part by hash; and their sizes."""
+    s, count = shingles(column, n)
+    s >>= np.uint64(1)
     b = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
     often = (common[b >> 3] >> (b & 7).astype(np.uint8)) & 1
-    return np.sort(s | (often.astype(np.uint64) << np.uint64(63)))
+    return distinct(s | (often.astype(np.uint64) << np.uint64(63)), count)
 
 
 def common_buckets(docs: DataFrame, n: int) -> np.ndarray:
     """One bit per hash bucket (of `BUCKETS`): do its n-grams occur far above the mean?
 
-    Counted over all documents; tasks send their counts in compressed slices and the
-    driver receives one slice of counts for each of ``BUCKETS / SLICE``, a fixed size.
+    Counted over all documents (`bucket_counts`).
     Any outcome gives a valid global order; the better it is, the fewer candidates.
     """
-
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                s = shingles(t, n) >> np.uint64(1)
-                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        task = TaskContext.get().partitionId()
-        for k in range(BUCKETS // SLICE):
-            part = total[k * SLICE : (k + 1) * SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    ["slice", "task", "counts"],
-                )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"slice": pdf["slice"][:1], "task": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = docs.mapInArrow(count, "slice int, task int, counts binary")
-    for fan in (4096, 64, 1):  # merged in levels, so that no group grows with the number of tasks
-        if fan == 1 or docs.rdd.getNumPartitions() > 64 * fan:
-            parts = parts.withColumn("task", F.pmod("task", F.lit(fan)))
-            parts = parts.groupBy("slice", "task").applyInPandas(add, "slice int, task int, counts binary")
-    total = np.zeros(BUCKETS, np.int64)
-    for r in parts.collect():
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    total = bucket_counts(docs, lambda b: shingles(b.column(0), n)[0] >> np.uint64(1))
     return np.packbits(total > 32 + 4 * total.mean(), bitorder="little")
 
 
@@ -107,23 +43,20 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     common = common_buckets(source.select("text"), n)
 
-    def node_of(s: np.ndarray) -> int:
-        return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
     def sign(batches):
         for b in slices(batches):
-            size, node, prefix, sketch = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = _ordered(shingles(t, n), common)
-                full = len(s) > 0 and i is not None
-                size.append(len(s))
-                node.append(node_of(s) if full else None)
-                sketch.append(parity_sketch(s) if full else None)
-                prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if full else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "text_hash", "size", "node", "prefix", "sketch"],
-            )
+            items, size = _ordered(b.column(2), n, common)
+            full = (size > 0) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            none = ~full
+            lead = np.where(full, size + (-num * size) // den + 1, 0)
+            begin = np.cumsum(size) - size
+            keys = items[np.arange(len(items)) - np.repeat(begin, size) < np.repeat(lead, size)].view(np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lead)]), pa.int32(), mask=np.concatenate([none, [False]]))
+            columns = [
+                b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(set_hashes(items, size), mask=none),
+                pa.ListArray.from_arrays(ends, pa.array(keys)), pa.array(np.array(parity_sketches(items, size), object), pa.binary(), mask=none),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "size", "node", "prefix", "sketch"])
 
     signed = materialize(source.mapInArrow(sign, "doc_id long, text_hash long, size long, node long, prefix array<long>, sketch binary"), "signed")
     classes = signed.where("node is not null").groupBy("node").agg(
@@ -138,9 +71,8 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         def whole(batches):
             for b in slices(batches):
                 b = b.filter(pa.array(texts.many(b.column("text_hash").to_numpy())))
-                found = [_ordered(shingles(t, n), common) for t in b.column("text").to_pylist()]
-                items = pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), items], ["node", "items"])
+                items, size = _ordered(b.column("text"), n, common)
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(items, size)), binaries(items, size)], ["node", "items"])
 
         found = source.select("text_hash", "text").mapInArrow(whole, "node long, items binary")
         return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items"))

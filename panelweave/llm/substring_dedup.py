@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import free_names, id_filter, materialize, slices
-from panelweave.llm.ngram_join import _HASH, MULT
 from panelweave.llm.trie_join import linked_components
+from panelweave.llm.words import MULT, parity_sketches, set_hashes, text_bytes, word_hashes
+from panelweave.llm.words import grams as _grams
 
 RADIUS, LEAD = 6, 3  # a passage begins where a hash of LEAD words is the least of RADIUS neighbours on either side
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -37,16 +38,6 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return x
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every `n` words that follow each other."""
-    m = max(0, len(h) - n + 1)
-    out = np.full(m, n, np.uint64)
-    for i in range(n):
-        out = (out ^ h[i : m + i]) * MULT
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def passage_cuts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where passages begin, in the words `h` of documents of `sizes` words one after the other.
 
@@ -79,11 +70,12 @@ class Units:
     ends[k - 1] to ends[k].
     """
 
-    def __init__(self, texts: list[bytes], n: int, min_words: int, least: int):
-        lines = [[x.split() for x in t.lower().split(b"\n")] for t in texts]
-        in_line = np.array([len(x) for t in lines for x in t], np.int64)
-        sizes = np.array([sum(map(len, t)) for t in lines], np.int64)
-        h = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(chain.from_iterable(lines))), np.uint64, int(sizes.sum()))
+    def __init__(self, texts: list[bytes] | pa.Array, n: int, min_words: int, least: int):
+        data, at = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        starts, h = word_hashes(data, at)
+        lines = np.sort(np.concatenate([at[:-1], np.flatnonzero(data == 10) + 1]))
+        in_line = np.diff(np.searchsorted(starts, lines), append=len(starts))
+        sizes = np.diff(np.searchsorted(starts, at))
         begin = np.cumsum(sizes) - sizes
         long_lines = in_line >= min_words
         first, length = (np.cumsum(in_line) - in_line)[long_lines], in_line[long_lines]
@@ -111,17 +103,10 @@ class Units:
         self.items, unit = items[new], unit[new].astype(np.int64)
         self.size = np.bincount(unit, minlength=len(first))
         self.ends = np.cumsum(self.size)
-        self.unit = unit
-
+        
     def nodes(self) -> np.ndarray:
         """A 64-bit hash of each set; sets of paragraphs and of passages never share one but by chance."""
-        if not len(self.size):
-            return np.zeros(0, np.int64)
-        x = (self.items + np.uint64(1)) * MULT
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = np.add.reduceat(x ^ (x >> np.uint64(29)), self.ends - self.size)
-        x = (x ^ self.size.astype(np.uint64) ^ ((np.arange(len(x)) < self.paragraphs).astype(np.uint64) << np.uint64(40))) * MULT
-        return (x ^ (x >> np.uint64(31))).view(np.int64)
+        return set_hashes(self.items, self.size, (np.arange(len(self.size)) < self.paragraphs).astype(np.uint64) << np.uint64(40))
 
     def keys(self, bands: tuple[int, int], rows: tuple[int, int]) -> list[np.ndarray]:
         """The band keys of paragraphs, then of passages: arrays of (units, bands)."""
@@ -144,34 +129,18 @@ class Units:
 
     def sketches(self) -> list[bytes]:
         """`trie_join.parity_sketch` of each unit."""
-        out: list = [b""] * len(self.size)
-        width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, self.size))).astype(np.int64))
-        of = width[self.unit]
-        for b in np.unique(width).tolist():
-            who = np.flatnonzero(width == b)
-            slot = np.zeros(len(width), np.int64)
-            slot[who] = np.arange(len(who))
-            mine = of == b
-            at = slot[self.unit[mine]] * b + (self.items[mine] & np.uint64(b - 1)).astype(np.int64)
-            raw = np.packbits(np.bincount(at, minlength=len(who) * b).astype(np.uint8) & 1, bitorder="little").tobytes()
-            for j, k in enumerate(who.tolist()):
-                out[k] = raw[j * b // 8 : (j + 1) * b // 8]
-        return out
+        return parity_sketches(self.items, self.size)
 
 
 def _bulks(batches, n: int, min_words: int, least: int, words: int = 100_000):
     """(doc_ids, text hashes, Units) of the texts of Arrow batches (doc_id, text_hash, text), some at a time."""
     for b in slices(batches):
-        docs, hashes, texts, todo = [], [], [], 0
-        for row, (doc, th, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
-            if t:
-                docs.append(doc)
-                hashes.append(th)
-                texts.append(t.encode("utf-8", "surrogatepass"))
-                todo += len(t) // 6
-            if texts and (todo > words or row == b.num_rows):
-                yield docs, hashes, Units(texts, n, min_words, least)
-                docs, hashes, texts, todo = [], [], [], 0
+        full = b.filter(pa.compute.greater(pa.compute.binary_length(b.column(2)), 0))
+        todo = np.cumsum(pa.compute.binary_length(full.column(2)).to_numpy()) // (6 * words) if full.num_rows else np.zeros(0)
+        ends = np.flatnonzero(np.diff(todo, append=-1)) + 1
+        for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+            part = full.slice(a, z - a)
+            yield part.column(0), part.column(1), Units(part.column(2), n, min_words, least)
 
 
 def repeated_units(
@@ -205,9 +174,9 @@ def repeated_units(
             two = u.keys(bands, rows)
             ends = np.concatenate([np.arange(len(two[0])) * bands[0], len(two[0]) * bands[0] + np.arange(len(two[1]) + 1) * bands[1]])
             keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x.reshape(-1) for x in two])))
-            ids = pa.array(docs_, pa.int64()).take(pa.array(u.text))
+            of = pa.array(u.text)
             columns = [
-                ids, pa.array(np.array(hashes, np.int64)[u.text]), pa.array(np.arange(len(u.size)) >= u.paragraphs), pa.array(u.word.astype(np.int32)),
+                docs_.take(of), hashes.take(of), pa.array(np.arange(len(u.size)) >= u.paragraphs), pa.array(u.word.astype(np.int32)),
                 pa.array(u.words.astype(np.int32)), pa.array(u.size), pa.array(u.nodes()), keys, pa.array(u.sketches(), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "passage", "word", "words", "size", "node", "keys", "sketch"])
