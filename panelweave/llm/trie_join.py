@@ -11,14 +11,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import components, materialize
+from panelweave.llm.common import BUCKETS, bucket_counts, components, materialize, slices
 
 BLOCK = 256
 HOT = 8  # blocks of a group beyond which it is dealt out again by a second item
-HOT_SMALL = 4  # the same for groups of small sets, which are dealt out by their rarest items
+HOT_SMALL = 1  # the same for groups of small sets, which are dealt out by their rarest items
 
 
 class PrefixTree:
@@ -339,32 +340,39 @@ def _block_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _dealt_by_rarest(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (key, node, comp, late) of large groups under keys of a group and one of the set's rarest items there.
+    """Rows (key, node, comp, late) of large groups under keys of a group and one of the set's rarest items.
 
     A group's sets share its key's item, and often a whole phrase; what links them is the
-    rest.  With a group's items in the order of how many of its sets hold them (then by
-    value), linked sets A and B, |A| <= |B|, share one within the first |A| - ceil(2 num |A| / (num + den)) + 1
-    of A and the first |B| - ceil(num |B| / den) + 1 of B.  A set is `late` under items that it
-    has in the second range alone: it meets smaller sets there, which are not.  Items that only one set of a group holds come first
-    and link nothing; they are counted and left out.
+    rest.  In any one order of all items, linked sets A and B, |A| <= |B|, share one
+    within the first |A| - ceil(2 num |A| / (num + den)) + 1 of A and the first
+    |B| - ceil(num |B| / den) + 1 of B.  A set is `late` under items that it has in the
+    second range alone: it meets smaller sets there, which are not.  The order is by how
+    many sets of large groups hold an item, counted in hashed buckets, then by value.  Items
+    alone in their bucket come first and link nothing; they are left out.
     """
+    hot = materialize(sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items"), "large-sets")
 
-    def all_items(batches):
-        for b in batches:
-            items = [np.frombuffer(raw, "<u8").view(np.int64) for raw in b.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
-
-    items = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(all_items, "node long, items array<long>")
-    held = rows.join(items, "node").select("key", "node", "comp", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = materialize(held, "group-items")
-    often = materialize(held.groupBy("key", "item").agg(F.count("*").alias("f")).where("f > 1"), "shared-items")
-    shared = held.join(often, ["key", "item"]).groupBy("key", "node", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("items"))
-    size = F.col("size")
-    alone = size - F.size("items")
-    first = size - F.ceil(2 * num * size / (num + den)) + 1
-    reach = size - F.ceil(num * size / den) + 1
-    dealt = shared.select("key", "node", "comp", (first - alone).alias("first"), F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(0), reach - alone).cast("int"))).alias("at", "x"))
-    return dealt.select(F.xxhash64("key", "x.item").alias("key"), "node", "comp", (F.col("at") >= F.col("first")).alias("late"))
+    def items_of(b):
+        return np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), "<u8")
+
+    often = bucket_counts(hot.select("items"), items_of)
+    level = hot.sparkSession.sparkContext.broadcast(np.minimum(255, 8 * np.log2(np.maximum(1, often))).astype(np.uint8))
+
+    def rarest(batches):
+        for b in slices(batches):
+            items = items_of(b)
+            size = pa.compute.binary_length(b.column("items")).to_numpy().astype(np.int64) // 8
+            owner = np.repeat(np.arange(len(size)), size)
+            held = level.value[(items & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            order = np.lexsort((items, held, owner))
+            at = np.arange(len(items)) - np.repeat(np.cumsum(size) - size, size)
+            first, reach = (size - -(-k * size // m) + 1 for k, m in ((2 * num, num + den), (num, den)))
+            use = (at < reach[owner]) & (held[order] > 0)
+            columns = [b.column("node").take(pa.array(owner[use])), pa.array(items[order][use].view(np.int64)), pa.array((at >= first[owner])[use])]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "item", "late"])
+
+    dealt = rows.join(hot.mapInArrow(rarest, "node long, item long, late boolean"), "node")
+    return dealt.select(F.xxhash64("key", "item").alias("key"), "node", "comp", "late")
 
 
 def _dealt_again(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -406,7 +414,7 @@ def linked_components(nodes: DataFrame, keys: DataFrame, sets_of, num: int, den:
     2. What the hubs did not settle: groups whose other members still lie in more than
        one component, equal groups once.  A group of more than `HOT` blocks is dealt out
        again by a second item of its members' sets (`_dealt_again`); of small sets one of
-       more than `HOT_SMALL`, by the items that are rarest in it (`_dealt_by_rarest`).  Groups are cut into
+       more than `HOT_SMALL`, by the items that are rarest in all such groups (`_dealt_by_rarest`).  Groups are cut into
        blocks; members that the sketches leave no partner in another component go; each
        pair of blocks of what is left is joined by a prefix tree, skipping connected pairs.
     So no link between different components is lost and no group is gathered beyond a pair

@@ -256,3 +256,25 @@ def test_large_groups_of_one_phrase_are_not_paired_block_by_block(spark, monkeyp
     for n, seed in ((60, 1), (300, 2)):
         sets, rows = run(n, seed)
         assert rows < 8 * sets, (sets, rows)
+
+
+def test_large_groups_are_dealt_out_by_a_few_items_of_each_set(spark, monkeypatch):
+    """No table has a row for each item of a large group's sets, nor does a join make one."""
+    from panelweave.llm import trie_join
+
+    rng = np.random.default_rng(6)
+    phrase = rng.integers(0, 1 << 44, 6).tolist()
+    sets = [np.array(sorted({*phrase, *rng.integers(0, 1 << 44, 14).tolist()}), "<u8") for _ in range(80)]
+    sets += [np.array(sorted({*s.tolist(), int(rng.integers(0, 1 << 44))}), "<u8") for s in sets]
+    table = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, items binary")
+    rows = table.selectExpr("5L as key", "node", "node as comp")
+    made = []
+    plain = trie_join.materialize
+    monkeypatch.setattr(trie_join, "materialize", lambda df, tag: made.append(plain(df, tag)) or made[-1])
+    dealt = trie_join._dealt_by_rarest(rows, table, 80, 100).collect()
+    reach = sum(len(s) - -(-80 * len(s) // 100) + 1 for s in sets)
+    assert len(dealt) <= reach and all(t.count() <= len(sets) for t in made)
+    groups = {}
+    for r in dealt:
+        groups.setdefault(r.key, []).append((r.node, r.late))
+    assert all(any({(i, False), (i + 80, False)} <= {*g} or {(i, False), (i + 80, True)} <= {*g} for g in groups.values()) for i in range(80))
